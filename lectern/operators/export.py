@@ -123,7 +123,16 @@ def write_csv_parts(
     parts = cut_lineage(file_values(assign_parts(df, order, rows_per_file)))
     counts = part_counts(parts)
     body = parts.repartition("parte").sortWithinPartitions("parte", "idx").drop("idx")
-    options = {"header": True, "encoding": "UTF-8", "escape": '"', "emptyValue": "", "nullValue": ""}
+    options = {
+        "header": True,
+        "encoding": "UTF-8",
+        "escape": '"',
+        "emptyValue": "",
+        "nullValue": "",
+        # Blanks at the ends of a value belong to it.
+        "ignoreLeadingWhiteSpace": False,
+        "ignoreTrailingWhiteSpace": False,
+    }
     if parts.isEmpty():
         empty = body.drop("parte").coalesce(1)
         empty.write.mode("overwrite").options(**options).csv(f"{path}/data/parte=1")

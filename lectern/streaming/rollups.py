@@ -197,12 +197,11 @@ class Store:
     def replace_days(self, name: str, rows: DataFrame) -> None:
         """Replace exactly the days present in ``rows``.
 
-        Rows are clustered by day before the write, so each day folder is made
-        of a few files; the salt keeps a heavy day from being one task's work.
+        Rows are rebalanced by day before the write: small days share a task,
+        a heavy day is split over several, and no day folder gets tiny files.
         """
-        salt = F.pmod(F.hash("userid" if "userid" in rows.columns else "courseid"), F.lit(8))
         (
-            rows.repartition("fecha", salt)
+            rows.hint("rebalance", rows["fecha"])
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("fecha")
