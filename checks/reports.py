@@ -165,13 +165,19 @@ both(
     R.fichas_programas,
     _fichas,
     {"rol_usuario": "student", "estado_aprendiz": "Activo", "centro_formacion": "nation", "fecha_desde": "2023-11-20",
-     "fecha_inicio": "2024-01-02", "fecha_fin": "2024-02-20", "codigo_programa": "10", "hora_creacion": "10"},
+     "fecha_inicio": "2024-01-02", "fecha_fin": "2024-02-20", "codigo_programa": "10"},
     f"""course_id in (select course_id from x_course_role where shortname = 'student')
         and course_id in (select r.course_id from x_course_role r join x_now n using (userid, course_id)
           where r.shortname = 'student' and n.valid_state = 'Activo')
         and center_name ilike '%nation%' and {day('course_created')} >= date '2023-11-20' and startdate > 0
         and {day('startdate')} >= date '2024-01-02' and enddate > 0 and {day('enddate')} <= date '2024-02-20'
-        and program_code ilike '%10%' and hour({local('course_created')}) = 10""",
+        and program_code ilike '%10%'""",
+)
+
+check(
+    "fichas_programas_hours",
+    lambda t: R.fichas_programas(t, {"hora_creacion": "22:15", "hora_grupo": "05"}, S),
+    _fichas(f"hour({local('course_created')}) = 22 and hour({local('startdate')}) = 5"),
 )
 
 # -- 6 ----------------------------------------------------------------------------

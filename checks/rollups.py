@@ -1 +1,202 @@
-"""Checks."""
+"""Checks of the daily summary tables and the jobs that maintain them."""
+
+from __future__ import annotations
+
+from datetime import date
+
+from pyspark.sql import functions as F
+
+from checks.base import CHECKS, Check, S, check, compose, day, local
+from lectern.functions.labels import NOT_IN_LOG
+from lectern.session import scratch_path
+from lectern.sources import LmsTables
+from lectern.sources.catalog import star_view
+from lectern.streaming import rollups, streams
+
+ACTIVITY = f"""
+    select {day('l.timecreated')} as fecha, l.userid, l.courseid,
+      case when m.tool = 'foro' and l.objecttable = 'forum_posts' and l.action = 'created' then 'comentario' else m.tool end as herramienta
+    from lg l join x_tool m on m.module_id = l.contextinstanceid
+    where l.userid > 0 and l.courseid is not null and l.contextlevel = 70"""
+TOOL_LIST = ", ".join(f"'{x}'" for x in rollups.ACTIVITY_TOOLS)
+
+check("rollup_login_day", lambda t: rollups.login_day(t, S), "select * from x_login_day")
+check(
+    "rollup_tool_activity_day",
+    lambda t: rollups.tool_activity_day(t, S),
+    f"select fecha, userid, courseid, herramienta, count(*) as cantidad from ({ACTIVITY}) z where herramienta in ({TOOL_LIST}) group by 1, 2, 3, 4",
+)
+
+
+def _time_sql(log: str) -> str:
+    return f"""
+    select fecha, userid, courseid, coalesce(tool, 'curso') as herramienta, cast(sum(secs) as bigint) as segundos from (
+      select fecha, userid, courseid, contextinstanceid, case when nxt is null then 0 when nxt - timecreated > 1800 then 1800 else nxt - timecreated end as secs from (
+        select *, {day('timecreated')} as fecha, lead(timecreated) over (partition by userid, courseid, {day('timecreated')} order by timecreated, id) as nxt
+        from {log} where userid > 0 and courseid is not null) a) b
+    left join x_tool m on m.module_id = b.contextinstanceid group by 1, 2, 3, 4"""
+
+
+check(
+    "rollup_estimated_time_day",
+    lambda t: rollups.estimated_time_day(t.with_log("mdl_logstore_dense"), S),
+    _time_sql("mdl_logstore_dense"),
+)
+check(
+    "rollup_user_course_day",
+    lambda t: rollups.user_course_day(t, S, "2024-01-15"),
+    """select date '2024-01-15' as fecha, userid, course_id as courseid, enrolment_state as estado_matricula, role_shortnames as rol_shortnames
+       from x_any left join x_roles using (userid, course_id)""",
+)
+check(
+    "rollup_traffic_hour",
+    lambda t: rollups.traffic_hour(t, S),
+    f"""select {day('timecreated')} as fecha, hour({local('timecreated')}) as hora, courseid, count(distinct userid) as usuarios_unicos
+        from lg where userid > 0 and courseid is not null and action = 'viewed' group by 1, 2, 3""",
+)
+check(
+    "rollup_login_dim_day",
+    lambda t: rollups.login_dim_day(t, S),
+    f"""select {day('l.timecreated')} as fecha, courseid, '{NOT_IN_LOG}' as so, '{NOT_IN_LOG}' as navegador,
+          coalesce(nullif(trim(country), ''), 'No definido') as pais, coalesce(nullif(trim(city), ''), 'No definido') as ciudad,
+          count(distinct l.userid) as ingresos_unicos
+        from lg l join mdl_user u on u.id = l.userid and u.deleted = 0
+        where l.userid > 0 and courseid is not null and action = 'viewed' group by all""",
+)
+
+# -- the job ----------------------------------------------------------------------
+
+START, MID, END = date(2023, 12, 31), date(2024, 1, 20), date(2024, 1, 31)
+
+
+def _store(t: LmsTables, name: str) -> rollups.Store:
+    return rollups.Store(t.spark, scratch_path(t.spark, name))
+
+
+def _two_runs(t: LmsTables) -> rollups.Store:
+    store = _store(t, "daily")
+    for today in (MID, END):
+        rollups.run_daily(t, S, store, "login_day", today, START)
+    return store
+
+
+_COLUMNS = ["fecha", "userid", "courseid", "ingresos", "primer_ts", "ultimo_ts"]
+check(
+    "rollup_idempotent",
+    lambda t: _two_runs(t).read("login_day").select(*_COLUMNS),
+    "select * from x_login_day where fecha <= date '2024-01-30'",
+)
+check(
+    "rollup_watermark",
+    lambda t: _two_runs(t).watermarks(),
+    f"select 'login_day' as job_name, max({day('timecreated')}) as last_full_date from lg",
+)
+
+
+def _late(t: LmsTables) -> "rollups.DataFrame":
+    """Events with an objectid over 90 arrive a day late, over 95 ten days late.
+
+    Three runs see only what has arrived by then; each redoes two days.
+    """
+    store = _store(t, "late")
+    delay = F.when(F.col("objectid") > 95, 10).when(F.col("objectid") > 90, 1).otherwise(0)
+    for today in (date(2024, 1, 11), date(2024, 1, 21), date(2024, 1, 31)):
+        arrived = F.date_add(rollups.day_of(S), delay) < F.lit(today)
+        seen = LmsTables(
+            t.spark,
+            lambda name, t=t, arrived=arrived: t.log.filter(arrived)
+            if name == "mdl_logstore_standard_log"
+            else t.table(name),
+        )
+        rollups.run_daily(seen, S, store, "tool_activity_day", today, START)
+    return store.read("tool_activity_day").select("fecha", "userid", "courseid", "herramienta", "cantidad")
+
+
+_LATE_LOG = f"""
+    select l.*, {day('l.timecreated')} + cast(case when objectid > 95 then 10 when objectid > 90 then 1 else 0 end as integer) as arrives,
+      {day('l.timecreated')} as fecha from lg l where l.userid > 0 and l.courseid is not null and l.contextlevel = 70"""
+check(
+    "rollup_late_data",
+    _late,
+    f"""select fecha, userid, courseid, herramienta, count(*) as cantidad from (
+          select l.fecha, l.userid, l.courseid,
+            case when m.tool = 'foro' and l.objecttable = 'forum_posts' and l.action = 'created' then 'comentario' else m.tool end as herramienta
+          from ({_LATE_LOG}) l join x_tool m on m.module_id = l.contextinstanceid
+          where l.fecha <= date '2024-01-30' and l.arrives < case when l.fecha < date '2024-01-08' then date '2024-01-11'
+            when l.fecha < date '2024-01-18' then date '2024-01-21' else date '2024-01-31' end) z
+        where herramienta in ({TOOL_LIST}) group by 1, 2, 3, 4""",
+)
+
+
+def _backfill(t: LmsTables):
+    store = _store(t, "backfill")
+    rollups.backfill(t, S, store, "traffic_hour", START, date(2024, 1, 30))
+    return store.read("traffic_hour").select("fecha", "hora", "courseid", "usuarios_unicos")
+
+
+check(
+    "rollup_backfill",
+    _backfill,
+    f"""select {day('timecreated')} as fecha, hour({local('timecreated')}) as hora, courseid, count(distinct userid) as usuarios_unicos
+        from lg where userid > 0 and courseid is not null and action = 'viewed' group by 1, 2, 3""",
+)
+
+
+def _filled(t: LmsTables) -> rollups.Store:
+    store = _store(t, "reports")
+    rollups.backfill(t, S, store, "login_day", START, date(2024, 1, 30))
+    return store
+
+
+check("report_from_rollup", lambda t: rollups.access_from_rollup(_filled(t)), "select * from x_access_any")
+check(
+    "unique_users_from_rollup",
+    lambda t: rollups.unique_users_from_rollup(_filled(t), "2024-01-08", "2024-01-14"),
+    f"""select courseid, count(distinct userid) as usuarios_unicos from lg where userid > 0 and courseid is not null and action = 'viewed'
+          and {day('timecreated')} between date '2024-01-08' and date '2024-01-14' group by 1""",
+)
+
+# -- streams ----------------------------------------------------------------------
+
+
+def _stream_log(spark, sf_dir: str):
+    """The event log as a file stream over the events table."""
+
+    def star(name: str):
+        schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+        return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+    return star_view(spark, "mdl_logstore_standard_log", star)
+
+
+def stream_check(key: str, run, sql: str) -> None:
+    CHECKS[key] = Check(run, compose(sql))
+
+
+# A window is final once it ends at or before the newest event minus two days.
+_FINAL = f"(select max({local('timecreated')}) - interval 2 day from lg where userid > 0 and courseid is not null and action = 'viewed')"
+stream_check(
+    "stream_login_day",
+    lambda spark, sf: streams.run_window_job(streams.login_day(_stream_log(spark, sf), S), "login_day"),
+    f"select * from x_login_day where fecha + interval 1 day <= {_FINAL}",
+)
+stream_check(
+    "stream_traffic_hour",
+    lambda spark, sf: streams.run_window_job(streams.traffic_hour(_stream_log(spark, sf), S), "traffic_hour"),
+    f"""select cast(h as date) as fecha, hour(h) as hora, courseid, count(distinct userid) as usuarios_unicos
+        from (select date_trunc('hour', {local('timecreated')}) as h, courseid, userid from lg
+              where userid > 0 and courseid is not null and action = 'viewed') z
+        where h + interval 1 hour <= {_FINAL} group by h, courseid""",
+)
+
+
+def _stream_replace(spark, sf_dir: str):
+    t = LmsTables.from_star(spark, sf_dir)
+    store = _store(t, "stream")
+    streams.replace_job(
+        _stream_log(spark, sf_dir), t, S, store, ("estimated_time_day",), scratch_path(spark, "checkpoint")
+    )
+    return store.read("estimated_time_day").select("fecha", "userid", "courseid", "herramienta", "segundos")
+
+
+stream_check("stream_estimated_time_day", _stream_replace, _time_sql("lg"))

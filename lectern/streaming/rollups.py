@@ -201,7 +201,7 @@ class Store:
         a heavy day is split over several, and no day folder gets tiny files.
         """
         (
-            rows.hint("rebalance", rows["fecha"])
+            rows.hint("rebalance", F.col("fecha"))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("fecha")

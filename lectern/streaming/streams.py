@@ -50,16 +50,15 @@ def traffic_hour(log: DataFrame, s: Settings) -> DataFrame:
     """
     once = (
         viewed_stream(log, s)
-        .withColumn("event_time", F.window("event_time", "1 hour")["start"])
-        .withWatermark("event_time", WATERMARK)
-        .dropDuplicates(["event_time", "courseid", "userid"])
+        .select(F.window("event_time", "1 hour").alias("hour_window"), "courseid", "userid")
+        .dropDuplicates(["hour_window", "courseid", "userid"])
     )
     return (
-        once.groupBy(F.window("event_time", "1 hour"), "courseid")
+        once.groupBy("hour_window", "courseid")
         .agg(F.count("*").alias("usuarios_unicos"))
         .select(
-            F.to_date("window.start").alias("fecha"),
-            F.hour("window.start").alias("hora"),
+            F.to_date("hour_window.start").alias("fecha"),
+            F.hour("hour_window.start").alias("hora"),
             "courseid",
             "usuarios_unicos",
         )
