@@ -193,7 +193,7 @@ check(
 )
 check(
     "agg_sum_pivot",
-    lambda t: timeontask.pivoted(timeontask.per_tool(t, timeontask.gaps(_dense(t), S))).select(
+    lambda t: timeontask.pivoted(timeontask.per_tool(t, timeontask.per_instance(_dense(t), S))).select(
         *PAIR, "sec_total", "sec_wiki", "sec_quizzes", "sec_forums"
     ),
     "select userid, course_id, sec_total, sec_wiki, sec_quizzes, sec_forums from x_pivot",
@@ -207,7 +207,7 @@ check(
 )
 check(
     "agg_share_pct",
-    lambda t: timeontask.pivoted(timeontask.per_tool(t, timeontask.gaps(_dense(t), S))).select(
+    lambda t: timeontask.pivoted(timeontask.per_tool(t, timeontask.per_instance(_dense(t), S))).select(
         *PAIR,
         ratio_2dp(F.col("sec_quizzes") * 100, F.col("sec_total")).alias("quiz_pct"),
         ratio_2dp(F.col("sec_total"), F.lit(60)).alias("minutes"),
@@ -227,7 +227,7 @@ check(
 )
 check(
     "win_sum_of_sum",
-    lambda t: timeontask.per_tool(t, timeontask.gaps(_dense(t), S)).withColumn(
+    lambda t: timeontask.per_tool(t, timeontask.per_instance(_dense(t), S)).withColumn(
         "pair_total", F.sum("seconds").over(Window.partitionBy(*PAIR))
     ),
     """select userid, course_id, tool, cast(sum(seconds) as bigint) as seconds,

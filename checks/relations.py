@@ -304,12 +304,12 @@ check(
 check("rel_capped_gap", lambda t: timeontask.gaps(_dense(t), S), "select * from x_seconds")
 check(
     "rel_gap_tool",
-    lambda t: timeontask.per_tool(t, timeontask.gaps(_dense(t), S)),
+    lambda t: timeontask.per_tool(t, timeontask.per_instance(_dense(t), S)),
     "select userid, course_id, tool, cast(sum(seconds) as bigint) as seconds from x_spent group by 1, 2, 3",
 )
 check(
     "rel_gap_tool_strict",
-    lambda t: timeontask.per_tool(t, timeontask.gaps(_dense(t), S), strict_context=True),
+    lambda t: timeontask.per_tool(t, timeontask.per_instance(_dense(t), S, strict_context=True)),
     """select userid, course_id, tool, cast(sum(seconds) as bigint) as seconds from (
          select s.userid, s.course_id, s.seconds, case when m.module_name is null then 'curso' when m.module_name = 'forum' then
              case m.forum_type when 'blog' then 'blog' when 'news' then 'anuncio' else 'foro' end
@@ -318,7 +318,7 @@ check(
 )
 check(
     "rel_time_pivot",
-    lambda t: timeontask.pivoted(timeontask.per_tool(t, timeontask.gaps(_dense(t), S))),
+    lambda t: timeontask.pivoted(timeontask.per_tool(t, timeontask.per_instance(_dense(t), S))),
     "select * from x_pivot",
 )
 check("rel_session_stats", online.stats, "select * from x_stats")

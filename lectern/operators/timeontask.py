@@ -49,37 +49,82 @@ def capped_gap(now: Column, following: Column) -> Column:
     return F.when(following.isNull(), F.lit(0)).otherwise(F.least(F.lit(MAX_GAP), F.greatest(F.lit(0), gap)))
 
 
-def gaps(t: LmsTables, s: Settings, since: str | None = None, until: str | None = None, only=None) -> DataFrame:
-    """Events with their capped gap; ``only`` restricts to given user-course pairs."""
-    rows = events(t, s, since, until)
-    if only is not None:
-        rows = rows.join(only.select(*PAIR), PAIR, "left_semi")
-    return next_event(rows, PAIR, s.gap_slice_seconds).withColumn(
+def gaps(t: LmsTables, s: Settings, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Events with the time of the next event and the capped gap."""
+    return next_event(events(t, s, since, until), PAIR, s.gap_slice_seconds).withColumn(
         "seconds", capped_gap(F.col("timecreated"), F.col("next_time"))
     )
 
 
-def per_instance(with_gaps: DataFrame, strict_context: bool = False) -> DataFrame:
-    """Seconds per user, course and context instance.
+def instance_of(strict_context: bool = False) -> Column:
+    """Context instance that an event's time is booked on.
 
     A course-level event carries the course id as its instance, which can
     equal a module id; ``strict_context`` counts such events as course time.
     """
     instance = F.col("contextinstanceid")
-    if strict_context:
-        instance = F.when(F.col("contextlevel") == people.MODULE, instance)
-    return with_gaps.groupBy(*PAIR, instance.alias("module_id")).agg(F.sum("seconds").alias("seconds"))
+    return F.when(F.col("contextlevel") == people.MODULE, instance) if strict_context else instance
+
+
+def instance_seconds(rows: DataFrame, keys: list[str], slice_seconds: int, instance: Column) -> DataFrame:
+    """Capped gap seconds per key and context instance (``module_id``).
+
+    Same slicing as ``next_event``, but summed early: inside a slice the gaps
+    are added up per instance, and only these sums travel to the second
+    window, which adds the gap from a slice's last event to the next slice.
+    """
+    cut = rows.select(
+        *keys,
+        "id",
+        "timecreated",
+        instance.alias("module_id"),
+        F.call_function("div", F.col("timecreated"), F.lit(slice_seconds)).alias("slice"),
+    )
+    within = Window.partitionBy(*keys, "slice").orderBy("timecreated", "id")
+    following = F.col("following")
+    summed = (
+        cut.withColumn("following", F.lead("timecreated").over(within))
+        .groupBy(*keys, "slice", "module_id")
+        .agg(
+            F.sum(capped_gap(F.col("timecreated"), following)).alias("seconds"),
+            F.min("timecreated").alias("first_time"),
+            F.max(F.when(following.isNull(), F.col("timecreated"))).alias("slice_last"),
+        )
+    )
+    # Earliest time in any later slice of the key: a running minimum, newest first.
+    later = Window.partitionBy(*keys).orderBy(F.col("slice").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    tail = F.when(F.col("slice_last").isNotNull(), capped_gap(F.col("slice_last"), F.col("next_first")))
+    return (
+        summed.withColumn("next_first", F.min("first_time").over(later))
+        .withColumn("seconds", F.col("seconds") + F.coalesce(tail, F.lit(0)))
+        .groupBy(*keys, "module_id")
+        .agg(F.sum("seconds").alias("seconds"))
+    )
+
+
+def per_instance(
+    t: LmsTables,
+    s: Settings,
+    since: str | None = None,
+    until: str | None = None,
+    only: DataFrame | None = None,
+    strict_context: bool = False,
+) -> DataFrame:
+    """Seconds per user, course and context instance."""
+    rows = events(t, s, since, until)
+    if only is not None:
+        rows = rows.join(only.select(*PAIR), PAIR, "left_semi")
+    return instance_seconds(rows, PAIR, s.gap_slice_seconds, instance_of(strict_context))
 
 
 def module_kinds(t: LmsTables) -> DataFrame:
     return tools.modules(t, deleting="all").select("module_id", "module_name", "forum_type")
 
 
-def per_tool(t: LmsTables, with_gaps: DataFrame, strict_context: bool = False) -> DataFrame:
+def per_tool(t: LmsTables, instances: DataFrame) -> DataFrame:
     """Seconds per user, course and tool; sums first, module lookup after."""
     return (
-        per_instance(with_gaps, strict_context)
-        .join(module_kinds(t), "module_id", "left")
+        instances.join(module_kinds(t), "module_id", "left")
         .withColumn("tool", L.time_tool_class(F.col("module_name"), F.col("forum_type")))
         .groupBy(*PAIR, "tool")
         .agg(F.sum("seconds").alias("seconds"))

@@ -1,9 +1,10 @@
 """Activity tools: who took part in what, per user and course.
 
-Every relation has the columns (userid, course_id, total). Activity rows are
-first counted per activity and user (a map-side combine), and only these
-counts are joined to the activity's course; a forum discussion holding a third
-of all posts is thus reduced before it is shuffled.
+Every relation has the columns (userid, course_id, total). Activity rows look
+up the course of their activity and are counted per user and course, with a
+map-side combine before the one shuffle. The activity tables are dimensions
+that Spark broadcasts while they are under its size threshold; beyond it the
+lookup is a shuffled join whose hot activities are split by skew handling.
 """
 
 from __future__ import annotations
@@ -48,8 +49,12 @@ def _total(df: DataFrame) -> DataFrame:
 
 def _counted(rows: DataFrame, key: str, activities: DataFrame) -> DataFrame:
     """Row counts per user and course of the activity they belong to."""
-    per_activity = rows.groupBy(key, "userid").agg(F.count("*").alias("n"))
-    return _total(per_activity.join(_courses_of(activities, key), key))
+    return (
+        rows.select(key, "userid")
+        .join(_courses_of(activities, key), key)
+        .groupBy(*PAIR)
+        .agg(F.count("*").alias("total"))
+    )
 
 
 def _distinct_activities(rows: DataFrame, key: str, activities: DataFrame) -> DataFrame:
@@ -60,19 +65,18 @@ def _distinct_activities(rows: DataFrame, key: str, activities: DataFrame) -> Da
 
 def forum_counts(t: LmsTables, p: Period) -> DataFrame:
     """Posts and replies per user, course and forum type, from one pass."""
-    posts = p.only(t.forum_posts, F.col("created"))
-    per_discussion = posts.groupBy("discussion", "userid").agg(
-        F.count("*").alias("posts"),
-        F.count_if(F.col("parent") > 0).alias("replies"),
-        F.count_if(F.col("parent") == 0).alias("openings"),
-    )
+    posts = p.only(t.forum_posts, F.col("created")).select("discussion", "userid", "parent")
     places = t.forum_discussions.select(F.col("id").alias("discussion"), "forum").join(
         t.forum.select(F.col("id").alias("forum"), F.col("course").alias("course_id"), "type"), "forum"
     )
     return (
-        per_discussion.join(places, "discussion")
+        posts.join(places, "discussion")
         .groupBy(*PAIR, "type")
-        .agg(*[F.sum(c).alias(c) for c in ("posts", "replies", "openings")])
+        .agg(
+            F.count("*").alias("posts"),
+            F.count_if(F.col("parent") > 0).alias("replies"),
+            F.count_if(F.col("parent") == 0).alias("openings"),
+        )
     )
 
 

@@ -427,7 +427,7 @@ def tiempo_herramienta(t: LmsTables, s: Settings) -> DataFrame:
     holds one row per module kind, not one per event.
     """
     spent = (
-        timeontask.per_instance(timeontask.gaps(t, s))
+        timeontask.per_instance(t, s)
         .join(timeontask.module_kinds(t), "module_id", "left")
         .groupBy(*PAIR, "module_name")
         .agg(F.sum("seconds").alias("seconds"))

@@ -448,8 +448,10 @@ def tiempo_permanencia(
     p = Q.clean("tiempo_permanencia", params)
     base = time_base(t, p, s)
     narrowed = any(p[name] is not None for name in _NARROWING)
-    gaps = timeontask.gaps(t, s, p["fecha_desde"], p["fecha_hasta"], base if narrowed else None)
-    spent = timeontask.pivoted(timeontask.per_tool(t, gaps, strict_context)).filter(F.col("sec_total") > 0)
+    instances = timeontask.per_instance(
+        t, s, p["fecha_desde"], p["fecha_hasta"], base if narrowed else None, strict_context
+    )
+    spent = timeontask.pivoted(timeontask.per_tool(t, instances)).filter(F.col("sec_total") > 0)
     seen = access.distinct_view_times(t, s, p["fecha_desde"], p["fecha_hasta"])
     df = base.join(spent, PAIR).join(seen, PAIR, "left").na.fill(0, ["accesses"])
     df = _course_dates(df, s, null_is_unset=False, plain_start=True).select(

@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.session import require_utc
+from lectern.session import prepare
 from lectern.sources.schemas import SCHEMAS
 from lectern.sources.star_views import STAR_TABLES, STAR_VIEWS
 
@@ -27,7 +27,7 @@ class LmsTables:
     """Read-only access to the LMS tables by name."""
 
     def __init__(self, spark: SparkSession, loader: Callable[[str], DataFrame], log_table: str = LOG):
-        require_utc(spark)
+        prepare(spark)
         self.spark = spark
         self._loader = loader
         self._log_table = log_table

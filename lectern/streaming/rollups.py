@@ -100,13 +100,7 @@ def estimated_time_day(
     rows = _events(t, s, since, until).select(
         "id", "fecha", "userid", F.col("courseid").alias("course_id"), "contextinstanceid", "timecreated"
     )
-    keyed = ["fecha", *PAIR]
-    spent = (
-        timeontask.next_event(rows, keyed, s.gap_slice_seconds)
-        .withColumn("seconds", timeontask.capped_gap(F.col("timecreated"), F.col("next_time")))
-        .groupBy(*keyed, F.col("contextinstanceid").alias("module_id"))
-        .agg(F.sum("seconds").alias("seconds"))
-    )
+    spent = timeontask.instance_seconds(rows, ["fecha", *PAIR], s.gap_slice_seconds, F.col("contextinstanceid"))
     return (
         spent.join(tools.modules(t, "all").select("module_id", "tool"), "module_id", "left")
         .groupBy(
