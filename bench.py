@@ -1,8 +1,9 @@
 """Time the headline queries; prints one JSON line.
 
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default
-all cores). Each query is run once to warm up and then timed as the best of
-``REPEATS`` runs into the no-op sink, which computes every column of every row.
+all cores). The first run of a query is a warm-up that also stores the LMS tables
+it reads; then the best of ``REPEATS`` runs counts. The no-op sink computes every
+column of every row.
 """
 
 from __future__ import annotations

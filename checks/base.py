@@ -33,7 +33,7 @@ def check(key: str, run: Callable[[LmsTables], DataFrame], sql: str | None) -> N
     if key in CHECKS:
         raise KeyError(f"{key} registered twice")
     CHECKS[key] = Check(
-        lambda spark, sf_dir: run(LmsTables.from_star(spark, sf_dir)),
+        lambda spark, sf_dir: run(LmsTables.staged(spark, sf_dir)),
         None if sql is None else compose(sql),
     )
 

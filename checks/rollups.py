@@ -191,7 +191,7 @@ stream_check(
 
 
 def _stream_replace(spark, sf_dir: str):
-    t = LmsTables.from_star(spark, sf_dir)
+    t = LmsTables.staged(spark, sf_dir)
     store = _store(t, "stream")
     streams.replace_job(
         _stream_log(spark, sf_dir), t, S, store, ("estimated_time_day",), scratch_path(spark, "checkpoint")

@@ -8,17 +8,21 @@ slices, and the star-schema test tables.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
+from functools import cache, cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StructType
 
-from lectern.session import prepare
+from lectern.session import prepare, scratch_path
 from lectern.sources.schemas import SCHEMAS
 from lectern.sources.star_views import STAR_TABLES, STAR_VIEWS
 
 LOG = "mdl_logstore_standard_log"
 
+# Folders of tables staged by this process: (application, source) -> (root, names).
+_STAGED: dict[tuple[str, str], tuple[str, set[str]]] = {}
+
 # Fixed value: rows fetched from the database per round trip.
 FETCH_ROWS = 20_000
 
@@ -54,7 +58,9 @@ class LmsTables:
 
     def with_log(self, log_table: str) -> "LmsTables":
         """The same catalogue reading its event log from another table."""
-        return LmsTables(self.spark, self._loader, log_table)
+        other = LmsTables(self.spark, self._loader, log_table)
+        other._seen = self._seen
+        return other
 
     def register_views(self, *names: str) -> None:
         for name in names or SCHEMAS:
@@ -113,13 +119,44 @@ class LmsTables:
     @classmethod
     def from_star(cls, spark: SparkSession, folder: str, log_table: str = LOG) -> "LmsTables":
         """LMS-shaped views over the star-schema Parquet files in ``folder``."""
-        return cls(
-            spark,
-            lambda name: star_view(
-                spark, name, lambda star: spark.read.parquet(f"{folder}/{star}.parquet")
-            ),
-            log_table,
-        )
+
+        @cache
+        def star(name: str) -> DataFrame:
+            return spark.read.parquet(f"{folder}/{name}.parquet")
+
+        return cls(spark, lambda name: star_view(spark, name, star), log_table)
+
+    @classmethod
+    def staged(cls, spark: SparkSession, folder: str, log_table: str = LOG) -> "LmsTables":
+        """The star-schema tables stored as LMS tables, the way a deployment holds them.
+
+        Each table is written once per session, when first used, into the shared
+        folder: Parquet, with the log partitioned by ``event_date``. Reports then
+        read plain columns, so filters and column pruning reach the scan.
+        """
+        session = (spark.sparkContext.applicationId, folder)
+        if session not in _STAGED:
+            _STAGED[session] = (scratch_path(spark, "lms"), set())
+        root, written = _STAGED[session]
+        source = cls.from_star(spark, folder)
+
+        def load(name: str) -> DataFrame:
+            path = f"{root}/{name}"
+            is_log = "logstore" in name
+            if name not in written:
+                df = source.table(name)
+                if is_log:
+                    by_day = df.withColumn("event_date", F.to_date(F.timestamp_seconds("timecreated")))
+                    by_day.write.partitionBy("event_date").parquet(path)
+                else:
+                    df.write.parquet(path)
+                written.add(name)
+            schema = StructType(list(SCHEMAS[name].fields))
+            if is_log:
+                schema = schema.add("event_date", DateType())
+            return spark.read.schema(schema).parquet(path)
+
+        return cls(spark, load, log_table)
 
 
 def _typed(name: str) -> list:
