@@ -28,36 +28,35 @@ def _filtered(df, **given):
 def _course_fn(key: str, column, sql: str) -> None:
     check(
         key,
-        lambda t: t.course.select("id", column.alias("v")),
+        lambda t: t.course.select("id", column(F.col("fullname"), F.col("shortname")).alias("v")),
         f"select id, {sql} as v from mdl_course",
     )
 
 
-_full, _short = F.col("fullname"), F.col("shortname")
 _course_fn(
-    "fn_program_code", X.program_code(_full), r"nullif(regexp_extract(fullname, '\(([0-9]+)(_PRY_[0-9]+)?\)\s*$', 1), '')"
+    "fn_program_code", lambda full, short: X.program_code(full), r"nullif(regexp_extract(fullname, '\(([0-9]+)(_PRY_[0-9]+)?\)\s*$', 1), '')"
 )
 _course_fn(
-    "fn_program_name", X.program_name(_full), r"trim(regexp_replace(fullname, '\s*\([0-9]+(_PRY_[0-9]+)?\)\s*$', ''))"
+    "fn_program_name", lambda full, short: X.program_name(full), r"trim(regexp_replace(fullname, '\s*\([0-9]+(_PRY_[0-9]+)?\)\s*$', ''))"
 )
-_course_fn("fn_region_code", X.region_code(_short), "nullif(regexp_extract(shortname, '_R_([0-9]+)', 1), '')")
-_course_fn("fn_center_code", X.center_code(_short), "nullif(regexp_extract(shortname, '_C_([0-9]+)', 1), '')")
+_course_fn("fn_region_code", lambda full, short: X.region_code(short), "nullif(regexp_extract(shortname, '_R_([0-9]+)', 1), '')")
+_course_fn("fn_center_code", lambda full, short: X.center_code(short), "nullif(regexp_extract(shortname, '_C_([0-9]+)', 1), '')")
 _course_fn(
     "fn_modality_letter",
-    X.modality_letter(_short),
+    lambda full, short: X.modality_letter(short),
     "nullif(regexp_extract(shortname, '^[0-9]*P_[0-9]+_([A-Za-z]+)_', 1), '')",
 )
 _course_fn(
-    "fn_version", X.version(_short), "nullif(regexp_extract(shortname, '^[0-9]*P_[0-9]+_[A-Za-z]+_([0-9]+)', 1), '')"
+    "fn_version", lambda full, short: X.version(short), "nullif(regexp_extract(shortname, '^[0-9]*P_[0-9]+_[A-Za-z]+_([0-9]+)', 1), '')"
 )
 _course_fn(
     "fn_program_code_short",
-    X.short_program_code(_short),
+    lambda full, short: X.short_program_code(short),
     "nullif(regexp_extract(shortname, '^P_([0-9]+)_', 1), '')",
 )
 _course_fn(
     "fn_regex_test",
-    _short.rlike(X.INTEGRATED_STRICT),
+    lambda full, short: short.rlike(X.INTEGRATED_STRICT),
     "regexp_matches(shortname, '^P_[0-9]+_.*_R_[0-9]+_C_[0-9]+')",
 )
 check(
@@ -112,41 +111,38 @@ check(
 
 # -- time functions ---------------------------------------------------------------
 
-_t = F.col("timecreated")
-
-
 def _log_fn(key: str, columns: dict, sql: str) -> None:
     check(
         key,
-        lambda t: t.log.select("id", *[c.alias(n) for n, c in columns.items()]),
+        lambda t: t.log.select("id", *[make(F.col("timecreated")).alias(n) for n, make in columns.items()]),
         f"select id, {sql} from lg",
     )
 
 
 _log_fn(
     "fn_epoch_to_ts",
-    {"v": F.timestamp_seconds(_t).cast("string")},
+    {"v": lambda at: F.timestamp_seconds(at).cast("string")},
     "cast(make_timestamp(timecreated * 1000000) as varchar) as v",
 )
 _log_fn(
     "fn_ts_to_epoch",
-    {"v": F.unix_timestamp(F.date_trunc("hour", F.timestamp_seconds(_t)))},
+    {"v": lambda at: F.unix_timestamp(F.date_trunc("hour", F.timestamp_seconds(at)))},
     "timecreated - timecreated % 3600 as v",
 )
 _log_fn(
     "fn_tz_shift",
-    {"here": M.local_ts(_t, TZ).cast("string"), "back": F.unix_timestamp(F.to_utc_timestamp(M.local_ts(_t, TZ), TZ))},
+    {"here": lambda at: M.local_ts(at, TZ).cast("string"), "back": lambda at: F.unix_timestamp(F.to_utc_timestamp(M.local_ts(at, TZ), TZ))},
     f"cast({local('timecreated')} as varchar) as here, timecreated as back",
 )
 _log_fn(
     "fn_date_format",
     {
-        "full_text": M.stamp(_t, TZ),
-        "day_text": M.stamp(_t, TZ, "yyyy/MM/dd"),
-        "month_text": M.stamp(_t, TZ, "yyyy/MM"),
-        "year_text": M.stamp(_t, TZ, "yyyy"),
-        "hour_text": M.stamp(_t, TZ, "HH"),
-        "band_text": M.stamp(_t, TZ, "HH:00:00"),
+        "full_text": lambda at: M.stamp(at, TZ),
+        "day_text": lambda at: M.stamp(at, TZ, "yyyy/MM/dd"),
+        "month_text": lambda at: M.stamp(at, TZ, "yyyy/MM"),
+        "year_text": lambda at: M.stamp(at, TZ, "yyyy"),
+        "hour_text": lambda at: M.stamp(at, TZ, "HH"),
+        "band_text": lambda at: M.stamp(at, TZ, "HH:00:00"),
     },
     ", ".join(
         f"strftime({local('timecreated')}, '{fmt}') as {name}"
@@ -159,22 +155,22 @@ _log_fn(
 _log_fn(
     "fn_date_parts",
     {
-        "y": F.year(M.local_ts(_t, TZ)),
-        "m": F.month(M.local_ts(_t, TZ)),
-        "d": F.dayofmonth(M.local_ts(_t, TZ)),
-        "w": F.weekofyear(M.local_ts(_t, TZ)),
+        "y": lambda at: F.year(M.local_ts(at, TZ)),
+        "m": lambda at: F.month(M.local_ts(at, TZ)),
+        "d": lambda at: F.dayofmonth(M.local_ts(at, TZ)),
+        "w": lambda at: F.weekofyear(M.local_ts(at, TZ)),
     },
     f"year({local('timecreated')}) as y, month({local('timecreated')}) as m, day({local('timecreated')}) as d,"
     f" weekofyear({local('timecreated')}) as w",
 )
 _log_fn(
     "fn_date_trunc",
-    {"m": F.trunc(M.local_date(_t, TZ), "month"), "y": F.trunc(M.local_date(_t, TZ), "year")},
+    {"m": lambda at: F.trunc(M.local_date(at, TZ), "month"), "y": lambda at: F.trunc(M.local_date(at, TZ), "year")},
     f"cast(date_trunc('month', {day('timecreated')}) as date) as m, cast(date_trunc('year', {day('timecreated')}) as date) as y",
 )
 _log_fn(
     "fn_date_add",
-    {"v": M.local_date(_t, TZ), "next_day": F.date_add(M.local_date(_t, TZ), 1)},
+    {"v": lambda at: M.local_date(at, TZ), "next_day": lambda at: F.date_add(M.local_date(at, TZ), 1)},
     f"{day('timecreated')} as v, {day('timecreated')} + 1 as next_day",
 )
 check(
@@ -335,7 +331,7 @@ check(
 )
 check(
     "flt_month_year_week",
-    lambda t: _filtered(t.log.select("id", M.local_ts(_t, TZ).alias("at")), mes="1", semana="3", anio="2024")
+    lambda t: _filtered(t.log.select("id", M.local_ts(F.col("timecreated"), TZ).alias("at")), mes="1", semana="3", anio="2024")
     .number("mes", F.month("at"))
     .number("semana", F.weekofyear("at"))
     .number("anio", F.year("at"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as X
 from lectern.functions.times import at_hour, epoch_range, in_epoch_range, local_date, local_ts
 from lectern.operators import courses, enrolments, people
+from lectern.operators.skew import join_spread
 from lectern.settings import Settings
 from lectern.sources import LmsTables
 
@@ -127,7 +128,7 @@ def valid_access(
     """Views by live users while validly enrolled, with course origin and day.
 
     Users, enrolments and course origin are folded into the span relation
-    first, so the log is shuffled once, by user and course.
+    first, so the log is shuffled once, by user and course, with hot pairs spread.
     """
     homes = courses.origins(t)
     if origin is not None:
@@ -141,7 +142,7 @@ def valid_access(
         .select("userid", F.col("courseid").alias("course_id"), "timecreated")
     )
     return (
-        views.join(spans, PAIR)
+        join_spread(views, spans, F.col("timecreated"))
         .filter(F.col("timecreated").between(F.col("span_start"), F.col("span_end")))
         .select("origin", local_date(F.col("timecreated"), s.report_tz).alias("day"), *PAIR, "timecreated")
     )

@@ -26,8 +26,8 @@ def with_row_index(df: DataFrame, order: list[Column]) -> DataFrame:
     position there; the sizes of the partitions before give the offset. The
     sorted rows are checkpointed, because sizes and rows must come from the
     same cut even if an executor is lost in between. Only the table of
-    partition sizes (one row per partition) passes through a single task, and
-    it is broadcast under Spark's own size limit.
+    partition sizes passes through a single task and is broadcast: it has one
+    row per sort partition, however many rows the report has.
     """
     mark = F.monotonically_increasing_id()
     placed = cut_lineage(df.orderBy(*order).withColumn("_mark", mark))
@@ -43,7 +43,7 @@ def with_row_index(df: DataFrame, order: list[Column]) -> DataFrame:
         .select("_partition", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
     )
     return (
-        placed.join(offsets, "_partition")
+        placed.join(F.broadcast(offsets), "_partition")
         .withColumn("idx", F.col("_offset") + F.col("_position"))
         .drop("_mark", "_partition", "_position", "_offset")
     )

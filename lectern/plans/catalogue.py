@@ -18,6 +18,7 @@ from lectern.functions import text as X
 from lectern.functions.filters import ilike_any
 from lectern.functions.times import local_date, local_ts, ratio_2dp, stamp, stamp_or
 from lectern.operators import access, courses, enrolments, people, timeontask, tools
+from lectern.operators.skew import join_spread
 from lectern.plans import catalogue_columns as C
 from lectern.plans.columns import printed
 from lectern.plans.reports import down, up
@@ -143,12 +144,11 @@ def dashboard_totals(t: LmsTables) -> DataFrame:
 
 def registro_usuarios(t: LmsTables, s: Settings) -> DataFrame:
     """One row per enrolment, with access counts of the user in the course."""
-    seen = access.course_access(t, s, target=None)
+    # One entry per pair first; the many enrolment rows are joined to it once.
+    known = access.course_access(t, s, target=None).join(_role_text(t), PAIR, "full")
+    rows = enrolments.rows(t).select(F.col("id").alias("enrolment_id"), *PAIR)
     df = (
-        enrolments.rows(t)
-        .select(F.col("id").alias("enrolment_id"), *PAIR)
-        .join(seen, PAIR, "left")
-        .join(_role_text(t), PAIR, "left")
+        join_spread(rows, known, F.col("enrolment_id"), "left")
         .join(_home(t, s), "course_id")
         .join(_persons(t), "userid")
         .join(people.profile_documents(t), "userid", "left")
@@ -216,7 +216,7 @@ def matriculas(t: LmsTables, s: Settings) -> DataFrame:
         stamp(F.col("timemodified"), s.report_tz).alias("changed_text"),
     )
     df = (
-        rows.join(_role_text(t), PAIR, "left")
+        join_spread(rows, _role_text(t), F.col("enrolment_id"), "left")
         .join(_home(t, s), "course_id")
         .join(_persons(t), "userid")
         .withColumn("role_text", _role_or_none())

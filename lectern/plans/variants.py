@@ -12,6 +12,7 @@ from lectern.functions import params as Q
 from lectern.functions import text as X
 from lectern.functions.times import epoch_range, local_date, local_ts, overlaps, stamp, stamp_or
 from lectern.operators import access, courses, enrolments, people, tools
+from lectern.operators.skew import join_spread
 from lectern.plans import columns as C
 from lectern.plans import reports as R
 from lectern.plans.reports import Params, down, up
@@ -125,7 +126,9 @@ def matriculas_activas(t: LmsTables, params: Params = None, s: Settings = Settin
         stamp_or(F.col("timeend"), s.report_tz, L.UNSET_DATE).alias("left_text"),
     )
     active = t.user.filter((F.col("deleted") == 0) & (F.col("suspended") == 0)).select(F.col("id").alias("userid"))
-    df = R._optional(R._with_roles(rows, t), p, s).contains("rol_usuario", F.col("role_shortnames")).df
+    rows = join_spread(rows, people.roles_by_user_course(t), F.col("enrolment_id"), "left")
+    rows = rows.withColumn("role_text", F.coalesce("role_names", F.lit("Sin rol asignado")))
+    df = R._optional(rows, p, s).contains("rol_usuario", F.col("role_shortnames")).df
     df = (
         df.join(home, "course_id")
         .join(R._people(t, X.DOCUMENT_KINDS_WITH_TI).join(active, "userid", "left_semi"), "userid")
@@ -152,8 +155,12 @@ def registro_por_matricula(t: LmsTables, params: Params = None, s: Settings = Se
     )
     rows = R._optional(rows, p, s).equals("estado_aprendiz", F.col("enrolment_state")).df
     seen = access.course_access(t, s, hour=p["hora"], target=None)
-    df = rows.join(seen, PAIR, "inner" if p["hora"] is not None else "left")
-    df = R._optional(R._with_roles(df, t), p, s).contains("rol_usuario", F.col("role_shortnames")).df
+    # One entry per pair with access counts and roles; without an hour filter
+    # pairs that have roles but no access are kept too.
+    known = seen.join(people.roles_by_user_course(t), PAIR, "left" if p["hora"] is not None else "full")
+    df = join_spread(rows, known, F.col("enrolment_id"), "inner" if p["hora"] is not None else "left")
+    df = df.withColumn("role_text", F.coalesce("role_names", F.lit("Sin rol asignado")))
+    df = R._optional(df, p, s).contains("rol_usuario", F.col("role_shortnames")).df
     persons = (
         R._optional(R._people(t, X.DOCUMENT_KINDS).filter(F.col("deleted") == 0), p, s)
         .contains("identificacion", F.col("username"))
