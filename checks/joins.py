@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from checks.base import NOW, S, check, day, ratio, valid
 from lectern.functions import labels as L
 from lectern.functions.times import local_date, ratio_2dp
-from lectern.operators import access, courses, enrolments, online, people, timeontask, tools
+from lectern.operators import access, courses, enrolments, export, online, people, timeontask, tools
 from lectern.plans import reports as R
 from lectern.sources import LmsTables
 
@@ -243,15 +243,21 @@ check(
 
 # -- sorts and sets ---------------------------------------------------------------
 
+# The position in the sorted output is part of the rows, so the order is checked.
 check(
     "sort_mixed",
-    lambda t: t.course.orderBy(R.down("startdate"), R.up("fullname"), "id").select("id", "fullname", "startdate").limit(200),
-    "select id, fullname, startdate from mdl_course order by startdate desc nulls first, fullname asc nulls last, id limit 200",
+    lambda t: export.with_row_index(
+        t.course.select("id", "fullname", "startdate"), [R.down("startdate"), R.up("fullname"), F.col("id").asc()]
+    ),
+    """select id, fullname, startdate, row_number() over (order by startdate desc nulls first, fullname asc nulls last, id) - 1 as idx
+       from mdl_course""",
 )
 check(
     "sort_hidden",
-    lambda t: t.user.orderBy(R.up("firstname"), R.up("lastname"), "id").select("id", "username").limit(200),
-    "select id, username from mdl_user order by firstname nulls last, lastname nulls last, id limit 200",
+    lambda t: export.with_row_index(
+        t.user.select("id", "username", "firstname", "lastname"), [R.up("firstname"), R.up("lastname"), F.col("id").asc()]
+    ).select("id", "username", "idx"),
+    """select id, username, row_number() over (order by firstname nulls last, lastname nulls last, id) - 1 as idx from mdl_user""",
 )
 check(
     "set_union_all",

@@ -150,8 +150,7 @@ def registro_usuarios(t: LmsTables, s: Settings) -> DataFrame:
     df = (
         join_spread(rows, known, F.col("enrolment_id"), "left")
         .join(_home(t, s), "course_id")
-        .join(_persons(t), "userid")
-        .join(people.profile_documents(t), "userid", "left")
+        .join(_persons(t).join(people.profile_documents(t), "userid", "left"), "userid")
     )
     df = df.select(
         "*",
@@ -318,8 +317,12 @@ def uso_herramientas(t: LmsTables, s: Settings) -> DataFrame:
     )
     keys = [*HEAD, "module_name", "education_level", "seed_modality", "region_code", "center_code"]
     keys += ["short_code", "seed_code", "prog_name"]
+    # Used modules, plus every module once without use: the same rows as an
+    # outer join, but a module with most of the users can still be split.
+    nothing = [F.lit(None).cast("bigint").alias(c) for c in ("userid", "n", "first", "last")]
     df = (
-        cm.join(uses, ["course_id", "module_id"], "left")
+        cm.join(uses, ["course_id", "module_id"])
+        .unionByName(cm.select("*", *nothing))
         .join(_home(t, s), "course_id")
         .groupBy(*keys)
         .agg(
@@ -496,9 +499,11 @@ def sesiones_bbb(t: LmsTables, s: Settings) -> DataFrame:
         "closingtime",
     )
     homes = courses.real_courses(t).select(F.col("id").alias("course_id"), "idnumber", "fullname")
+    held = held.join(homes, "course_id")
+    nothing = [F.lit(None).cast("bigint").alias(c) for c in ("userid", "n")]
     df = (
-        held.join(homes, "course_id")
-        .join(per_user, "session_id", "left")
+        held.join(per_user, "session_id")
+        .unionByName(held.select("*", *nothing))
         .groupBy("idnumber", "fullname", "session_name", "openingtime", "closingtime")
         .agg(F.count_distinct("userid").alias("users"), F.coalesce(F.sum("n"), F.lit(0)).alias("events"))
     )

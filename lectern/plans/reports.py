@@ -20,6 +20,7 @@ from lectern.functions import text as X
 from lectern.functions.filters import Optional
 from lectern.functions.times import ratio_2dp, stamp, stamp_or
 from lectern.operators import access, courses, enrolments, online, people, timeontask, tools
+from lectern.operators.skew import join_spread
 from lectern.plans import columns as C
 from lectern.settings import Settings
 from lectern.sources import LmsTables
@@ -77,6 +78,7 @@ def _people(t: LmsTables, kinds: tuple[str, ...], base: Column | None = None) ->
         F.col("id").alias("userid"),
         "username",
         "deleted",
+        "suspended",
         "lastaccess",
         "email",
         shown.alias("identity"),
@@ -128,9 +130,9 @@ def registro_usuarios(t: LmsTables, params: Params = None, s: Settings = Setting
 def login_totals(t: LmsTables, p: dict, s: Settings, keys: list[str]) -> DataFrame:
     """Logins and users by role text and the given keys.
 
-    Events are counted per user and address before users and roles are joined;
-    a user has one role text and one place, so at that grain counting rows per
-    final group is counting users once the user's addresses are told apart.
+    Events are counted per user and address before users and roles are joined.
+    A user has one role text and one place, so counting these rows per final
+    group is counting users.
     """
     rows = (
         _optional(access.login_rows(t, s, p["fecha_desde"], p["fecha_hasta"]), p, s)
@@ -148,9 +150,9 @@ def login_totals(t: LmsTables, p: dict, s: Settings, keys: list[str]) -> DataFra
         .df
     )
     roles = people.roles_by_user(t).select("userid", "role_names")
+    known = places.join(roles, "userid", "left")
     return (
-        per_user.join(places, "userid")
-        .join(roles, "userid", "left")
+        join_spread(per_user, known, F.hash("userid", *own), keys=["userid"])
         .withColumn("role_text", F.coalesce("role_names", F.lit("Sin rol")))
         .groupBy("role_text", *keys)
         .agg(F.sum("n").alias("logins"), F.count("*").alias("users"))

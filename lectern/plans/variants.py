@@ -125,14 +125,11 @@ def matriculas_activas(t: LmsTables, params: Params = None, s: Settings = Settin
         stamp(F.col("timecreated"), s.report_tz).alias("enrolled_text"),
         stamp_or(F.col("timeend"), s.report_tz, L.UNSET_DATE).alias("left_text"),
     )
-    active = t.user.filter((F.col("deleted") == 0) & (F.col("suspended") == 0)).select(F.col("id").alias("userid"))
+    active = R._people(t, X.DOCUMENT_KINDS_WITH_TI).filter((F.col("deleted") == 0) & (F.col("suspended") == 0))
     rows = join_spread(rows, people.roles_by_user_course(t), F.col("enrolment_id"), "left")
     rows = rows.withColumn("role_text", F.coalesce("role_names", F.lit("Sin rol asignado")))
     df = R._optional(rows, p, s).contains("rol_usuario", F.col("role_shortnames")).df
-    df = (
-        df.join(home, "course_id")
-        .join(R._people(t, X.DOCUMENT_KINDS_WITH_TI).join(active, "userid", "left_semi"), "userid")
-    )
+    df = df.join(home, "course_id").join(active, "userid")
     df = R._course_dates(df, s, null_is_unset=False, plain_start=True)
     return C.printed(
         df.orderBy(up("fullname"), up("role_text"), up("person"), "enrolment_id"), MATRICULAS_ACTIVAS

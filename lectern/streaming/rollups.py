@@ -191,6 +191,9 @@ class Store:
     def replace_days(self, name: str, rows: DataFrame) -> None:
         """Replace exactly the days present in ``rows``.
 
+        A day that has lost all its events keeps its old rows; the log only
+        drops days far older than the ones a run redoes.
+
         Rows are rebalanced by day before the write: small days share a task,
         a heavy day is split over several, and no day folder gets tiny files.
         """
@@ -247,6 +250,15 @@ def months(since: date, until: date) -> Iterator[tuple[date, date]]:
         start = after
 
 
+def day_ranges(days: list[date]) -> Iterator[tuple[date, date]]:
+    """Runs of consecutive days in a sorted list of days."""
+    start = 0
+    for i, day in enumerate(days):
+        if i + 1 == len(days) or days[i + 1] - day > timedelta(days=1):
+            yield days[start], day
+            start = i + 1
+
+
 def backfill(t: LmsTables, s: Settings, store: Store, job: str, since: date, until: date) -> None:
     """Load history month by month; each month is one distributed job."""
     for first, last in months(since, until):

@@ -88,12 +88,11 @@ def replace_job(
     """Rebuild, per micro-batch, the days whose events arrived."""
 
     def rebuild(batch: DataFrame, _epoch: int) -> None:
-        # Only the bounds of the touched days reach the driver.
-        first, last = batch.agg(F.min("fecha"), F.max("fecha")).first()
-        if first is None:
-            return
-        for job in jobs:
-            rollups.run_range(tables, s, store, job, first, last)
+        # Only the list of touched days reaches the driver.
+        days = [row.fecha for row in batch.distinct().orderBy("fecha").collect()]
+        for first, last in rollups.day_ranges(days):
+            for job in jobs:
+                rollups.run_range(tables, s, store, job, first, last)
 
     query = (
         log.select(rollups.day_of(s).alias("fecha"))

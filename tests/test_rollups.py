@@ -26,6 +26,13 @@ def test_months_cover_the_range():
     ]
 
 
+def test_day_ranges_group_consecutive_days():
+    days = [date(2024, 1, d) for d in (1, 2, 3, 7, 9, 10)]
+    got = [(a.day, b.day) for a, b in rollups.day_ranges(days)]
+    assert got == [(1, 3), (7, 7), (9, 10)]
+    assert list(rollups.day_ranges([])) == []
+
+
 def test_days_split_at_local_midnight(spark, settings):
     t = tables(spark, mdl_logstore_standard_log=[event(1, 5, 2, MIDNIGHT - 1), event(2, 5, 2, MIDNIGHT)])
     days = sorted(str(r.fecha) for r in rollups.login_day(t, settings).collect())
