@@ -118,7 +118,7 @@ check(
 check(
     "export_format_choice",
     lambda t: export.format_choice(_rows(t), "xlsx", 1000).unionByName(export.format_choice(_rows(t), "xlsx", 10**9)),
-    f"""select count(*) as filas, 'xlsx' as pedido, 'csv' as formato from ({_ROWS}) z having count(*) >= 1000
+    f"""select count(*) as filas, 'xlsx' as pedido, case when count(*) >= 1000 then 'csv' else 'xlsx' end as formato from ({_ROWS}) z
         union all select count(*), 'xlsx', case when count(*) >= 1000000000 then 'csv' else 'xlsx' end from ({_ROWS}) z""",
 )
 check(
