@@ -20,9 +20,10 @@ MAX_FILES_PER_USER = 100
 _POSITION_BITS = 33  # monotonically_increasing_id keeps the row position in the low 33 bits
 
 
-def with_row_index(df: DataFrame, order: list[Column]) -> DataFrame:
+def with_row_index(df: DataFrame, order: list[Column] | None = None) -> DataFrame:
     """Add ``idx``, the 0-based position in report order, without a global window.
 
+    Without ``order`` the frame must end in its own sort, as every report does.
     The frame is range-sorted in parallel. Each row notes its partition and its
     position there; the sizes of the partitions before give the offset. The
     sorted rows are checkpointed, because sizes and rows must come from the
@@ -31,7 +32,8 @@ def with_row_index(df: DataFrame, order: list[Column]) -> DataFrame:
     row per sort partition, however many rows the report has.
     """
     mark = F.monotonically_increasing_id()
-    placed = cut_lineage(df.orderBy(*order).withColumn("_mark", mark))
+    ordered = df if order is None else df.orderBy(*order)
+    placed = cut_lineage(ordered.withColumn("_mark", mark))
     placed = placed.select(
         "*",
         F.shiftright("_mark", _POSITION_BITS).alias("_partition"),
@@ -58,7 +60,7 @@ def with_part(indexed: DataFrame, rows_per_file: int) -> DataFrame:
     return indexed.withColumn("parte", part.cast("int"))
 
 
-def assign_parts(df: DataFrame, order: list[Column], rows_per_file: int = CSV_ROWS_PER_FILE) -> DataFrame:
+def assign_parts(df: DataFrame, order: list[Column] | None = None, rows_per_file: int = CSV_ROWS_PER_FILE) -> DataFrame:
     return with_part(with_row_index(df, order), rows_per_file)
 
 
@@ -105,13 +107,14 @@ def meta_rows(spark, title: str, made_at: datetime, filters: list[tuple[str, obj
 
 def write_csv_parts(
     df: DataFrame,
-    order: list[Column],
+    order: list[Column] | None,
     path: str,
     report: str,
     rows_per_file: int = CSV_ROWS_PER_FILE,
     filters: dict | None = None,
     title: str | None = None,
     made_at: datetime | None = None,
+    heading: list[tuple[str, object]] | None = None,
 ) -> DataFrame:
     """Write ordered CSV parts, the heading and the manifest; return rows per part.
 
@@ -121,7 +124,7 @@ def write_csv_parts(
     made_at = made_at or datetime.now()
     filters = filters or {}
     spark = df.sparkSession
-    parts = cut_lineage(file_values(assign_parts(df, order, rows_per_file)))
+    parts = file_values(assign_parts(df, order, rows_per_file))
     counts = part_counts(parts)
     body = parts.repartition("parte").sortWithinPartitions("parte", "idx").drop("idx")
     options = {
@@ -145,9 +148,8 @@ def write_csv_parts(
             .partitionBy("parte")
             .csv(f"{path}/data")
         )
-    meta_rows(spark, title or report, made_at, sorted(filters.items())).coalesce(1).write.mode(
-        "overwrite"
-    ).json(f"{path}/heading")
+    shown = sorted(filters.items()) if heading is None else heading
+    meta_rows(spark, title or report, made_at, shown).coalesce(1).write.mode("overwrite").json(f"{path}/heading")
     manifest(counts, report, "csv", filters, made_at).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
     return counts.withColumn("archivo", part_name(report, F.col("parte")))
 

@@ -49,17 +49,15 @@ def course_assignments(t: LmsTables) -> DataFrame:
 def _joined(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Sorted, comma-joined distinct role names per key.
 
-    Repeated assignments vanish in the map-side half of the first aggregation,
-    so a group holds at most as many entries as there are roles.
+    The sets are built map-side first, and a set holds at most as many entries
+    as there are roles, however many assignments a key has.
     """
 
     def listing(column: str) -> Column:
         return F.array_join(F.sort_array(F.collect_set(column)), ", ")
 
     return (
-        pairs.select(*keys, "role_name", "shortname")
-        .distinct()
-        .groupBy(*keys)
+        pairs.groupBy(*keys)
         .agg(listing("role_name").alias("role_names"), listing("shortname").alias("role_shortnames"))
     )
 

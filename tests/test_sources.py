@@ -48,3 +48,51 @@ def test_views_can_be_registered(spark):
     t = tables(spark, mdl_role=[{"id": 5, "shortname": "student", "name": "Aprendiz"}])
     t.register_views("mdl_role")
     assert spark.sql("select name from mdl_role").first()[0] == "Aprendiz"
+
+
+class _FakeReader:
+    """Records the options a JDBC read is asked for; no database is opened."""
+
+    def __init__(self, spark, seen):
+        self.spark, self.seen, self.given = spark, seen, {}
+
+    def format(self, name):
+        assert name == "jdbc"
+        return self
+
+    def options(self, **given):
+        self.given.update(given)
+        return self
+
+    def load(self):
+        from lectern.sources.schemas import SCHEMAS
+
+        self.seen.append(self.given)
+        return self.spark.createDataFrame([], SCHEMAS[self.given["dbtable"].split(".")[-1]])
+
+
+class _FakeSession:
+    def __init__(self, spark, seen):
+        self.conf, self._spark, self._seen = spark.conf, spark, seen
+
+    @property
+    def read(self):
+        return _FakeReader(self._spark, self._seen)
+
+
+def test_jdbc_reads_big_tables_in_slices(spark):
+    seen = []
+    t = LmsTables.from_jdbc(
+        _FakeSession(spark, seen),
+        "jdbc:postgresql://replica/lms",
+        {"user": "reader", "driver": "org.postgresql.Driver"},
+        slices={"mdl_logstore_standard_log": ("id", 0, 10**9, 200)},
+        schema_of={"regionales": "midb"},
+    )
+    assert t.log.columns[0] == "id" and t.regionales.columns == ["rgn_id", "nombre"]
+    log, regions = seen
+    assert log["fetchsize"] == "20000" and log["user"] == "reader"
+    assert (log["partitionColumn"], log["lowerBound"], log["upperBound"], log["numPartitions"]) == (
+        "id", "0", "1000000000", "200",
+    )
+    assert regions["dbtable"] == "midb.regionales" and "partitionColumn" not in regions
