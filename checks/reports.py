@@ -453,6 +453,48 @@ check(
             where u.suspended = 0 and e.status = 0 and e.method_status = 0""",
     ),
 )
+check(
+    "fichas_roles_outer_filtered",
+    lambda t: V.fichas_roles_outer(
+        t, {"estado_aprendiz": "Inactivo", "rol_usuario": "teacher", "fecha_inicio": "2024-01-10"}, S
+    ),
+    labelled(
+        V.FICHAS_ROLES_OUTER,
+        f"""select h.*, coalesce(teachers_active, 0) as teachers_active, coalesce(students_active, 0) as students_active,
+              coalesce(teachers_inactive, 0) as teachers_inactive, coalesce(students_inactive, 0) as students_inactive,
+              '{NOT_AVAILABLE}' as program_state, '{NOT_AVAILABLE}' as external_state, {stamp('startdate')} as start_text,
+              {zero_or_stamp('enddate', UNSET)} as end_text
+            from x_home h left join ({_OUTER}) n using (course_id)
+            where course_id in (select course_id from x_course_role where shortname = 'teacher') and {day('startdate')} >= date '2024-01-10'
+              and course_id in (select e.course_id from x_ue e join x_course_role r on r.userid = e.userid and r.course_id = e.course_id
+                where r.shortname = 'student' and e.status <> 0)""",
+    ),
+)
+check(
+    "matriculas_activas_filtered",
+    lambda t: V.matriculas_activas(t, {"fecha_inicio": "2024-01-04", "fecha_hasta": "2024-01-09", "rol_usuario": "student"}, S),
+    labelled(
+        V.MATRICULAS_ACTIVAS,
+        f"""select h.*, {ROLE}, {doc_type('username', K5)} as document_type, {doc_number('username', K5)} as document, u.person, u.user_state,
+              'Activo' as enrolment_state, {stamp('startdate')} as start_text, {zero_or_stamp('enddate', UNSET)} as end_text,
+              {stamp('e.timecreated')} as enrolled_text, {stamp_or('e.timeend', UNSET)} as left_text
+            from x_ue e join x_home h using (course_id) join x_present u using (userid) left join x_roles r using (userid, course_id)
+            where u.suspended = 0 and e.status = 0 and e.method_status = 0 and r.role_shortnames ilike '%student%'
+              and {day('startdate')} = date '2024-01-04' and coalesce(nullif(e.timestart, 0), e.timecreated) < 1704862800""",
+    ),
+)
+check(
+    "sesiones_record_flag_filtered",
+    lambda t: V.sesiones_record_flag(t, {"rol_usuario": "student", "identificacion": "00010", "fecha_desde": "2024-01-03"}, S),
+    _sesiones(
+        f"""exists (select 1 from mdl_bigbluebuttonbn_logs g join x_course_role q on q.userid = g.userid and q.course_id = b.course
+              where g.bigbluebuttonbnid = b.id and q.shortname = 'student')
+            and exists (select 1 from mdl_bigbluebuttonbn_logs g join x_user q on q.userid = g.userid
+              where g.bigbluebuttonbnid = b.id and q.username ilike '%00010%')
+            and b.openingtime > 0 and {day('b.openingtime')} >= date '2024-01-03'""",
+        flag=True,
+    ),
+)
 _EACH = "(select id, userid, course_id, case when status = 0 then 'Activa' else 'Suspendida' end as enrolment_state from x_ue) a"
 check(
     "registro_por_matricula",

@@ -17,6 +17,8 @@ XLSX_ROWS_PER_FILE = 900_000
 AUTO_CSV_THRESHOLD = 500_000
 MAX_FILES_PER_USER = 100
 
+BYTE_ORDER_MARK = "\ufeff"
+
 _POSITION_BITS = 33  # monotonically_increasing_id keeps the row position in the low 33 bits
 
 
@@ -127,6 +129,9 @@ def write_csv_parts(
     parts = file_values(assign_parts(df, order, rows_per_file))
     counts = part_counts(parts)
     body = parts.repartition("parte").sortWithinPartitions("parte", "idx").drop("idx")
+    # The byte-order mark opens the header line, so every part starts with it.
+    first = body.columns[0]
+    body = body.withColumnRenamed(first, BYTE_ORDER_MARK + first)
     options = {
         "header": True,
         "encoding": "UTF-8",

@@ -45,11 +45,12 @@ def participants(t: LmsTables) -> DataFrame:
     return t.bigbluebuttonbn_logs.select(F.col("bigbluebuttonbnid").alias("session_id"), "userid").distinct()
 
 
-def with_role(t: LmsTables, role: str, raw: bool) -> DataFrame:
+def with_role(t: LmsTables, role: str, raw: bool, exact: bool = False) -> DataFrame:
     """Sessions where somebody took part who holds the role in the course."""
+    text = any_contains([F.col("shortname"), F.col("role_name")], role, raw)
     holders = (
         people.course_assignments(t)
-        .filter(any_contains([F.col("shortname"), F.col("role_name")], role, raw))
+        .filter(F.col("shortname") == role if exact else text)
         .select("userid", "course_id")
         .distinct()
     )
@@ -66,9 +67,9 @@ def with_person(t: LmsTables, test: Column) -> DataFrame:
     return participants(t).join(who, "userid", "left_semi").select("session_id").distinct()
 
 
-def identity_test(value: str, raw: bool) -> Column:
+def identity_test(value: str, raw: bool, username_only: bool = False) -> Column:
     known = F.coalesce(F.nullif("idnumber", F.lit("")), "username")
-    return any_contains([known, F.col("username")], value, raw)
+    return any_contains([F.col("username")] if username_only else [known, F.col("username")], value, raw)
 
 
 def name_test(value: str, raw: bool) -> Column:

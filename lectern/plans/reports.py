@@ -172,15 +172,20 @@ def ingresos_sistema(t: LmsTables, params: Params = None, s: Settings = Settings
 # -- 3 --------------------------------------------------------------------------
 
 
-def matriculas_lms(t: LmsTables, params: Params = None, s: Settings = Settings()) -> DataFrame:
-    """Users enrolled in a course during a period."""
-    p = Q.clean("matriculas_lms", params)
-    home = (
+def enrolment_courses(t: LmsTables, p: dict, s: Settings) -> DataFrame:
+    """Courses of the enrolment report; its course dates are compared by equality."""
+    return (
         _optional(_course_filters(courses.described(t, s), p, s), p, s)
         .on_day("fecha_inicio", F.col("startdate"))
         .on_day("fecha_fin", F.col("enddate"), must_be_set=True)
         .df
     )
+
+
+def matriculas_lms(t: LmsTables, params: Params = None, s: Settings = Settings()) -> DataFrame:
+    """Users enrolled in a course during a period."""
+    p = Q.clean("matriculas_lms", params)
+    home = enrolment_courses(t, p, s)
     df = enrolments.in_period(t, p["fecha_desde"], p["fecha_hasta"], s)
     df = _optional(_with_roles(df, t), p, s).contains("rol_usuario", F.col("role_shortnames")).df
     df = df.join(home, "course_id").join(
@@ -262,12 +267,11 @@ def courses_with_student_state(t: LmsTables, state: str, s: Settings) -> DataFra
     )
 
 
-def fichas_programas(t: LmsTables, params: Params = None, s: Settings = Settings()) -> DataFrame:
-    """Courses and their programmes, with people counts."""
-    p = Q.clean("fichas_programas", params)
+def programme_courses(t: LmsTables, p: dict, s: Settings) -> DataFrame:
+    """Courses of the programme report, by everything but student state."""
     made, start, end = F.col("course_created"), F.col("startdate"), F.col("enddate")
     home = (
-        _optional(_course_filters(courses.described(t, s).filter(made <= s.now()), p, s), p, s)
+        _optional(_course_filters(courses.described(t, s), p, s), p, s)
         .constant("estado_grupo_sofia", L.NOT_AVAILABLE)
         .hour("hora_creacion", made)
         .since("fecha_desde", made)
@@ -279,6 +283,14 @@ def fichas_programas(t: LmsTables, params: Params = None, s: Settings = Settings
     )
     if p["rol_usuario"] is not None:
         home = home.join(courses_with_role(t, p["rol_usuario"]), "course_id", "left_semi")
+    return home
+
+
+def fichas_programas(t: LmsTables, params: Params = None, s: Settings = Settings()) -> DataFrame:
+    """Courses and their programmes, with people counts."""
+    p = Q.clean("fichas_programas", params)
+    made = F.col("course_created")
+    home = programme_courses(t, p, s).filter(made <= s.now())
     if p["estado_aprendiz"] is not None:
         home = home.join(courses_with_student_state(t, p["estado_aprendiz"], s), "course_id", "left_semi")
     counts = ["teachers_active", "students_active", "teachers_inactive", "students_inactive"]
@@ -325,12 +337,12 @@ def trafico_diario(t: LmsTables, params: Params = None, s: Settings = Settings()
 # -- 7 --------------------------------------------------------------------------
 
 
-def _usage_courses(t: LmsTables, p: dict, s: Settings) -> DataFrame:
+def _usage_courses(t: LmsTables, p: dict, s: Settings, whole_code: bool) -> DataFrame:
     sought = dict(p)
     if sought["origen_datos"] is not None and sought["origen_datos"].lower() in ("todas", "todos"):
         sought["origen_datos"] = None
     home = (
-        _optional(_course_filters(courses.described(t, s), sought, s), p, s)
+        _optional(_course_filters(courses.described(t, s), sought, s, whole_code), p, s)
         .hour("hora_grupo", F.col("startdate"), must_be_set=True)
         .since("fecha_inicio", F.col("startdate"), must_be_set=True)
         .until("fecha_fin", F.col("enddate"), must_be_set=True)
@@ -346,7 +358,7 @@ def _usage_report(t: LmsTables, params: Params, s: Settings, simple: bool) -> Da
     period = tools.Period(p["fecha_desde"], p["fecha_hasta"], s.report_tz)
     usage = tools.usage_pivot(tools.tool_usage(t, s, period, p["hora_consulta"], simple))
     cells = [c for c in usage.columns if c != "course_id"]
-    df = _usage_courses(t, p, s).join(usage, "course_id", "left").na.fill(0, cells)
+    df = _usage_courses(t, p, s, whole_code=simple).join(usage, "course_id", "left").na.fill(0, cells)
     return df.withColumn("notification_users", F.lit(0)).withColumn("notification_items", F.lit(0))
 
 
@@ -504,9 +516,10 @@ def _sessions(t: LmsTables, params: Params, s: Settings, record_flag: bool) -> D
     )
     raw = s.raw_patterns
     if p["rol_usuario"] is not None:
-        held = held.join(online.with_role(t, p["rol_usuario"], raw), "session_id", "left_semi")
+        holders = online.with_role(t, p["rol_usuario"], raw, exact=record_flag)
+        held = held.join(holders, "session_id", "left_semi")
     if p["identificacion"] is not None:
-        test = online.identity_test(p["identificacion"], raw)
+        test = online.identity_test(p["identificacion"], raw, username_only=record_flag)
         held = held.join(online.with_person(t, test), "session_id", "left_semi")
     if p["nombres_apellidos"] is not None:
         test = online.name_test(p["nombres_apellidos"], raw)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lectern.functions import labels as L
 from lectern.functions import params as Q
 from lectern.functions import text as X
-from lectern.functions.times import epoch_range, local_date, local_ts, overlaps, stamp, stamp_or
+from lectern.functions.times import epoch_range, local_ts, overlaps, stamp, stamp_or
 from lectern.operators import access, courses, enrolments, people, tools
 from lectern.operators.skew import join_spread
 from lectern.plans import columns as C
@@ -92,7 +92,14 @@ FICHAS_ROLES_OUTER = {
 def fichas_roles_outer(t: LmsTables, params: Params = None, s: Settings = Settings()) -> DataFrame:
     """Courses with role counts in which unenrolled role holders are inactive."""
     p = Q.clean("fichas_programas", params)
-    home = R._course_filters(courses.described(t, s), p, s)
+    home = R.programme_courses(t, p, s)
+    if p["estado_aprendiz"] is not None:
+        wanted = p["estado_aprendiz"]
+        students = people.course_assignments(t).filter(F.col("shortname") == people.STUDENT).select(*PAIR).distinct()
+        state = F.when(F.col("status") == 0, "Activo").otherwise("Inactivo")
+        enrolled = enrolments.rows(t).filter(state == wanted).select(*PAIR).distinct()
+        found = enrolled.join(students, PAIR, "left_semi").select("course_id").distinct()
+        home = home.join(found, "course_id", "left_semi")
     counts = ["teachers_active", "students_active", "teachers_inactive", "students_inactive"]
     df = home.join(enrolments.role_counts_outer(t), "course_id", "left").na.fill(0, counts)
     df = R._course_dates(df, s, null_is_unset=False, plain_start=True).select(
@@ -112,7 +119,7 @@ MATRICULAS_ACTIVAS = {
 def matriculas_activas(t: LmsTables, params: Params = None, s: Settings = Settings()) -> DataFrame:
     """One row per active enrolment of active users."""
     p = Q.clean("matriculas_lms", params)
-    home = R._course_filters(courses.described(t, s), p, s)
+    home = R.enrolment_courses(t, p, s)
     rows = enrolments.rows(t).filter((F.col("status") == 0) & (F.col("method_status") == 0))
     bounds = epoch_range(p["fecha_desde"], p["fecha_hasta"], s.report_tz)
     test = overlaps(F.col("timestart"), F.col("timecreated"), F.col("timeend"), bounds)

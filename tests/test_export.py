@@ -41,7 +41,8 @@ def test_csv_files(spark, tmp_path, rows, per_file, parts):
     for part in range(1, parts + 1):
         files = glob.glob(f"{out}/data/parte={part}/*.csv")
         assert len(files) == 1
-        lines = open(files[0], encoding="utf-8").read().splitlines()
+        assert open(files[0], "rb").read(3) == b"\xef\xbb\xbf"
+        lines = open(files[0], encoding="utf-8-sig").read().splitlines()
         assert lines[0] == "id,nombre,valor"
         seen += [int(line.split(",")[0]) for line in lines[1:]]
     assert seen == list(range(rows, 0, -1))
@@ -67,7 +68,7 @@ def test_csv_keeps_values_exactly(spark, tmp_path):
         spark.read.option("multiLine", True).option("escape", '"').option("header", True).option("nullValue", "\u0000")
         .option("emptyValue", "").csv(str(tmp_path / "o/data"))
     )
-    got = {int(r.id): r.v or "" for r in back.collect()}
+    got = {int(r[0]): r.v or "" for r in back.collect()}
     assert got == {i: t or "" for i, t in enumerate(texts)}
 
 

@@ -25,7 +25,7 @@ def test_files_hold_the_report_in_order(spark, settings, tmp_path, code):
     got = []
     for part in range(1, counts.count() + 1):
         (name,) = glob.glob(f"{out}/data/parte={part}/*.csv")
-        with open(name, newline="", encoding="utf-8") as file:
+        with open(name, newline="", encoding="utf-8-sig") as file:
             rows = list(csv.reader(file))
         assert rows[0] == generate.report(code, t, None, settings).columns
         got += rows[1:]

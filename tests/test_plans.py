@@ -1,7 +1,6 @@
 """What the plans must and must not contain."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from checks import all_checks
 from lectern.operators import access, tools
