@@ -200,11 +200,16 @@ MEASURES = (
 )
 
 
-def _as_measure(df: DataFrame, **measures: Column) -> DataFrame:
-    """Widen a relation to all measures, so that relations can be stacked."""
-    columns = [measures.get(m, F.lit(0)).cast("bigint").alias(m) for m in MEASURES]
-    last = measures.get("last_access", F.lit(None)).cast("bigint").alias("last_access")
-    return df.select(*PAIR, *columns, last)
+def stacked(parts: list[DataFrame], measures: tuple[str, ...]) -> DataFrame:
+    """Measures of several relations per user and course: one union, one aggregation.
+
+    Each part brings only its own columns; the others are NULL there and add
+    nothing to the sums.
+    """
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    sums = [F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in measures]
+    last = [F.max("last_access").alias("last_access")] if "last_access" in rows.columns else []
+    return rows.groupBy(*PAIR).agg(*sums, *last)
 
 
 def participation(t: LmsTables, p: Period, creations: bool = False) -> DataFrame:
@@ -213,41 +218,29 @@ def participation(t: LmsTables, p: Period, creations: bool = False) -> DataFrame
     With ``creations`` forums count discussions opened and blogs count their
     first posts, instead of all posts.
     """
-    by_type = forum_counts(t, p)
     talk = ~F.col("type").isin("news", "blog")
-    zero = F.lit(0)
+    blog, news = F.col("type") == "blog", F.col("type") == "news"
     identified = F.col("userid") > 0
-    forum_measures = {
-        "forums": zero if creations else F.when(talk & identified, F.col("posts")).otherwise(0),
-        "replies": F.when(talk, F.col("replies")).otherwise(0),
-        "blogs": F.when(F.col("type") == "blog", F.col("openings")).otherwise(0)
-        if creations
-        else F.when((F.col("type") == "blog") & identified, F.col("posts")).otherwise(0),
-        "announcements": F.when(F.col("type") == "news", F.col("posts")).otherwise(0),
+    posts = F.col("posts")
+    forum = {
+        "replies": F.when(talk, F.col("replies")),
+        "blogs": F.when(blog, F.col("openings")) if creations else F.when(blog & identified, posts),
+        "announcements": F.when(news, posts),
     }
-    total = F.col("total")
-    stacked = [
-        _as_measure(
-            log_measures(t, p),
-            accesses=F.col("accesses"),
-            wikis=F.col("wikis"),
-            scorm=F.col("scorm"),
-            last_access=F.col("last_access"),
-        ),
-        _as_measure(by_type, **forum_measures),
-        _as_measure(quizzes(t, p), quizzes=total),
-        _as_measure(assignments(t, p), assignments=total),
-        _as_measure(survey_parts(t, p), surveys=total),
-        _as_measure(sessions(t, p), sessions=total),
-        _as_measure(chats(t, p), chats=total),
+    if not creations:
+        forum["forums"] = F.when(talk & identified, posts)
+    parts = [
+        log_measures(t, p),
+        forum_counts(t, p).select(*PAIR, *[c.alias(n) for n, c in forum.items()]),
+        quizzes(t, p).withColumnRenamed("total", "quizzes"),
+        assignments(t, p).withColumnRenamed("total", "assignments"),
+        survey_parts(t, p).withColumnRenamed("total", "surveys"),
+        sessions(t, p).withColumnRenamed("total", "sessions"),
+        chats(t, p).withColumnRenamed("total", "chats"),
     ]
     if creations:
-        stacked.append(_as_measure(discussions_opened(t, p), forums=total))
-    return (
-        reduce(DataFrame.unionByName, stacked)
-        .groupBy(*PAIR)
-        .agg(*[F.sum(m).alias(m) for m in MEASURES], F.max("last_access").alias("last_access"))
-    )
+        parts.append(discussions_opened(t, p).withColumnRenamed("total", "forums"))
+    return stacked(parts, MEASURES)
 
 
 # -- activity modules ---------------------------------------------------------

@@ -351,16 +351,14 @@ def _stack(t: LmsTables, s: Settings) -> DataFrame:
     )
     p = tools.Period(tz=s.report_tz)
 
-    def measure(df: DataFrame, **given: Column) -> DataFrame:
-        return df.select(*PAIR, *[given.get(n, F.lit(0)).cast("bigint").alias(n) for n in names])
-
     forum = t.forum.select(F.col("id").alias("forum"), F.col("course").alias("course_id"), "type", "name")
     places = t.forum_discussions.select(F.col("id").alias("discussion"), "forum").join(forum, "forum")
     talk = ~F.col("type").isin("news", "blog")
     posts = (
-        t.forum_posts.groupBy("discussion", "userid")
-        .agg(F.count_if(F.col("parent") == 0).alias("openings"), F.count_if(F.col("parent") != 0).alias("replies"))
+        t.forum_posts.select("discussion", "userid", "parent")
         .join(places, "discussion")
+        .groupBy(*PAIR, "type", "name")
+        .agg(F.count_if(F.col("parent") == 0).alias("openings"), F.count_if(F.col("parent") != 0).alias("replies"))
     )
     is_blog = (F.col("type") == "blog") | F.col("name").ilike("Blog%")
     named = F.upper("name") != "ANUNCIOS"
@@ -384,24 +382,19 @@ def _stack(t: LmsTables, s: Settings) -> DataFrame:
             F.count_if(package).alias("scorm"),
         )
     )
-    stacked = [
-        measure(logged, **{n: F.col(n) for n in ("accesses", "quizzes", "wikis", "scorm")}),
-        measure(
-            posts,
-            blogs=F.when(is_blog, F.col("openings")).otherwise(0),
-            replies=F.when(talk & named, F.col("replies")).otherwise(0),
+    parts = [
+        logged,
+        posts.select(
+            *PAIR,
+            F.when(is_blog, F.col("openings")).alias("blogs"),
+            F.when(talk & named, F.col("replies")).alias("replies"),
         ),
-        measure(tools.assignments(t, p, ("submitted", "draft")), assignments=F.col("total")),
-        measure(tools.discussions_opened(t, p), discussions=F.col("total")),
-        measure(tools.survey_parts(t, p), surveys=F.col("total")),
+        tools.assignments(t, p, ("submitted", "draft")).withColumnRenamed("total", "assignments"),
+        tools.discussions_opened(t, p).withColumnRenamed("total", "discussions"),
+        tools.survey_parts(t, p).withColumnRenamed("total", "surveys"),
     ]
     total = reduce(lambda a, b: a + b, [F.col(n) for n in names])
-    return (
-        reduce(DataFrame.unionByName, stacked)
-        .groupBy(*PAIR)
-        .agg(*[F.sum(n).alias(n) for n in names])
-        .withColumn("total", total)
-    )
+    return tools.stacked(parts, names).withColumn("total", total)
 
 
 def participacion(t: LmsTables, s: Settings) -> DataFrame:
