@@ -38,7 +38,7 @@ HEADLINE = (
     "rollup_traffic_hour",
     "export_part_assign",
 )
-REPEATS = 2
+REPEATS = 3
 
 
 def main() -> None:

@@ -47,6 +47,11 @@ def local(e: str) -> str:
     return f"make_timestamp((({e}) - {OFFSET}) * 1000000)"
 
 
+def part(unit: str, moment: str) -> str:
+    """Year, month, day, hour or week of a timestamp as an integer."""
+    return f"cast({unit}({moment}) as integer)"
+
+
 def stamp(e: str) -> str:
     return f"strftime({local(e)}, '%Y/%m/%d %H:%M:%S')"
 
@@ -124,7 +129,7 @@ RELATIONS: dict[str, str] = {
     **_VIEWS,
     "lg": "select * from mdl_logstore_standard_log",
     "x_course": rf"""
-        select id as course_id, idnumber, shortname, fullname, category, visible, startdate, enddate,
+        select id as course_id, idnumber, shortname, fullname, cast(category as bigint) as category, visible, startdate, enddate,
           timecreated as course_created,
           nullif(regexp_extract(fullname, '\(([0-9]+)(_PRY_[0-9]+)?\)\s*$', 1), '') as program_code,
           trim(regexp_replace(fullname, '\s*\([0-9]+(_PRY_[0-9]+)?\)\s*$', '')) as program_name,
@@ -308,7 +313,7 @@ RELATIONS: dict[str, str] = {
         from mdl_bigbluebuttonbn_logs group by 1""",
     "x_taped": "select distinct bigbluebuttonbnid as session_id from mdl_bigbluebuttonbn_recordings where coalesce(status, 0) >= 0",
     "x_seed": """
-        select 4 as seed_category, cast(code as varchar) as seed_code, program_type, education_level, prog_name, design_version,
+        select cast(4 as bigint) as seed_category, cast(code as varchar) as seed_code, program_type, education_level, prog_name, design_version,
           seed_version, current_version, modality as seed_modality, lms_id from seeds where status_seed = 'A'
         union all
         select 6, cast(code as varchar), program_type, education_level, prog_name, design_version,

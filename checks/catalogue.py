@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.base import S, check, day, labelled, local, ratio, stamp, stamp_or, zero_or_stamp
+from checks.base import S, check, day, labelled, local, part, ratio, stamp, stamp_or, zero_or_stamp
 from lectern.functions.labels import NOT_IN_LOG
 from lectern.plans import catalogue as A
 from lectern.plans import catalogue_columns as C
@@ -51,7 +51,7 @@ check(
     lambda t: A.ingresos(t, S),
     labelled(
         C.INGRESOS,
-        f"""select year(moment) as year, month(moment) as month, week(moment) as week, strftime(moment, '%H:00:00') as hour,
+        f"""select {part('year', 'moment')} as year, {part('month', 'moment')} as month, {part('week', 'moment')} as week, strftime(moment, '%H:00:00') as hour,
               '{NOT_IN_LOG}' as system, '{NOT_IN_LOG}' as browser, '{NOT_IN_LOG}' as country, '{NOT_IN_LOG}' as city,
               ip, origin, count(*) as events, count(distinct userid) as users
             from (select l.userid, {local('l.timecreated')} as moment, coalesce(ip, 'Sin IP') as ip, coalesce(origin, 'Sin origen') as origin
@@ -75,7 +75,7 @@ check(
     lambda t: A.usuarios_ambiente(t, S),
     labelled(
         C.USUARIOS,
-        f"""select '{S.environment}' as environment, year({local('timecreated')}) as year, month({local('timecreated')}) as month,
+        f"""select '{S.environment}' as environment, {part('year', local('timecreated'))} as year, {part('month', local('timecreated'))} as month,
               case auth when 'manual' then 'Manual' else 'Integración / Externo' end as origin, count(*) as users,
               count(*) filter (where deleted = 0 and suspended = 0) as active, count(*) filter (where suspended = 1) as suspended,
               count(*) filter (where deleted = 1) as deleted from mdl_user where id > 2 group by 2, 3, 4""",

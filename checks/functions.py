@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.base import (
-    K4, K5, LEVEL, MODALITY, NOW, S, STATE, USER_STATE, check, day, doc_number, doc_type, local, ratio, stamp_or,
+    K4, K5, LEVEL, MODALITY, NOW, S, STATE, USER_STATE, check, day, doc_number, doc_type, local, part, ratio, stamp_or,
 )
 from lectern.functions import labels as L
 from lectern.functions import params as Q
@@ -160,8 +160,10 @@ _log_fn(
         "d": lambda at: F.dayofmonth(M.local_ts(at, TZ)),
         "w": lambda at: F.weekofyear(M.local_ts(at, TZ)),
     },
-    f"year({local('timecreated')}) as y, month({local('timecreated')}) as m, day({local('timecreated')}) as d,"
-    f" weekofyear({local('timecreated')}) as w",
+    ", ".join(
+        f"{part(unit, local('timecreated'))} as {name}"
+        for name, unit in {"y": "year", "m": "month", "d": "day", "w": "weekofyear"}.items()
+    ),
 )
 _log_fn(
     "fn_date_trunc",

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from checks.base import (
-    K4, K5, NOW, S, check, day, doc_number, doc_type, labelled, local, ratio, stamp, stamp_or,
+    K4, K5, NOW, S, check, day, doc_number, doc_type, labelled, local, part, ratio, stamp, stamp_or,
     valid, zero_or_stamp,
 )
 from lectern.functions.labels import NOT_AVAILABLE, NOT_IN_LOG
@@ -188,8 +188,9 @@ def _trafico(span: str, where: str = "true") -> str:
     fmt = {"Día": "%Y/%m/%d", "Mes": "%Y/%m", "Año": "%Y"}[span]
     return labelled(
         C.TRAFICO_DIARIO,
-        f"""select '{S.traffic_environment}' as environment, origin, '{span}' as range, year(period) as year,
-              {'null' if span == 'Año' else 'month(period)'} as month, {'day(period)' if span == 'Día' else 'null'} as day_of_month,
+        f"""select '{S.traffic_environment}' as environment, origin, '{span}' as range, {part('year', 'period')} as year,
+              {'cast(null as integer)' if span == 'Año' else part('month', 'period')} as month,
+              {part('day', 'period') if span == 'Día' else 'cast(null as integer)'} as day_of_month,
               strftime(period, '{fmt}') as period_text, count(*) as users
             from (select distinct origin, cast(date_trunc('{unit}', day) as date) as period, day, userid from x_valid where {where}) d
             group by origin, period""",
@@ -401,7 +402,7 @@ check(
     lambda t: V.trafico_por_hora(t, {"origen_datos": "Integración"}, S),
     labelled(
         V.TRAFICO_POR_HORA,
-        f"""select '{S.traffic_environment}' as environment, year(d) as year, month(d) as month, day(d) as day_of_month,
+        f"""select '{S.traffic_environment}' as environment, {part('year', 'd')} as year, {part('month', 'd')} as month, {part('day', 'd')} as day_of_month,
               strftime(d, '%H:00 - %H:59') as band, count(distinct userid) as users
             from (select l.userid, date_trunc('hour', {local('l.timecreated')}) as d from lg l join mdl_user u on u.id = l.userid
                   join x_home h on h.course_id = l.courseid

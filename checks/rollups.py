@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from checks.base import CHECKS, Check, S, check, compose, day, local
+from checks.base import CHECKS, Check, S, check, compose, day, local, part
 from lectern.functions.labels import NOT_IN_LOG
 from lectern.session import scratch_path
 from lectern.sources import LmsTables
@@ -51,7 +51,7 @@ check(
 check(
     "rollup_traffic_hour",
     lambda t: rollups.traffic_hour(t, S),
-    f"""select {day('timecreated')} as fecha, hour({local('timecreated')}) as hora, courseid, count(distinct userid) as usuarios_unicos
+    f"""select {day('timecreated')} as fecha, {part('hour', local('timecreated'))} as hora, courseid, count(distinct userid) as usuarios_unicos
         from lg where userid > 0 and courseid is not null and action = 'viewed' group by 1, 2, 3""",
 )
 check(
@@ -137,7 +137,7 @@ def _backfill(t: LmsTables):
 check(
     "rollup_backfill",
     _backfill,
-    f"""select {day('timecreated')} as fecha, hour({local('timecreated')}) as hora, courseid, count(distinct userid) as usuarios_unicos
+    f"""select {day('timecreated')} as fecha, {part('hour', local('timecreated'))} as hora, courseid, count(distinct userid) as usuarios_unicos
         from lg where userid > 0 and courseid is not null and action = 'viewed' group by 1, 2, 3""",
 )
 
@@ -149,6 +149,26 @@ def _filled(t: LmsTables) -> rollups.Store:
 
 
 check("report_from_rollup", lambda t: rollups.access_from_rollup(_filled(t)), "select * from x_access_any")
+
+
+def _filled_with(t: LmsTables, job: str) -> rollups.Store:
+    store = _store(t, job)
+    rollups.backfill(t, S, store, job, START, date(2024, 1, 30))
+    return store
+
+
+check(
+    "tools_from_rollup",
+    lambda t: rollups.tools_from_rollup(_filled_with(t, "tool_activity_day"), "2024-01-08", "2024-01-20"),
+    f"""select userid, courseid as course_id, herramienta, count(*) as cantidad from ({ACTIVITY}) z
+        where herramienta in ({TOOL_LIST}) and fecha between date '2024-01-08' and date '2024-01-20' group by 1, 2, 3""",
+)
+check(
+    "time_from_rollup",
+    lambda t: rollups.time_from_rollup(_filled_with(t, "estimated_time_day"), "2024-01-08", "2024-01-20"),
+    f"""select userid, courseid as course_id, herramienta, cast(sum(segundos) as bigint) as segundos from ({_time_sql('lg')}) z
+        where fecha between date '2024-01-08' and date '2024-01-20' group by 1, 2, 3""",
+)
 check(
     "unique_users_from_rollup",
     lambda t: rollups.unique_users_from_rollup(_filled(t), "2024-01-08", "2024-01-14"),
@@ -183,7 +203,7 @@ stream_check(
 stream_check(
     "stream_traffic_hour",
     lambda spark, sf: streams.run_window_job(streams.traffic_hour(_stream_log(spark, sf), S), "traffic_hour"),
-    f"""select cast(h as date) as fecha, hour(h) as hora, courseid, count(distinct userid) as usuarios_unicos
+    f"""select cast(h as date) as fecha, {part('hour', 'h')} as hora, courseid, count(distinct userid) as usuarios_unicos
         from (select date_trunc('hour', {local('timecreated')}) as h, courseid, userid from lg
               where userid > 0 and courseid is not null and action = 'viewed') z
         where h + interval 1 hour <= {_FINAL} group by h, courseid""",

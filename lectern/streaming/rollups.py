@@ -269,14 +269,19 @@ def backfill(t: LmsTables, s: Settings, store: Store, job: str, since: date, unt
 # -- reports from the summary tables ----------------------------------------------
 
 
-def access_from_rollup(store: Store, since: str | None = None, until: str | None = None) -> DataFrame:
-    """Access counts per user and course out of the daily table."""
-    days = store.read("login_day")
+def _days(store: Store, name: str, since: str | None, until: str | None) -> DataFrame:
+    """Rows of a summary table in a range of days; other day folders are not read."""
+    days = store.read(name)
     if since is not None:
         days = days.filter(F.col("fecha") >= F.lit(since).cast("date"))
     if until is not None:
         days = days.filter(F.col("fecha") <= F.lit(until).cast("date"))
-    return days.groupBy("userid", F.col("courseid").alias("course_id")).agg(
+    return days.withColumnRenamed("courseid", "course_id")
+
+
+def access_from_rollup(store: Store, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Access counts per user and course out of the daily table."""
+    return _days(store, "login_day", since, until).groupBy(*PAIR).agg(
         F.count("fecha").alias("access_days"),
         F.sum("ingresos").alias("accesses"),
         F.min("primer_ts").alias("first_access"),
@@ -284,11 +289,28 @@ def access_from_rollup(store: Store, since: str | None = None, until: str | None
     )
 
 
+def tools_from_rollup(store: Store, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Module events per user, course and tool."""
+    return (
+        _days(store, "tool_activity_day", since, until)
+        .groupBy(*PAIR, "herramienta")
+        .agg(F.sum("cantidad").alias("cantidad"))
+    )
+
+
+def time_from_rollup(store: Store, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Estimated seconds per user, course and tool; each day counts on its own."""
+    return (
+        _days(store, "estimated_time_day", since, until)
+        .groupBy(*PAIR, "herramienta")
+        .agg(F.sum("segundos").alias("segundos"))
+    )
+
+
 def unique_users_from_rollup(store: Store, since: str | None = None, until: str | None = None) -> DataFrame:
     """Unique users per course over a range, recounted from the user-grain table."""
-    days = store.read("login_day")
-    if since is not None:
-        days = days.filter(F.col("fecha") >= F.lit(since).cast("date"))
-    if until is not None:
-        days = days.filter(F.col("fecha") <= F.lit(until).cast("date"))
-    return days.groupBy("courseid").agg(F.count_distinct("userid").alias("usuarios_unicos"))
+    return (
+        _days(store, "login_day", since, until)
+        .groupBy(F.col("course_id").alias("courseid"))
+        .agg(F.count_distinct("userid").alias("usuarios_unicos"))
+    )
