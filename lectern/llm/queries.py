@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, decontam
 from .common import read_table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -18,8 +18,16 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenize(read_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op8_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in a benchmark window."""
+    return decontam.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe": op6_bpe,
+    "op8_wu_manber": op8_wu_manber,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_wu_manber": decontam.SQL,
+}
