@@ -7,12 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam
+from . import bpe, decontam, sharding
 from .common import read_table
 
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op2_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document."""
+    return sharding.interleave(read_table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and their decoding, as digests."""
     return bpe.tokenize(read_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
@@ -24,6 +29,7 @@ def op8_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_interleave": op2_interleave,
     "op6_bpe": op6_bpe,
     "op8_wu_manber": op8_wu_manber,
 }
