@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, sharding
+from . import bpe, decontam, divergence, sharding
 from .common import read_table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -28,10 +28,16 @@ def op8_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op10_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and divergence verdict of every document."""
+    return divergence.judge(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_interleave": op2_interleave,
     "op6_bpe": op6_bpe,
     "op8_wu_manber": op8_wu_manber,
+    "op10_divergence": op10_divergence,
 }
 
 SQL: dict[str, str] = {
