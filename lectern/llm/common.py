@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import os
+import shutil
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,6 +21,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, whatever folder or path the driver was started with."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_lectern_archive", None):
+        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        # The driver serves this file to its executors, so it stays as long as the context does.
+        sc._lectern_archive = folder = tempfile.TemporaryDirectory()
+        sc.addPyFile(shutil.make_archive(os.path.join(folder.name, "lectern_package"), "zip", root, "lectern"))
+
+
 def fresh(df: DataFrame, *stems: str) -> list[str]:
     """Column names for intermediate results that no column of ``df`` has."""
     taken = {c.lower() for c in df.columns}
@@ -37,9 +50,18 @@ def col(name: str) -> Column:
 
 
 def per_text(make: Callable[[], Callable[..., tuple]], schema: str):
-    """Arrow-batched UDF over one or more columns: ``make()`` runs once a task and gives the
-    function from the values of one row to the fields of ``schema``. Rows never meet, so a task
-    holds one batch of them at a time."""
+    """Arrow-batched UDF over a column: ``make()`` runs once a task and gives the function from a
+    value to the fields of ``schema``. Rows never meet, so a task holds one batch at a time."""
+    return _per_row(make, schema, False)
+
+
+def per_row(make: Callable[[], Callable[..., tuple]], schema: str):
+    """``per_text`` for functions of several columns."""
+    return _per_row(make, schema, True)
+
+
+def _per_row(make, schema: str, several: bool):
+    ship_package(SparkSession.active())
     kind = T._parse_datatype_string(schema)
     names = kind.fieldNames()
     columns = {f.name: f.dataType for f in kind.fields}
@@ -56,7 +78,12 @@ def per_text(make: Callable[[], Callable[..., tuple]], schema: str):
         for values in batches:
             yield frame([run(v) for v in values])
 
-    return F.pandas_udf(one, kind)
+    def many(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        run = make()
+        for columns_ in batches:
+            yield frame([run(*values) for values in zip(*columns_, strict=True)])
+
+    return F.pandas_udf(many if several else one, kind)
 
 
 _DTYPES = {"long": "int64", "integer": "int32", "double": "float64", "boolean": "bool"}

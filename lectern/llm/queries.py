@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, divergence, sharding
+from . import bpe, decontam, divergence, runindex, sharding
 from .common import read_table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -18,6 +18,11 @@ def op2_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(read_table(spark, sf_dir, "documents"))
 
 
+def op3_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its long repeats."""
+    return runindex.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and their decoding, as digests."""
     return bpe.tokenize(read_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
@@ -35,6 +40,7 @@ def op10_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_interleave": op2_interleave,
+    "op3_run_index": op3_run_index,
     "op6_bpe": op6_bpe,
     "op8_wu_manber": op8_wu_manber,
     "op10_divergence": op10_divergence,
