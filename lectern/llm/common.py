@@ -112,3 +112,14 @@ def dropped(*tables: DataFrame) -> None:
 
 def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
+
+
+_KEPT = bytes(
+    b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20
+    for b in range(256)
+)
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """Words of a text: letters A-Z in lower case, digits, and everything beyond ASCII."""
+    return (text or "").encode().translate(_KEPT).split()

@@ -21,21 +21,11 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, fresh, per_text
+from .common import col, fresh, per_text, words_of
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
 
-_KEPT = bytes(
-    b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20
-    for b in range(256)
-)
-
-
-def words_of(text: str | None) -> list[bytes]:
-    """Words of a text: letters A-Z in lower case, digits, and everything beyond ASCII."""
-    return (text or "").encode().translate(_KEPT).split()
-
 
 class _Tables:
     """Shift and bucket tables of the patterns of one length."""

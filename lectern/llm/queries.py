@@ -7,12 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, divergence, runindex, sharding
+from . import bpe, decontam, divergence, order_minhash, runindex, sharding
 from .common import read_table
 
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return order_minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op2_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document."""
     return sharding.interleave(read_table(spark, sf_dir, "documents"))
@@ -39,6 +44,7 @@ def op10_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_order_minhash": op1_order_minhash,
     "op2_interleave": op2_interleave,
     "op3_run_index": op3_run_index,
     "op6_bpe": op6_bpe,
