@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, written
+from .common import col, let, written
 
 MIN_WORDS = 20
 MAX_REPEATED_PERCENT = 30
@@ -52,11 +52,6 @@ CLASSES = (
 )
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value worked out once a row."""
-    return F.transform(F.array(value), body)[0]
-
-
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
     """Words inside windows that occur at least twice in the same list of words."""
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, divergence, order_minhash, runindex, sharding
+from . import bpe, credentials, decontam, divergence, language, order_minhash, runindex, sharding
 from .common import read_table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -33,11 +33,26 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenize(read_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op7_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return credentials.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op8_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in a benchmark window."""
     return decontam.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op9_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    return language.identify_documents(read_table(spark, sf_dir, "documents"))
+
+
+def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every page, with its markup and address as evidence."""
+    return language.identify_pages(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "documents"))
+
+
 def op10_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and divergence verdict of every document."""
     return divergence.judge(read_table(spark, sf_dir, "documents"))
@@ -48,7 +63,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_interleave": op2_interleave,
     "op3_run_index": op3_run_index,
     "op6_bpe": op6_bpe,
+    "op7_formats": op7_formats,
     "op8_wu_manber": op8_wu_manber,
+    "op9_evidence": op9_evidence,
+    "page_language": page_language,
     "op10_divergence": op10_divergence,
 }
 
