@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, credentials, decontam, divergence, language, order_minhash, runindex, sharding
+from . import bpe, credentials, decontam, divergence, language, order_minhash, resampling, runindex, sharding, toxicity
 from .common import read_table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -28,6 +28,16 @@ def op3_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runindex.remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
+def op4_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op5_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance of every document and the selection."""
+    return resampling.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and their decoding, as digests."""
     return bpe.tokenize(read_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
@@ -62,6 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_order_minhash": op1_order_minhash,
     "op2_interleave": op2_interleave,
     "op3_run_index": op3_run_index,
+    "op4_lexicon": op4_lexicon,
+    "op5_resampling": op5_resampling,
     "op6_bpe": op6_bpe,
     "op7_formats": op7_formats,
     "op8_wu_manber": op8_wu_manber,
