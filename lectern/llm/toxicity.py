@@ -65,43 +65,41 @@ def edits_allowed(length: int) -> int:
     return 0 if length < 5 else 1 if length < 8 else 2
 
 
+def _pieces(term: str, edits: int) -> list[str]:
+    """The term in edits + 1 parts: a word within that many edits holds one of them unchanged."""
+    cuts = [len(term) * i // (edits + 1) for i in range(edits + 2)]
+    return [term[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
+
+
 class Lexicon:
-    """A trie of terms, searched with the Levenshtein automaton of a word."""
+    """Tries of terms, one for each number of edits allowed, searched with the Levenshtein automaton of
+    a word."""
 
     def __init__(self, terms: list[str], ordinary: frozenset[str] = frozenset()):
-        self.root: dict = {}
-        self.ordinary = ordinary
+        self.exact = frozenset(terms)
+        self.ordinary = ordinary - self.exact
         self.longest = max(map(len, terms), default=0)
-        for term in terms:
-            node = self.root
-            for c in term:
-                node = node.setdefault(c, {})
-            node[""] = term
+        self.tries: list[tuple[int, dict, frozenset[int], re.Pattern]] = []
+        for k in (1, 2):
+            own = [t for t in terms if edits_allowed(len(t)) == k]
+            if own:
+                root: dict = {}
+                for term in own:
+                    node = root
+                    for c in term:
+                        node = node.setdefault(c, {})
+                    node[""] = term
+                sizes = frozenset(len(t) + d for t in own for d in range(-k, k + 1))
+                parts = re.compile("|".join(sorted({re.escape(x) for t in own for x in _pieces(t, k)})))
+                self.tries.append((k, root, sizes, parts))
         self.cache: dict[str, int] = {}
 
     def nearest(self, word: str) -> int | None:
         """Fewest edits to a term that the term's length allows."""
-        best: int | None = None
-        n = len(word)
-        todo = [(self.root, list(range(n + 1)))]
-        while todo:
-            node, row = todo.pop()
-            for c, child in node.items():
-                if c == "":
-                    d = row[n]
-                    if d <= edits_allowed(len(child)) and (best is None or d < best):
-                        best = d
-                    continue
-                step = [row[0] + 1]
-                least = step[0]
-                for j in range(1, n + 1):
-                    d = row[j - 1] if word[j - 1] == c else 1 + min(row[j - 1], row[j], step[j - 1])
-                    step.append(d)
-                    if d < least:
-                        least = d
-                if least <= 2:
-                    todo.append((child, step))
-        return best
+        if word in self.exact:
+            return 0
+        found = [d for k, root, sizes, parts in self.tries if len(word) in sizes and parts.search(word) and (d := _walk(root, word, k))]
+        return min(found, default=None)
 
     def look_up(self, word: str) -> int:
         """Edits to the lexicon, or -1; ``word`` as it stands between blanks. Remembered up to a bound."""
@@ -127,6 +125,39 @@ class Lexicon:
         return out
 
 
+def _walk(root: dict, word: str, k: int) -> int | None:
+    """Fewest edits, k at most, from a word to a term of the trie. The automaton's state after d
+    letters is the band of edit distances to the word's prefixes of d - k to d + k letters."""
+    n, far, wide = len(word), k + 1, 2 * k + 1
+    best = far
+    todo = [(root, 0, [abs(o - k) if o >= k else far for o in range(wide)])]
+    while todo:
+        node, depth, row = todo.pop()
+        for c, child in node.items():
+            if not c:
+                o = n - depth + k
+                if 0 <= o < wide:
+                    best = min(best, row[o])
+                continue
+            i, step, least = depth + 1, [], far
+            for o in range(wide):
+                j = i + o - k
+                d = far
+                if 0 <= j <= n:
+                    if j:
+                        d = row[o] + (word[j - 1] != c)
+                        if o and step[o - 1] + 1 < d:
+                            d = step[o - 1] + 1
+                    if o + 1 < wide and row[o + 1] + 1 < d:
+                        d = row[o + 1] + 1
+                step.append(d)
+                if d < least:
+                    least = d
+            if least < far and least <= best:
+                todo.append((child, i, step))
+    return best if best < far else None
+
+
 def quoted_share(words: list[str], at: int) -> float:
     """How much of a hit is quotation, from 0 to 1, by the words around it."""
     before, after = words[max(0, at - WINDOW) : at], words[at + 1 : at + 1 + WINDOW]
