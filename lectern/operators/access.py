@@ -81,12 +81,14 @@ def course_views(t: LmsTables, s: Settings, since: str | None = None, until: str
 
 
 def distinct_view_times(
-    t: LmsTables, s: Settings, since: str | None = None, until: str | None = None
+    t: LmsTables, s: Settings, since: str | None = None, until: str | None = None, pairs: DataFrame | None = None
 ) -> DataFrame:
+    """Distinct view times per user and course, of the given ``pairs`` or of all."""
+    views = of_course_users(log_between(t, since, until, s.report_tz)).filter(F.col("action") == "viewed")
+    if pairs is not None:
+        views = views.join(pairs, PAIR, "left_semi")
     return (
-        of_course_users(log_between(t, since, until, s.report_tz))
-        .filter(F.col("action") == "viewed")
-        .groupBy(*PAIR)
+        views.groupBy(*PAIR)
         .agg(F.count_distinct("timecreated").alias("accesses"), F.max("timecreated").alias("last_access"))
     )
 

@@ -19,9 +19,16 @@ def joins(log: Column, userid: Column) -> Column:
     return (userid > 0) & ilike_any(log, JOIN_WORDS)
 
 
-def stats(t: LmsTables, identified_only: bool = False) -> DataFrame:
+def _of_sessions(rows: DataFrame, only: DataFrame | None) -> DataFrame:
+    """Rows of the given sessions (column session_id), or all."""
+    if only is None:
+        return rows
+    return rows.join(only.withColumnRenamed("session_id", "bigbluebuttonbnid"), "bigbluebuttonbnid", "left_semi")
+
+
+def stats(t: LmsTables, identified_only: bool = False, only: DataFrame | None = None) -> DataFrame:
     """Per session: join events, distinct users who joined, started mark."""
-    rows = t.bigbluebuttonbn_logs
+    rows = _of_sessions(t.bigbluebuttonbn_logs, only)
     if identified_only:
         rows = rows.filter(F.col("userid") > 0)
     joined = joins(F.col("log"), F.col("userid"))
@@ -32,10 +39,11 @@ def stats(t: LmsTables, identified_only: bool = False) -> DataFrame:
     )
 
 
-def recorded(t: LmsTables) -> DataFrame:
+def recorded(t: LmsTables, only: DataFrame | None = None) -> DataFrame:
     """Sessions with a recording whose status is not negative (unset counts as 0)."""
     return (
-        t.bigbluebuttonbn_recordings.filter(F.coalesce("status", F.lit(0)) >= 0)
+        _of_sessions(t.bigbluebuttonbn_recordings, only)
+        .filter(F.coalesce("status", F.lit(0)) >= 0)
         .select(F.col("bigbluebuttonbnid").alias("session_id"))
         .distinct()
     )

@@ -1,8 +1,8 @@
 """The ten current reports.
 
-Every report filters the course side first, joins facts that are already
-aggregated to the report's grain, sorts, and renames to the printed labels as
-the last step. Sort keys end with the ids of the row, which makes the order
+Filters on courses and people narrow the facts before these are aggregated to
+the report's grain (``operators/narrow.py``); the joins with names come after,
+then the sort, and renaming to the printed labels is the last step. Sort keys end with the ids of the row, which makes the order
 total and lets the range sort cut between rows whose names are equal.
 """
 
@@ -20,6 +20,7 @@ from lectern.functions import text as X
 from lectern.functions.filters import Optional
 from lectern.functions.times import ratio_2dp, stamp, stamp_or
 from lectern.operators import access, courses, enrolments, online, people, timeontask, tools
+from lectern.operators.narrow import is_set, narrowed
 from lectern.operators.skew import join_spread
 from lectern.plans import columns as C
 from lectern.settings import Settings
@@ -30,6 +31,28 @@ Params = Mapping[str, Any] | None
 MEASURE_NAMES = tools.MEASURES
 
 
+# Filters on what is known of a course, and of a person.
+COURSE_FILTERS = (
+    "codigo_ficha", "nombre_ficha", "codigo_programa", "nombre_programa", "nivel", "modalidad", "regional",
+    "centro_formacion", "estado_grupo", "origen_datos",
+)
+PERSON_FILTERS = ("identificacion", "nombres_apellidos", "estado_usuario")
+
+
+def facts(
+    t: LmsTables, p: Mapping, home: DataFrame, persons: DataFrame | None = None, more: tuple[str, ...] = ()
+) -> LmsTables:
+    """The tables that facts are counted from: only kept courses and people where filters say which.
+
+    ``more`` names further parameters that select courses in this report.
+    """
+    return narrowed(
+        t,
+        home.select("course_id") if is_set(p, (*COURSE_FILTERS, *more)) else None,
+        persons.select("userid") if persons is not None and is_set(p, PERSON_FILTERS) else None,
+    )
+
+
 def up(name: str) -> Column:
     return F.col(name).asc_nulls_last()
 
@@ -108,10 +131,11 @@ def registro_usuarios(t: LmsTables, params: Params = None, s: Settings = Setting
         .contains("nombres_apellidos", F.col("person"))
         .df
     )
-    seen = access.course_access(t, s, p["fecha_inicio"], p["fecha_fin"], p["hora"])
-    pairs = _optional(enrolments.any_active(t), p, s).equals("estado_aprendiz", F.col("enrolment_state")).df
+    few = facts(t, p, home, persons)
+    seen = access.course_access(few, s, p["fecha_inicio"], p["fecha_fin"], p["hora"])
+    pairs = _optional(enrolments.any_active(few), p, s).equals("estado_aprendiz", F.col("enrolment_state")).df
     df = pairs.join(seen, PAIR, "left")
-    df = _optional(_with_roles(df, t), p, s).contains("rol_usuario", F.col("role_shortnames")).df
+    df = _optional(_with_roles(df, few), p, s).contains("rol_usuario", F.col("role_shortnames")).df
     df = df.join(home, "course_id").join(persons, "userid")
     df = _course_dates(df, s).select(
         "*",
@@ -186,8 +210,9 @@ def matriculas_lms(t: LmsTables, params: Params = None, s: Settings = Settings()
     """Users enrolled in a course during a period."""
     p = Q.clean("matriculas_lms", params)
     home = enrolment_courses(t, p, s)
-    df = enrolments.in_period(t, p["fecha_desde"], p["fecha_hasta"], s)
-    df = _optional(_with_roles(df, t), p, s).contains("rol_usuario", F.col("role_shortnames")).df
+    few = facts(t, p, home, more=("fecha_inicio", "fecha_fin"))
+    df = enrolments.in_period(few, p["fecha_desde"], p["fecha_hasta"], s)
+    df = _optional(_with_roles(df, few), p, s).contains("rol_usuario", F.col("role_shortnames")).df
     df = df.join(home, "course_id").join(
         _people(t, X.DOCUMENT_KINDS).filter(F.col("deleted") == 0), "userid"
     )
@@ -267,6 +292,13 @@ def courses_with_student_state(t: LmsTables, state: str, s: Settings) -> DataFra
     )
 
 
+# Further parameters that select courses in the programme report.
+PROGRAMME_FILTERS = (
+    "estado_grupo_sofia", "hora_creacion", "fecha_desde", "fecha_hasta", "hora_grupo", "fecha_inicio", "fecha_fin",
+    "rol_usuario", "estado_aprendiz",
+)
+
+
 def programme_courses(t: LmsTables, p: dict, s: Settings) -> DataFrame:
     """Courses of the programme report, by everything but student state."""
     made, start, end = F.col("course_created"), F.col("startdate"), F.col("enddate")
@@ -294,7 +326,8 @@ def fichas_programas(t: LmsTables, params: Params = None, s: Settings = Settings
     if p["estado_aprendiz"] is not None:
         home = home.join(courses_with_student_state(t, p["estado_aprendiz"], s), "course_id", "left_semi")
     counts = ["teachers_active", "students_active", "teachers_inactive", "students_inactive"]
-    df = home.join(enrolments.role_counts(t, s), "course_id", "left").na.fill(0, counts)
+    few = facts(t, p, home, more=PROGRAMME_FILTERS)
+    df = home.join(enrolments.role_counts(few, s), "course_id", "left").na.fill(0, counts)
     df = _course_dates(df, s).select(
         "*",
         stamp_or(made, s.report_tz, L.UNSET_DATE).alias("created_text"),
@@ -356,9 +389,11 @@ def _usage_courses(t: LmsTables, p: dict, s: Settings, whole_code: bool) -> Data
 def _usage_report(t: LmsTables, params: Params, s: Settings, simple: bool) -> DataFrame:
     p = Q.clean("uso_herramientas", params)
     period = tools.Period(p["fecha_desde"], p["fecha_hasta"], s.report_tz)
-    usage = tools.usage_pivot(tools.tool_usage(t, s, period, p["hora_consulta"], simple))
+    home = _usage_courses(t, p, s, whole_code=simple)
+    few = facts(t, p, home, more=("hora_grupo", "fecha_inicio", "fecha_fin", "rol_usuario"))
+    usage = tools.usage_pivot(tools.tool_usage(few, s, period, p["hora_consulta"], simple))
     cells = [c for c in usage.columns if c != "course_id"]
-    df = _usage_courses(t, p, s, whole_code=simple).join(usage, "course_id", "left").na.fill(0, cells)
+    df = home.join(usage, "course_id", "left").na.fill(0, cells)
     return df.withColumn("notification_users", F.lit(0)).withColumn("notification_items", F.lit(0))
 
 
@@ -393,11 +428,12 @@ def _participation(t: LmsTables, params: Params, s: Settings, creations: bool) -
         .contains("nombres_apellidos", F.col("person"))
         .df
     )
-    base = _optional(enrolments.with_dates(t), p, s).equals("estado_aprendiz", F.col("group_state")).df
-    measured = tools.participation(t, tools.Period(p["fecha_desde"], p["fecha_hasta"], s.report_tz), creations)
+    few = facts(t, p, home, persons, more=("fecha_inicio", "fecha_fin"))
+    base = _optional(enrolments.with_dates(few), p, s).equals("estado_aprendiz", F.col("group_state")).df
+    measured = tools.participation(few, tools.Period(p["fecha_desde"], p["fecha_hasta"], s.report_tz), creations)
     df = base.join(measured, PAIR, "left").na.fill(0, list(MEASURE_NAMES))
     df = (
-        _optional(_with_roles(df, t), p, s)
+        _optional(_with_roles(df, few), p, s)
         .contains("rol_usuario", F.coalesce("role_shortnames", F.lit("")), F.col("role_text"))
         .df
     )
@@ -443,8 +479,9 @@ def time_base(t: LmsTables, p: dict, s: Settings) -> DataFrame:
         .equals("estado_usuario", F.col("user_state"))
         .df
     )
+    few = facts(t, p, home, persons, more=("fecha_inicio", "fecha_fin"))
     df = (
-        _optional(_with_roles(enrolments.by_user_status(t), t), p, s)
+        _optional(_with_roles(enrolments.by_user_status(few), few), p, s)
         .contains("rol_usuario", F.coalesce("role_shortnames", F.lit("")))
         .df
     )
@@ -456,17 +493,18 @@ def tiempo_permanencia(
 ) -> DataFrame:
     """Share of estimated time per tool, for users with any time in a course.
 
-    When a filter narrows the pairs, the log is cut down to them before the gap
-    windows; otherwise that extra pass over the log would remove nothing.
+    When a filter narrows the pairs, both readings of the log are cut down to them
+    first; otherwise that extra pass over the log would remove nothing.
     """
     p = Q.clean("tiempo_permanencia", params)
     base = time_base(t, p, s)
-    narrowed = any(p[name] is not None for name in _NARROWING)
+    narrowed_by_filters = is_set(p, _NARROWING)
     instances = timeontask.per_instance(
-        t, s, p["fecha_desde"], p["fecha_hasta"], base if narrowed else None, strict_context
+        t, s, p["fecha_desde"], p["fecha_hasta"], base if narrowed_by_filters else None, strict_context
     )
     spent = timeontask.pivoted(timeontask.per_tool(t, instances)).filter(F.col("sec_total") > 0)
-    seen = access.distinct_view_times(t, s, p["fecha_desde"], p["fecha_hasta"])
+    pairs = base.select(*PAIR) if narrowed_by_filters else None
+    seen = access.distinct_view_times(t, s, p["fecha_desde"], p["fecha_hasta"], pairs)
     df = base.join(spent, PAIR).join(seen, PAIR, "left").na.fill(0, ["accesses"])
     df = _course_dates(df, s, null_is_unset=False, plain_start=True).select(
         "*",
@@ -524,12 +562,11 @@ def _sessions(t: LmsTables, params: Params, s: Settings, record_flag: bool) -> D
     if p["nombres_apellidos"] is not None:
         test = online.name_test(p["nombres_apellidos"], raw)
         held = held.join(online.with_person(t, test), "session_id", "left_semi")
-    taped = online.recorded(t).withColumn("has_recording", F.lit(True))
-    df = (
-        held.join(home, "course_id")
-        .join(online.stats(t, identified_only=record_flag), "session_id", "left")
-        .join(taped, "session_id", "left")
-    )
+    chosen = held.join(home, "course_id")
+    # Any parameter of this report selects sessions; attendance is counted for these alone.
+    only = chosen.select("session_id") if is_set(p, p) else None
+    taped = online.recorded(t, only).withColumn("has_recording", F.lit(True))
+    df = chosen.join(online.stats(t, record_flag, only), "session_id", "left").join(taped, "session_id", "left")
     has = F.coalesce("has_recording", F.lit(False))
     if record_flag:
         has = has | F.coalesce(F.col("record") == 1, F.lit(False))

@@ -101,7 +101,8 @@ def fichas_roles_outer(t: LmsTables, params: Params = None, s: Settings = Settin
         found = enrolled.join(students, PAIR, "left_semi").select("course_id").distinct()
         home = home.join(found, "course_id", "left_semi")
     counts = ["teachers_active", "students_active", "teachers_inactive", "students_inactive"]
-    df = home.join(enrolments.role_counts_outer(t), "course_id", "left").na.fill(0, counts)
+    few = R.facts(t, p, home, more=R.PROGRAMME_FILTERS)
+    df = home.join(enrolments.role_counts_outer(few), "course_id", "left").na.fill(0, counts)
     df = R._course_dates(df, s, null_is_unset=False, plain_start=True).select(
         "*",
         F.lit(L.NOT_AVAILABLE).alias("program_state"),
@@ -120,7 +121,8 @@ def matriculas_activas(t: LmsTables, params: Params = None, s: Settings = Settin
     """One row per active enrolment of active users."""
     p = Q.clean("matriculas_lms", params)
     home = R.enrolment_courses(t, p, s)
-    rows = enrolments.rows(t).filter((F.col("status") == 0) & (F.col("method_status") == 0))
+    few = R.facts(t, p, home, more=("fecha_inicio", "fecha_fin"))
+    rows = enrolments.rows(few).filter((F.col("status") == 0) & (F.col("method_status") == 0))
     bounds = epoch_range(p["fecha_desde"], p["fecha_hasta"], s.report_tz)
     test = overlaps(F.col("timestart"), F.col("timecreated"), F.col("timeend"), bounds)
     if test is not None:
@@ -133,7 +135,7 @@ def matriculas_activas(t: LmsTables, params: Params = None, s: Settings = Settin
         stamp_or(F.col("timeend"), s.report_tz, L.UNSET_DATE).alias("left_text"),
     )
     active = R._people(t, X.DOCUMENT_KINDS_WITH_TI).filter((F.col("deleted") == 0) & (F.col("suspended") == 0))
-    rows = join_spread(rows, people.roles_by_user_course(t), F.col("enrolment_id"), "left")
+    rows = join_spread(rows, people.roles_by_user_course(few), F.col("enrolment_id"), "left")
     rows = rows.withColumn("role_text", F.coalesce("role_names", F.lit("Sin rol asignado")))
     df = R._optional(rows, p, s).contains("rol_usuario", F.col("role_shortnames")).df
     df = df.join(home, "course_id").join(active, "userid")
@@ -152,25 +154,26 @@ def registro_por_matricula(t: LmsTables, params: Params = None, s: Settings = Se
         .until("fecha_fin", F.col("enddate"), must_be_set=True)
         .df
     )
-    rows = enrolments.rows(t).select(
+    persons = (
+        R._optional(R._people(t, X.DOCUMENT_KINDS).filter(F.col("deleted") == 0), p, s)
+        .contains("identificacion", F.col("username"))
+        .contains("nombres_apellidos", F.col("person"))
+        .df
+    )
+    few = R.facts(t, p, home, persons, more=("fecha_inicio", "fecha_fin"))
+    rows = enrolments.rows(few).select(
         F.col("id").alias("enrolment_id"),
         *PAIR,
         F.when(F.col("status") == 0, "Activa").otherwise("Suspendida").alias("enrolment_state"),
     )
     rows = R._optional(rows, p, s).equals("estado_aprendiz", F.col("enrolment_state")).df
-    seen = access.course_access(t, s, hour=p["hora"], target=None)
+    seen = access.course_access(few, s, hour=p["hora"], target=None)
     # One entry per pair with access counts and roles; without an hour filter
     # pairs that have roles but no access are kept too.
-    known = seen.join(people.roles_by_user_course(t), PAIR, "left" if p["hora"] is not None else "full")
+    known = seen.join(people.roles_by_user_course(few), PAIR, "left" if p["hora"] is not None else "full")
     df = join_spread(rows, known, F.col("enrolment_id"), "inner" if p["hora"] is not None else "left")
     df = df.withColumn("role_text", F.coalesce("role_names", F.lit("Sin rol asignado")))
     df = R._optional(df, p, s).contains("rol_usuario", F.col("role_shortnames")).df
-    persons = (
-        R._optional(R._people(t, X.DOCUMENT_KINDS).filter(F.col("deleted") == 0), p, s)
-        .contains("identificacion", F.col("username"))
-        .contains("nombres_apellidos", F.col("person"))
-        .df
-    )
     df = df.join(home, "course_id").join(persons, "userid").na.fill(0, ["access_days", "accesses"])
     df = R._course_dates(df, s).select(
         "*",

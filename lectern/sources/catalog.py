@@ -62,6 +62,10 @@ class LmsTables:
         other._seen = self._seen
         return other
 
+    def derived(self, loader: Callable[[str], DataFrame]) -> "LmsTables":
+        """A catalogue with the same choice of log over other tables."""
+        return LmsTables(self.spark, loader, self._log_table)
+
     def register_views(self, *names: str) -> None:
         for name in names or SCHEMAS:
             self.table(name).createOrReplaceTempView(name)

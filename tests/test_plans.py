@@ -115,3 +115,42 @@ def test_event_ties_do_not_matter(spark, settings):
 
     got = {r.created_userid: r.creator_name for r in people.creators(t).collect()}
     assert got == {4: "A B", 5: " "}
+
+
+NARROWING = {
+    "registro_usuarios": {"codigo_ficha": "12"},
+    "matriculas_lms": {"nombre_ficha": "a"},
+    "fichas_programas": {"nivel": "t"},
+    "uso_herramientas": {"codigo_ficha": "12"},
+    "participacion_herramientas": {"nombres_apellidos": "a"},
+    "tiempo_permanencia": {"codigo_ficha": "12"},
+    "sesiones_online": {"nombre_ficha": "a"},
+}
+FACT_COLUMNS = ("contextlevel", "enrolid", "timestart", "bigbluebuttonbnid")
+
+
+def _facts_under_semi_join(df) -> tuple[int, int]:
+    """Fact scans of the optimized plan, and those with a semi join above them and no aggregate between."""
+    found = kept = 0
+    above: list[tuple[int, str]] = []
+    for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        above = [(d, x) for d, x in above if d < depth]
+        if "Relation" in line and any(c in line for c in FACT_COLUMNS):
+            found += 1
+            for _, x in reversed(above):
+                if x.startswith("Aggregate") or x.startswith("Window"):
+                    break
+                if x.startswith("Join LeftSemi"):
+                    kept += 1
+                    break
+        above.append((depth, line.lstrip(" :+-")))
+    return found, kept
+
+
+@pytest.mark.parametrize("name", sorted(NARROWING))
+def test_filters_reach_the_facts(spark, settings, name):
+    t = LmsTables.staged(spark, SMALL)
+    _, plain = _facts_under_semi_join(REPORTS[name](t, None, settings))
+    found, kept = _facts_under_semi_join(REPORTS[name](t, NARROWING[name], settings))
+    assert found and kept > plain
