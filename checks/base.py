@@ -340,7 +340,10 @@ RELATIONS: dict[str, str] = {
         group by 1""",
     "x_login_day": f"""
         select {day('timecreated')} as fecha, userid, courseid, count(*) as ingresos,
-          min(timecreated) as primer_ts, max(timecreated) as ultimo_ts
+          min(timecreated) as primer_ts, max(timecreated) as ultimo_ts,
+          count(*) filter (where target = 'course') as vistas_curso,
+          min(timecreated) filter (where target = 'course') as primera_vista,
+          max(timecreated) filter (where target = 'course') as ultima_vista
         from lg where userid > 0 and courseid is not null and action = 'viewed' group by 1, 2, 3""",
 }
 

@@ -42,12 +42,6 @@ check(
     lambda t: rollups.estimated_time_day(t.with_log("mdl_logstore_dense"), S),
     _time_sql("mdl_logstore_dense"),
 )
-check(
-    "rollup_user_course_day",
-    lambda t: rollups.user_course_day(t, S, "2024-01-15"),
-    """select date '2024-01-15' as fecha, userid, course_id as courseid, enrolment_state as estado_matricula, role_shortnames as rol_shortnames
-       from x_any left join x_roles using (userid, course_id)""",
-)
 check(
     "rollup_traffic_hour",
     lambda t: rollups.traffic_hour(t, S),
@@ -80,7 +74,9 @@ def _two_runs(t: LmsTables) -> rollups.Store:
     return store
 
 
-_COLUMNS = ["fecha", "userid", "courseid", "ingresos", "primer_ts", "ultimo_ts"]
+_COLUMNS = [
+    "fecha", "userid", "courseid", "ingresos", "primer_ts", "ultimo_ts", "vistas_curso", "primera_vista", "ultima_vista",
+]
 check(
     "rollup_idempotent",
     lambda t: _two_runs(t).read("login_day").select(*_COLUMNS),
@@ -96,15 +92,17 @@ check(
 def _late(t: LmsTables) -> "rollups.DataFrame":
     """Events with an objectid over 90 arrive a day late, over 95 ten days late.
 
-    Three runs see only what has arrived by then; each redoes two days.
+    Three runs see only what has arrived by then. Ids grow with arrival, as in a
+    database; the last run must have repaired every day.
     """
     store = _store(t, "late")
     delay = F.when(F.col("objectid") > 95, 10).when(F.col("objectid") > 90, 1).otherwise(0)
+    arrival = F.date_add(rollups.day_of(S), delay)
+    log = t.log.withColumn("id", F.unix_date(arrival).cast("bigint") * 10**10 + F.col("id"))
     for today in (date(2024, 1, 11), date(2024, 1, 21), date(2024, 1, 31)):
-        arrived = F.date_add(rollups.day_of(S), delay) < F.lit(today)
         seen = LmsTables(
             t.spark,
-            lambda name, t=t, arrived=arrived: t.log.filter(arrived)
+            lambda name, today=today: log.filter(arrival < F.lit(today))
             if name == "mdl_logstore_standard_log"
             else t.table(name),
         )
@@ -112,22 +110,49 @@ def _late(t: LmsTables) -> "rollups.DataFrame":
     return store.read("tool_activity_day").select("fecha", "userid", "courseid", "herramienta", "cantidad")
 
 
-_LATE_LOG = f"""
-    select l.*, {day('l.timecreated')} + cast(case when objectid > 95 then 10 when objectid > 90 then 1 else 0 end as integer) as arrives,
-      {day('l.timecreated')} as fecha from lg l where l.userid > 0 and l.courseid is not null and l.contextlevel = 70"""
+_ARRIVED = f"""
+    (select * from lg where {day('timecreated')} <= date '2024-01-30' and {day('timecreated')}
+       + cast(case when objectid > 95 then 10 when objectid > 90 then 1 else 0 end as integer) < date '2024-01-31')"""
 check(
     "rollup_late_data",
     _late,
-    f"""select fecha, userid, courseid, herramienta, count(*) as cantidad from (
-          select l.fecha, l.userid, l.courseid,
-            case when m.tool = 'foro' and l.objecttable = 'forum_posts' and l.action = 'created' then 'comentario' else m.tool end as herramienta
-          from ({_LATE_LOG}) l join x_tool m on m.module_id = l.contextinstanceid
-          where l.fecha <= date '2024-01-30' and l.arrives < case when l.fecha < date '2024-01-08' then date '2024-01-11'
-            when l.fecha < date '2024-01-18' then date '2024-01-21' else date '2024-01-31' end) z
+    f"""select fecha, userid, courseid, herramienta, count(*) as cantidad from ({ACTIVITY.replace('from lg l', f'from {_ARRIVED} l')}) z
         where herramienta in ({TOOL_LIST}) group by 1, 2, 3, 4""",
 )
 
 
+def _emptied(t: LmsTables):
+    """The log loses its rows of some days between two runs over them."""
+    store = _store(t, "emptied")
+    rollups.run_daily(t, S, store, "traffic_hour", date(2024, 1, 11), START)
+    gone = rollups.day_of(S).isin(date(2024, 1, 9), date(2024, 1, 10))
+    fewer = LmsTables(t.spark, lambda name: t.log.filter(~gone) if name == "mdl_logstore_standard_log" else t.table(name))
+    rollups.run_daily(fewer, S, store, "traffic_hour", date(2024, 1, 11), START)
+    return store.read("traffic_hour").select("fecha", "hora", "courseid", "usuarios_unicos")
+
+
+check(
+    "rollup_emptied_day",
+    _emptied,
+    f"""select {day('timecreated')} as fecha, {part('hour', local('timecreated'))} as hora, courseid, count(distinct userid) as usuarios_unicos
+        from lg where userid > 0 and courseid is not null and action = 'viewed' and {day('timecreated')} <= date '2024-01-08' group by 1, 2, 3""",
+)
+
+
+def _backfilled_mark(t: LmsTables):
+    """Loading old days again leaves the watermark where the daily runs put it."""
+    store = _two_runs(t)
+    rollups.backfill(t, S, store, "login_day", date(2024, 1, 1), date(2024, 1, 5))
+    return store.watermarks()
+
+
+check(
+    "rollup_backfill_watermark",
+    _backfilled_mark,
+    f"select 'login_day' as job_name, date '2024-01-30' as last_full_date from lg limit 1",
+)
+
+
 def _backfill(t: LmsTables):
     store = _store(t, "backfill")
     rollups.backfill(t, S, store, "traffic_hour", START, date(2024, 1, 30))
@@ -151,6 +176,28 @@ def _filled(t: LmsTables) -> rollups.Store:
 check("report_from_rollup", lambda t: rollups.access_from_rollup(_filled(t)), "select * from x_access_any")
 
 
+check(
+    "registro_from_rollup",
+    lambda t: rollups.course_access_from_rollup(_filled(t)),
+    "select * from x_access",
+)
+
+
+def _snapshot(t: LmsTables):
+    store = _store(t, "snapshot")
+    for _ in range(2):
+        rollups.run_daily(t, S, store, "user_course_day", date(2024, 1, 16), START)
+    return store.read("user_course_day").select("fecha", "userid", "courseid", "estado_matricula", "rol_shortnames")
+
+
+check(
+    "rollup_user_course_day",
+    _snapshot,
+    """select date '2024-01-15' as fecha, userid, course_id as courseid, enrolment_state as estado_matricula, role_shortnames as rol_shortnames
+       from x_any left join x_roles using (userid, course_id)""",
+)
+
+
 def _filled_with(t: LmsTables, job: str) -> rollups.Store:
     store = _store(t, job)
     rollups.backfill(t, S, store, job, START, date(2024, 1, 30))
@@ -193,30 +240,23 @@ def stream_check(key: str, run, sql: str) -> None:
     CHECKS[key] = Check(run, compose(sql))
 
 
-# A window is final once it ends at or before the newest event minus two days.
-_FINAL = f"(select max({local('timecreated')}) - interval 2 day from lg where userid > 0 and courseid is not null and action = 'viewed')"
+def _streamed(job: str, *columns: str):
+    def run(spark, sf_dir: str):
+        t = LmsTables.staged(spark, sf_dir)
+        return streams.run_replace_job(_stream_log(spark, sf_dir), t, S, job).select(*columns)
+
+    return run
+
+
+stream_check("stream_login_day", _streamed("login_day", *_COLUMNS), "select * from x_login_day")
 stream_check(
-    "stream_login_day",
-    lambda spark, sf: streams.run_window_job(streams.login_day(_stream_log(spark, sf), S), "login_day"),
-    f"select * from x_login_day where fecha + interval 1 day <= {_FINAL}",
+    "stream_traffic_hour",
+    _streamed("traffic_hour", "fecha", "hora", "courseid", "usuarios_unicos"),
+    f"""select {day('timecreated')} as fecha, {part('hour', local('timecreated'))} as hora, courseid, count(distinct userid) as usuarios_unicos
+        from lg where userid > 0 and courseid is not null and action = 'viewed' group by 1, 2, 3""",
 )
 stream_check(
-    "stream_traffic_hour",
-    lambda spark, sf: streams.run_window_job(streams.traffic_hour(_stream_log(spark, sf), S), "traffic_hour"),
-    f"""select cast(h as date) as fecha, {part('hour', 'h')} as hora, courseid, count(distinct userid) as usuarios_unicos
-        from (select date_trunc('hour', {local('timecreated')}) as h, courseid, userid from lg
-              where userid > 0 and courseid is not null and action = 'viewed') z
-        where h + interval 1 hour <= {_FINAL} group by h, courseid""",
+    "stream_estimated_time_day",
+    _streamed("estimated_time_day", "fecha", "userid", "courseid", "herramienta", "segundos"),
+    _time_sql("lg"),
 )
-
-
-def _stream_replace(spark, sf_dir: str):
-    t = LmsTables.staged(spark, sf_dir)
-    store = _store(t, "stream")
-    streams.replace_job(
-        _stream_log(spark, sf_dir), t, S, store, ("estimated_time_day",), scratch_path(spark, "checkpoint")
-    )
-    return store.read("estimated_time_day").select("fecha", "userid", "courseid", "herramienta", "segundos")
-
-
-stream_check("stream_estimated_time_day", _stream_replace, _time_sql("lg"))

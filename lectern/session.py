@@ -20,6 +20,8 @@ BASE_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.parquet.filterPushdown": "true",
+    # State of streams on local disk with checkpoints, not in executor memory.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -43,8 +45,9 @@ def prepare(spark: SparkSession) -> None:
         "spark.sql.adaptive.enabled",
         "spark.sql.adaptive.skewJoin.enabled",
         "spark.sql.adaptive.forceOptimizeSkewedJoin",
+        "spark.sql.streaming.stateStore.providerClass",
     ):
-        if spark.conf.get(key) != BASE_CONF[key]:
+        if spark.conf.get(key, None) != BASE_CONF[key]:
             spark.conf.set(key, BASE_CONF[key])
 
 

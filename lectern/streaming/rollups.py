@@ -1,16 +1,19 @@
 """Summary tables per local day, and the job that keeps them up to date.
 
 Each builder reads a range of whole days of the log and gives one row per grain.
-The job replaces whole days, so running it twice changes nothing.
+The job replaces whole days, so running it twice changes nothing. A run also
+rebuilds every older day that rows new in the log belong to, however late.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.functions import labels as L
 from lectern.functions.times import local_date, local_ts
@@ -21,12 +24,12 @@ from lectern.sources import LmsTables
 PAIR = ["userid", "course_id"]
 GRAIN = ["fecha", "userid", "courseid"]
 
-# Tools counted in the activity table, and the late-data window.
+# Tools counted in the activity table, and the days that a run always redoes.
 ACTIVITY_TOOLS = (
     "wiki", "encuesta", "evaluacion", "evidencia", "blog", "anuncio", "foro", "comentario", "scorm", "sesion",
     "chat",
 )
-LATE_DAYS = 2
+REDONE_DAYS = 2
 
 
 def day_of(s: Settings) -> Column:
@@ -46,20 +49,18 @@ def views(t: LmsTables, s: Settings, since: str | None, until: str | None) -> Da
 
 
 def login_day(t: LmsTables, s: Settings, since: str | None = None, until: str | None = None) -> DataFrame:
-    """Views per day, user and course, with first and last time."""
+    """Views per day, user and course, with first and last time; views of the course itself apart."""
+    own = F.when(F.col("target") == "course", F.col("timecreated"))
     return views(t, s, since, until).groupBy(*GRAIN).agg(
         F.count("*").alias("ingresos"),
         F.min("timecreated").alias("primer_ts"),
         F.max("timecreated").alias("ultimo_ts"),
+        F.count(own).alias("vistas_curso"),
+        F.min(own).alias("primera_vista"),
+        F.max(own).alias("ultima_vista"),
     )
 
 
-def activity_tool(module_tool: Column, objecttable: Column, action: Column) -> Column:
-    """Tool of an activity event; a post written in a forum is a comment."""
-    comment = (module_tool == "foro") & (objecttable == "forum_posts") & (action == "created")
-    return F.when(comment, "comentario").otherwise(module_tool)
-
-
 def tool_activity_day(t: LmsTables, s: Settings, since: str | None = None, until: str | None = None) -> DataFrame:
     """Module events per day, user, course and tool.
 
@@ -164,6 +165,22 @@ BUILDERS: dict[str, Callable[..., DataFrame]] = {
 }
 
 
+# Snapshots say how things stand on the day of the run; they can't be rebuilt later.
+SNAPSHOTS: dict[str, Callable[[LmsTables, Settings, str], DataFrame]] = {"user_course_day": user_course_day}
+
+SCHEMAS: dict[str, str] = {
+    "login_day": "userid bigint, courseid bigint, ingresos bigint, primer_ts bigint, ultimo_ts bigint,"
+    " vistas_curso bigint, primera_vista bigint, ultima_vista bigint, fecha date",
+    "tool_activity_day": "userid bigint, courseid bigint, herramienta string, cantidad bigint, fecha date",
+    "estimated_time_day": "userid bigint, courseid bigint, herramienta string, segundos bigint, fecha date",
+    "traffic_hour": "hora int, courseid bigint, usuarios_unicos bigint, fecha date",
+    "login_dim_day": "courseid bigint, so string, navegador string, pais string, ciudad string,"
+    " ingresos_unicos bigint, fecha date",
+    "user_course_day": "userid bigint, courseid bigint, estado_matricula string, rol_shortnames string, fecha date",
+}
+_MARK = "last_full_date date, last_id bigint, job_name string"
+
+
 # -- the job --------------------------------------------------------------------
 
 
@@ -176,69 +193,106 @@ class Store:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def exists(self, name: str) -> bool:
-        try:
-            self.spark.read.parquet(self.path(name)).schema
-            return True
-        except Exception as error:  # AnalysisException: the path is not there yet
-            if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-                return False
-            raise
+    def _fs(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
 
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+    def _read(self, name: str, schema: str) -> DataFrame:
+        """A table that may have no file yet: it has no rows then."""
+        fs, where = self._fs(self.path(name))
+        if not fs.exists(where):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self.path(name))
 
-    def replace_days(self, name: str, rows: DataFrame) -> None:
-        """Replace exactly the days present in ``rows``.
+    def read(self, name: str) -> DataFrame:
+        return self._read(name, SCHEMAS[name])
 
-        A day that has lost all its events keeps its old rows; the log only
-        drops days far older than the ones a run redoes.
+    def replace_days(self, name: str, rows: DataFrame, since: date, until: date) -> None:
+        """Make the days of an inclusive range hold exactly ``rows``; other days stay.
 
-        Rows are rebalanced by day before the write: small days share a task,
-        a heavy day is split over several, and no day folder gets tiny files.
+        The rows are written beside the table first. Days with rows are then
+        swapped in by dynamic overwrite, days that have none any more are removed.
+        Rows are rebalanced by day before the write: small days share a task, a
+        heavy day is split over several, and no day folder gets tiny files.
         """
-        (
-            rows.hint("rebalance", F.col("fecha"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("fecha")
-            .parquet(self.path(name))
-        )
-
-    # The watermark table holds one row per job, in one folder per job.
+        aside = self.path(f"_{name}-{uuid.uuid4().hex}")
+        schema = T._parse_datatype_string(SCHEMAS[name])
+        shaped = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+        shaped.hint("rebalance", F.col("fecha")).write.partitionBy("fecha").parquet(aside)
+        fresh = self.spark.read.schema(schema).parquet(aside)
+        fresh.hint("rebalance", F.col("fecha")).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy("fecha").parquet(self.path(name))
+        day = since
+        while day <= until:
+            fs, new = self._fs(f"{aside}/fecha={day.isoformat()}")
+            _, old = self._fs(f"{self.path(name)}/fecha={day.isoformat()}")
+            if not fs.exists(new) and fs.exists(old):
+                fs.delete(old, True)
+            day += timedelta(days=1)
+        fs, where = self._fs(aside)
+        fs.delete(where, True)
+
+    # The watermark table gets a row per run and job; the newest values count, so
+    # neither a crash nor an older run can take a watermark back.
+
+    def marks(self) -> DataFrame:
+        return self._read("watermark", _MARK)
+
+    def last_run(self, job: str) -> tuple[date | None, int | None]:
+        """Last day consolidated and last log id seen."""
+        row = self.marks().filter(F.col("job_name") == job).agg(F.max("last_full_date"), F.max("last_id")).first()
+        return row[0], row[1]
 
     def last_full_date(self, job: str) -> date | None:
-        name = f"watermark/job_name={job}"
-        if not self.exists(name):
-            return None
-        return self.read(name).agg(F.max("last_full_date")).first()[0]
+        return self.last_run(job)[0]
 
-    def set_last_full_date(self, job: str, day: date) -> None:
-        row = self.spark.createDataFrame([(day,)], "last_full_date date")
-        row.coalesce(1).write.mode("overwrite").parquet(self.path(f"watermark/job_name={job}"))
+    def note_run(self, job: str, day: date, last_id: int | None) -> None:
+        row = self.spark.createDataFrame([(day, last_id, job)], _MARK)
+        row.coalesce(1).write.mode("append").partitionBy("job_name").parquet(self.path("watermark"))
 
     def watermarks(self) -> DataFrame:
-        return self.read("watermark").select("job_name", "last_full_date")
+        return self.marks().groupBy("job_name").agg(F.max("last_full_date").alias("last_full_date"))
 
 
 def run_range(t: LmsTables, s: Settings, store: Store, job: str, since: date, until: date) -> None:
     rows = BUILDERS[job](t, s, since.isoformat(), until.isoformat())
-    store.replace_days(job, rows)
+    store.replace_days(job, rows, since, until)
+
+
+def newest_id(t: LmsTables) -> int | None:
+    return t.log.agg(F.max("id")).first()[0]
+
+
+def late_days(t: LmsTables, s: Settings, after: int, upto: int, before: date) -> list[date]:
+    """Days before ``before`` that rows with ids in (after, upto] belong to; only these days reach the driver."""
+    rows = t.log.filter((F.col("id") > after) & (F.col("id") <= upto))
+    days = rows.select(day_of(s).alias("fecha")).filter(F.col("fecha") < F.lit(before)).distinct()
+    return [r.fecha for r in days.orderBy("fecha").collect()]
 
 
 def run_daily(t: LmsTables, s: Settings, store: Store, job: str, today: date, history_start: date) -> None:
-    """Consolidate up to yesterday, redoing the last days for late events.
+    """Consolidate up to yesterday, with every older day that late rows belong to.
 
-    The watermark moves only after the days are written; a crash in between
-    makes the next run redo the same days.
+    Ids of the log grow as rows arrive, so rows above the last id seen are new,
+    whatever their day. The run is noted only after the days are written; a crash
+    in between makes the next run redo the same days.
     """
-    done = store.last_full_date(job)
-    since = history_start if done is None else done - timedelta(days=LATE_DAYS)
     until = today - timedelta(days=1)
-    if until < since:
+    if job in SNAPSHOTS:
+        store.replace_days(job, SNAPSHOTS[job](t, s, until.isoformat()), until, until)
+        store.note_run(job, until, None)
         return
-    run_range(t, s, store, job, since, until)
-    store.set_last_full_date(job, until)
+    done, seen = store.last_run(job)
+    newest = newest_id(t)
+    since = history_start if done is None else done - timedelta(days=REDONE_DAYS)
+    days = [] if newest is None or done is None else late_days(t, s, -1 if seen is None else seen, newest, since)
+    for first, last in day_ranges([d for d in days if d >= history_start]):
+        run_range(t, s, store, job, first, last)
+    if until >= since:
+        run_range(t, s, store, job, since, until)
+    if done is None or until >= done:
+        store.note_run(job, until, newest)
 
 
 def months(since: date, until: date) -> Iterator[tuple[date, date]]:
@@ -260,10 +314,18 @@ def day_ranges(days: list[date]) -> Iterator[tuple[date, date]]:
 
 
 def backfill(t: LmsTables, s: Settings, store: Store, job: str, since: date, until: date) -> None:
-    """Load history month by month; each month is one distributed job."""
+    """Load history month by month; each month is one distributed job.
+
+    The watermark rises only where the range joins on to what is loaded, so it never
+    passes over days that weren't; it never falls. Rows that arrive meanwhile are
+    late rows to the next daily run.
+    """
+    done, seen = store.last_run(job)
+    newest = newest_id(t) if done is None else seen
     for first, last in months(since, until):
         run_range(t, s, store, job, first, last)
-    store.set_last_full_date(job, until)
+    if done is None or (since <= done + timedelta(days=1) and until > done):
+        store.note_run(job, until, newest)
 
 
 # -- reports from the summary tables ----------------------------------------------
@@ -289,6 +351,21 @@ def access_from_rollup(store: Store, since: str | None = None, until: str | None
     )
 
 
+def course_access_from_rollup(store: Store, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Views of the course itself per user and course: what the enrolled-user report counts."""
+    return (
+        _days(store, "login_day", since, until)
+        .filter(F.col("vistas_curso") > 0)
+        .groupBy(*PAIR)
+        .agg(
+            F.count("fecha").alias("access_days"),
+            F.sum("vistas_curso").alias("accesses"),
+            F.min("primera_vista").alias("first_access"),
+            F.max("ultima_vista").alias("last_access"),
+        )
+    )
+
+
 def tools_from_rollup(store: Store, since: str | None = None, until: str | None = None) -> DataFrame:
     """Module events per user, course and tool."""
     return (

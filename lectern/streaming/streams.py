@@ -1,9 +1,9 @@
 """Structured Streaming jobs that feed the summary tables.
 
-Two ways are offered. ``window_job`` keeps running event-time state with a
-watermark and appends a day once it is final. ``replace_job`` keeps no state:
-each micro-batch names the days it touched and these days are rebuilt from the
-log table, which also repairs days hit by late events.
+Each micro-batch of the log names the days it touched, and these days are rebuilt
+from the log table. So the tables equal those of the batch job at any time: the
+open day is there, and a day hit by late events is repaired however old it is. No
+state is kept between batches.
 """
 
 from __future__ import annotations
@@ -11,76 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.times import local_ts
 from lectern.session import scratch_path
 from lectern.settings import Settings
 from lectern.sources import LmsTables
 from lectern.streaming import rollups
 
-WATERMARK = f"{rollups.LATE_DAYS} days"
-
-
-def viewed_stream(log: DataFrame, s: Settings) -> DataFrame:
-    """Views of a streaming log with their local event time and watermark."""
-    return (
-        log.filter((F.col("userid") > 0) & F.col("courseid").isNotNull() & (F.col("action") == "viewed"))
-        .withColumn("event_time", local_ts(F.col("timecreated"), s.report_tz))
-        .withWatermark("event_time", WATERMARK)
-    )
-
-
-def login_day(log: DataFrame, s: Settings) -> DataFrame:
-    """Streaming form of the daily views table."""
-    return (
-        viewed_stream(log, s)
-        .groupBy(F.window("event_time", "1 day"), "userid", "courseid")
-        .agg(
-            F.count("*").alias("ingresos"),
-            F.min("timecreated").alias("primer_ts"),
-            F.max("timecreated").alias("ultimo_ts"),
-        )
-        .select(F.to_date("window.start").alias("fecha"), "userid", "courseid", "ingresos", "primer_ts", "ultimo_ts")
-    )
-
-
-def traffic_hour(log: DataFrame, s: Settings) -> DataFrame:
-    """Streaming unique users per hour and course: deduplicate, then count.
-
-    Both steps drop their state once the watermark has passed the hour.
-    """
-    once = (
-        viewed_stream(log, s)
-        .select(F.window("event_time", "1 hour").alias("hour_window"), "courseid", "userid")
-        .dropDuplicates(["hour_window", "courseid", "userid"])
-    )
-    return (
-        once.groupBy("hour_window", "courseid")
-        .agg(F.count("*").alias("usuarios_unicos"))
-        .select(
-            F.to_date("hour_window.start").alias("fecha"),
-            F.hour("hour_window.start").alias("hora"),
-            "courseid",
-            "usuarios_unicos",
-        )
-    )
-
-
-def window_job(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Append final windows to a day-partitioned table; stops when input is used up.
-
-    The file sink logs its commits, so a restarted query writes nothing twice.
-    """
-    query = (
-        stream.writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .partitionBy("fecha")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-
 
 def replace_job(
     log: DataFrame, tables: LmsTables, s: Settings, store: rollups.Store, jobs: tuple[str, ...], checkpoint: str
@@ -104,9 +39,9 @@ def replace_job(
     query.awaitTermination()
 
 
-def run_window_job(stream: DataFrame, name: str) -> DataFrame:
-    """Run a window job into the shared folder and read its table."""
-    spark = stream.sparkSession
-    root = scratch_path(spark, name)
-    window_job(stream, f"{root}/table", f"{root}/checkpoint")
-    return spark.read.schema(stream.schema).parquet(f"{root}/table")
+def run_replace_job(log: DataFrame, tables: LmsTables, s: Settings, job: str) -> DataFrame:
+    """Feed one summary table from a stream into the shared folder and read it."""
+    spark = log.sparkSession
+    store = rollups.Store(spark, scratch_path(spark, job))
+    replace_job(log, tables, s, store, (job,), scratch_path(spark, "checkpoint"))
+    return store.read(job)

@@ -68,23 +68,48 @@ def test_report_from_rollup_equals_raw_report(spark, settings):
     assert sorted(map(tuple, raw.select(columns).collect())) == sorted(map(tuple, rolled.select(columns).collect()))
 
 
-def test_stream_waits_for_late_events_and_drops_too_late_ones(spark, settings):
-    """A day is final two days after the newest event; later arrivals are dropped."""
-    root = scratch_path(spark, "arrivals")
+def _days(store, job="login_day"):
+    return sorted((str(r.fecha), r.userid, r.ingresos) for r in store.read(job).collect())
+
+
+def test_late_rows_are_counted_however_late(spark, settings):
+    store = _store(spark)
     day = 86400
-    batches = [
-        [event(1, 5, 2, MIDNIGHT + 60), event(2, 5, 2, MIDNIGHT + day)],
-        [event(3, 5, 2, MIDNIGHT + 120), event(4, 5, 2, MIDNIGHT + 4 * day)],
-        [event(5, 5, 2, MIDNIGHT + 180), event(6, 5, 2, MIDNIGHT + 8 * day)],
-    ]
-    schema = tables(spark).log.schema
-    checkpoint, out = scratch_path(spark, "cp"), scratch_path(spark, "out")
-    for rows in batches:
-        tables(spark, mdl_logstore_standard_log=rows).log.coalesce(1).write.mode("append").parquet(root)
-        log = spark.readStream.schema(schema).parquet(root)
-        streams.window_job(streams.login_day(log, settings), out, checkpoint)
-    got = {str(r.fecha): r.ingresos for r in spark.read.parquet(out).collect()}
-    assert got == {"2024-01-08": 2, "2024-01-09": 1, "2024-01-12": 1}
+    rows = [event(n, 5, 2, MIDNIGHT + n * day) for n in range(20)]
+    rollups.run_daily(tables(spark, mdl_logstore_standard_log=rows), settings, store, "login_day", date(2024, 1, 28), date(2024, 1, 1))
+    rows += [event(100, 6, 2, MIDNIGHT + 60), event(101, 6, 2, MIDNIGHT - 30 * day)]
+    for _ in range(2):
+        t = tables(spark, mdl_logstore_standard_log=rows)
+        rollups.run_daily(t, settings, store, "login_day", date(2024, 1, 28), date(2024, 1, 1))
+        assert _days(store)[:2] == [("2024-01-08", 5, 1), ("2024-01-08", 6, 1)]
+        assert len(_days(store)) == 21  # nothing before the start of history
+
+
+def test_days_that_lose_their_events_are_emptied(spark, settings):
+    store = _store(spark)
+    both = [event(1, 5, 2, MIDNIGHT), event(2, 5, 2, MIDNIGHT + 86400)]
+    for rows in (both, both[:1]):
+        t = tables(spark, mdl_logstore_standard_log=rows)
+        rollups.run_daily(t, settings, store, "login_day", date(2024, 1, 10), date(2024, 1, 8))
+    assert _days(store) == [("2024-01-08", 5, 1)]
+
+
+def test_watermark_never_falls_nor_leaps(spark, settings):
+    store = _store(spark)
+    t = tables(spark, mdl_logstore_standard_log=[event(1, 5, 2, MIDNIGHT)])
+    rollups.run_daily(t, settings, store, "login_day", date(2024, 1, 20), date(2024, 1, 1))
+    for since, until, want in ((1, 5, 19), (25, 28, 19), (18, 22, 22)):
+        rollups.backfill(t, settings, store, "login_day", date(2024, 1, since), date(2024, 1, until))
+        assert store.last_full_date("login_day") == date(2024, 1, want)
+
+
+def test_tables_without_rows_can_be_read(spark, settings):
+    store = _store(spark)
+    t = tables(spark, mdl_logstore_standard_log=[])
+    assert rollups.access_from_rollup(store).collect() == []
+    rollups.run_daily(t, settings, store, "login_day", date(2024, 1, 20), date(2024, 1, 1))
+    assert rollups.access_from_rollup(store).collect() == []
+    assert store.last_full_date("login_day") == date(2024, 1, 19)
 
 
 def test_stream_replace_rebuilds_touched_days(spark, settings):
