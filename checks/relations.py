@@ -82,45 +82,42 @@ check(
 )
 
 
-def _csv(t: LmsTables):
+def _breaks(df):
+    """A value with a line break, quotation marks and a comma in every row."""
+    return df.withColumn("nota", F.concat(F.lit('a "b",\n'), F.col("person")))
+
+
+def _written(t: LmsTables) -> str:
     path = scratch_path(t.spark, "csv")
-    df = _rows(t)
-    export.write_csv_parts(df, _order(), path, "registro", 700, made_at=datetime(2024, 1, 15))
-    return export.read_csv_parts(t.spark, path, df.schema)
+    export.write_csv_parts(
+        _breaks(_rows(t)), _order(), path, "registro", 700, {"regional": "Huila", "nivel": None}, "Registro",
+        datetime(2024, 1, 15),
+    )
+    return path
 
 
 check(
     "export_csv_parts",
-    _csv,
+    lambda t: export.read_csv_parts(t.spark, _written(t), "registro", _breaks(_rows(t)).schema),
     f"""select fullname, role_text, person, cast(course_id as varchar) as course_id, cast(userid as varchar) as userid,
-          enrolment_state, cast(idx // 700 + 1 as integer) as parte from ({_INDEXED}) q""",
+          enrolment_state, 'a "b",' || chr(10) || person as nota, cast(idx // 700 + 1 as integer) as parte from ({_INDEXED}) q""",
+)
+check(
+    "export_heading",
+    lambda t: export.read_heading(t.spark, _written(t), "registro"),
+    f"""select cast(line as integer) as line, text from (values (0, 'Nombre del reporte,Registro'), (1, 'Fecha de generación,2024/01/15'),
+          (2, 'Hora de generación,00:00:00'), (3, 'nivel,Todos'), (4, 'regional,Huila')) v(line, text)
+        where exists (select * from ({_ROWS}) z)""",
 )
-
-
 check(
     "export_manifest",
     lambda t: export.manifest(
         export.part_counts(export.assign_parts(_rows(t), _order(), 700)), "registro", "csv", {}, datetime(2024, 1, 15)
-    ).select(
-        "reporte",
-        "formato",
-        "total_filas",
-        "total_partes",
-        F.array_join(
-            F.transform("filas_por_parte", lambda p: F.concat_ws(":", p["parte"], p["filas"])), ","
-        ).alias("filas_por_parte"),
-        "generado_en",
-    ),
-    f"""select 'registro' as reporte, 'csv' as formato, cast(sum(n) as bigint) as total_filas, count(*) as total_partes,
-          string_agg(parte || ':' || n, ',' order by parte) as filas_por_parte, '2024-01-15T00:00:00' as generado_en
+    ).drop("filtros"),
+    f"""select 'registro' as reporte, 'csv' as formato, cast(parte as integer) as parte, cast(n as bigint) as filas,
+          'registro_parte_' || lpad(cast(parte as varchar), 3, '0') || '.csv' as archivo, '2024-01-15T00:00:00' as generado_en
         from (select idx // 700 + 1 as parte, count(*) as n from ({_INDEXED}) q group by 1) parts""",
 )
-check(
-    "export_format_choice",
-    lambda t: export.format_choice(_rows(t), "xlsx", 1000).unionByName(export.format_choice(_rows(t), "xlsx", 10**9)),
-    f"""select count(*) as filas, 'xlsx' as pedido, case when count(*) >= 1000 then 'csv' else 'xlsx' end as formato from ({_ROWS}) z
-        union all select count(*), 'xlsx', case when count(*) >= 1000000000 then 'csv' else 'xlsx' end from ({_ROWS}) z""",
-)
 check(
     "preview_top50",
     lambda t: R.preview(_rows(t).orderBy(*_order())),

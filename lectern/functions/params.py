@@ -25,32 +25,52 @@ TITLES: dict[str, str] = {
 }
 
 DECLARED: dict[str, tuple[str, ...]] = {
-    name: tuple(text.split())
-    for name, text in {
-        "registro_usuarios": "nivel modalidad regional centro_formacion estado_grupo rol_usuario estado_aprendiz"
-        " origen_datos codigo_ficha nombre_ficha identificacion nombres_apellidos fecha_inicio fecha_fin hora",
-        "ingresos_sistema": "mes semana hora fecha_desde fecha_hasta pais ciudad",
-        "matriculas_lms": "nivel modalidad regional origen_datos estado_grupo rol_usuario centro_formacion"
-        " fecha_desde fecha_hasta codigo_ficha nombre_ficha fecha_inicio fecha_fin",
-        "usuarios_ambiente": "mes anio origen_datos fecha_desde fecha_hasta",
-        "fichas_programas": "nivel modalidad regional centro_formacion estado_grupo_sofia rol_usuario"
-        " estado_aprendiz origen_datos codigo_programa nombre_programa hora_creacion fecha_desde fecha_hasta"
-        " codigo_ficha nombre_ficha hora_grupo fecha_inicio fecha_fin",
-        "trafico_diario": "fecha_desde fecha_hasta origen_datos rango_consulta",
-        "uso_herramientas": "nivel modalidad regional centro_formacion estado_grupo rol_usuario origen_datos"
-        " codigo_programa nombre_programa hora_consulta fecha_desde fecha_hasta codigo_ficha nombre_ficha"
-        " hora_grupo fecha_inicio fecha_fin",
-        "participacion_herramientas": "nivel modalidad regional centro_formacion estado_grupo rol_usuario"
-        " estado_usuario estado_aprendiz codigo_programa nombre_programa origen_datos identificacion"
-        " nombres_apellidos fecha_desde fecha_hasta codigo_ficha nombre_ficha fecha_inicio fecha_fin",
-        "tiempo_permanencia": "nivel modalidad regional centro_formacion estado_grupo rol_usuario"
-        " estado_usuario estado_aprendiz codigo_programa nombre_programa origen_datos identificacion"
-        " nombres_apellidos fecha_desde fecha_hasta codigo_ficha nombre_ficha fecha_inicio fecha_fin",
-        "sesiones_online": "nivel modalidad regional centro_formacion estado_grupo rol_usuario origen_datos"
-        " fecha_desde fecha_hasta codigo_programa nombre_programa codigo_ficha nombre_ficha identificacion"
-        " nombres_apellidos fecha_inicio_grupo_desde fecha_inicio_grupo_hasta fecha_creacion_grupo_desde"
-        " fecha_creacion_grupo_hasta",
-    }.items()
+    "registro_usuarios": (
+        "nivel", "modalidad", "regional", "centro_formacion", "estado_grupo", "rol_usuario", "estado_aprendiz",
+        "origen_datos", "codigo_ficha", "nombre_ficha", "identificacion", "nombres_apellidos", "fecha_inicio",
+        "fecha_fin", "hora",
+    ),
+    "ingresos_sistema": (
+        "mes", "semana", "hora", "fecha_desde", "fecha_hasta", "pais", "ciudad",
+    ),
+    "matriculas_lms": (
+        "nivel", "modalidad", "regional", "origen_datos", "estado_grupo", "rol_usuario", "centro_formacion",
+        "fecha_desde", "fecha_hasta", "codigo_ficha", "nombre_ficha", "fecha_inicio", "fecha_fin",
+    ),
+    "usuarios_ambiente": (
+        "mes", "anio", "origen_datos", "fecha_desde", "fecha_hasta",
+    ),
+    "fichas_programas": (
+        "nivel", "modalidad", "regional", "centro_formacion", "estado_grupo_sofia", "rol_usuario",
+        "estado_aprendiz", "origen_datos", "codigo_programa", "nombre_programa", "hora_creacion", "fecha_desde",
+        "fecha_hasta", "codigo_ficha", "nombre_ficha", "hora_grupo", "fecha_inicio", "fecha_fin",
+    ),
+    "trafico_diario": (
+        "fecha_desde", "fecha_hasta", "origen_datos", "rango_consulta",
+    ),
+    "uso_herramientas": (
+        "nivel", "modalidad", "regional", "centro_formacion", "estado_grupo", "rol_usuario", "origen_datos",
+        "codigo_programa", "nombre_programa", "hora_consulta", "fecha_desde", "fecha_hasta", "codigo_ficha",
+        "nombre_ficha", "hora_grupo", "fecha_inicio", "fecha_fin",
+    ),
+    "participacion_herramientas": (
+        "nivel", "modalidad", "regional", "centro_formacion", "estado_grupo", "rol_usuario", "estado_usuario",
+        "estado_aprendiz", "codigo_programa", "nombre_programa", "origen_datos", "identificacion",
+        "nombres_apellidos", "fecha_desde", "fecha_hasta", "codigo_ficha", "nombre_ficha", "fecha_inicio",
+        "fecha_fin",
+    ),
+    "tiempo_permanencia": (
+        "nivel", "modalidad", "regional", "centro_formacion", "estado_grupo", "rol_usuario", "estado_usuario",
+        "estado_aprendiz", "codigo_programa", "nombre_programa", "origen_datos", "identificacion",
+        "nombres_apellidos", "fecha_desde", "fecha_hasta", "codigo_ficha", "nombre_ficha", "fecha_inicio",
+        "fecha_fin",
+    ),
+    "sesiones_online": (
+        "nivel", "modalidad", "regional", "centro_formacion", "estado_grupo", "rol_usuario", "origen_datos",
+        "fecha_desde", "fecha_hasta", "codigo_programa", "nombre_programa", "codigo_ficha", "nombre_ficha",
+        "identificacion", "nombres_apellidos", "fecha_inicio_grupo_desde", "fecha_inicio_grupo_hasta",
+        "fecha_creacion_grupo_desde", "fecha_creacion_grupo_hasta",
+    ),
 }
 
 LABELS: dict[str, str] = {

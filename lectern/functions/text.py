@@ -31,11 +31,6 @@ def program_name(fullname: Column) -> Column:
     return F.trim(F.regexp_replace(fullname, r"\s*" + PROGRAM_SUFFIX, ""))
 
 
-def program_title(fullname: Column) -> Column:
-    """Program name, or the whole name when nothing but the code is there."""
-    return F.coalesce(F.nullif(program_name(fullname), F.lit("")), fullname)
-
-
 def region_code(shortname: Column) -> Column:
     return extract(shortname, REGION_CODE)
 

@@ -1,8 +1,11 @@
-"""Report output: ordered parts, CSV files, manifest, preview values, retention."""
+"""Report output: ordered parts, named CSV files with heading, manifest, preview values, retention."""
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,8 +16,6 @@ from lectern.session import cut_lineage
 
 # Default limits of the exporter.
 CSV_ROWS_PER_FILE = 2_000_000
-XLSX_ROWS_PER_FILE = 900_000
-AUTO_CSV_THRESHOLD = 500_000
 MAX_FILES_PER_USER = 100
 
 BYTE_ORDER_MARK = "\ufeff"
@@ -80,31 +81,63 @@ def part_name(base: str, part: Column) -> Column:
 
 
 def manifest(counts: DataFrame, report: str, fmt: str, filters: dict, made_at: datetime) -> DataFrame:
-    """One row describing the export; it lists parts, so it is as small as the part count."""
+    """One row per part: its rows and file, with what the export was made of."""
     given = [F.lit(x) for pair in sorted(filters.items()) if pair[1] is not None for x in map(str, pair)]
     filtros = F.create_map(*given) if given else F.create_map().cast("map<string,string>")
-    return counts.agg(
+    return counts.select(
         F.lit(report).alias("reporte"),
         filtros.alias("filtros"),
         F.lit(fmt).alias("formato"),
-        F.sum("filas").alias("total_filas"),
-        F.count("*").alias("total_partes"),
-        F.sort_array(F.collect_list(F.struct("parte", "filas"))).alias("filas_por_parte"),
+        "parte",
+        "filas",
+        part_name(report, F.col("parte")).alias("archivo"),
         F.lit(made_at.isoformat()).alias("generado_en"),
     )
 
 
-def meta_rows(spark, title: str, made_at: datetime, filters: list[tuple[str, object]]) -> DataFrame:
+# Quotation marks are doubled; blanks at the ends of a value belong to it.
+_CSV = {
+    "escape": '"',
+    "emptyValue": "",
+    "nullValue": "",
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
+
+
+def _line(*cells: Column) -> Column:
+    """One CSV record; a line break inside a value is quoted with it."""
+    return F.to_csv(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cells)]), _CSV)
+
+
+def heading_rows(title: str, made_at: datetime, filters: list[tuple[str, object]]) -> list[tuple[str, str]]:
     """Heading of part 1: report name, date and time, then every filter."""
     rows = [
         ("Nombre del reporte", title),
         ("Fecha de generación", made_at.strftime("%Y/%m/%d")),
         ("Hora de generación", made_at.strftime("%H:%M:%S")),
     ]
-    rows += [(label, str(value) if value not in (None, "", []) else "Todos") for label, value in filters]
-    return spark.createDataFrame(
-        [(i, label, value) for i, (label, value) in enumerate(rows)], "ord int, label string, value string"
+    return rows + [(label, str(value) if value not in (None, "", []) else "Todos") for label, value in filters]
+
+
+def file_lines(parts: DataFrame, counts: DataFrame, heading: list[tuple[str, str]]) -> DataFrame:
+    """``parte``, ``place``, ``line`` of all files: heading and a blank line in part 1, the column names in
+    every part, then the rows. Places before the rows are negative."""
+    spark = parts.sparkSession
+    names = [c for c in parts.columns if c not in ("idx", "parte")]
+    body = parts.select("parte", F.col("idx").alias("place"), _line(*[F.col(f"`{c}`") for c in names]).alias("line"))
+    first = F.when((F.col("parte") > 1) | F.lit(not heading), BYTE_ORDER_MARK).otherwise("")
+    titles = counts.select(
+        "parte", F.lit(-1).cast("bigint").alias("place"), F.concat(first, _line(*map(F.lit, names))).alias("line")
     )
+    top = spark.createDataFrame(
+        [(1, i - len(heading) - 2, label, value) for i, (label, value) in enumerate(heading)],
+        "parte int, place bigint, label string, value string",
+    )
+    mark = F.when(F.col("place") == -len(heading) - 2, BYTE_ORDER_MARK).otherwise("")
+    top = top.select("parte", "place", F.concat(mark, _line(F.col("label"), F.col("value"))).alias("line"))
+    blank = spark.createDataFrame([(1, -2, "")] if heading else [], "parte int, place bigint, line string")
+    return body.unionByName(titles).unionByName(top).unionByName(blank)
 
 
 def write_csv_parts(
@@ -118,70 +151,61 @@ def write_csv_parts(
     made_at: datetime | None = None,
     heading: list[tuple[str, object]] | None = None,
 ) -> DataFrame:
-    """Write ordered CSV parts, the heading and the manifest; return rows per part.
+    """Write the ordered parts as ``<report>_parte_NNN.csv`` and the manifest; return rows per part.
 
-    Executors write the parts: one file with header per ``parte=N`` folder,
-    held by one task because a part is bounded by ``rows_per_file``.
+    Executors write the files, one task per part, because a part is bounded by
+    ``rows_per_file``; only their names are given on the driver.
     """
     made_at = made_at or datetime.now()
     filters = filters or {}
     spark = df.sparkSession
     parts = file_values(assign_parts(df, order, rows_per_file))
     counts = part_counts(parts)
-    body = parts.repartition("parte").sortWithinPartitions("parte", "idx").drop("idx")
-    # The byte-order mark opens the header line, so every part starts with it.
-    first = body.columns[0]
-    body = body.withColumnRenamed(first, BYTE_ORDER_MARK + first)
-    options = {
-        "header": True,
-        "encoding": "UTF-8",
-        "escape": '"',
-        "emptyValue": "",
-        "nullValue": "",
-        # Blanks at the ends of a value belong to it.
-        "ignoreLeadingWhiteSpace": False,
-        "ignoreTrailingWhiteSpace": False,
-    }
-    if parts.isEmpty():
-        empty = body.drop("parte").coalesce(1)
-        empty.write.mode("overwrite").options(**options).csv(f"{path}/data/parte=1")
-    else:
-        (
-            body.write.mode("overwrite")
-            .option("partitionOverwriteMode", "static")
-            .options(**options)
-            .partitionBy("parte")
-            .csv(f"{path}/data")
-        )
     shown = sorted(filters.items()) if heading is None else heading
-    meta_rows(spark, title or report, made_at, shown).coalesce(1).write.mode("overwrite").json(f"{path}/heading")
+    lines = file_lines(parts, counts, heading_rows(title or report, made_at, shown))
+    aside = f"{path}/_lines-{uuid.uuid4().hex}"
+    lines.repartition("parte").sortWithinPartitions("parte", "place").select("parte", "line").write.partitionBy(
+        "parte"
+    ).text(aside)
+    _name_parts(spark, aside, path, report)
     manifest(counts, report, "csv", filters, made_at).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
     return counts.withColumn("archivo", part_name(report, F.col("parte")))
 
 
-def read_csv_parts(spark, path: str, schema: T.StructType) -> DataFrame:
-    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-    text.add("parte", T.IntegerType())
-    return spark.read.schema(text).options(header=True, escape='"', nullValue="\u0000", emptyValue="").csv(
-        f"{path}/data"
+def _name_parts(spark, aside: str, path: str, report: str) -> None:
+    """Move the one file of every part to its name; parts of an earlier export go."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for old in fs.globStatus(hadoop.Path(f"{path}/{report}_parte_*.csv")) or ():
+        fs.delete(old.getPath(), False)
+    for made in fs.globStatus(hadoop.Path(f"{aside}/parte=*/part-*")):
+        part = int(made.getPath().getParent().getName().partition("=")[2])
+        if not fs.rename(made.getPath(), hadoop.Path(f"{path}/{report}_parte_{part:03d}.csv")):
+            raise OSError(f"could not name part {part} in {path}")
+    fs.delete(hadoop.Path(aside), True)
+
+
+def read_csv_parts(spark, path: str, report: str, schema: T.StructType) -> DataFrame:
+    """Rows of the named parts as text, without headings, with their part number."""
+    names = [f.name for f in schema.fields]
+    text = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    options = {"escape": '"', "nullValue": "\u0000", "emptyValue": "", "multiLine": "true"}
+    file = F.regexp_extract(F.col("_metadata.file_name"), r"_parte_(\d+)\.csv$", 1).cast("int")
+    # A file of quoted line breaks is read by one task, so ids grow along it.
+    rows = (
+        spark.read.schema(text).options(**options).csv(f"{path}/{report}_parte_*.csv")
+        .select(*[F.col(f"`{n}`") for n in names], file.alias("parte"), F.monotonically_increasing_id().alias("_place"))
     )
+    titles = reduce(and_, [F.ltrim(F.col(f"`{n}`"), F.lit(BYTE_ORDER_MARK)) == n for n in names])
+    starts = rows.filter(titles).groupBy("parte").agg(F.min("_place").alias("_titles"))
+    return rows.join(starts, "parte").filter(F.col("_place") > F.col("_titles")).select(*names, "parte")
 
 
-def choose_format(df: DataFrame, asked: str, threshold: int = AUTO_CSV_THRESHOLD) -> str:
-    """Spreadsheets of many rows become CSV; a threshold of 0 keeps the choice."""
-    if asked != "xlsx" or threshold <= 0:
-        return asked
-    return "csv" if df.count() >= threshold else "xlsx"
-
-
-def format_choice(df: DataFrame, asked: str, threshold: int = AUTO_CSV_THRESHOLD) -> DataFrame:
-    """The same decision as a row, computed with the count on the executors."""
-    rows = df.agg(F.count("*").alias("filas"))
-    if asked == "xlsx" and threshold > 0:
-        chosen = F.when(F.col("filas") >= threshold, "csv").otherwise("xlsx")
-    else:
-        chosen = F.lit(asked)
-    return rows.select("filas", F.lit(asked).alias("pedido"), chosen.alias("formato"))
+def read_heading(spark, path: str, report: str) -> DataFrame:
+    """``line``, ``text``: the lines of part 1 up to its column names, blank line included."""
+    lines = spark.read.text(f"{path}/{report}_parte_001.csv", wholetext=True)
+    before = F.split(F.ltrim(F.col("value"), F.lit(BYTE_ORDER_MARK)), "\n\n", 2)[0]
+    return lines.select(F.posexplode(F.split(before, "\n")).alias("line", "text"))
 
 
 def _iso(name: str, kind: T.DataType) -> Column:
@@ -250,9 +274,9 @@ def expire_old_files(t_requests: DataFrame, keep: int = MAX_FILES_PER_USER) -> D
 
 
 def recent_requests(t_requests: DataFrame, email: str, limit: int = MAX_FILES_PER_USER) -> DataFrame:
-    """A user's newest requests, at most 100."""
+    """A user's newest requests."""
     return (
         t_requests.filter(F.col("usuario_email") == email)
         .orderBy(F.col("fecha_solicitud").desc_nulls_first(), F.col("id").desc())
-        .limit(min(limit, MAX_FILES_PER_USER))
+        .limit(limit)
     )

@@ -18,7 +18,7 @@ PAIR = ["userid", "course_id"]
 
 
 def join_spread(many: DataFrame, short: DataFrame, spread_by: Column, how: str = "inner", keys=PAIR) -> DataFrame:
-    """Join on ``keys``; ``spread_by`` tells the rows of one key apart (an id or a time)."""
-    salted = many.withColumn("_salt", F.pmod(spread_by, F.lit(SALTS)).cast("int"))
+    """Join on ``keys``; ``spread_by`` tells the rows of one key apart (an id or a time); NULL counts as 0."""
+    salted = many.withColumn("_salt", F.coalesce(F.pmod(spread_by, F.lit(SALTS)), F.lit(0)).cast("int"))
     repeated = short.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")

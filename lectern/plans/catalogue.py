@@ -2,8 +2,8 @@
 
 Their rules differ from the current reports: programme data come from the
 seeds, any view counts as access, and rows are not merged per user and course.
-Events are always counted at course grain before course attributes and seeds
-are joined, so wide text never travels with the log.
+Events are counted per course and user, or finer, before course attributes and
+seeds are joined, so wide text never travels with the log itself.
 """
 
 from __future__ import annotations

@@ -23,6 +23,15 @@ LOG = "mdl_logstore_standard_log"
 # Folders of tables staged by this process: (application, source) -> (root, names).
 _STAGED: dict[tuple[str, str], tuple[str, set[str]]] = {}
 
+# Tables that grow with use; one connection could not read them.
+FACT_TABLES = frozenset(
+    (
+        LOG, "mdl_user_enrolments", "mdl_role_assignments", "mdl_forum_posts", "mdl_forum_discussions", "mdl_quiz_attempts",
+        "mdl_assign_submission", "mdl_feedback_completed", "mdl_survey_answers", "mdl_chat_messages",
+        "mdl_bigbluebuttonbn_logs",
+    )
+)
+
 # Fixed value: rows fetched from the database per round trip.
 FETCH_ROWS = 20_000
 
@@ -100,8 +109,8 @@ class LmsTables:
 
         ``slices`` maps a table to (column, lower, upper, partitions) so that
         executors read ranges in parallel; the bounds only place the cuts, rows
-        beyond them are still read. Without an entry the table is read whole by
-        one connection, which suits the small dimension tables.
+        beyond them are still read. The fact tables need an entry each; a dimension
+        table without one is read whole by one connection.
         """
         slices = slices or {}
         schema_of = schema_of or {}
@@ -111,6 +120,8 @@ class LmsTables:
             reader = spark.read.format("jdbc").options(
                 url=url, dbtable=qualified, fetchsize=str(FETCH_ROWS), **properties
             )
+            if name in FACT_TABLES and name not in slices:
+                raise ValueError(f"{name} grows with use: give it slices to be read in parallel")
             if name in slices:
                 column, lower, upper, count = slices[name]
                 reader = reader.options(
@@ -151,7 +162,7 @@ class LmsTables:
                 df = source.table(name)
                 if is_log:
                     by_day = df.withColumn("event_date", F.to_date(F.timestamp_seconds("timecreated")))
-                    by_day.write.partitionBy("event_date").parquet(path)
+                    by_day.hint("rebalance", F.col("event_date")).write.partitionBy("event_date").parquet(path)
                 else:
                     df.write.parquet(path)
                 written.add(name)

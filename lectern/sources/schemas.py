@@ -7,65 +7,133 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+LONG, INT, TEXT = T.LongType(), T.IntegerType(), T.StringType()
 
-def _schema(spec: str) -> T.StructType:
-    kinds = {"long": T.LongType(), "int": T.IntegerType(), "str": T.StringType()}
-    out = T.StructType()
-    for item in spec.split():
-        name, kind = item.split(":")
-        out.add(name, kinds[kind])
-    return out
-
+# Table and column names.
+COLUMNS: dict[str, tuple[tuple[str, T.DataType], ...]] = {
+    "mdl_course": (
+        ("id", LONG), ("idnumber", TEXT), ("shortname", TEXT), ("fullname", TEXT), ("category", LONG),
+        ("visible", INT), ("startdate", LONG), ("enddate", LONG), ("timecreated", LONG),
+    ),
+    "mdl_course_categories": (
+        ("id", LONG), ("name", TEXT), ("sortorder", LONG),
+    ),
+    "mdl_course_modules": (
+        ("id", LONG), ("course", LONG), ("module", LONG), ("instance", LONG), ("deletioninprogress", INT),
+    ),
+    "mdl_modules": (
+        ("id", LONG), ("name", TEXT),
+    ),
+    "mdl_user": (
+        ("id", LONG), ("username", TEXT), ("idnumber", TEXT), ("firstname", TEXT), ("lastname", TEXT),
+        ("email", TEXT), ("auth", TEXT), ("country", TEXT), ("city", TEXT), ("deleted", INT),
+        ("suspended", INT), ("timecreated", LONG), ("lastaccess", LONG),
+    ),
+    "mdl_user_info_field": (
+        ("id", LONG), ("shortname", TEXT), ("name", TEXT), ("datatype", TEXT),
+    ),
+    "mdl_user_info_data": (
+        ("id", LONG), ("userid", LONG), ("fieldid", LONG), ("data", TEXT),
+    ),
+    "mdl_enrol": (
+        ("id", LONG), ("courseid", LONG), ("status", INT),
+    ),
+    "mdl_user_enrolments": (
+        ("id", LONG), ("enrolid", LONG), ("userid", LONG), ("status", INT), ("timestart", LONG),
+        ("timeend", LONG), ("timecreated", LONG), ("timemodified", LONG),
+    ),
+    "mdl_role": (
+        ("id", LONG), ("shortname", TEXT), ("name", TEXT), ("sortorder", LONG),
+    ),
+    "mdl_role_assignments": (
+        ("id", LONG), ("userid", LONG), ("contextid", LONG), ("roleid", LONG),
+    ),
+    "mdl_context": (
+        ("id", LONG), ("contextlevel", INT), ("instanceid", LONG),
+    ),
+    "mdl_logstore_standard_log": (
+        ("id", LONG), ("userid", LONG), ("courseid", LONG), ("contextlevel", INT), ("contextinstanceid", LONG),
+        ("eventname", TEXT), ("component", TEXT), ("action", TEXT), ("target", TEXT), ("objecttable", TEXT),
+        ("objectid", LONG), ("ip", TEXT), ("origin", TEXT), ("timecreated", LONG),
+    ),
+    "mdl_forum": (
+        ("id", LONG), ("course", LONG), ("name", TEXT), ("type", TEXT),
+    ),
+    "mdl_forum_discussions": (
+        ("id", LONG), ("forum", LONG), ("userid", LONG), ("timemodified", LONG),
+    ),
+    "mdl_forum_posts": (
+        ("id", LONG), ("discussion", LONG), ("userid", LONG), ("parent", LONG), ("created", LONG),
+    ),
+    "mdl_quiz": (
+        ("id", LONG), ("course", LONG),
+    ),
+    "mdl_quiz_attempts": (
+        ("id", LONG), ("quiz", LONG), ("userid", LONG), ("state", TEXT), ("timefinish", LONG),
+    ),
+    "mdl_assign": (
+        ("id", LONG), ("course", LONG),
+    ),
+    "mdl_assign_submission": (
+        ("id", LONG), ("assignment", LONG), ("userid", LONG), ("status", TEXT), ("timemodified", LONG),
+        ("timecreated", LONG),
+    ),
+    "mdl_feedback": (
+        ("id", LONG), ("course", LONG),
+    ),
+    "mdl_feedback_completed": (
+        ("id", LONG), ("feedback", LONG), ("userid", LONG), ("timemodified", LONG),
+    ),
+    "mdl_survey": (
+        ("id", LONG), ("course", LONG),
+    ),
+    "mdl_survey_answers": (
+        ("id", LONG), ("survey", LONG), ("userid", LONG), ("time", LONG),
+    ),
+    "mdl_chat": (
+        ("id", LONG), ("course", LONG),
+    ),
+    "mdl_chat_messages": (
+        ("id", LONG), ("chatid", LONG), ("userid", LONG), ("timestamp", LONG),
+    ),
+    "mdl_wiki": (
+        ("id", LONG), ("course", LONG),
+    ),
+    "mdl_bigbluebuttonbn": (
+        ("id", LONG), ("course", LONG), ("name", TEXT), ("meetingid", TEXT), ("openingtime", LONG),
+        ("closingtime", LONG), ("record", INT),
+    ),
+    "mdl_bigbluebuttonbn_logs": (
+        ("id", LONG), ("bigbluebuttonbnid", LONG), ("userid", LONG), ("log", TEXT), ("timecreated", LONG),
+    ),
+    "mdl_bigbluebuttonbn_recordings": (
+        ("id", LONG), ("bigbluebuttonbnid", LONG), ("status", INT),
+    ),
+    "regionales": (
+        ("rgn_id", LONG), ("nombre", TEXT),
+    ),
+    "centros": (
+        ("sed_id", LONG), ("nombre", TEXT),
+    ),
+    "seeds": (
+        ("code", LONG), ("program_type", TEXT), ("education_level", TEXT), ("prog_name", TEXT),
+        ("design_version", INT), ("seed_version", INT), ("current_version", INT), ("modality", TEXT),
+        ("status_seed", TEXT), ("lms_id", LONG),
+    ),
+    "seeds_induction": (
+        ("code", LONG), ("program_type", TEXT), ("education_level", TEXT), ("prog_name", TEXT),
+        ("design_version", INT), ("seed_version", INT), ("current_version", INT), ("modality", TEXT),
+        ("status_seed", TEXT), ("lms_id", LONG),
+    ),
+    "solicitudes": (
+        ("id", LONG), ("reporte_codigo", TEXT), ("usuario_email", TEXT), ("estado", TEXT), ("formato", TEXT),
+        ("archivo_ruta", TEXT), ("filas_procesadas", LONG), ("fecha_solicitud", LONG), ("fecha_fin", LONG),
+        ("filtros", TEXT),
+    ),
+}
 
 SCHEMAS: dict[str, T.StructType] = {
-    name: _schema(spec)
-    for name, spec in {
-        "mdl_course": "id:long idnumber:str shortname:str fullname:str category:long visible:int"
-        " startdate:long enddate:long timecreated:long",
-        "mdl_course_categories": "id:long name:str sortorder:long",
-        "mdl_course_modules": "id:long course:long module:long instance:long deletioninprogress:int",
-        "mdl_modules": "id:long name:str",
-        "mdl_user": "id:long username:str idnumber:str firstname:str lastname:str email:str auth:str"
-        " country:str city:str deleted:int suspended:int timecreated:long lastaccess:long",
-        "mdl_user_info_field": "id:long shortname:str name:str datatype:str",
-        "mdl_user_info_data": "id:long userid:long fieldid:long data:str",
-        "mdl_enrol": "id:long courseid:long status:int",
-        "mdl_user_enrolments": "id:long enrolid:long userid:long status:int timestart:long"
-        " timeend:long timecreated:long timemodified:long",
-        "mdl_role": "id:long shortname:str name:str sortorder:long",
-        "mdl_role_assignments": "id:long userid:long contextid:long roleid:long",
-        "mdl_context": "id:long contextlevel:int instanceid:long",
-        "mdl_logstore_standard_log": "id:long userid:long courseid:long contextlevel:int"
-        " contextinstanceid:long eventname:str component:str action:str target:str"
-        " objecttable:str objectid:long ip:str origin:str timecreated:long",
-        "mdl_forum": "id:long course:long name:str type:str",
-        "mdl_forum_discussions": "id:long forum:long userid:long timemodified:long",
-        "mdl_forum_posts": "id:long discussion:long userid:long parent:long created:long",
-        "mdl_quiz": "id:long course:long",
-        "mdl_quiz_attempts": "id:long quiz:long userid:long state:str timefinish:long",
-        "mdl_assign": "id:long course:long",
-        "mdl_assign_submission": "id:long assignment:long userid:long status:str"
-        " timemodified:long timecreated:long",
-        "mdl_feedback": "id:long course:long",
-        "mdl_feedback_completed": "id:long feedback:long userid:long timemodified:long",
-        "mdl_survey": "id:long course:long",
-        "mdl_survey_answers": "id:long survey:long userid:long time:long",
-        "mdl_chat": "id:long course:long",
-        "mdl_chat_messages": "id:long chatid:long userid:long timestamp:long",
-        "mdl_wiki": "id:long course:long",
-        "mdl_bigbluebuttonbn": "id:long course:long name:str meetingid:str openingtime:long"
-        " closingtime:long record:int",
-        "mdl_bigbluebuttonbn_logs": "id:long bigbluebuttonbnid:long userid:long log:str timecreated:long",
-        "mdl_bigbluebuttonbn_recordings": "id:long bigbluebuttonbnid:long status:int",
-        "regionales": "rgn_id:long nombre:str",
-        "centros": "sed_id:long nombre:str",
-        "seeds": "code:long program_type:str education_level:str prog_name:str design_version:int"
-        " seed_version:int current_version:int modality:str status_seed:str lms_id:long",
-        "seeds_induction": "code:long program_type:str education_level:str prog_name:str"
-        " design_version:int seed_version:int current_version:int modality:str status_seed:str lms_id:long",
-        "solicitudes": "id:long reporte_codigo:str usuario_email:str estado:str formato:str"
-        " archivo_ruta:str filas_procesadas:long fecha_solicitud:long fecha_fin:long filtros:str",
-    }.items()
+    name: T.StructType([T.StructField(column, kind) for column, kind in columns]) for name, columns in COLUMNS.items()
 }
 
 # The same log with its clock compressed 300 times; used to test time on task.

@@ -2,6 +2,7 @@
 
 import glob
 import json
+import os
 from datetime import date, datetime
 from decimal import Decimal
 
@@ -36,40 +37,42 @@ def test_csv_files(spark, tmp_path, rows, per_file, parts):
         _frame(spark, rows), [F.col("id").desc()], out, "prueba", per_file, {"regional": "Huila", "nivel": None},
         "Reporte de prueba", datetime(2024, 1, 15, 8, 30),
     )
-    assert sorted(r.archivo for r in counts.collect()) == [f"prueba_parte_{n:03d}.csv" for n in range(1, parts + 1)]
+    names = [f"prueba_parte_{n:03d}.csv" for n in range(1, parts + 1)]
+    assert sorted(r.archivo for r in counts.collect()) == names
+    assert sorted(os.path.basename(p) for p in glob.glob(f"{out}/*.csv")) == names
     seen = []
-    for part in range(1, parts + 1):
-        files = glob.glob(f"{out}/data/parte={part}/*.csv")
-        assert len(files) == 1
-        assert open(files[0], "rb").read(3) == b"\xef\xbb\xbf"
-        lines = open(files[0], encoding="utf-8-sig").read().splitlines()
+    for name in names:
+        with open(f"{out}/{name}", "rb") as file:
+            assert file.read(3) == b"\xef\xbb\xbf"
+        with open(f"{out}/{name}", encoding="utf-8-sig") as file:
+            lines = file.read().splitlines()
+        if name == names[0]:
+            assert lines[:6] == [
+                "Nombre del reporte,Reporte de prueba",
+                "Fecha de generación,2024/01/15",
+                "Hora de generación,08:30:00",
+                "nivel,Todos",
+                "regional,Huila",
+                "",
+            ]
+            lines = lines[6:]
         assert lines[0] == "id,nombre,valor"
         seen += [int(line.split(",")[0]) for line in lines[1:]]
     assert seen == list(range(rows, 0, -1))
-    manifest = json.loads(open(glob.glob(f"{out}/manifest/*.json")[0]).read())
-    assert manifest["total_filas"] == rows and manifest["total_partes"] == parts
-    assert manifest["filtros"] == {"regional": "Huila"}
-    assert sum(p["filas"] for p in manifest["filas_por_parte"]) == rows
-    heading = [json.loads(line) for line in open(glob.glob(f"{out}/heading/*.json")[0])]
-    assert [(h["label"], h["value"]) for h in heading] == [
-        ("Nombre del reporte", "Reporte de prueba"),
-        ("Fecha de generación", "2024/01/15"),
-        ("Hora de generación", "08:30:00"),
-        ("nivel", "Todos"),
-        ("regional", "Huila"),
-    ]
+    with open(glob.glob(f"{out}/manifest/*.json")[0]) as file:
+        manifest = [json.loads(line) for line in file]
+    assert sum(m["filas"] for m in manifest) == rows and sorted(m["archivo"] for m in manifest) == names
+    assert all(m["filtros"] == {"regional": "Huila"} for m in manifest)
 
 
 def test_csv_keeps_values_exactly(spark, tmp_path):
-    texts = [" lead", "trail ", 'quote " inside', "comma, here", "", None, "línea\ndos"]
+    texts = [" lead", "trail ", 'quote " inside', "comma, here", "", None, "línea\ndos", "v", "id"]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, v string")
-    export.write_csv_parts(df, [F.col("id")], str(tmp_path / "o"), "r", 100)
-    back = (
-        spark.read.option("multiLine", True).option("escape", '"').option("header", True).option("nullValue", "\u0000")
-        .option("emptyValue", "").csv(str(tmp_path / "o/data"))
-    )
-    got = {int(r[0]): r.v or "" for r in back.collect()}
-    assert got == {i: t or "" for i, t in enumerate(texts)}
+    for _ in range(2):  # a second export replaces the first
+        export.write_csv_parts(df, [F.col("id")], str(tmp_path / "o"), "r", 4)
+    back = export.read_csv_parts(spark, str(tmp_path / "o"), "r", df.schema).collect()
+    assert {int(r.id): r.v or "" for r in back} == {i: t or "" for i, t in enumerate(texts)}
+    assert {int(r.id): r.parte for r in back} == {i: i // 4 + 1 for i in range(len(texts))}
 
 
 def test_output_values(spark):
@@ -82,12 +85,10 @@ def test_output_values(spark):
     assert export.file_values(df).first().e == ""
 
 
-@pytest.mark.parametrize(
-    "asked, threshold, chosen", [("xlsx", 10, "csv"), ("xlsx", 11, "xlsx"), ("xlsx", 0, "xlsx"), ("csv", 1, "csv")]
-)
-def test_format_choice(spark, asked, threshold, chosen):
-    assert export.choose_format(_frame(spark, 10), asked, threshold) == chosen
-    assert export.format_choice(_frame(spark, 10), asked, threshold).first().formato == chosen
+def test_recent_requests_gives_as_many_as_asked(spark):
+    df = spark.range(150).selectExpr("id", "'a@x' usuario_email", "id fecha_solicitud")
+    assert export.recent_requests(df, "a@x", 120).count() == 120
+    assert export.recent_requests(df, "a@x").count() == 100
 
 
 def test_retention_keeps_newest(spark):

@@ -96,3 +96,9 @@ def test_jdbc_reads_big_tables_in_slices(spark):
         "id", "0", "1000000000", "200",
     )
     assert regions["dbtable"] == "midb.regionales" and "partitionColumn" not in regions
+
+
+def test_jdbc_refuses_one_connection_for_a_fact_table(spark):
+    t = LmsTables.from_jdbc(_FakeSession(spark, []), "jdbc:postgresql://replica/lms", {})
+    with pytest.raises(ValueError):
+        t.log
