@@ -1,9 +1,9 @@
 """Time the headline queries; prints one JSON line.
 
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default
-all cores). The first run of a query is a warm-up that also stores the LMS tables
-it reads; then the best of ``REPEATS`` runs counts. The no-op sink computes every
-column of every row.
+all cores). The LMS tables are first stored as a deployment holds them; that load
+is timed apart. The first run of a query is a warm-up; then the best of
+``REPEATS`` runs counts. The no-op sink computes every column of every row.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from checks import all_checks  # noqa: E402
-from lectern.session import build_session  # noqa: E402
+from lectern.session import build_session, drop_path, scratch_path  # noqa: E402
+from lectern.sources import LmsTables  # noqa: E402
 
 HEADLINE = (
     "registro_usuarios",
@@ -55,12 +56,16 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     checks = all_checks()
+    root = scratch_path(spark, "lms")
+    start = time.perf_counter()
+    tables = LmsTables.from_star(spark, folder).store(root)
+    load = time.perf_counter() - start
     times: dict[str, float] = {}
     for key in HEADLINE:
         best = None
         for turn in range(REPEATS + 1):
             start = time.perf_counter()
-            checks[key].run(spark, folder).write.format("noop").mode("overwrite").save()
+            checks[key].over(tables).write.format("noop").mode("overwrite").save()
             spent = time.perf_counter() - start
             if turn:
                 best = spent if best is None else min(best, spent)
@@ -72,11 +77,13 @@ def main() -> None:
                 "value": round(sum(times.values()), 3),
                 "unit": "sec",
                 "queries": times,
+                "load_seconds": round(load, 3),
                 "sf": os.path.basename(folder.rstrip("/")),
             }
         ),
         flush=True,
     )
+    drop_path(spark, root)
     spark.stop()
 
 

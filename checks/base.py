@@ -23,6 +23,7 @@ S = Settings(as_of=NOW, floor_epoch=FLOOR)
 class Check:
     run: Callable[[SparkSession, str], DataFrame]
     sql: str | None
+    over: Callable[[LmsTables], DataFrame] | None = None  # the same on LMS tables held elsewhere
 
 
 CHECKS: dict[str, Check] = {}
@@ -33,8 +34,9 @@ def check(key: str, run: Callable[[LmsTables], DataFrame], sql: str | None) -> N
     if key in CHECKS:
         raise KeyError(f"{key} registered twice")
     CHECKS[key] = Check(
-        lambda spark, sf_dir: run(LmsTables.staged(spark, sf_dir)),
+        lambda spark, sf_dir: run(LmsTables.from_star(spark, sf_dir)),
         None if sql is None else compose(sql),
+        run,
     )
 
 

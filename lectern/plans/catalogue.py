@@ -54,6 +54,23 @@ def _home(t: LmsTables, s: Settings) -> DataFrame:
 HEAD = ("idnumber", "fullname", "level", "modality", "region", "center", "program_code", "program")
 
 
+def _grouped(rows: DataFrame, own: str, labels: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows that share all labels get one short id.
+
+    Returns (``own``, gid) to join with facts, one row for each row of ``rows``, and (gid, labels)
+    to join after the last aggregation, so that no label travels with the facts.
+    """
+    marked = rows.select(own, F.unhex(F.md5(F.to_json(F.struct(*labels)))).alias("gid"), *labels)
+    return marked.select(own, "gid"), marked.drop(own).dropDuplicates(["gid"])
+
+
+def _added(parts: list[DataFrame], keys: list[str], measures: dict) -> DataFrame:
+    """Relations of the same grain side by side; sums without a row are 0, and NULL keys meet."""
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    sums = [m for m, how in measures.items() if how is F.sum]
+    return rows.groupBy(*keys).agg(*[how(m).alias(m) for m, how in measures.items()]).na.fill(0, sums)
+
+
 def _persons(t: LmsTables) -> DataFrame:
     return people.present_users(t).select(
         F.col("id").alias("userid"),
@@ -294,11 +311,12 @@ def trafico_diario(t: LmsTables, s: Settings) -> DataFrame:
         .join(people.present_users(t).select(F.col("id").alias("userid")), "userid", "left_semi")
         .join(homes, "courseid")
     )
-    df = daily.groupBy("day", "origin").agg(
-        F.sum("n").alias("events"),
-        F.count_distinct("userid").alias("users"),
-        F.count_distinct("courseid").alias("courses"),
-    )
+    # Two groupings in two steps each, instead of one that repeats every row per distinct count.
+    by_user = daily.groupBy("day", "origin", "userid").agg(F.sum("n").alias("n"))
+    events = by_user.groupBy("day", "origin").agg(F.sum("n").alias("events"), F.count("userid").alias("users"))
+    active = daily.select("day", "origin", "courseid").distinct()
+    courses_ = active.groupBy("day", "origin").agg(F.count("courseid").alias("courses"))
+    df = _added([events, courses_], ["day", "origin"], {"events": F.sum, "users": F.sum, "courses": F.sum})
     return printed(df.orderBy(down("day"), up("origin")), C.TRAFICO)
 
 
@@ -315,24 +333,26 @@ def uso_herramientas(t: LmsTables, s: Settings) -> DataFrame:
         )
         .agg(F.count("id").alias("n"), F.min("timecreated").alias("first"), F.max("timecreated").alias("last"))
     )
-    keys = [*HEAD, "module_name", "education_level", "seed_modality", "region_code", "center_code"]
+    keys = [*HEAD, "education_level", "seed_modality", "region_code", "center_code"]
     keys += ["short_code", "seed_code", "prog_name"]
-    # Used modules, plus every module once without use: the same rows as an
-    # outer join, but a module with most of the users can still be split.
-    nothing = [F.lit(None).cast("bigint").alias(c) for c in ("userid", "n", "first", "last")]
-    df = (
+    groups, labels = _grouped(_home(t, s), "course_id", keys)
+    kind = ["gid", "module_name"]
+    items = cm.join(groups, "course_id").groupBy(*kind).agg(F.count_distinct("module_id").alias("items"))
+    used = (
         cm.join(uses, ["course_id", "module_id"])
-        .unionByName(cm.select("*", *nothing))
-        .join(_home(t, s), "course_id")
-        .groupBy(*keys)
+        .join(groups, "course_id")
+        .groupBy(*kind, "userid")
+        .agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+        .groupBy(*kind)
         .agg(
-            F.count_distinct("module_id").alias("items"),
-            F.coalesce(F.sum("n"), F.lit(0)).alias("uses"),
-            F.count_distinct("userid").alias("users"),
+            F.sum("n").alias("uses"),
+            F.count("userid").alias("users"),
             F.min("first").alias("first"),
             F.max("last").alias("last"),
         )
     )
+    measures = {"items": F.sum, "uses": F.sum, "users": F.sum, "first": F.min, "last": F.max}
+    df = _added([items, used], kind, measures).join(labels, "gid")
     df = df.select(
         "*",
         F.coalesce(stamp(F.col("first"), s.report_tz), F.lit("Sin uso")).alias("first_text"),
@@ -430,12 +450,14 @@ def tiempo_herramienta(t: LmsTables, s: Settings) -> DataFrame:
     )
     whole = Window.partitionBy(*PAIR)
     keys = [*HEAD, "education_level", "seed_modality", "short_code", "seed_code", "prog_name"]
+    groups, labels = _grouped(_home(t, s), "course_id", keys)
     df = (
-        spent.join(_home(t, s), "course_id")
-        .join(_persons(t), "userid")
-        .groupBy(*PAIR, "username", "person", "module_name", *keys)
+        spent.join(groups, "course_id")
+        .groupBy(*PAIR, "module_name", "gid")
         .agg(F.sum("seconds").alias("seconds"))
         .withColumn("all_seconds", F.sum("seconds").over(whole))
+        .join(_persons(t).select("userid", "username", "person"), "userid")
+        .join(labels, "gid")
     )
     df = df.select(
         "*",
@@ -462,16 +484,17 @@ def sesiones_log(t: LmsTables, s: Settings) -> DataFrame:
         .groupBy(*PAIR, *what)
         .agg(F.count("*").alias("n"), F.min("timecreated").alias("first"), F.max("timecreated").alias("last"))
     )
-    keys = [*HEAD, "education_level", "seed_modality", "short_code", "seed_code", "prog_name", *what]
+    keys = [*HEAD, "education_level", "seed_modality", "short_code", "seed_code", "prog_name"]
+    groups, labels = _grouped(_home(t, s), "course_id", keys)
+    times = (F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
     df = (
-        per_user.join(_home(t, s), "course_id")
-        .groupBy(*keys)
-        .agg(
-            F.sum("n").alias("events"),
-            F.count_distinct("userid").alias("users"),
-            F.min("first").alias("first"),
-            F.max("last").alias("last"),
-        )
+        per_user.join(groups, "course_id")
+        .groupBy("gid", *what, "userid")
+        .agg(*times)
+        .groupBy("gid", *what)
+        .agg(*times, F.count("userid").alias("users"))
+        .withColumnRenamed("n", "events")
+        .join(labels, "gid")
         .withColumn("first_text", stamp(F.col("first"), s.report_tz))
         .withColumn("last_text", stamp(F.col("last"), s.report_tz))
     )
@@ -493,13 +516,16 @@ def sesiones_bbb(t: LmsTables, s: Settings) -> DataFrame:
     )
     homes = courses.real_courses(t).select(F.col("id").alias("course_id"), "idnumber", "fullname")
     held = held.join(homes, "course_id")
-    nothing = [F.lit(None).cast("bigint").alias(c) for c in ("userid", "n")]
-    df = (
-        held.join(per_user, "session_id")
-        .unionByName(held.select("*", *nothing))
-        .groupBy("idnumber", "fullname", "session_name", "openingtime", "closingtime")
-        .agg(F.count_distinct("userid").alias("users"), F.coalesce(F.sum("n"), F.lit(0)).alias("events"))
-    )
+    keys = ["idnumber", "fullname", "session_name", "openingtime", "closingtime"]
+    groups, labels = _grouped(held, "session_id", keys)
+    counts = (
+        per_user.join(groups, "session_id")
+        .groupBy("gid", "userid")
+        .agg(F.sum("n").alias("n"))
+        .groupBy("gid")
+        .agg(F.count("userid").alias("users"), F.sum("n").alias("events"))
+    )
+    df = labels.join(counts, "gid", "left").na.fill(0, ["users", "events"])
     df = df.select(
         "*",
         stamp(F.col("openingtime"), s.report_tz).alias("opening_text"),

@@ -12,17 +12,13 @@ from functools import cache, cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, StructType
 
-from lectern.session import prepare, scratch_path
+from lectern.session import prepare
 from lectern.sources.schemas import SCHEMAS
 from lectern.sources.star_views import STAR_TABLES, STAR_VIEWS
 
 LOG = "mdl_logstore_standard_log"
 
-# Folders of tables staged by this process: (application, source) -> (root, names).
-_STAGED: dict[tuple[str, str], tuple[str, set[str]]] = {}
-
 # Tables that grow with use; one connection could not read them.
 FACT_TABLES = frozenset(
     (
@@ -141,37 +137,20 @@ class LmsTables:
 
         return cls(spark, lambda name: star_view(spark, name, star), log_table)
 
-    @classmethod
-    def staged(cls, spark: SparkSession, folder: str, log_table: str = LOG) -> "LmsTables":
-        """The star-schema tables stored as LMS tables, the way a deployment holds them.
+    def store(self, root: str, *names: str) -> "LmsTables":
+        """Write tables (all, if none are named) under ``root`` as ``from_parquet`` reads them.
 
-        Each table is written once per session, when first used, into the shared
-        folder: Parquet, with the log partitioned by ``event_date``. Reports then
-        read plain columns, so filters and column pruning reach the scan.
+        An explicit load: one Parquet folder per table, the log partitioned by ``event_date`` and
+        rebalanced by it, so that a day's files hold whole tasks of rows.
         """
-        session = (spark.sparkContext.applicationId, folder)
-        if session not in _STAGED:
-            _STAGED[session] = (scratch_path(spark, "lms"), set())
-        root, written = _STAGED[session]
-        source = cls.from_star(spark, folder)
-
-        def load(name: str) -> DataFrame:
-            path = f"{root}/{name}"
-            is_log = "logstore" in name
-            if name not in written:
-                df = source.table(name)
-                if is_log:
-                    by_day = df.withColumn("event_date", F.to_date(F.timestamp_seconds("timecreated")))
-                    by_day.hint("rebalance", F.col("event_date")).write.partitionBy("event_date").parquet(path)
-                else:
-                    df.write.parquet(path)
-                written.add(name)
-            schema = StructType(list(SCHEMAS[name].fields))
-            if is_log:
-                schema = schema.add("event_date", DateType())
-            return spark.read.schema(schema).parquet(path)
-
-        return cls(spark, load, log_table)
+        for name in names or SCHEMAS:
+            df = self.table(name)
+            if "logstore" in name:
+                df = df.withColumn("event_date", F.to_date(F.timestamp_seconds("timecreated")))
+                df.hint("rebalance", F.col("event_date")).write.partitionBy("event_date").parquet(f"{root}/{name}")
+            else:
+                df.write.parquet(f"{root}/{name}")
+        return LmsTables.from_parquet(self.spark, root)
 
 
 def _typed(name: str) -> list:

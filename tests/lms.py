@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from lectern.session import scratch_path
 from lectern.sources import LmsTables
 from lectern.sources.schemas import SCHEMAS
+from tests.conftest import SMALL
 
 
 def tables(spark, **given) -> LmsTables:
@@ -24,3 +26,13 @@ def event(i, user, course, at, **more):
         "eventname": r"\core\event\course_viewed", "component": "core", "action": "viewed", "target": "course",
     }
     return {**row, **more}
+
+
+_STORED = {}
+
+
+def stored(spark):
+    """The small test tables stored once per test run, the way a deployment holds them."""
+    if "tables" not in _STORED:
+        _STORED["tables"] = LmsTables.from_star(spark, SMALL).store(scratch_path(spark, "lms"))
+    return _STORED["tables"]

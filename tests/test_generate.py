@@ -11,13 +11,14 @@ from lectern.functions import params
 from lectern.plans import generate
 from lectern.sources import LmsTables
 from tests.conftest import SMALL
+from tests.lms import stored
 
 CODES = ("registro_usuarios", "trafico_diario", "usuarios_ambiente", "sesiones_online")
 
 
 @pytest.mark.parametrize("code", CODES)
 def test_files_hold_the_report_in_order(spark, settings, tmp_path, code):
-    t = LmsTables.staged(spark, SMALL)
+    t = stored(spark)
     expected = [["" if v is None else str(v) for v in row] for row in generate.report(code, t, None, settings).collect()]
     out = str(tmp_path / "out")
     counts = generate.generate(code, t, out, None, settings, 40, datetime(2024, 1, 15, 8, 30))
@@ -34,7 +35,7 @@ def test_files_hold_the_report_in_order(spark, settings, tmp_path, code):
 
 
 def test_heading_lists_every_parameter(spark, settings, tmp_path):
-    t = LmsTables.staged(spark, SMALL)
+    t = stored(spark)
     out = str(tmp_path / "out")
     given = {"rango_consulta": "Mes", "origen_datos": " ", "otro": 1}
     generate.generate("trafico_diario", t, out, given, settings, made_at=datetime(2024, 1, 15, 8, 30))
@@ -56,11 +57,11 @@ def test_heading_lists_every_parameter(spark, settings, tmp_path):
 
 def test_unknown_report(spark, settings):
     with pytest.raises(KeyError):
-        generate.report("nada", LmsTables.staged(spark, SMALL), None, settings)
+        generate.report("nada", stored(spark), None, settings)
 
 
 def test_first_rows_follow_report_order(spark, settings):
-    t = LmsTables.staged(spark, SMALL)
+    t = stored(spark)
     assert generate.first_rows("usuarios_ambiente", t, None, settings).collect() == (
         generate.report("usuarios_ambiente", t, None, settings).collect()[:50]
     )

@@ -7,7 +7,7 @@ from lectern.operators import access, tools
 from lectern.plans.reports import REPORTS
 from lectern.sources import LmsTables
 from tests.conftest import SMALL
-from tests.lms import event, tables
+from tests.lms import event, stored, tables
 
 
 def plan(df) -> str:
@@ -16,7 +16,7 @@ def plan(df) -> str:
 
 @pytest.mark.parametrize("name", sorted(REPORTS))
 def test_reports_have_no_cross_join_or_python(spark, settings, name):
-    text = plan(REPORTS[name](LmsTables.staged(spark, SMALL), None, settings))
+    text = plan(REPORTS[name](stored(spark), None, settings))
     for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "SinglePartition", "Expand"):
         assert word not in text
 
@@ -27,21 +27,21 @@ def test_reports_work_without_broadcast(spark, settings, name):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        df = REPORTS[name](LmsTables.staged(spark, SMALL), None, settings)
+        df = REPORTS[name](stored(spark), None, settings)
         assert "Broadcast" not in plan(df)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_unset_filters_add_nothing(spark, settings):
-    t = LmsTables.staged(spark, SMALL)
+    t = stored(spark)
     none = REPORTS["registro_usuarios"](t, {}, settings)
     blank = REPORTS["registro_usuarios"](t, {"nivel": " ", "regional": ""}, settings)
     assert none._jdf.queryExecution().optimizedPlan().sameResult(blank._jdf.queryExecution().optimizedPlan())
 
 
 def test_log_scan_is_pruned_and_filtered(spark, settings):
-    text = plan(access.course_access(LmsTables.staged(spark, SMALL), settings))
+    text = plan(access.course_access(stored(spark), settings))
     assert "EqualTo(action,viewed)" in text and "EqualTo(target,course)" in text
     assert "eventname" not in text.split("ReadSchema")[1]
 
@@ -150,7 +150,19 @@ def _facts_under_semi_join(df) -> tuple[int, int]:
 
 @pytest.mark.parametrize("name", sorted(NARROWING))
 def test_filters_reach_the_facts(spark, settings, name):
-    t = LmsTables.staged(spark, SMALL)
+    t = stored(spark)
     _, plain = _facts_under_semi_join(REPORTS[name](t, None, settings))
     found, kept = _facts_under_semi_join(REPORTS[name](t, NARROWING[name], settings))
     assert found and kept > plain
+
+
+CATALOGUE = ("cat_trafico_diario", "cat_uso_herramientas", "cat_tiempo_herramienta", "cat_sesiones_log", "cat_sesiones_bbb")
+
+
+@pytest.mark.parametrize("key", CATALOGUE)
+def test_catalogue_joins_labels_after_the_last_aggregation(spark, key):
+    """No row expansion, and no course label below the aggregations of the facts."""
+    lines = plan(all_checks()[key].over(stored(spark))).splitlines()
+    assert not any("Expand" in x for x in lines)
+    grouped = [x for x in lines if "HashAggregate" in x and ("sum(n" in x or "sum(seconds" in x)]
+    assert grouped and not any("fullname" in x or "prog_name" in x for x in grouped)
