@@ -259,10 +259,12 @@ check(
 )
 check(
     "rel_tool_activity",
-    lambda t: tools.valid_module_users(t, P)
-    .join(tools.modules(t).filter(F.col("course_id") != 1), ["course_id", "module_id"])
+    lambda t: tools.modules(t)
+    .filter(F.col("course_id") != 1)
+    .join(tools.valid_module_users(t, P), ["course_id", "module_id"], "left")
     .select("course_id", "module_id", "tool", "userid"),
-    "select distinct course_id, module_id, tool, userid from x_activity where userid is not null",
+    """select m.course_id, m.module_id, m.tool, a.userid from (select distinct course_id, module_id, tool from x_activity) m
+       left join (select distinct course_id, module_id, userid from x_activity where userid is not null) a using (course_id, module_id)""",
 )
 check(
     "tool_usage_long",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from checks.base import CHECKS, Check, S, check, compose, day, local, part
 from lectern.functions.labels import NOT_IN_LOG
+from lectern.operators import timeontask
 from lectern.session import scratch_path
 from lectern.sources import LmsTables
 from lectern.sources.catalog import star_view
@@ -216,6 +217,29 @@ check(
     f"""select userid, courseid as course_id, herramienta, cast(sum(segundos) as bigint) as segundos from ({_time_sql('lg')}) z
         where fecha between date '2024-01-08' and date '2024-01-20' group by 1, 2, 3""",
 )
+
+
+def _time_tables(t: LmsTables):
+    store = _store(t, "time")
+    for job in ("instance_time_day", "day_edge"):
+        rollups.backfill(t, S, store, job, START, date(2024, 1, 30))
+    return timeontask.per_tool(t, rollups.instances_from_rollup(store, "2024-01-08", "2024-01-20"))
+
+
+check(
+    "tiempo_from_rollup",
+    _time_tables,
+    f"""select userid, course_id, tool, cast(sum(secs) as bigint) as seconds from (
+          select g.userid, g.courseid as course_id,
+            case when nxt is null then 0 else least(1800, greatest(0, nxt - timecreated)) end as secs,
+            case when m.module_name is null then 'curso' when m.module_name = 'forum' then
+                case m.forum_type when 'blog' then 'blog' when 'news' then 'anuncio' else 'foro' end
+              when m.module_name in ('attendance', 'attendanceregister') then 'asistencia' else m.module_name end as tool
+          from (select *, lead(timecreated) over (partition by userid, courseid order by timecreated, id) as nxt
+                from lg where userid > 0 and courseid is not null
+                  and {day('timecreated')} between date '2024-01-08' and date '2024-01-20') g
+          left join x_module m on m.module_id = g.contextinstanceid) z group by 1, 2, 3""",
+)
 check(
     "unique_users_from_rollup",
     lambda t: rollups.unique_users_from_rollup(_filled(t), "2024-01-08", "2024-01-14"),

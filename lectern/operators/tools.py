@@ -1,10 +1,9 @@
 """Activity tools: who took part in what, per user and course.
 
-Every relation has the columns (userid, course_id, total). Activity rows look
-up the course of their activity and are counted per user and course, with a
-map-side combine before the one shuffle. The activity tables are dimensions
-that Spark broadcasts while they are under its size threshold; beyond it the
-lookup is a shuffled join whose hot activities are split by skew handling.
+Every relation has the columns (userid, course_id, total). Rows are counted per
+activity and user first, with a map-side combine; only these counts look up the
+course of their activity and are added up per user and course. So a lookup that
+is too big to broadcast shuffles counts, never raw rows.
 """
 
 from __future__ import annotations
@@ -50,12 +49,8 @@ def _total(df: DataFrame) -> DataFrame:
 
 def _counted(rows: DataFrame, key: str, activities: DataFrame) -> DataFrame:
     """Row counts per user and course of the activity they belong to."""
-    return (
-        rows.select(key, "userid")
-        .join(_courses_of(activities, key), key)
-        .groupBy(*PAIR)
-        .agg(F.count("*").alias("total"))
-    )
+    counts = rows.groupBy(key, "userid").agg(F.count("*").alias("n"))
+    return _total(counts.join(_courses_of(activities, key), key))
 
 
 def _distinct_activities(rows: DataFrame, key: str, activities: DataFrame) -> DataFrame:
@@ -66,18 +61,22 @@ def _distinct_activities(rows: DataFrame, key: str, activities: DataFrame) -> Da
 
 def forum_counts(t: LmsTables, p: Period) -> DataFrame:
     """Posts and replies per user, course and forum type, from one pass."""
-    posts = p.only(t.forum_posts, F.col("created")).select("discussion", "userid", "parent")
+    posts = (
+        p.only(t.forum_posts, F.col("created"))
+        .groupBy("discussion", "userid")
+        .agg(
+            F.count("*").alias("posts"),
+            F.count_if(F.col("parent") > 0).alias("replies"),
+            F.count_if(F.col("parent") == 0).alias("openings"),
+        )
+    )
     places = t.forum_discussions.select(F.col("id").alias("discussion"), "forum").join(
         t.forum.select(F.col("id").alias("forum"), F.col("course").alias("course_id"), "type"), "forum"
     )
     return (
         posts.join(places, "discussion")
         .groupBy(*PAIR, "type")
-        .agg(
-            F.count("*").alias("posts"),
-            F.count_if(F.col("parent") > 0).alias("replies"),
-            F.count_if(F.col("parent") == 0).alias("openings"),
-        )
+        .agg(*[F.sum(m).alias(m) for m in ("posts", "replies", "openings")])
     )
 
 

@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -111,6 +111,35 @@ def estimated_time_day(
     )
 
 
+def _course_events(t: LmsTables, s: Settings, since: str | None, until: str | None) -> DataFrame:
+    return _events(t, s, since, until).select(
+        "id", "fecha", "userid", F.col("courseid").alias("course_id"), "contextinstanceid", "timecreated"
+    )
+
+
+def instance_time_day(t: LmsTables, s: Settings, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Capped gap seconds per day, user, course and context instance, within the day."""
+    rows = _course_events(t, s, since, until)
+    spent = timeontask.instance_seconds(rows, ["fecha", *PAIR], s.gap_slice_seconds, F.col("contextinstanceid"))
+    return spent.select(
+        "fecha", "userid", F.col("course_id").alias("courseid"), F.col("module_id").alias("modulo"), F.col("seconds").alias("segundos")
+    )
+
+
+def day_edge(t: LmsTables, s: Settings, since: str | None = None, until: str | None = None) -> DataFrame:
+    """First and last event per day, user and course, and where the last one was: what the gap across
+    midnight is made of."""
+    return (
+        _events(t, s, since, until)
+        .groupBy(*GRAIN)
+        .agg(
+            F.min("timecreated").alias("primer_ts"),
+            F.max("timecreated").alias("ultimo_ts"),
+            F.max_by("contextinstanceid", F.struct("timecreated", "id")).alias("ultimo_modulo"),
+        )
+    )
+
+
 def user_course_day(t: LmsTables, s: Settings, day: str) -> DataFrame:
     """Snapshot of enrolment state and roles, taken for one day."""
     return (
@@ -160,6 +189,8 @@ BUILDERS: dict[str, Callable[..., DataFrame]] = {
     "login_day": login_day,
     "tool_activity_day": tool_activity_day,
     "estimated_time_day": estimated_time_day,
+    "instance_time_day": instance_time_day,
+    "day_edge": day_edge,
     "traffic_hour": traffic_hour,
     "login_dim_day": login_dim_day,
 }
@@ -173,6 +204,8 @@ SCHEMAS: dict[str, str] = {
     " vistas_curso bigint, primera_vista bigint, ultima_vista bigint, fecha date",
     "tool_activity_day": "userid bigint, courseid bigint, herramienta string, cantidad bigint, fecha date",
     "estimated_time_day": "userid bigint, courseid bigint, herramienta string, segundos bigint, fecha date",
+    "instance_time_day": "userid bigint, courseid bigint, modulo bigint, segundos bigint, fecha date",
+    "day_edge": "userid bigint, courseid bigint, primer_ts bigint, ultimo_ts bigint, ultimo_modulo bigint, fecha date",
     "traffic_hour": "hora int, courseid bigint, usuarios_unicos bigint, fecha date",
     "login_dim_day": "courseid bigint, so string, navegador string, pais string, ciudad string,"
     " ingresos_unicos bigint, fecha date",
@@ -384,6 +417,25 @@ def time_from_rollup(store: Store, since: str | None = None, until: str | None =
     )
 
 
+def instances_from_rollup(store: Store, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Seconds per user, course and context instance, the gaps between days included.
+
+    The same relation that the time report counts from the log: within a day from the time table,
+    and from a day's last event to the first one of the pair's next active day from the edges. The
+    window holds one row per active day of a pair.
+    """
+    inside = _days(store, "instance_time_day", since, until).select(
+        *PAIR, F.col("modulo").alias("module_id"), F.col("segundos").alias("seconds")
+    )
+    following = F.lead("primer_ts").over(Window.partitionBy(*PAIR).orderBy("fecha"))
+    across = (
+        _days(store, "day_edge", since, until)
+        .withColumn("seconds", timeontask.capped_gap(F.col("ultimo_ts"), following).cast("bigint"))
+        .select(*PAIR, F.col("ultimo_modulo").alias("module_id"), "seconds")
+    )
+    return inside.unionByName(across).groupBy(*PAIR, "module_id").agg(F.sum("seconds").alias("seconds"))
+
+
 def unique_users_from_rollup(store: Store, since: str | None = None, until: str | None = None) -> DataFrame:
     """Unique users per course over a range, recounted from the user-grain table."""
     return (
