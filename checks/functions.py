@@ -12,7 +12,7 @@ from lectern.functions import params as Q
 from lectern.functions import text as X
 from lectern.functions import times as M
 from lectern.functions.filters import Optional, contains, ilike_any
-from lectern.operators import courses, tools
+from lectern.operators import access, courses, tools
 from lectern.plans.catalogue import VIDEO_COMPONENTS, VIDEO_EVENTS
 
 TZ = S.report_tz
@@ -383,6 +383,6 @@ check(
 )
 check(
     "flt_history_floor",
-    lambda t: t.log.filter(F.col("timecreated") >= 1705294800).select("id", "timecreated"),
-    f"select id, timecreated from lg where {local('timecreated')} >= timestamp '2024-01-15 00:00:00'",
+    lambda t: access.valid_access(t, S.with_(floor_epoch=1705294800)),
+    "select * from x_valid where timecreated >= 1705294800",
 )

@@ -7,7 +7,7 @@ from checks.base import (
     valid, zero_or_stamp,
 )
 from lectern.functions.labels import NOT_AVAILABLE, NOT_IN_LOG
-from lectern.operators import tools
+from lectern.operators import access, tools
 from lectern.plans import columns as C
 from lectern.plans import reports as R
 from lectern.plans import variants as V
@@ -292,35 +292,58 @@ def _period_posts(test: str) -> str:
 
 
 _BETWEEN = "between date '2024-01-05' and date '2024-01-12'"
+def _period_parts() -> dict[str, str]:
+    """Each measure of the period on its own: userid, course_id, total."""
+
+    def logged(test: str, total: str = "count(*)", more: str = "") -> str:
+        return f"""(select userid, courseid as course_id, {total} as total{more} from lg where userid > 0 and courseid is not null
+            and {test} and {day('timecreated')} {_BETWEEN} group by 1, 2)"""
+
+    def done(rows: str, activities: str, key: str, test: str, total: str = "count(*)") -> str:
+        return f"""(select b.userid, a.course as course_id, {total} as total from {rows} b join {activities} a on a.id = b.{key}
+            where {test} {_BETWEEN} group by 1, 2)"""
+
+    view = f"(eventname = '{access.COURSE_VIEWED}' or (component = 'core' and target = 'course' and action = 'viewed'))"
+    package = "component = 'mod_scorm' and (action in ('viewed', 'launched', 'submitted', 'completed', 'updated') or eventname ilike '%scorm%')"
+    sent = "case when timemodified = 0 or timemodified is null then timecreated else timemodified end"
+    surveys = " union all ".join(
+        f"select * from {done(rows, table, key, day(at))} z"
+        for rows, table, key, at in (
+            ("mdl_feedback_completed", "mdl_feedback", "feedback", "timemodified"),
+            ("mdl_survey_answers", "mdl_survey", "survey", "b.time"),
+        )
+    )
+    return {
+        "accesses": logged(view, more=", max(timecreated) as last_access"),
+        "wikis": logged("component = 'mod_wiki' and (eventname ilike '%page_updated%' or action in ('created', 'updated'))"),
+        "surveys": f"({surveys})",
+        "forums": _period_posts("type not in ('news', 'blog') and userid > 0"),
+        "replies": _period_posts("type not in ('news', 'blog') and parent > 0"),
+        "quizzes": done("mdl_quiz_attempts", "mdl_quiz", "quiz", f"state = 'finished' and timefinish > 0 and {day('timefinish')}"),
+        "blogs": _period_posts("type = 'blog' and userid > 0"),
+        "assignments": done("mdl_assign_submission", "mdl_assign", "assignment", f"status = 'submitted' and {day(sent)}", "count(distinct assignment)"),
+        "scorm": logged(package, "count(distinct coalesce(contextinstanceid, objectid, id))"),
+        "sessions": done("mdl_bigbluebuttonbn_logs", "mdl_bigbluebuttonbn", "bigbluebuttonbnid", f"b.userid > 0 and {day('b.timecreated')}", "count(distinct a.id)"),
+        "chats": done("mdl_chat_messages", "mdl_chat", "chatid", f"b.userid > 0 and {day('timestamp')}"),
+        "announcements": _period_posts("type = 'news'"),
+    }
+
+
+def _period_sql() -> str:
+    rows = " union all ".join(
+        f"select userid, course_id, '{name}' as what, total, {'last_access' if name == 'accesses' else 'null'} as last_access from {sql} z"
+        for name, sql in _period_parts().items()
+    )
+    sums = ", ".join(f"cast(coalesce(sum(case when what = '{m}' then total end), 0) as bigint) as {m}" for m in tools.MEASURES)
+    return f"select userid, course_id, {sums}, max(last_access) as last_access from ({rows}) y group by 1, 2"
+
+
 check(
     "participacion_period",
-    lambda t: tools.participation(t, tools.Period("2024-01-05", "2024-01-12", S.report_tz)).select(
-        "userid", "course_id", "forums", "replies", "blogs", "announcements", "quizzes", "assignments", "chats", "sessions", "wikis", "accesses"
-    ).filter("forums + replies + blogs + announcements + quizzes + assignments + chats + sessions + wikis + accesses > 0"),
-    f"""select userid, course_id, cast(sum(forums) as bigint) as forums, cast(sum(replies) as bigint) as replies,
-          cast(sum(blogs) as bigint) as blogs, cast(sum(announcements) as bigint) as announcements, cast(sum(quizzes) as bigint) as quizzes,
-          cast(sum(assignments) as bigint) as assignments, cast(sum(chats) as bigint) as chats, cast(sum(sessions) as bigint) as sessions,
-          cast(sum(wikis) as bigint) as wikis, cast(sum(accesses) as bigint) as accesses
-        from (
-          select userid, course_id, total as forums, 0 as replies, 0 as blogs, 0 as announcements, 0 as quizzes, 0 as assignments,
-            0 as chats, 0 as sessions, 0 as wikis, 0 as accesses from {_period_posts("type not in ('news', 'blog') and userid > 0")} z
-          union all select userid, course_id, 0, total, 0, 0, 0, 0, 0, 0, 0, 0 from {_period_posts("type not in ('news', 'blog') and parent > 0")} z
-          union all select userid, course_id, 0, 0, total, 0, 0, 0, 0, 0, 0, 0 from {_period_posts("type = 'blog' and userid > 0")} z
-          union all select userid, course_id, 0, 0, 0, total, 0, 0, 0, 0, 0, 0 from {_period_posts("type = 'news'")} z
-          union all select b.userid, a.course, 0, 0, 0, 0, count(*), 0, 0, 0, 0, 0 from mdl_quiz_attempts b join mdl_quiz a on a.id = b.quiz
-            where state = 'finished' and timefinish > 0 and {day('timefinish')} {_BETWEEN} group by 1, 2
-          union all select b.userid, a.course, 0, 0, 0, 0, 0, count(distinct assignment), 0, 0, 0, 0 from mdl_assign_submission b
-            join mdl_assign a on a.id = b.assignment where status = 'submitted'
-            and {day('case when timemodified = 0 or timemodified is null then timecreated else timemodified end')} {_BETWEEN} group by 1, 2
-          union all select b.userid, a.course, 0, 0, 0, 0, 0, 0, count(*), 0, 0, 0 from mdl_chat_messages b join mdl_chat a on a.id = b.chatid
-            where b.userid > 0 and {day('timestamp')} {_BETWEEN} group by 1, 2
-          union all select b.userid, a.course, 0, 0, 0, 0, 0, 0, 0, count(distinct a.id), 0, 0 from mdl_bigbluebuttonbn_logs b
-            join mdl_bigbluebuttonbn a on a.id = b.bigbluebuttonbnid where b.userid > 0 and {day('b.timecreated')} {_BETWEEN} group by 1, 2
-          union all select userid, courseid, 0, 0, 0, 0, 0, 0, 0, 0, count(*), 0 from lg where component = 'mod_wiki' and userid > 0
-            and courseid is not null and action in ('created', 'updated') and {day('timecreated')} {_BETWEEN} group by 1, 2
-          union all select userid, courseid, 0, 0, 0, 0, 0, 0, 0, 0, 0, count(*) from lg where userid > 0 and courseid is not null
-            and component = 'core' and target = 'course' and action = 'viewed' and {day('timecreated')} {_BETWEEN} group by 1, 2) y
-        group by 1, 2""",
+    lambda t: tools.participation(t, tools.Period("2024-01-05", "2024-01-12", S.report_tz)).filter(
+        " + ".join(tools.MEASURES) + " > 0"
+    ),
+    _period_sql(),
 )
 
 # -- 9 ----------------------------------------------------------------------------
