@@ -9,7 +9,6 @@ state is kept between batches.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lectern.session import scratch_path
 from lectern.settings import Settings

@@ -9,8 +9,6 @@ import pytest
 
 from lectern.functions import params
 from lectern.plans import generate
-from lectern.sources import LmsTables
-from tests.conftest import SMALL
 from tests.lms import stored
 
 CODES = ("registro_usuarios", "trafico_diario", "usuarios_ambiente", "sesiones_online")
