@@ -106,6 +106,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame, row_bytes: int, most: int = 8 << 20) -> DataFrame:
+    """A written table as the small side of a join: broadcast if its rows, counted, fit into ``most``
+    bytes; beyond that the join shuffles it."""
+    return F.broadcast(df) if df.count() * row_bytes <= most else df
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables of ``written`` that no later plan reads."""
     for df in tables:

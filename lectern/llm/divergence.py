@@ -9,7 +9,7 @@ it isn't tried. Fixed base rules come first: too few words, or too many words in
 
 DataFrame functions only. The per-document counts are made in one pass and written to the shared
 folder without the text; references and verdicts read that narrow table. The references are one
-row a language.
+row a language, broadcast while their counted size allows it.
 
 Null text is empty: no words, so the base rules reject it. A null language is a language of its
 own. Extra columns are not read. Windows are compared by 64-bit hashes of their eight words within
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, let, written
+from .common import bounded, col, let, written
 
 MIN_WORDS = 20
 MAX_REPEATED_PERCENT = 30
@@ -183,7 +183,9 @@ def common_distance() -> Column:
 def judge(df: DataFrame) -> DataFrame:
     """One row per document with the base counts, both distances and the verdict ``kept``."""
     counts = written(document_counts(df), "divergence")
-    rows = counts.join(references(counts), F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
+    # A reference holds a share for each common word at most.
+    refs = bounded(written(references(counts), "references"), 64 * len(COMMON_WORDS))
+    rows = counts.join(refs, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     chars = F.col("n_chars")
     return (
@@ -208,3 +210,68 @@ def judge(df: DataFrame) -> DataFrame:
             F.round("common_distance", 6).alias("common_distance"),
         )
     )
+
+
+def _sql() -> str:
+    names = [*(n for n, _ in CLASSES), "other"]
+    words = ", ".join(f"'{w}'" for w in COMMON_WORDS)
+    part = lambda p, q: (
+        f"(case when ({p}) > 0 then ({p}) / 2 * log2(2 * ({p}) / (({p}) + ({q}))) else 0 end"
+        f" + case when ({q}) > 0 then ({q}) / 2 * log2(2 * ({q}) / (({p}) + ({q}))) else 0 end)"
+    )
+    classes = " + ".join(part(f"c.{n} / greatest(c.n_chars, 1)", f"r.{n} / greatest(r.n_chars, 1)") for n in names)
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+    length(t) AS n_chars,
+    length(regexp_replace(t, '[^a-z]', '', 'g')) AS lower, length(regexp_replace(t, '[^\x20\x09-\x0D]', '', 'g')) AS blank,
+    length(regexp_replace(t, '[^A-Z]', '', 'g')) AS upper, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS symbol,
+    length(regexp_replace(t, '[^0-9]', '', 'g')) AS digit, length(regexp_replace(t, '[\x00-\x7F]', '', 'g')) AS other
+  FROM d
+), c AS (
+  SELECT *, n_chars - lower - blank - upper - symbol - digit - other AS ascii, len(w) AS n_words,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines
+  FROM w
+), win AS (
+  SELECT rid, i, array_to_string(w[i:i + 7], ' ') AS p
+  FROM (SELECT rid, w, unnest(generate_series(1, n_words - 7)) AS i FROM c WHERE n_words >= 8)
+), twin AS (
+  SELECT rid, p FROM win GROUP BY rid, p HAVING count(*) > 1
+), rep AS (
+  SELECT rid, count(DISTINCT place) AS n_repeat_words
+  FROM (SELECT rid, unnest(generate_series(i, i + 7)) AS place FROM win JOIN twin USING (rid, p)) GROUP BY rid
+), common AS (
+  SELECT rid, word, count(*) AS n FROM (SELECT rid, lower(unnest(w)) AS word FROM c) WHERE word IN ({words}) GROUP BY rid, word
+), r AS (
+  SELECT lang, sum(n_words) AS n_words, sum(n_chars) AS n_chars, {", ".join(f"sum({n}) AS {n}" for n in names)} FROM c GROUP BY lang
+), rw AS (
+  SELECT c.lang, word, sum(n) / max(greatest(r.n_words, 1)) AS q
+  FROM common JOIN c USING (rid) JOIN r ON r.lang IS NOT DISTINCT FROM c.lang GROUP BY c.lang, word
+), total AS (SELECT lang, sum(q) AS all_q FROM rw GROUP BY lang
+), js AS (
+  SELECT rid, sum({part("common.n / greatest(c.n_words, 1)", "rw.q")}) AS inside, sum(rw.q) AS seen,
+    sum(common.n / greatest(c.n_words, 1)) AS ours
+  FROM common JOIN c USING (rid) JOIN rw ON rw.word = common.word AND rw.lang IS NOT DISTINCT FROM c.lang GROUP BY rid
+), e AS (
+  SELECT c.*, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    case when c.n_chars >= {MIN_CHARS_FOR_CLASSES} then sqrt(greatest({classes}, 0)) end AS class_distance,
+    case when c.n_words >= {MIN_WORDS_FOR_COMMON} then sqrt(greatest(coalesce(inside, 0)
+      + (coalesce(all_q, 0) - coalesce(seen, 0)) / 2
+      + {part("greatest(1 - coalesce(ours, 0), 0)", "greatest(1 - coalesce(all_q, 0), 0)")}, 0)) end AS common_distance
+  FROM c JOIN r ON r.lang IS NOT DISTINCT FROM c.lang LEFT JOIN total ON total.lang IS NOT DISTINCT FROM c.lang
+    LEFT JOIN rep USING (rid) LEFT JOIN js USING (rid)
+), f AS (
+  SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words AS base_failed FROM e
+)
+SELECT doc_id, n_words, n_chars - blank AS word_chars, symbol AS n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(class_distance, 0) <= {MAX_CLASS_DISTANCE}
+    AND coalesce(common_distance, 0) <= {MAX_COMMON_DISTANCE} AS kept,
+  round(class_distance, 6) AS class_distance, round(common_distance, 6) AS common_distance
+FROM f
+"""
+
+
+SQL = _sql()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, fresh, let, per_text, ship_package, written
+from .common import bounded, col, fresh, let, per_text, ship_package, written
 
 BUCKETS = 1 << 14
 SAMPLE = 20_000
@@ -154,7 +154,7 @@ def fuse(rows: DataFrame, size: int) -> DataFrame:
 
     out = rows
     for key, name in (("host", "by_host"), ("domain", "by_domain"), ("suffix", "by_suffix"), ("declared", "by_declared")):
-        out = out.join(_spread(rows, key, size, name), key, "left")
+        out = out.join(bounded(written(_spread(rows, key, size, name), name), 8 * size + 64), key, "left")
     none = F.array(*[F.lit(0.0)] * size)
     got = lambda name: F.coalesce(F.col(name), none)
     each = F.sequence(F.lit(0), F.lit(size - 1))

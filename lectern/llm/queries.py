@@ -84,4 +84,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op8_wu_manber": decontam.SQL,
+    "op10_divergence": divergence.SQL,
 }
