@@ -25,7 +25,7 @@ from tokenizers import Tokenizer
 
 from .common import col, per_text, sha256_hex
 
-CACHED = 400_000
+CACHED = 200_000
 CACHED_LENGTH = 48
 OLD_LETTERS = "\u0558"
 

@@ -41,7 +41,7 @@ class Grams(dict):
     """Word to hashes of itself and of its shape, remembered up to a bound."""
 
     def __missing__(self, word: str) -> tuple[int, int]:
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         shape: list[str] = []
         for c in word:
