@@ -5,8 +5,8 @@ frequent enough, and met between many different neighbours (a term that only cop
 carry isn't one). It is stored as a trie. A word is looked up by walking the trie together with the
 Levenshtein automaton of the word: a state is the row of edit distances to the word's prefixes, and a
 branch ends where no entry of the row is within the limit. So misspelled terms are found as well,
-within one edit from five letters on and two from eight on; words that training rows use
-innocently are no misspellings.
+within one edit from five letters on and two from eight on; words that at least two training rows
+use innocently are no misspellings.
 
 Around every hit a window of words and quotation marks decides how much of it is abuse and how much
 quotation: marks around the hit and reporting words before it lower the share, direct address raises
@@ -38,8 +38,9 @@ MIN_ROWS = 4
 MIN_DIVERSITY = 0.6
 MAX_TERMS = 500
 MIN_TERM = 4
+MIN_INNOCENT = 2
 WINDOW = 6
-CACHED = 300_000
+CACHED = 200_000
 PRIOR = (-2.0, 3.0, 2.0, 0.7)  # intercept, exact, misspelled, quoted
 
 _EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”‘’‹›…¿¡–—"
@@ -65,10 +66,11 @@ def edits_allowed(length: int) -> int:
     return 0 if length < 5 else 1 if length < 8 else 2
 
 
-def _pieces(term: str, edits: int) -> list[str]:
-    """The term in edits + 1 parts: a word within that many edits holds one of them unchanged."""
+def _pieces(term: str, edits: int) -> list[tuple[int, str]]:
+    """The term in edits + 1 parts with their places: a word within that many edits holds one of them
+    unchanged, and no further from its place than the edits allow."""
     cuts = [len(term) * i // (edits + 1) for i in range(edits + 2)]
-    return [term[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
+    return [(x, term[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
 
 
 class Lexicon:
@@ -79,7 +81,7 @@ class Lexicon:
         self.exact = frozenset(terms)
         self.ordinary = ordinary - self.exact
         self.longest = max(map(len, terms), default=0)
-        self.tries: list[tuple[int, dict, frozenset[int], re.Pattern]] = []
+        self.tries: list[tuple[int, dict, frozenset[int], re.Pattern, dict[int, set[tuple[int, str]]]]] = []
         for k in (1, 2):
             own = [t for t in terms if edits_allowed(len(t)) == k]
             if own:
@@ -90,23 +92,37 @@ class Lexicon:
                         node = node.setdefault(c, {})
                     node[""] = term
                 sizes = frozenset(len(t) + d for t in own for d in range(-k, k + 1))
-                parts = re.compile("|".join(sorted({re.escape(x) for t in own for x in _pieces(t, k)})))
-                self.tries.append((k, root, sizes, parts))
+                pieces = {piece for t in own for piece in _pieces(t, k)}
+                parts = re.compile("|".join(sorted({re.escape(x) for _, x in pieces})))
+                places: dict[int, set[tuple[int, str]]] = {}
+                for at, x in pieces:
+                    places.setdefault(len(x), set()).update((at + d, x) for d in range(-k, k + 1))
+                self.tries.append((k, root, sizes, parts, places))
         self.cache: dict[str, int] = {}
+        self.known: dict[str, int | None] = {}
 
     def nearest(self, word: str) -> int | None:
         """Fewest edits to a term that the term's length allows."""
         if word in self.exact:
             return 0
-        found = [d for k, root, sizes, parts in self.tries if len(word) in sizes and parts.search(word) and (d := _walk(root, word, k))]
-        return min(found, default=None)
+        best = None
+        for k, root, sizes, parts, places in self.tries:
+            if len(word) in sizes and parts.search(word) and _in_place(word, places):
+                d = _walk(root, word, k)
+                if d is not None and (best is None or d < best):
+                    best = d
+        return best
 
     def look_up(self, word: str) -> int:
         """Edits to the lexicon, or -1; ``word`` as it stands between blanks. Remembered up to a bound."""
         plain = bare(word)
         found = -1
         if MIN_TERM - 1 <= len(plain) <= self.longest + 2 and plain not in self.ordinary:
-            d = self.nearest(plain)
+            if plain not in self.known:
+                if len(self.known) >= CACHED:
+                    self.known.clear()
+                self.known[plain] = self.nearest(plain)
+            d = self.known[plain]
             found = -1 if d is None else d
         if len(self.cache) >= CACHED:
             self.cache.clear()
@@ -125,6 +141,12 @@ class Lexicon:
         return out
 
 
+def _in_place(word: str, places: dict[int, set[tuple[int, str]]]) -> bool:
+    """Whether the word holds a term's piece near the piece's place."""
+    n = len(word)
+    return any((i, word[i : i + size]) in found for size, found in places.items() for i in range(n - size + 1))
+
+
 def _walk(root: dict, word: str, k: int) -> int | None:
     """Fewest edits, k at most, from a word to a term of the trie. The automaton's state after d
     letters is the band of edit distances to the word's prefixes of d - k to d + k letters."""
@@ -267,8 +289,11 @@ def learn_lexicon(train: DataFrame) -> tuple[list[str], list[str]]:
         lexicon = Lexicon(sent.value)
         return lambda word: ((lexicon.nearest(word) or 0) > 0,)
 
+    # The counts are a few bytes a word, which would end up in few tasks; the walks are dealt out anew.
+    parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     innocent = (
-        counts.where((F.col("neg") > 0) & (F.length("words") <= max(map(len, terms)) + 2))
+        counts.where((F.col("neg") >= MIN_INNOCENT) & (F.length("words") <= max(map(len, terms)) + 2))
+        .repartition(parts)
         .where(per_text(near, "struct<near: boolean>")("words")["near"])
         .select("words")
     )
