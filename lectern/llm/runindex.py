@@ -81,8 +81,63 @@ def segments(data: bytes, length: int = LENGTH, order: int = 0) -> tuple[np.ndar
     return keys[starts].view(np.int64), starts, np.diff(np.append(starts, len(keys)))
 
 
+def _ranked(keys: np.ndarray) -> np.ndarray:
+    """Place of each key in the order; equal keys share the first one's."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    head = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+    rank = np.empty(len(keys), dtype=np.int64)
+    rank[order] = np.maximum.accumulate(np.where(head, np.arange(len(keys)), 0))
+    return rank
+
+
+def _doubled(rank: np.ndarray, ends: np.ndarray, depth: int, longest: int) -> np.ndarray:
+    """Ranks of whole suffixes out of ranks of their first ``depth`` symbols, by doubling; a suffix ends
+    at ``ends``. Only places that still share a rank are sorted again."""
+    n = len(rank)
+    active = np.arange(n)
+    while depth < longest:
+        size = np.bincount(rank, minlength=n)
+        active = active[size[rank[active]] > 1]
+        if not len(active):
+            break
+        ahead = active + depth
+        second = np.where(ahead < ends[active], rank[np.minimum(ahead, n - 1)] + 1, 0)
+        key = rank[active] * (n + 1) + second
+        by = np.argsort(key)
+        key, of = key[by], active[by]
+        old = rank[of]
+        at = np.arange(len(of))
+        first = np.maximum.accumulate(np.where(np.concatenate(([True], old[1:] != old[:-1])), at, 0))
+        same = np.maximum.accumulate(np.where(np.concatenate(([True], key[1:] != key[:-1])), at, 0))
+        rank[of] = old + same - first
+        depth *= 2
+    return rank
+
+
+def _suffix_ranks(texts: list[bytes]) -> np.ndarray:
+    """Ranks of all suffixes of some texts, each ending with its text; equal ones share a rank."""
+    data = np.frombuffer(b"".join([*texts, bytes(8)]), dtype=np.uint8)
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    n = int(sizes.sum())
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    left = ends - np.arange(n)
+    # Seven bytes, and how many of them there are.
+    head = np.ndarray((n,), dtype=">u8", buffer=data, strides=(1,)).astype(np.uint64)
+    near = np.flatnonzero(left < 7)
+    head[near] &= ~np.uint64(0) << (np.uint64(8) * (np.uint64(8) - left[near].astype(np.uint64)))
+    head = head & ~np.uint64(0xFF) | np.minimum(left, 7).astype(np.uint64)
+    return _doubled(_ranked(head), ends, 7, int(sizes.max()))
+
+
 class RunIndex:
-    """Run-compressed transform of some short texts, with sampled run ends."""
+    """Run-compressed transform of some short texts, with sampled run ends.
+
+    The suffix order comes from prefix-free parsing: the texts are cut into phrases that overlap in
+    the 8-byte strings whose hash is 0 in five bits. No phrase suffix is the start of another, so two
+    text suffixes compare as their phrase suffixes do and, where these are equal, as the next
+    phrases. Repetitive texts have few different phrases, and only those are sorted by bytes.
+    """
 
     def __init__(self, texts: list[bytes], length: int = LENGTH):
         self.length = length
@@ -90,7 +145,7 @@ class RunIndex:
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         self.ends = np.repeat(np.cumsum(sizes), sizes)  # of the text that a place is in
         self.firsts = np.cumsum(sizes) - sizes
-        self.order, self.shared = self._suffixes(int(sizes.max()))
+        self.order = self._order()
         before = self.data[self.order - 1].astype(np.int16)  # the transform
         is_first = np.zeros(len(self.data), dtype=bool)
         is_first[self.firsts] = True
@@ -101,66 +156,55 @@ class RunIndex:
         ends = np.append(self.run_heads[1:], len(before)) - 1
         self.samples = np.union1d(self.run_heads, ends)  # places in the order, at both ends of runs
 
-    def _suffixes(self, longest: int) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix order by doubling, each text's suffixes ending with it; and the groups that agree
-        on a depth of at most ``length`` bytes and more than half of it."""
-        n = len(self.data)
+    def _order(self) -> np.ndarray:
+        n, ends = len(self.data), self.ends
         place = np.arange(n)
-        left = self.ends - place
-        head = np.zeros(n, dtype=np.uint64)
         padded = np.concatenate((self.data, np.zeros(8, dtype=np.uint8)))
-        for k in range(7):  # seven bytes, and how many of them there are
-            head |= np.where(left > k, padded[k : n + k], 0).astype(np.uint64) << np.uint64(8 * (7 - k))
-        head |= np.minimum(left, 7).astype(np.uint64)
-        order = np.argsort(head, kind="stable")
-        rank = self._ranks(head[order], order, n)
-        del head, padded
-        depth, shared = 7, None
-        active = place
-        while depth < longest:
-            if shared is None and 2 * depth > self.length:
-                shared = rank.copy()
-            size = np.bincount(rank, minlength=n)
-            active = active[size[rank[active]] > 1]
-            if not len(active):
-                break
-            ahead = active + depth
-            inside = ahead < self.ends[active]
-            second = np.where(inside, rank[np.minimum(ahead, n - 1)] + 1, 0).astype(np.int64)
-            key = rank[active].astype(np.int64) * (n + 1) + second
-            by = np.argsort(key, kind="stable")
-            key, of = key[by], active[by]
-            old = rank[of]
-            group = np.concatenate(([True], old[1:] != old[:-1]))
-            fresh = np.concatenate(([True], key[1:] != key[:-1]))
-            at = np.arange(len(of))
-            first = np.maximum.accumulate(np.where(group, at, 0))
-            same = np.maximum.accumulate(np.where(fresh, at, 0))
-            rank[of] = old + (same - first).astype(rank.dtype)
-            depth *= 2
-        return np.argsort(rank, kind="stable"), rank if shared is None else shared
-
-    @staticmethod
-    def _ranks(ordered: np.ndarray, order: np.ndarray, n: int) -> np.ndarray:
-        fresh = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-        rank = np.empty(n, dtype=np.int32)
-        rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-        return rank
+        words = np.ndarray((n,), dtype="<u8", buffer=padded, strides=(1,))
+        cut = ((words * np.uint64(_ODD[0])) >> np.uint64(59) == 0) & (place + 8 <= ends)
+        # The first cut after each place; from the end of its text on there is none.
+        after = np.minimum.accumulate(np.where(cut, place, n)[::-1])[::-1]
+        after = np.append(after[1:], n)
+        cut[self.firsts] = True
+        starts = np.flatnonzero(cut)
+        stops = np.where(after[starts] < ends[starts], after[starts] + 8, ends[starts])
+        raw = self.data.tobytes()
+        known: dict[bytes, int] = {}
+        kind = np.array(
+            [known.setdefault(raw[a:b], len(known)) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)], dtype=np.int64
+        )
+        phrases = list(known)
+        rank = _suffix_ranks(phrases)
+        begins = np.cumsum([0, *map(len, phrases)])[:-1]
+        number = np.cumsum(cut) - 1  # of the phrase that a place is in
+        inside = rank[begins[kind[number]] + place - starts[number]]
+        # The sequence of phrases, ranked in the same way.
+        last = np.searchsorted(starts, ends[starts], side="left")
+        along = _doubled(_ranked(inside[starts]), last, 1, int((last - np.arange(len(starts))).max()))
+        follows = np.where(after < ends, along[np.minimum(number + 1, len(starts) - 1)] + 1, 0)
+        both = inside * (len(starts) + 1) + follows
+        if (int(both.max()) + 1) * n >= 1 << 63:
+            both = _ranked(both)
+        # Equal suffixes stand in the order of their places, as those one letter longer then do.
+        return np.argsort(both * n + place)
 
     def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Common prefix of suffixes; 0 where it is too short to be of interest."""
+        """Common prefix of suffixes; 0 where it is under ``length`` and so of no interest."""
         out = np.zeros(len(a), dtype=np.int64)
-        near = np.flatnonzero(self.shared[a] == self.shared[b])
-        most = np.minimum(self.ends[a[near]] - a[near], self.ends[b[near]] - b[near])
-        longest = int(most.max(initial=0))
+        most = np.minimum(self.ends[a] - a, self.ends[b] - b)
+        near = np.flatnonzero(most >= self.length)
+        for at in (0, self.length - 1, self.length // 2, self.length // 4, 3 * self.length // 4):
+            near = near[self.data[a[near] + at] == self.data[b[near] + at]]
+        longest = int(most[near].max(initial=0))
         steps = np.arange(longest)
         last = len(self.data) - 1
         for lo in range(0, len(near), 1024):
-            part, limit = near[lo : lo + 1024], most[lo : lo + 1024]
+            part = near[lo : lo + 1024]
             x = self.data[np.minimum(a[part][:, None] + steps, last)]
             y = self.data[np.minimum(b[part][:, None] + steps, last)]
-            differs = (x != y) | (steps >= limit[:, None])
-            out[part] = np.where(differs.any(axis=1), differs.argmax(axis=1), longest)
+            differs = (x != y) | (steps >= most[part][:, None])
+            found = np.where(differs.any(axis=1), differs.argmax(axis=1), longest)
+            out[part] = np.where(found >= self.length, found, 0)
         return out
 
     def matching_statistics(self) -> np.ndarray:
@@ -168,8 +212,13 @@ class RunIndex:
         may be any smaller one."""
         n, rows = len(self.data), self.samples
         here = self.order[rows]
-        above = np.where(rows > 0, self._common(here, self.order[np.maximum(rows - 1, 0)]), 0)
+        # Neighbours in the order: a pair of samples is compared once.
         below = np.where(rows < n - 1, self._common(here, self.order[np.minimum(rows + 1, n - 1)]), 0)
+        above = np.zeros(len(rows), dtype=np.int64)
+        beside = np.flatnonzero(rows[1:] == rows[:-1] + 1) + 1
+        above[beside] = below[beside - 1]
+        alone = np.setdiff1d(np.flatnonzero(rows > 0), beside)
+        above[alone] = self._common(here[alone], self.order[rows[alone] - 1])
         at = np.full(n, -1, dtype=np.int64)
         at[here] = here
         best = np.zeros(n, dtype=np.int64)
@@ -325,7 +374,12 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, block_bytes: int = BL
             (F.shiftright("place", 10) + F.col("place").bitwiseAND(1023) + (length - 1)).alias("b"),
         )
     )
-    several = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    # Where every segment has its double there is nothing left to find.
+    several = (
+        kinds.groupBy("key")
+        .agg(F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("n") == 1).alias("singles"))
+        .where("kinds > 1 and singles > 0")
+    )
     wanted = (
         kinds.join(several, "key")
         .select(
