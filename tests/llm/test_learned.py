@@ -1,6 +1,7 @@
 """Operators that learn or estimate: pairs, languages, toxicity, selection."""
 
 import collections
+import hashlib
 import math
 import random
 
@@ -124,6 +125,45 @@ def test_recall_on_given_documents(spark):
             assert any(order_minhash.similar(texts[a], texts[b]) or texts[a] == texts[b] for b in group if b != a)
 
 
+def test_pairs_under_a_passage_of_a_third_of_the_rows(spark):
+    """Near copies that share only buckets of a passage with many others, and never lead them."""
+    rng = random.Random(9)
+    own = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage = [f"p{i}" for i in range(200)]
+    texts = {}
+    for n in range(100):  # too long for the pair, and at most 0.65 similar to each other
+        texts[n] = " ".join(passage + own(110 + n))
+    for n in (100, 101):  # 0.91 similar
+        texts[n] = " ".join(passage + own(20))
+    for n in range(102, 300):
+        texts[n] = " ".join(own(60))
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = classes_of(df)
+    assert got[100] == got[101] == 100
+    assert got == brute_components(texts)
+
+
+def test_every_pair_of_a_bucket_is_compared(spark, monkeypatch):
+    """One sketch for all: the leaders of the only bucket are similar to none of the pairs in it."""
+    rng = random.Random(10)
+
+    def one_sketch():
+        def run(text):
+            words = words_of(text)
+            return hashlib.md5(b" ".join(words)).digest(), len(words), [1]
+
+        return run
+
+    monkeypatch.setattr(order_minhash, "_sketcher", one_sketch)
+    for size in (4, 15, 40):
+        texts = {}
+        for n in range(0, 2 * size, 2):
+            body = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+            texts[n], texts[n + 1] = " ".join(body), " ".join([*body[:-1], "end"])
+        df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+        assert classes_of(df) == brute_components(texts)
+
+
 def test_odd_rows_of_dedup(spark, odd, nothing, clashing):
     rows = order_minhash.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
