@@ -2,7 +2,8 @@
 
 The lexicon holds terms that mark toxic documents in the training rows: over-represented there,
 frequent enough, and met between many different neighbours (a term that only copies of one text
-carry isn't one). It is stored as a trie. A word is looked up by walking the trie together with the
+carry isn't one). Training rows are distinct texts, so copies neither add to a term nor take from it,
+and no other limit than these tests holds the lexicon's size. It is stored as a trie. A word is looked up by walking the trie together with the
 Levenshtein automaton of the word: a state is the row of edit distances to the word's prefixes, and a
 branch ends where no entry of the row is within the limit. So misspelled terms are found as well,
 within one edit from five letters on and two from eight on; words that at least two training rows
@@ -29,14 +30,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, per_text
+from .common import bounded, col, per_text, text_digest, written
 
 TRAIN_ROWS = 20_000
 MIN_LOG_ODDS = 3.0
 MIN_SHARE = 0.01
 MIN_ROWS = 4
 MIN_DIVERSITY = 0.6
-MAX_TERMS = 500
 MIN_TERM = 4
 MIN_INNOCENT = 2
 WINDOW = 6
@@ -229,7 +229,8 @@ def remainder(doc_id: Column) -> Column:
 
 
 def training_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """``text`` and ``toxic`` of a bounded sample of labelled documents outside the held-out fold."""
+    """``text`` and ``toxic`` of a bounded sample of labelled documents outside the held-out fold, copies
+    with equal labels once."""
     known = (
         labels.select(col("doc_id").alias("doc_id"), col("toxic").alias("toxic"))
         .where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (remainder(F.col("doc_id")) != 0))
@@ -239,7 +240,9 @@ def training_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
     share = min(1.0, TRAIN_ROWS / max(1, known.count()))
     picked = known.where(F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 20)) <= int(share * (1 << 20)))
     # At most about TRAIN_ROWS pairs of numbers, whatever the table holds.
-    return documents.select(col("doc_id").alias("doc_id"), col("text").alias("text")).join(F.broadcast(picked), "doc_id")
+    rows = documents.select(col("doc_id").alias("doc_id"), col("text").alias("text")).join(F.broadcast(picked), "doc_id")
+    once = rows.groupBy(text_digest(F.col("text")).alias("tdig"), (F.col("toxic") > 0).alias("marked"))
+    return once.agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
 
 def _contexts():
@@ -268,14 +271,11 @@ def learn_lexicon(train: DataFrame) -> tuple[list[str], list[str]]:
     ).select("toxic", F.explode(F.arrays_zip("c.words", "c.near")).alias("x")).select("toxic", "x.words", "x.near")
     counts = words.groupBy("words").agg(F.count_if("toxic").alias("pos"), F.count_if(~F.col("toxic")).alias("neg"))
     odds = F.log((F.col("pos") + 0.5) / (toxic + 1)) - F.log((F.col("neg") + 0.5) / (clean + 1))
-    likely = (
-        counts.where((F.col("pos") >= max(MIN_ROWS, MIN_SHARE * toxic)) & (odds >= MIN_LOG_ODDS))
-        .orderBy(F.desc(odds), "words")
-        .limit(MAX_TERMS)
-    )
+    # The support alone bounds these: a hundred times the distinct words of a toxic text at most.
+    likely = counts.where((F.col("pos") >= max(MIN_ROWS, MIN_SHARE * toxic)) & (odds >= MIN_LOG_ODDS))
     around = (
         words.where("toxic")
-        .join(F.broadcast(likely.select("words", "pos")), "words")
+        .join(bounded(written(likely.select("words", "pos"), "likely"), 64), "words")
         .groupBy("words", "pos")
         .agg(F.countDistinct("near").alias("kinds"))
         .where(F.col("kinds") >= MIN_DIVERSITY * F.col("pos"))
@@ -302,7 +302,7 @@ def learn_lexicon(train: DataFrame) -> tuple[list[str], list[str]]:
 
 def learn(documents: DataFrame, labels: DataFrame) -> tuple[list[str], list[str], list[float]]:
     """Lexicon, innocent neighbours of it, and the weights of the logistic model."""
-    train = training_rows(documents, labels)
+    train = written(training_rows(documents, labels), "toxic")
     terms, innocent = learn_lexicon(train)
     rows = train.select("toxic", _masses(train, terms, innocent)(F.col("text")).alias("m")).select("toxic", "m.*").collect()
     if not rows:

@@ -288,6 +288,27 @@ def test_labels_of_the_held_out_fold_are_not_read(spark):
     assert {r[0] for r in one if r[3]} == {i for i in range(200) if i % 3 == 0}
 
 
+def test_copies_of_toxic_texts_leave_the_lexicon_as_it_is(spark):
+    rng = random.Random(11)
+    say = lambda n: " ".join(f"w{rng.randrange(300)}" for _ in range(n))
+    rows = [(f"{say(6)} trash {say(6)}", 1) for _ in range(60)] + [(say(13), 0) for _ in range(120)]
+    rows += [(f"{say(6)} trash {say(6)}", 1)] * 80  # copies of one text with the term
+    rows += [(" ".join(f"odd{i}word" for i in range(600)), 1)] * 80  # a long text of rare words
+    rows = [(i, *r) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    terms, _ = toxicity.learn_lexicon(toxicity.training_rows(df.select("doc_id", "text"), df.select("doc_id", "toxic")))
+    assert terms == ["trash"]
+
+
+def test_lexicon_has_as_many_terms_as_stand_the_tests(spark):
+    rng = random.Random(12)
+    kinds = [f"slur{i:03d}" for i in range(600)]
+    rows = [(" ".join(x for t in rng.sample(kinds, 300) for x in (f"a{rng.randrange(999)}", t)), 1) for _ in range(40)]
+    rows += [(" ".join(f"a{rng.randrange(999)}" for _ in range(40)), 0) for _ in range(40)]
+    train = spark.createDataFrame(rows, "text string, toxic int")
+    assert set(toxicity.learn_lexicon(train)[0]) >= set(kinds)
+
+
 # -- selection --------------------------------------------------------------------
 
 
