@@ -1,7 +1,9 @@
 """Language identification by Bayesian fusion of text, declared language, address and host.
 
-Text: character trigrams, hashed, under one multinomial model a language, learned from a bounded
-sample of rows with a declared language (``SAMPLE`` rows by hash); a further model ``und`` spreads its
+Text: character trigrams, hashed, under one multinomial model a language, learned from distinct texts
+that declare it: all of them, or about ``SAMPLE`` by hash where there are more. Every declared language
+with ``MIN_TEXTS`` distinct texts has a model, and in small tables also one with ``MIN_SHARE`` of them;
+a model takes 64 KB, so the models of a thousand languages 64 MB. A further model ``und`` spreads its
 mass evenly and takes what fits no language. Grams aren't independent, so a text's likelihood is its
 mean a gram times at most ``MAX_GRAMS`` grams.
 
@@ -12,7 +14,8 @@ registered domain, and this towards that of the whole table; a row's own share i
 host's counts, so it isn't its own witness. All logarithms are added up.
 
 A row is kept if its best language isn't ``und``, holds more than half of the posterior, and its
-text has a letter. Null text is empty, null evidence is none; equal rows get equal results; an empty
+text has a letter. Where a text fits no model and its declared language has none, the declaration
+stands: nothing speaks against it, and the row is kept under that language. Null text is empty, null evidence is none; equal rows get equal results; an empty
 table gives no rows.
 """
 
@@ -25,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, col, fresh, let, per_text, ship_package, written
+from .common import bounded, col, fresh, let, per_text, ship_package, text_digest, written
 
 BUCKETS = 1 << 14
-SAMPLE = 20_000
-MIN_SHARE = 0.005  # of the sample's rows, for a language to have a model: 200 models at most
+SAMPLE = 5_000  # distinct texts a language
+MIN_TEXTS = 50  # distinct texts, for a language to have a model whatever its share
+MIN_SHARE = 0.005  # of the distinct texts, for a language with fewer
 MAX_GRAMS = 40
 OTHER = "und"
 OTHER_PRIOR = 0.01
@@ -52,17 +56,14 @@ def gram_buckets(text: str | None) -> np.ndarray:
 
 
 def _gram_counts(batches):
-    """(lang, text) batches to counts of (lang, bucket) and, as bucket -1, of rows."""
+    """(lang, text) batches to counts of (lang, bucket)."""
     for batch in batches:
         counts: dict[str, np.ndarray] = {}
-        rows: dict[str, int] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if lang not in counts:
                 counts[lang] = np.zeros(BUCKETS, dtype=np.int64)
             counts[lang] += np.bincount(gram_buckets(text), minlength=BUCKETS)
-            rows[lang] = rows.get(lang, 0) + 1
         out = [(lang, int(b), int(n[b])) for lang, n in counts.items() for b in np.flatnonzero(n)]
-        out += [(lang, -1, n) for lang, n in rows.items()]
         if out:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.string(), pa.int32(), pa.int64()), strict=True)],
@@ -87,19 +88,29 @@ class TextModel:
 
 
 def learn(df: DataFrame, text: str, declared: str) -> TextModel:
-    """Trigram models of the declared languages of a bounded sample."""
-    ship_package(df.sparkSession)
-    rows = df.where(col(declared).isNotNull()).select(F.lower(col(declared)).alias("lang"), col(text).alias("text"))
-    share = min(1.0, SAMPLE / max(1, rows.count()))
-    rows = rows.where(F.pmod(F.xxhash64(F.lit("language"), "text"), F.lit(1 << 20)) <= int(share * (1 << 20)))
-    counts = rows.mapInArrow(_gram_counts, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    sizes = {r.lang: r.n for r in counts.where("bucket = -1").orderBy(F.desc("n"), "lang").limit(int(1 / MIN_SHARE)).collect()}
-    least = MIN_SHARE * sum(sizes.values())
-    languages = sorted(x for x, n in sizes.items() if n >= least and x != OTHER)
+    """Trigram models of the declared languages, each from a bounded sample of its distinct texts."""
+    spark = df.sparkSession
+    ship_package(spark)
+    rows = df.where(col(declared).isNotNull()).select(
+        F.lower(col(declared)).alias("lang"), col(text).alias("text"), text_digest(col(text)).alias("tdig")
+    )
+    each = written(rows.select("lang", "tdig").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    whole = each.agg(F.sum("n")).first()[0] or 0
+    sizes = {r.lang: r.n for r in each.where(F.col("n") >= min(MIN_TEXTS, MIN_SHARE * whole)).collect() if r.lang != OTHER}
+    languages = sorted(sizes)
+    shares = spark.createDataFrame([(x, int(min(1.0, SAMPLE / n) * (1 << 20))) for x, n in sizes.items()], "lang string, share bigint")
+    sample = (
+        rows.join(F.broadcast(shares), "lang")
+        .where(F.pmod(F.xxhash64(F.lit("language"), "tdig"), F.lit(1 << 20)) <= F.col("share"))
+        .groupBy("lang", "tdig")
+        .agg(F.first("text").alias("text"))
+        .select("lang", "text")
+    )
+    counts = sample.mapInArrow(_gram_counts, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = np.full((BUCKETS, len(languages) + 1), 0.2)
     if languages:
         place = F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("lang")).cast("int") - 1
-        found = counts.where("bucket >= 0").select("bucket", place.alias("place"), "n").where("place >= 0").toArrow()
+        found = counts.select("bucket", place.alias("place"), "n").toArrow()
         np.add.at(table, (found["bucket"].to_numpy(), found["place"].to_numpy()), found["n"].to_numpy())
     table[:, -1] = 1.0
     return TextModel([*languages, OTHER], np.log(table / table.sum(axis=0)).astype(np.float32))
@@ -196,15 +207,18 @@ def identify(df: DataFrame, model: TextModel, ids: list[str], text: str, declare
     ).select("*", "t.n", "t.logs").drop("t")
     names = F.array(*[F.lit(x) for x in model.languages])
     best = F.array_max("fused")
+    fitting = names[F.array_position("fused", best).cast("int") - 1]
+    alone = F.coalesce((fitting == OTHER) & ~F.array_contains(names, F.col("declared")) & (F.col("declared") != "") & (F.col("n") > 0), F.lit(False))
     return (
         fuse(rows, len(model.languages))
-        .withColumn("lang_id", names[F.array_position("fused", best).cast("int") - 1])
+        .withColumn("alone", alone)
+        .withColumn("lang_id", F.when(F.col("alone"), F.col("declared")).otherwise(fitting))
         .select(
             *[F.col(f"id_{i}").alias(c) for i, c in enumerate(ids)],
             "lang_id",
             F.round(best, 6).alias("posterior"),
             F.col("n").alias("n_grams"),
-            ((F.col("lang_id") != OTHER) & (best > 0.5) & (F.col("n") > 0)).alias("kept"),
+            (F.col("alone") | ((F.col("lang_id") != OTHER) & (best > 0.5) & (F.col("n") > 0))).alias("kept"),
         )
     )
 

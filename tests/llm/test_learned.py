@@ -220,6 +220,20 @@ def test_evidence_decides_where_the_text_is_mute(spark):
     assert got[120] == "de" and got[121] == "en"
 
 
+def test_small_languages_beside_a_large_one_and_a_hot_text(spark):
+    rng = random.Random(6)
+    small = "nyumba karibu na mto ilikuwa ya zamani na maji yalipita chini yake kwa sauti ya mawe".split()
+    rows = [(sentences(rng, "en", 12), "en") for _ in range(12_000)] + [(sentences(rng, "de", 12), "de")] * 4000
+    rows += [(" ".join(rng.choice(small) for _ in range(12)), "sw") for _ in range(55)]
+    rows += [("ⴰⵣⵓⵍ ⴼⵍⵍⴰⵡⵏ ⵎⴰⵏⵉ ⵜⵍⵍⴰⵎ", "zgh"), ("ⴰⵣⵓⵍ ⴼⵍⵍⴰⵡⵏ ⵎⴰⵏⵉ ⵜⵍⵍⴰⵎ", None)]
+    rows = [(i, *r, "s1") for i, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    assert language.learn(df, "text", "lang").languages == ["en", "sw", "und"]  # one distinct text is no model
+    got = {r.doc_id: r for r in language.identify_documents(df).collect()}
+    assert all(got[i].lang_id == "sw" and got[i].kept for i in range(16_000, 16_055))
+    assert got[16_055].lang_id == "zgh" and got[16_055].kept and not got[16_056].kept
+
+
 def test_odd_rows_of_language(odd, nothing, clashing):
     rows = language.identify_documents(odd).collect()
     assert len(rows) == odd.count()
