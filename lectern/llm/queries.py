@@ -7,7 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, credentials, decontam, divergence, language, order_minhash, resampling, runindex, sharding, toxicity
+from . import (
+    audit,
+    bpe,
+    collocations,
+    credentials,
+    decontam,
+    divergence,
+    language,
+    order_minhash,
+    resampling,
+    runindex,
+    sharding,
+    toxicity,
+    warc,
+)
 from .common import read_table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -68,6 +82,21 @@ def op10_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.judge(read_table(spark, sf_dir, "documents"))
 
 
+def op11_segment_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of each language, and the terms that stick out in each."""
+    return audit.audit(read_table(spark, sf_dir, "documents"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of all pages, written into archives and read back."""
+    return warc.round_trip(read_table(spark, sf_dir, "pages"))
+
+
+def op13_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collocations of each language."""
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_order_minhash": op1_order_minhash,
     "op2_interleave": op2_interleave,
@@ -80,9 +109,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_evidence": op9_evidence,
     "page_language": page_language,
     "op10_divergence": op10_divergence,
+    "op11_segment_trees": op11_segment_trees,
+    "op12_warc": op12_warc,
+    "op13_streams": op13_streams,
 }
 
 SQL: dict[str, str] = {
     "op8_wu_manber": decontam.SQL,
     "op10_divergence": divergence.SQL,
+    "op11_segment_trees": audit.SQL,
+    "op12_warc": warc.SQL,
+    "op13_streams": collocations.SQL,
 }
