@@ -23,7 +23,6 @@ KEYS: dict[str, tuple[str | None, str | None]] = {
     "mdl_user_enrolments": (None, "userid"),
     "mdl_role_assignments": (None, "userid"),
     "mdl_course_modules": ("course", None),
-    "mdl_forum": ("course", None),
     "mdl_forum_posts": (None, "userid"),
     "mdl_forum_discussions": (None, None),
     "mdl_quiz": ("course", None),
