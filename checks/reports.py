@@ -236,6 +236,17 @@ both(
         and startdate > 0 and hour({local('startdate')}) = 5 and {day('startdate')} >= date '2024-01-01' and enddate > 0
         and {day('enddate')} <= date '2024-03-01'""",
 )
+# A course filter alone: facts of other courses are cut away, lookups must not be.
+check(
+    "uso_herramientas_one_course",
+    lambda t: R.uso_herramientas(t, {"codigo_ficha": "50014"}, S),
+    _uso("idnumber ilike '%50014%'"),
+)
+check(
+    "uso_herramientas_one_center",
+    lambda t: R.uso_herramientas(t, {"centro_formacion": "nation"}, S),
+    _uso("center_name ilike '%nation%'"),
+)
 check(
     "uso_herramientas_period",
     lambda t: R.uso_herramientas(t, {"fecha_desde": "2024-01-05", "fecha_hasta": "2024-01-15", "hora_consulta": "10:00"}, S),
@@ -284,6 +295,18 @@ both(
 )
 
 
+check(
+    "participacion_one_course",
+    lambda t: R.participacion_herramientas(t, {"codigo_ficha": "50014"}, S),
+    _participacion("idnumber ilike '%50014%'"),
+)
+check(
+    "participacion_one_person",
+    lambda t: R.participacion_herramientas(t, {"identificacion": "0001"}, S),
+    _participacion(f"(identity ilike '%0001%' or {doc_number('u.identity', K5)} ilike '%0001%')"),
+)
+
+
 def _period_posts(test: str) -> str:
     return (
         f"(select userid, course_id, count(*) as total from x_post where {test}"
@@ -377,6 +400,12 @@ both(
     " and origin = 'Integración'",
 )
 
+check(
+    "tiempo_one_course",
+    lambda t: R.tiempo_permanencia(t.with_log("mdl_logstore_dense"), {"codigo_ficha": "50014"}, S),
+    _tiempo("idnumber ilike '%50014%'"),
+)
+
 # -- 10 ---------------------------------------------------------------------------
 
 
@@ -554,16 +583,32 @@ check(
     """select userid, string_agg(distinct role_name, ', ' order by role_name) as role_names,
          string_agg(distinct shortname, ', ' order by shortname) as role_shortnames from x_course_role group by userid""",
 )
+_SIMPLE = """(select m.course_id, m.tool, count(distinct module_id) as items, count(distinct l.userid) as users
+            from x_tool m left join lg l on l.courseid = m.course_id and l.contextinstanceid = m.module_id and l.contextlevel = 70{more}
+            where m.deletioninprogress = 0 group by 1, 2)"""
+
+
+def _uso_simple(where: str, more: str = "") -> str:
+    return _uso(where, _SIMPLE.format(more=more), V.USO_SIMPLE, zero_or_stamp, stamp("startdate"))
+
+
+check("uso_herramientas_simple", lambda t: V.uso_herramientas_simple(t, None, S), _uso_simple("true"))
 check(
-    "uso_herramientas_simple",
-    lambda t: V.uso_herramientas_simple(t, None, S),
-    _uso(
-        "true",
-        """(select m.course_id, m.tool, count(distinct module_id) as items, count(distinct l.userid) as users
-            from x_tool m left join lg l on l.courseid = m.course_id and l.contextinstanceid = m.module_id and l.contextlevel = 70
-            where m.deletioninprogress = 0 group by 1, 2)""",
-        V.USO_SIMPLE,
-        zero_or_stamp,
-        stamp("startdate"),
+    "uso_herramientas_simple_filtered",
+    lambda t: V.uso_herramientas_simple(
+        t,
+        {"centro_formacion": "nation", "rol_usuario": "teacher", "fecha_desde": "2024-01-05", "fecha_hasta": "2024-01-15", "hora_consulta": "10:00",
+         "fecha_inicio": "2024-01-01"},
+        S,
     ),
+    _uso_simple(
+        f"""center_name ilike '%nation%' and startdate > 0 and {day('startdate')} >= date '2024-01-01'
+            and course_id in (select course_id from x_course_role where shortname = 'teacher')""",
+        f" and {day('l.timecreated')} between date '2024-01-05' and date '2024-01-15' and hour({local('l.timecreated')}) = 10",
+    ),
+)
+check(
+    "uso_herramientas_simple_one_course",
+    lambda t: V.uso_herramientas_simple(t, {"codigo_ficha": "500149"}, S),
+    _uso_simple("idnumber = '500149'"),
 )

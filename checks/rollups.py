@@ -12,7 +12,7 @@ from lectern.operators import timeontask
 from lectern.session import scratch_path
 from lectern.sources import LmsTables
 from lectern.sources.catalog import star_view
-from lectern.streaming import rollups, streams
+from lectern.streaming import eventtime, rollups, streams
 
 ACTIVITY = f"""
     select {day('l.timecreated')} as fecha, l.userid, l.courseid,
@@ -247,6 +247,29 @@ check(
           and {day('timecreated')} between date '2024-01-08' and date '2024-01-14' group by 1""",
 )
 
+
+
+def _bitmaps(t: LmsTables) -> rollups.Store:
+    store = _store(t, "bitmaps")
+    rollups.backfill(t, S, store, "users_bitmap_day", START, date(2024, 1, 30))
+    return store
+
+
+check(
+    "unique_users_from_bitmaps",
+    lambda t: rollups.unique_users_from_bitmaps(_bitmaps(t), "2024-01-08", "2024-01-14"),
+    f"""select courseid, count(distinct userid) as usuarios_unicos from lg where userid > 0 and courseid is not null and action = 'viewed'
+          and {day('timecreated')} between date '2024-01-08' and date '2024-01-14' group by 1""",
+)
+check(
+    "rollup_users_bitmap_day",
+    lambda t: _bitmaps(t).read("users_bitmap_day").groupBy("fecha", "courseid").agg(
+        F.sum(F.bitmap_count("usuarios")).alias("usuarios_unicos")
+    ),
+    f"""select {day('timecreated')} as fecha, courseid, count(distinct userid) as usuarios_unicos from lg
+        where userid > 0 and courseid is not null and action = 'viewed' and {day('timecreated')} <= date '2024-01-30' group by 1, 2""",
+)
+
 # -- streams ----------------------------------------------------------------------
 
 
@@ -284,3 +307,52 @@ stream_check(
     _streamed("estimated_time_day", "fecha", "userid", "courseid", "herramienta", "segundos"),
     _time_sql("lg"),
 )
+
+# -- streams in event time ----------------------------------------------------------
+
+_DELAY_DAYS = 2
+
+
+def _arrivals(t: LmsTables, sf_dir: str):
+    """The log in three arrivals: by day, but rows with an objectid over 90 a day and over 95 ten days later."""
+    spark = t.spark
+    folder = scratch_path(spark, "arriving")
+    delay = F.when(F.col("objectid") > 95, 10).when(F.col("objectid") > 90, 1).otherwise(0)
+    arrival = F.least(F.greatest(F.call_function("div", F.dayofyear(F.date_add(rollups.day_of(S), delay)), F.lit(10)), F.lit(0)), F.lit(2))
+    for n in range(3):
+        t.log.filter(arrival == n).write.mode("append").parquet(folder)
+        yield spark.readStream.schema(t.log.schema).parquet(folder)
+
+
+def _event_time(job: str, shown, *columns: str):
+    def run(spark, sf_dir: str):
+        t = LmsTables.from_star(spark, sf_dir)
+        arrivals = eventtime.Arrivals(spark, scratch_path(spark, "arrivals"), _DELAY_DAYS * 86400)
+        store = _store(t, "eventtime")
+        for log in _arrivals(t, sf_dir):
+            eventtime.run(log, S, arrivals, store, (job,))
+        eventtime.repair(t, S, arrivals, store, job)
+        return shown(t, eventtime.closed(arrivals, store, job)).select(*columns)
+
+    return run
+
+
+def _passed(sql: str) -> str:
+    newest = f"select max({local('timecreated')}) from lg where userid > 0 and courseid is not null"
+    return f"select * from ({sql}) z where fecha < cast(({newest}) - interval {_DELAY_DAYS} day as date)"
+
+
+stream_check("event_time_login_day", _event_time("login_day", lambda t, df: df, *_COLUMNS), _passed("select * from x_login_day"))
+stream_check(
+    "event_time_traffic_hour",
+    _event_time("traffic_hour", lambda t, df: df, "fecha", "hora", "courseid", "usuarios_unicos"),
+    _passed(
+        f"""select {day('timecreated')} as fecha, {part('hour', local('timecreated'))} as hora, courseid, count(distinct userid) as usuarios_unicos
+            from lg where userid > 0 and courseid is not null and action = 'viewed' group by 1, 2, 3"""
+    ),
+)
+stream_check(
+    "event_time_estimated_time_day",
+    _event_time("instance_time_day", eventtime.time_per_tool, "fecha", "userid", "courseid", "herramienta", "segundos"),
+    _passed(_time_sql("lg")),
+)

@@ -57,6 +57,10 @@ class LmsTables:
             raise AttributeError(name)
         return self.table(full)
 
+    @property
+    def log_name(self) -> str:
+        return self._log_table
+
     @cached_property
     def log(self) -> DataFrame:
         return self.table(self._log_table)

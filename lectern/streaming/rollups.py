@@ -1,25 +1,26 @@
 """Summary tables per local day, and the job that keeps them up to date.
 
 Each builder reads a range of whole days of the log and gives one row per grain.
-The job replaces whole days, so running it twice changes nothing. A run also
-rebuilds every older day that rows new in the log belong to, however late.
+The job replaces whole days, so running it twice changes nothing, and a run takes
+effect as a whole (``versions``). Rows that are new in the log but belong to older
+days are added to these as partial sums where a table's measures allow that
+(``MERGED``); of other tables, the days they belong to are built again.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lectern.functions import labels as L
 from lectern.functions.times import local_date, local_ts
 from lectern.operators import access, enrolments, people, timeontask, tools
 from lectern.settings import Settings
 from lectern.sources import LmsTables
+from lectern.streaming.versions import Change, DayTable, Manifest
 
 PAIR = ["userid", "course_id"]
 GRAIN = ["fecha", "userid", "courseid"]
@@ -185,6 +186,15 @@ def login_dim_day(t: LmsTables, s: Settings, since: str | None = None, until: st
     )
 
 
+def users_bitmap_day(t: LmsTables, s: Settings, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Users seen per day and course as bitmaps: one row for each range of user ids (``bucket``)."""
+    return (
+        views(t, s, since, until)
+        .groupBy("fecha", "courseid", F.bitmap_bucket_number("userid").alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("userid")).alias("usuarios"))
+    )
+
+
 BUILDERS: dict[str, Callable[..., DataFrame]] = {
     "login_day": login_day,
     "tool_activity_day": tool_activity_day,
@@ -193,8 +203,21 @@ BUILDERS: dict[str, Callable[..., DataFrame]] = {
     "day_edge": day_edge,
     "traffic_hour": traffic_hour,
     "login_dim_day": login_dim_day,
+    "users_bitmap_day": users_bitmap_day,
 }
 
+# Tables whose rows are partial sums: rows of one key are put together by these aggregates, so that
+# late rows need no second look at the rest of their day.
+MERGED: dict[str, dict[str, Callable]] = {
+    "login_day": {
+        "ingresos": F.sum, "primer_ts": F.min, "ultimo_ts": F.max, "vistas_curso": F.sum, "primera_vista": F.min, "ultima_vista": F.max,
+    },
+    "tool_activity_day": {"cantidad": F.sum},
+    "users_bitmap_day": {"usuarios": F.bitmap_or_agg},
+}
+# Versions of a day from which on they are put together in the table.
+MOST_VERSIONS = 4
+
 
 # Snapshots say how things stand on the day of the run; they can't be rebuilt later.
 SNAPSHOTS: dict[str, Callable[[LmsTables, Settings, str], DataFrame]] = {"user_course_day": user_course_day}
@@ -209,16 +232,13 @@ SCHEMAS: dict[str, str] = {
     "traffic_hour": "hora int, courseid bigint, usuarios_unicos bigint, fecha date",
     "login_dim_day": "courseid bigint, so string, navegador string, pais string, ciudad string,"
     " ingresos_unicos bigint, fecha date",
+    "users_bitmap_day": "courseid bigint, bucket bigint, usuarios binary, fecha date",
     "user_course_day": "userid bigint, courseid bigint, estado_matricula string, rol_shortnames string, fecha date",
 }
-_MARK = "last_full_date date, last_id bigint, job_name string"
-
-
-# -- the job --------------------------------------------------------------------
 
 
 class Store:
-    """Folder of summary tables, one Parquet table per name, partitioned by day."""
+    """Folder of summary tables, one ``DayTable`` per name."""
 
     def __init__(self, spark, root: str):
         self.spark, self.root = spark, root
@@ -226,106 +246,135 @@ class Store:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def _fs(self, path: str):
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
-
-    def _read(self, name: str, schema: str) -> DataFrame:
-        """A table that may have no file yet: it has no rows then."""
-        fs, where = self._fs(self.path(name))
-        if not fs.exists(where):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self.path(name))
+    def table(self, name: str) -> DayTable:
+        return DayTable(self.spark, self.path(name), SCHEMAS.get(name, "fecha date"))
 
-    def read(self, name: str) -> DataFrame:
-        return self._read(name, SCHEMAS[name])
+    def read(self, name: str, since: str | None = None, until: str | None = None) -> DataFrame:
+        """A table, or the days of a range; other days are not read. Days in several versions are put together."""
+        whole, parts = self.table(name).parts(since, until)
+        return whole.unionByName(merged(name, parts))
 
     def replace_days(self, name: str, rows: DataFrame, since: date, until: date) -> None:
-        """Make the days of an inclusive range hold exactly ``rows``; other days stay.
-
-        The rows are written beside the table first. Days with rows are then
-        swapped in by dynamic overwrite, days that have none any more are removed.
-        Rows are rebalanced by day before the write: small days share a task, a
-        heavy day is split over several, and no day folder gets tiny files.
-        """
-        aside = self.path(f"_{name}-{uuid.uuid4().hex}")
-        schema = T._parse_datatype_string(SCHEMAS[name])
-        shaped = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
-        shaped.hint("rebalance", F.col("fecha")).write.partitionBy("fecha").parquet(aside)
-        fresh = self.spark.read.schema(schema).parquet(aside)
-        fresh.hint("rebalance", F.col("fecha")).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("fecha").parquet(self.path(name))
-        day = since
-        while day <= until:
-            fs, new = self._fs(f"{aside}/fecha={day.isoformat()}")
-            _, old = self._fs(f"{self.path(name)}/fecha={day.isoformat()}")
-            if not fs.exists(new) and fs.exists(old):
-                fs.delete(old, True)
-            day += timedelta(days=1)
-        fs, where = self._fs(aside)
-        fs.delete(where, True)
-
-    # The watermark table gets a row per run and job; the newest values count, so
-    # neither a crash nor an older run can take a watermark back.
-
-    def marks(self) -> DataFrame:
-        return self._read("watermark", _MARK)
+        """Make the days of an inclusive range hold exactly ``rows``; other days stay."""
+        change = self.table(name).change()
+        change.replace(rows, since, until)
+        change.commit()
 
     def last_run(self, job: str) -> tuple[date | None, int | None]:
         """Last day consolidated and last log id seen."""
-        row = self.marks().filter(F.col("job_name") == job).agg(F.max("last_full_date"), F.max("last_id")).first()
-        return row[0], row[1]
+        m = self.table(job).manifest()
+        return (None if m.last_full_date is None else date.fromisoformat(m.last_full_date)), m.last_id
 
     def last_full_date(self, job: str) -> date | None:
         return self.last_run(job)[0]
 
-    def note_run(self, job: str, day: date, last_id: int | None) -> None:
-        row = self.spark.createDataFrame([(day, last_id, job)], _MARK)
-        row.coalesce(1).write.mode("append").partitionBy("job_name").parquet(self.path("watermark"))
-
     def watermarks(self) -> DataFrame:
-        return self.marks().groupBy("job_name").agg(F.max("last_full_date").alias("last_full_date"))
+        """Last full day of each job that has run: part of the job's manifest, so it can't part from the days."""
+        found = [(job, self.last_full_date(job)) for job in SCHEMAS]
+        return self.spark.createDataFrame([x for x in found if x[1]], "job_name string, last_full_date date")
+
+
+def merged(name: str, rows: DataFrame) -> DataFrame:
+    """Rows of one key as one row; tables without partial sums hold a key once."""
+    if name not in MERGED:
+        return rows
+    measures = MERGED[name]
+    keys = [c for c in rows.columns if c not in measures]
+    return rows.groupBy(*keys).agg(*[how(c).alias(c) for c, how in measures.items()]).select(*rows.columns)
+
+
+# -- the job --------------------------------------------------------------------
 
 
-def run_range(t: LmsTables, s: Settings, store: Store, job: str, since: date, until: date) -> None:
-    rows = BUILDERS[job](t, s, since.isoformat(), until.isoformat())
-    store.replace_days(job, rows, since, until)
+def upto_id(t: LmsTables, newest: int | None) -> LmsTables:
+    """The log as it was when ``newest`` was its last id; rows that arrive during a run are for the next one."""
+    if newest is None:
+        return t
+    return _with_log(t, t.log.filter(F.col("id") <= newest))
+
+
+def _with_log(t: LmsTables, log: DataFrame) -> LmsTables:
+    return t.derived(lambda name: log if name == t.log_name else t.table(name))
+
+
+def run_range(t: LmsTables, s: Settings, change: Change, job: str, since: date, until: date, newest: int | None) -> None:
+    rows = BUILDERS[job](upto_id(t, newest), s, since.isoformat(), until.isoformat())
+    change.replace(rows, since, until, newest)
 
 
 def newest_id(t: LmsTables) -> int | None:
     return t.log.agg(F.max("id")).first()[0]
 
 
-def late_days(t: LmsTables, s: Settings, after: int, upto: int, before: date) -> list[date]:
-    """Days before ``before`` that rows with ids in (after, upto] belong to; only these days reach the driver."""
+def late_rows(t: LmsTables, s: Settings, after: int, upto: int, since: date, before: date) -> DataFrame:
+    """Log rows with ids in (after, upto] of days in [since, before)."""
     rows = t.log.filter((F.col("id") > after) & (F.col("id") <= upto))
-    days = rows.select(day_of(s).alias("fecha")).filter(F.col("fecha") < F.lit(before)).distinct()
-    return [r.fecha for r in days.orderBy("fecha").collect()]
+    return rows.filter((day_of(s) >= F.lit(since)) & (day_of(s) < F.lit(before)))
+
+
+def late_days(rows: DataFrame, s: Settings) -> list[date]:
+    """Days that rows belong to; only these reach the driver."""
+    return [r.fecha for r in rows.select(day_of(s).alias("fecha")).distinct().orderBy("fecha").collect()]
+
+
+def add_late(t: LmsTables, s: Settings, change: Change, job: str, rows: DataFrame, known: Manifest, upto: int) -> None:
+    """Add the partial sums of late log rows to their days. A day that was built since the last run has counted
+    some of them already: the ids up to which days count are part of the manifest."""
+    counted = [(date.fromisoformat(k), d.upto) for k, d in known.days.items() if d.upto is not None]
+    days = t.spark.createDataFrame(counted, "fecha date, upto bigint")  # one row a day
+    fresh = (
+        rows.withColumn("fecha", day_of(s))
+        .join(F.broadcast(days), "fecha", "left")
+        .filter(F.col("id") > F.coalesce("upto", F.lit(-1)))
+        .drop("fecha", "upto")
+    )
+    change.add(BUILDERS[job](_with_log(t, fresh), s), upto)
+
+
+def compact(store: Store, job: str, most: int = MOST_VERSIONS) -> list[str]:
+    """Put days in more than ``most`` versions together into one."""
+    table = store.table(job)
+    many = {k: d for k, d in table.manifest().days.items() if len(d.versions) > most}
+    if many:
+        change = table.change()
+        change.swap(merged(job, table.rows(many)), many)
+        change.commit()
+    return sorted(many)
 
 
 def run_daily(t: LmsTables, s: Settings, store: Store, job: str, today: date, history_start: date) -> None:
     """Consolidate up to yesterday, with every older day that late rows belong to.
 
     Ids of the log grow as rows arrive, so rows above the last id seen are new,
-    whatever their day. The run is noted only after the days are written; a crash
-    in between makes the next run redo the same days.
+    whatever their day. Days, late rows and the note of the run take effect together: a crash
+    leaves the tables as they were, and the next run does the same again.
     """
     until = today - timedelta(days=1)
+    change = store.table(job).change()
     if job in SNAPSHOTS:
-        store.replace_days(job, SNAPSHOTS[job](t, s, until.isoformat()), until, until)
-        store.note_run(job, until, None)
+        change.replace(SNAPSHOTS[job](t, s, until.isoformat()), until, until)
+        change.note(until, None)
+        change.commit()
         return
+    known = store.table(job).manifest()
     done, seen = store.last_run(job)
     newest = newest_id(t)
     since = history_start if done is None else done - timedelta(days=REDONE_DAYS)
-    days = [] if newest is None or done is None else late_days(t, s, -1 if seen is None else seen, newest, since)
-    for first, last in day_ranges([d for d in days if d >= history_start]):
-        run_range(t, s, store, job, first, last)
+    if newest is not None and done is not None:
+        rows = late_rows(t, s, -1 if seen is None else seen, newest, history_start, since)
+        if job in MERGED:
+            add_late(t, s, change, job, rows, known, newest)
+        else:
+            for first, last in day_ranges(late_days(rows, s)):
+                run_range(t, s, change, job, first, last, newest)
     if until >= since:
-        run_range(t, s, store, job, since, until)
+        run_range(t, s, change, job, since, until, newest)
     if done is None or until >= done:
-        store.note_run(job, until, newest)
+        change.note(until, newest)
+    change.commit()
+    if job in MERGED:
+        compact(store, job)
+    store.table(job).expire()
 
 
 def months(since: date, until: date) -> Iterator[tuple[date, date]]:
@@ -353,12 +402,18 @@ def backfill(t: LmsTables, s: Settings, store: Store, job: str, since: date, unt
     passes over days that weren't; it never falls. Rows that arrive meanwhile are
     late rows to the next daily run.
     """
+    table = store.table(job)
     done, seen = store.last_run(job)
-    newest = newest_id(t) if done is None else seen
+    newest = newest_id(t)
     for first, last in months(since, until):
-        run_range(t, s, store, job, first, last)
+        change = table.change()
+        run_range(t, s, change, job, first, last, newest)
+        change.commit()
     if done is None or (since <= done + timedelta(days=1) and until > done):
-        store.note_run(job, until, newest)
+        # Late rows of other days are still to come, so ids count as seen only where nothing is older.
+        change = table.change()
+        change.note(until, newest if done is None else seen)
+        change.commit()
 
 
 # -- reports from the summary tables ----------------------------------------------
@@ -366,12 +421,7 @@ def backfill(t: LmsTables, s: Settings, store: Store, job: str, since: date, unt
 
 def _days(store: Store, name: str, since: str | None, until: str | None) -> DataFrame:
     """Rows of a summary table in a range of days; other day folders are not read."""
-    days = store.read(name)
-    if since is not None:
-        days = days.filter(F.col("fecha") >= F.lit(since).cast("date"))
-    if until is not None:
-        days = days.filter(F.col("fecha") <= F.lit(until).cast("date"))
-    return days.withColumnRenamed("courseid", "course_id")
+    return store.read(name, since, until).withColumnRenamed("courseid", "course_id")
 
 
 def access_from_rollup(store: Store, since: str | None = None, until: str | None = None) -> DataFrame:
@@ -443,3 +493,14 @@ def unique_users_from_rollup(store: Store, since: str | None = None, until: str
         .groupBy(F.col("course_id").alias("courseid"))
         .agg(F.count_distinct("userid").alias("usuarios_unicos"))
     )
+
+
+def unique_users_from_bitmaps(store: Store, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Unique users per course over a range, by uniting the bitmaps of its days: one row for each day, course
+    and range of ids is read, not one for each user."""
+    united = (
+        store.read("users_bitmap_day", since, until)
+        .groupBy("courseid", "bucket")
+        .agg(F.bitmap_or_agg("usuarios").alias("usuarios"))
+    )
+    return united.groupBy("courseid").agg(F.sum(F.bitmap_count("usuarios")).alias("usuarios_unicos"))

@@ -24,9 +24,12 @@ def replace_job(
     def rebuild(batch: DataFrame, _epoch: int) -> None:
         # Only the list of touched days reaches the driver.
         days = [row.fecha for row in batch.distinct().orderBy("fecha").collect()]
-        for first, last in rollups.day_ranges(days):
-            for job in jobs:
-                rollups.run_range(tables, s, store, job, first, last)
+        newest = rollups.newest_id(tables) if days else None
+        for job in jobs if days else ():
+            change = store.table(job).change()
+            for first, last in rollups.day_ranges(days):
+                rollups.run_range(tables, s, change, job, first, last, newest)
+            change.commit()
 
     query = (
         log.select(rollups.day_of(s).alias("fecha"))
