@@ -12,17 +12,16 @@ members of other buckets and thereby tie these together. First every unit meets
 leaders of all of its buckets. Then links are gathered to components, and of the other pairs of
 member and leader those are compared whose components still differ, whatever their number.
 
-Members that are neither leaders nor linked to one another are then compared among themselves. Where
-a bucket has at most ``FEW`` of them, every pair of different components is. In larger ones, as a
-passage held by many documents makes them, the members meet in groups of a prefix filter: a unit's
-shingles are ordered from those that few members hold to those that many do, and units with a
+Members that are neither leaders nor linked to one another are then compared by one rule, whatever the size
+of their bucket: they meet in groups of a prefix filter. A unit's shingles are ordered from rare to
+frequent, by a table of counts of fixed size, which is one order for all units; units with a
 shingle similarity of ``SIMILARITY`` share one of the first 1 - ``SIMILARITY`` of each (and lie in the
 same or neighbouring classes of length). Groups elect leaders in rounds, more in each round, until every
 two members are in one component or one of them has been compared with the other as a leader.
 
 A pair is a link if its edit similarity, 1 - distance / longer length in words, is at least 0.8. The
 distance is that of an alignment within the band this leaves, by furthest-reaching diagonals, which
-takes O(length + distance^2). Pairs that differ too much in length or in their bags of words are
+takes O(length + distance^2), all diagonals at a time where they are many. Pairs that differ too much in length or in their bags of words are
 ruled out beforehand, exactly. Classes are the connected components of links.
 
 Defined results: null text is empty; documents without a word are copies where their texts are
@@ -38,18 +37,19 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded, col, dropped, fresh, per_row, per_text, text_digest, words_of, written
+from .common import col, dropped, fresh, per_row, per_text, text_digest, words_of, written
 
 SHINGLE = 5
 SKETCHES = 20
 SIMILARITY = 0.8
-FEW = 16  # members that are compared pair by pair
+COUNTERS = 1 << 18  # of shingle hashes, for their order
 _ROWS = 4096
+_WIDE = 100  # edits from which on diagonals are followed as arrays
 
 _RANDOM = np.random.Generator(np.random.PCG64(2024))
 _ADD = _RANDOM.integers(0, 2**64, size=SKETCHES, dtype=np.uint64)
@@ -150,6 +150,38 @@ def edit_distance_within(a: list, b: list, most: int) -> int | None:
     return None
 
 
+def wide_distance_within(a: list, b: list, most: int) -> int | None:
+    """``edit_distance_within`` with all diagonals of one number of edits as arrays."""
+    n, m = len(a), len(b)
+    if abs(n - m) > most:
+        return None
+    known: dict = {}
+    x, y = (np.array([known.setdefault(w, len(known)) for w in z] + [end], dtype=np.int64) for z, end in ((a, -1), (b, -2)))
+    # Places reached on the diagonals -most-1 to most+1; beyond the band nothing is reached.
+    never = -(n + m + 10)
+    reach = np.full(2 * most + 3, never, dtype=np.int64)
+    zero = most + 1
+    for edits in range(most + 1):
+        low, high = max(-edits, -n), min(edits, m)
+        k = np.arange(low, high + 1)
+        if edits:
+            left, here, right = (reach[zero + low + d : zero + high + 1 + d] for d in (-1, 0, 1))
+            i = np.maximum(np.maximum(here + 1, left), right + 1)
+            i = np.minimum(np.minimum(i, n), m - k)
+        else:
+            i = np.zeros(1, dtype=np.int64)
+        alive = (i >= 0) & (i + k >= 0)
+        run = np.flatnonzero(alive)
+        while len(run):
+            run = run[x[i[run]] == y[i[run] + k[run]]]
+            i[run] += 1
+        i[~alive] = never
+        if low <= m - n <= high and i[m - n - low] == n:
+            return edits
+        reach[zero + low : zero + high + 1] = i
+    return None
+
+
 def similar(a: str | None, b: str | None, least: float = SIMILARITY) -> bool:
     """Whether two texts have at least this edit similarity over words."""
     x, y = words_of(a), words_of(b)
@@ -163,7 +195,8 @@ def similar(a: str | None, b: str | None, least: float = SIMILARITY) -> bool:
     hi = 0
     while hi < n - lo and x[-1 - hi] == y[-1 - hi]:
         hi += 1
-    return edit_distance_within(x[lo : len(x) - hi], y[lo : len(y) - hi], most) is not None
+    distance = wide_distance_within if most >= _WIDE else edit_distance_within
+    return distance(x[lo : len(x) - hi], y[lo : len(y) - hi], most) is not None
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -198,16 +231,46 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(same("text_a", "text_b")["same"]).select("a", "b")
 
 
-def _prefixes():
-    known = WordHashes()
+def _shingle_set(known: WordHashes, text: str | None) -> np.ndarray:
+    words = words_of(text)
+    return np.unique(labelled_shingles(np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))))
 
-    def run(text):
-        words = words_of(text)
-        s = np.unique(labelled_shingles(np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))))
-        # Two sets of similarity t share t times the larger one at least.
-        return s.view(np.int64).tolist(), len(s) - math.ceil(SIMILARITY * len(s) - 1e-9) + 1
 
-    return run
+def _counted(batches):
+    """(text) batches to one count a counter and task."""
+    known, total = WordHashes(), np.zeros(COUNTERS, dtype=np.int64)
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            total += np.bincount((_shingle_set(known, text) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["counter", "n"])
+
+
+def _frequencies(texts: DataFrame) -> np.ndarray:
+    """How many texts hold a shingle, by the counter it falls into: a table of fixed size. What shares a
+    counter is taken for more frequent than it is, which costs time and no pair."""
+    found = texts.mapInArrow(_counted, "counter int, n bigint").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, dtype=np.int64)
+    out[found["counter"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def _prefixes(sent):
+    """The first shingles of a text in the order from rare to frequent."""
+
+    def make():
+        known, often = WordHashes(), sent.value
+
+        def run(text):
+            s = _shingle_set(known, text)
+            order = np.lexsort((s, often[(s % np.uint64(COUNTERS)).astype(np.int64)]))
+            # Two sets of similarity t share t times the larger one at least.
+            first = len(s) - math.ceil(SIMILARITY * len(s) - 1e-9) + 1
+            return (s[order[:first]].view(np.int64).tolist(),)
+
+        return run
+
+    return per_text(make, "struct<s: array<bigint>>")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -221,25 +284,20 @@ def _open_groups(sketched: DataFrame, buckets: DataFrame, labels: DataFrame, tex
     units = sketched.groupBy("cid", "h").agg(F.first("n_words").alias("n_words"), F.first("keys").alias("keys"))
     member = units.select(F.explode(F.array_distinct("keys")).alias("key"), "cid", "h", "n_words").join(buckets, "key")
     member = _labelled(member.where("h != lo and h != hi").drop("lo", "hi"), labels)
-    sizes = member.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("x"), F.max("label").alias("y"))
-    sizes = sizes.where("x != y").select("key", "n")
-    member = written(member.join(sizes, "key").select("key", "cid", "h", "n_words", "n"), "open")
-    few = member.where(F.col("n") <= FEW).drop("n")
-    many = member.where(F.col("n") > FEW).select("cid", "h", "n_words").distinct()
-    held = per_text(_prefixes, "struct<s: array<bigint>, first: int>")(F.col("text"))
-    held = many.join(texts, "cid").select("cid", "h", "n_words", held.alias("p"))
-    held = written(held.select("cid", "h", "n_words", "p.first", F.col("p.s").alias("s")), "shingles")
-    each = held.select("cid", "h", "n_words", "first", F.explode("s").alias("s"))
-    common = written(each.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW), "common")
-    rare = W.partitionBy("cid").orderBy(F.coalesce("n", F.lit(0)), "s")
-    first = each.join(bounded(common, 32), "s", "left").withColumn("place", F.row_number().over(rare)).where("place <= first")
+    sizes = member.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"))
+    sizes = sizes.where("x != y").select("key")
+    open_ = written(member.join(sizes, "key", "left_semi").select("cid", "h", "n_words").distinct().join(texts, "cid"), "open")
+    sent = sketched.sparkSession.sparkContext.broadcast(_frequencies(open_.select("text")))
+    held = open_.select("cid", "h", "n_words", F.explode(_prefixes(sent)("text")["s"]).alias("s"))
     # A length and 0.8 of it lie in the same class or in neighbours.
     size = F.floor(F.log("n_words") / math.log(1 / SIMILARITY))
-    first = first.withColumn("class", F.explode(F.array(size, size + 1)))
-    return few.union(first.select(F.xxhash64("s", "class").alias("key"), "cid", "h", "n_words"))
+    held = held.withColumn("class", F.explode(F.array(size, size + 1)))
+    groups = written(held.select(F.xxhash64("s", "class").alias("key"), "cid", "h", "n_words"), "prefixes")
+    dropped(open_)
+    return groups
 
 
-def _settled(groups: DataFrame, links: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+def _settled(groups: DataFrame, links: DataFrame, labels: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Components once no group has two members of different components that weren't compared."""
     turn = 0
     while True:
@@ -248,11 +306,13 @@ def _settled(groups: DataFrame, links: DataFrame, labels: DataFrame, texts: Data
             F.count(F.lit(1)).alias("n"), F.min("h").alias("least"), F.min("label").alias("x"), F.max("label").alias("y")
         )
         rows = rows.join(sizes.where("x != y").select("key", "n", "least"), "key")
-        # A few members are all leaders; of many, one and by chance others, twice as many in every round.
-        drawn = F.pmod(F.xxhash64(F.lit(turn), "h"), F.col("n")) < (1 << min(turn, 40))
-        rows = written(rows.withColumn("leads", (F.col("n") <= FEW) | (F.col("h") == F.col("least")) | drawn), "groups")
+        # One leader, and by chance others, twice as many in every round.
+        drawn = F.pmod(F.xxhash64(F.lit(turn), "h"), F.col("n")) < (2 << min(turn, 40))
+        rows = written(rows.withColumn("leads", (F.col("h") == F.col("least")) | drawn), "groups")
+        dropped(groups)
         if rows.isEmpty():
-            return labels
+            dropped(rows)
+            return links, labels
         leaders = rows.where("leads").select("key", *[F.col(c).alias(f"{c}_b") for c in ("cid", "h", "n_words", "label")])
         pairs = (
             rows.join(leaders, "key")
@@ -264,14 +324,22 @@ def _settled(groups: DataFrame, links: DataFrame, labels: DataFrame, texts: Data
         more = written(_verified(pairs, texts), "links")
         if not more.isEmpty():
             links = links.union(more)
-            labels = components(links)
-        groups = rows.where("not leads").select("key", "cid", "h", "n_words")
+            labels = _relabelled(labels, links)
+        groups = written(rows.where("not leads").select("key", "cid", "h", "n_words"), "groups")
+        dropped(rows)
         turn += 1
 
 
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of all links, in place of earlier ones."""
+    after = components(links)
+    dropped(labels)
+    return after
+
+
 def classes(df: DataFrame) -> DataFrame:
-    """``doc_id``, ``tdig`` (digest of the text), ``n_words``, ``label`` (16 bytes that name the class) of
-    every row."""
+    """``doc_id``, ``tdig`` (digest of the text), ``n_words``, ``label`` (16 bytes that name the class) and ``n_links``
+    (different texts that its text was found similar to) of every row."""
     rows = df.select(col("doc_id").alias("doc_id"), F.coalesce(col("text"), F.lit("")).alias("text")).withColumn(
         "tdig", text_digest(F.col("text"))
     )
@@ -315,21 +383,25 @@ def classes(df: DataFrame) -> DataFrame:
         .select("a", "b")
     )
     more = written(_verified(rest, texts), "links")
+    dropped(pairs)
     if not more.isEmpty():
         links = links.union(more)
-        labels = components(links)
-    labels = _settled(_open_groups(sketched, buckets, labels, texts), links, labels, texts)
-    return sketched.join(labels, "cid", "left").select(
-        "doc_id", "tdig", "n_words", F.coalesce("label", "cid").alias("label")
+        labels = _relabelled(labels, links)
+    links, labels = _settled(_open_groups(sketched, buckets, labels, texts), links, labels, texts)
+    ends = links.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count(F.lit(1)).alias("n_links"))
+    found = written(labels.join(ends, "cid"), "classes")
+    dropped(links, labels, texts)
+    return sketched.join(found, "cid", "left").select(
+        "doc_id", "tdig", "n_words", F.coalesce("label", "cid").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
 
 
 def near_duplicates(df: DataFrame) -> DataFrame:
-    """One row per document: its class, the size of the class, and whether it is the one that stays."""
+    """One row per document: its class, the size of the class, and the links of its text to others."""
     rows = classes(df)
     whole = rows.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return rows.join(whole, "label").select(
-        "doc_id", "class_id", "class_size", F.lower(F.hex("label")).alias("class_key"), "n_words"
+        "doc_id", "class_id", "class_size", F.lower(F.hex("label")).alias("class_key"), "n_words", "n_links"
     )
 
 
