@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import col, ship_package, written
+from .common import bounded, col, ship_package, written
 
 MIN_DOCUMENTS = 30
 SMOOTHING = 5
@@ -200,13 +200,16 @@ def audit(documents: DataFrame, least: int = MIN_DOCUMENTS, top: int = TOP_TERMS
         "audit-counts",
     )
     seen = counts.where("term is not null")
-    kept = seen.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n")).where(F.col("docs") >= least)
+    kept = written(
+        seen.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n")).where(F.col("docs") >= least),
+        "audit-kept",
+    )
 
     # A language's terms in segments; their number and places follow from the terms alone.
-    vocabulary = kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("lang_n").alias("lang_total"))
+    vocabulary = written(kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("lang_n").alias("lang_total")), "audit-languages")
     within = W.partitionBy("lang", "segment").orderBy(F.desc("docs"), "term")
     terms = written(
-        kept.join(vocabulary, "lang")
+        kept.join(bounded(vocabulary, 100), "lang")
         .withColumn("segments", F.ceil(F.col("kept") / segment).cast("int"))
         .withColumn("segment", F.pmod(F.xxhash64("term"), F.col("segments")).cast("int"))
         .withColumn("slot", F.row_number().over(within) - 1),

@@ -25,6 +25,8 @@ pieces, so memory follows the longest piece. Scores use Python's integers, witho
 
 from __future__ import annotations
 
+from urllib.parse import quote, unquote
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -39,8 +41,9 @@ COVERED_PERCENT = 50
 TOP = 2000
 SCALE = 1_000_000
 HELD_WORDS = 3_000_000
-HELD_VOCABULARY = 2_000_000  # its cube is under 2**63
-SPREAD = 32
+HELD_VOCABULARY = 1_500_000
+WIDEST_VOCABULARY = 2_000_000  # its cube is under 2**63
+SPREAD = 8
 _SLICE = 50_000
 _TEXT_BLOCK = 1 << 22
 
@@ -61,6 +64,11 @@ def _blocks(data: bytes, size: int):
     yield data[start:]
 
 
+def _quoted(lang: str) -> bytes:
+    """A language as the first word of a key."""
+    return quote(lang, safe="").encode()
+
+
 class _Vocabulary(dict):
     """Word to number; 0 is the break between pieces."""
 
@@ -101,19 +109,17 @@ class _Runs:
         for lang in sorted(self.parts):
             a = np.concatenate([rank[x] for x in self.parts[lang]] + [np.zeros(2, dtype=np.int64)])
             first, second, third = a[:-2], a[1:-1], a[2:]
-            code = (first * base + second) * base + np.where(second > 0, third, 0)
-            codes, n = np.unique(code[first > 0], return_counts=True)
+            real = first > 0
+            pair, third = (first * base + second)[real], np.where(second > 0, third, 0)[real]
+            # A very long piece may bring so many words that triples pass 64 bits: their pairs are numbered then.
+            pairs, pair = (None, pair) if base < WIDEST_VOCABULARY else np.unique(pair, return_inverse=True)
+            codes, n = np.unique(pair * base + third, return_counts=True)
             for at in range(0, len(codes), _SLICE):
                 c = codes[at : at + _SLICE]
-                words = [spelled.take(pa.array(x)) for x in (c // (base * base), c // base % base, c % base)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([lang] * len(c), pa.string()),
-                        pc.binary_join_element_wise(*words, b" "),
-                        pa.array(n[at : at + _SLICE], pa.int64()),
-                    ],
-                    ["lang", "key", "n"],
-                )
+                two = c // base if pairs is None else pairs[c // base]
+                words = [spelled.take(pa.array(x)) for x in (two // base, two % base, c % base)]
+                key = pc.binary_join_element_wise(pa.scalar(_quoted(lang), pa.binary()), *words, b" ")
+                yield pa.RecordBatch.from_arrays([key, pa.array(n[at : at + _SLICE], pa.int64())], ["key", "n"])
         self.clear()
 
 
@@ -135,61 +141,54 @@ def _added_up(least: int):
     """Counts of words, pairs, triples, and of all words of a language, from keys in order."""
 
     def changes(column: pa.Array) -> np.ndarray:
-        return pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
+        return np.concatenate(([True], pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)))
+
+    def rows(found: list[tuple]):
+        parts = list(zip(*found, strict=True)) if found else [()] * 5
+        kinds = (pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
+        columns = [[unquote(x.decode()) for x in parts[0]], *parts[1:]]
+        return pa.RecordBatch.from_arrays([pa.array(p, k) for p, k in zip(columns, kinds, strict=True)], ["lang", "w1", "w2", "w3", "f"])
 
     def run(batches):
         # Per level: the family still open as (lang, w1, w2, w3), its sum, whether it is the first one.
         still = [None] * 4
-
-        def rows(found: list[tuple]):
-            parts = list(zip(*found, strict=True)) if found else [()] * 5
-            kinds = (pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(p, k) for p, k in zip(parts, kinds, strict=True)], ["lang", "w1", "w2", "w3", "f"])
-
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lang, n = batch.column(0), batch.column(2).to_numpy()
-            words = pc.split_pattern(batch.column(1), b" ").flatten()
-            split = [words.take(pa.array(np.arange(i, len(words), 3))) for i in range(3)]
-            change = np.concatenate(([True], changes(lang)))
+            n = batch.column(1).to_numpy()
+            fields = pc.split_pattern(batch.column(0), b" ").flatten()
+            split = [fields.take(pa.array(np.arange(i, len(fields), 4))) for i in range(4)]
+            change = np.zeros(len(n), dtype=bool)
             out = []
             for level in range(4):
-                if level:
-                    change = change | np.concatenate(([True], changes(split[level - 1])))
+                change = change | changes(split[level])
                 starts = np.flatnonzero(change)
                 sums = np.add.reduceat(n, starts)
-                real = np.ones(len(starts), dtype=bool)
-                if level:
-                    real = pc.greater(pc.binary_length(split[level - 1].take(pa.array(starts))), 0).to_numpy(zero_copy_only=False)
 
                 def name(i: int, level=level) -> tuple:
-                    return (lang[i].as_py(), *[split[k][i].as_py() if k < level else b"" for k in range(3)])
+                    return tuple(split[k][i].as_py() if k <= level else b"" for k in range(4))
 
                 head, tail = name(int(starts[0])), name(int(starts[-1]))
-                done = []
-                if still[level] is not None:
+                done, begin, first = [], 0, still[level] is None
+                if not first:
                     key, total, edge = still[level]
                     if key == head:
                         sums[0] += total
                         if len(starts) == 1:
                             still[level] = (key, int(sums[0]), edge)
                             continue
-                        done = [(key, int(sums[0]), edge)]
-                        middle = np.arange(1, len(starts) - 1)
+                        done, begin = [(key, int(sums[0]), edge)], 1
                     else:
                         done = [still[level]]
-                        middle = np.arange(0, len(starts) - 1)
-                    last_is_edge = False
-                else:
-                    last_is_edge = len(starts) == 1
-                    if not last_is_edge:
-                        done = [(head, int(sums[0]), True)]
-                    middle = np.arange(1, len(starts) - 1)
-                still[level] = (tail, int(sums[-1]), last_is_edge)
+                elif len(starts) > 1:
+                    done, begin = [(head, int(sums[0]), True)], 1
+                still[level] = (tail, int(sums[-1]), first and len(starts) == 1)
                 out += [(*k, s) for k, s, edge in done if (edge or s >= least) and (not level or k[level])]
-                middle = middle[(sums[middle] >= least) & real[middle]] if level else middle
-                out += [(*name(int(starts[i])), int(sums[i])) for i in middle]
+                # Families within the partition are whole; those of languages are too few to leave out.
+                inner = np.arange(begin, len(starts) - 1)
+                inner = inner[sums[inner] >= least] if level else inner
+                found = [(*name(int(starts[i])), int(sums[i])) for i in inner]
+                out += [r for r in found if not level or r[level]]
             if out:
                 yield rows(out)
         yield rows([(*s[0], s[1]) for level, s in enumerate(still) if s is not None and (not level or s[0][level])])
@@ -205,8 +204,8 @@ def counts(documents: DataFrame, least: int = MIN_COUNT) -> DataFrame:
         F.coalesce(col("lang").cast("string"), F.lit("und")).alias("lang"),
         F.coalesce(col("text"), F.lit("")).cast("binary").alias("text"),
     )
-    runs = written(texts.mapInArrow(_sorted_runs, "lang string, key binary, n bigint"), "phrase-runs")
-    merged = runs.repartitionByRange("lang", "key").sortWithinPartitions("lang", "key")
+    runs = written(texts.mapInArrow(_sorted_runs, "key binary, n bigint"), "phrase-runs")
+    merged = runs.repartitionByRange("key").sortWithinPartitions("key")
     parts = merged.mapInArrow(_added_up(least), _COUNTS)
     whole = parts.groupBy("lang", "w1", "w2", "w3").agg(F.sum("f").alias("f"))
     out = written(whole.where((F.col("f") >= least) | (F.length("w1") == 0)), "phrase-counts")
@@ -219,54 +218,62 @@ def counts(documents: DataFrame, least: int = MIN_COUNT) -> DataFrame:
 _STREAM = "lang string, path array<binary>, f bigint, extended bigint, near array<bigint>, far array<bigint>"
 
 
+def _columns(rows: list[tuple], kinds: list, names: list[str]) -> pa.RecordBatch:
+    parts = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(p, k) for p, k in zip(parts, kinds, strict=True)], names)
+
+
+_STREAM_NAMES = ["lang", "path", "f", "extended", "near", "far"]
+_STREAM_KINDS = [pa.string(), pa.list_(pa.binary()), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+
+
 def _lockstep(batches):
     """Rows in the order of their paths: each gets the counts of the paths it begins with (``near``),
     each pair the largest count of a triple that begins with it (``extended``)."""
 
     def merged():
-        """Rows one by one; copies of one row (a guest met before) become one."""
+        """Rows as lists; copies of one row (a guest met before) become one."""
         held = None
         for batch in batches:
-            for r in batch.to_pylist():
-                if held and (held["part"], held["lang"], held["path"]) == (r["part"], r["lang"], r["path"]):
-                    held["extended"] = max(held["extended"], r["extended"])
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("part", *_STREAM_NAMES)]
+            for row in zip(*columns, strict=True):
+                if held and held[:3] == list(row[:3]):
+                    held[4] = max(held[4], row[4])
                     continue
                 if held:
                     yield held
-                held = r
+                held = list(row)
         if held:
             yield held
 
     def closed():
         where = word = pair = None
         for r in merged():
-            if (r["part"], r["lang"]) != where or len(r["path"]) < 3:
-                if pair:
-                    yield pair
+            path, f = r[2], r[3]
+            if pair and (len(path) < 3 or (r[0], r[1]) != where):
+                yield pair
                 pair = None
-                where = (r["part"], r["lang"])
-            if len(r["path"]) == 1:
-                word = r["f"]
-                yield r | {"near": []}
-            elif len(r["path"]) == 2:
-                pair = r | {"near": [word]}
+            where = (r[0], r[1])
+            if len(path) == 1:
+                word, r[5] = f, []
+                yield r
+            elif len(path) == 2:
+                r[5] = [word]
+                pair = r
             else:
-                pair["extended"] = max(pair["extended"], r["f"])
-                yield r | {"near": [word, pair["f"]]}
+                pair[4] = max(pair[4], f)
+                r[5] = [word, pair[3]]
+                yield r
         if pair:
             yield pair
 
-    schema = pa.schema([
-        ("lang", pa.string()), ("path", pa.list_(pa.binary())), ("f", pa.int64()), ("extended", pa.int64()),
-        ("near", pa.list_(pa.int64())), ("far", pa.list_(pa.int64())),
-    ])
     rows = []
     for r in closed():
-        rows.append({k: r[k] for k in schema.names})
-        if len(rows) == 5000:
-            yield pa.RecordBatch.from_pylist(rows, schema)
+        rows.append(r[1:])
+        if len(rows) == 10_000:
+            yield _columns(rows, _STREAM_KINDS, _STREAM_NAMES)
             rows = []
-    yield pa.RecordBatch.from_pylist(rows, schema)
+    yield _columns(rows, _STREAM_KINDS, _STREAM_NAMES)
 
 
 def in_lockstep(rows: DataFrame, name: str) -> DataFrame:
@@ -291,13 +298,12 @@ def _best_cut(batches):
     kinds = [pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
     for batch in batches:
         found = []
-        for r in batch.to_pylist():
+        for lang, path, a, extended, near, far in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             # ``far`` holds counts of the first k words by k, ``near`` of the last k.
-            a, cuts = r["f"], zip(r["far"], reversed(r["near"]), strict=True)
+            cuts = zip(far, reversed(near), strict=True)
             score, _, left, right = min((SCALE * a * a // (x * y), k, x, y) for k, (x, y) in enumerate(cuts))
-            found.append((r["lang"], b" ".join(reversed(r["path"])), a, left, right, score, r["extended"]))
-        parts = list(zip(*found, strict=True)) if found else [()] * len(names)
-        yield pa.RecordBatch.from_arrays([pa.array(p, k) for p, k in zip(parts, kinds, strict=True)], names)
+            found.append((lang, b" ".join(reversed(path)), a, left, right, score, extended))
+        yield _columns(found, kinds, names)
 
 
 def _words(*names: str) -> Column:
