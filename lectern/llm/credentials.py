@@ -2,16 +2,17 @@
 
 Fixed patterns find the labelled credentials: values assigned to telling names, access keys, long
 hexadecimal strings. From a bounded sample of them (``SAMPLE_DOCS`` documents by hash, ``SAMPLE``
-values a kind) one probabilistic automaton a kind is inferred, and one from the long ordinary tokens
-beside them: the values form a prefix tree over character classes, and states whose counts of
+values a kind) one probabilistic automaton a kind is inferred, and one from ``ORDINARY`` of the long ordinary
+tokens beside them, among which addresses, numbers and capitals are rare (without those that prove to be
+credentials, once it is there): the values form a prefix tree over character classes, and states whose counts of
 endings and of each next class are statistically compatible (Hoeffding's bound, at every pair of
 states that the merge would fold together) are merged, red and blue as usual. Every long token with letters
 and digits that no fixed pattern covers is then scored: where a credential automaton gives it
 more than ``MIN_BITS`` bits a character over the ordinary one, its span is added as ``learned``.
 
 Offsets count code points, ends are exclusive. Null and empty texts have no spans. Without labelled
-credentials in the sample nothing is added. Rows are independent of each other, and extra columns
-stay as they are.
+credentials in the sample nothing is added. Repeated rows have equal spans. An empty table gives no rows. Extra
+columns are not read by ``scan`` and stay as they are in ``redact``.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .common import col, fresh, per_text, sha256_hex
 
 SAMPLE_DOCS = 20_000
 SAMPLE = 400
+ORDINARY = 8000
+LONGEST = 4096
 ALPHA = 0.05
 MIN_BITS = 0.5
 REDACTED = "[REDACTED]"
@@ -52,16 +55,17 @@ def base_spans(text: str) -> list[Span]:
 
 
 def other_tokens(text: str, spans: list[Span]) -> list[tuple[int, int]]:
-    """Long tokens that no span touches."""
+    """Long tokens that do not lie wholly inside one span."""
     out = []
     for m in TOKEN.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, _, b in spans):
+        if not any(a <= m.start() and m.end() <= b for a, _, b in spans):
             out.append(m.span())
     return out
 
 
-def is_candidate(token: str) -> bool:
-    return any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
+def ordinary_tokens(text: str, spans: list[Span]) -> list[tuple[int, int]]:
+    """Long tokens that no span touches."""
+    return [(x, y) for x, y in other_tokens(text, spans) if not any(a < y and x < b for a, _, b in spans)]
 
 
 def _classes() -> dict[int, str]:
@@ -168,7 +172,11 @@ class Formats:
 
     def __init__(self, values: dict[str, list[str]]):
         self.kinds = [Automaton(v) for k, v in sorted(values.items()) if k != "ordinary" and v]
-        self.ordinary = Automaton(values.get("ordinary", []))
+        tokens = values.get("ordinary", [])
+        self.ordinary = Automaton(tokens)
+        # Credentials without a telling name are among them: what a credential automaton explains better goes.
+        self.ordinary = Automaton([t for t in tokens if self.gain(t) <= 0])
+        self.known: dict[str, bool] = {}
 
     def gain(self, token: str) -> float:
         """Bits a character by which the best credential automaton beats the ordinary one."""
@@ -176,11 +184,20 @@ class Formats:
             return -math.inf
         return (self.ordinary.bits(token) - min(k.bits(token) for k in self.kinds)) / len(token)
 
+    def is_secret(self, token: str) -> bool:
+        """Whether the formats make a token a credential; short tokens are remembered up to a bound."""
+        verdict = self.known.get(token)
+        if verdict is None:
+            verdict = self.gain(token) > MIN_BITS
+            if len(token) <= 64:
+                if len(self.known) >= 50_000:
+                    self.known.clear()
+                self.known[token] = verdict
+        return verdict
+
     def spans(self, text: str) -> list[Span]:
         found = base_spans(text)
-        more = [
-            (a, 3, b) for a, b in other_tokens(text, found) if is_candidate(text[a:b]) and self.gain(text[a:b]) > MIN_BITS
-        ]
+        more = [(a, 3, b) for a, b in other_tokens(text, found) if self.is_secret(text[a:b])]
         return sorted(found + more)
 
 
@@ -193,8 +210,9 @@ def _labelled():
         out = []
         for a, kind, b in spans:
             value = ASSIGN.match(text, a)[2] if kind == 0 else text[a:b]
-            out.append((KINDS[kind], value[:256]))
-        out += [("ordinary", text[a:b][:256]) for a, b in other_tokens(text, spans)]
+            out.append((KINDS[kind], value))
+        out += [("ordinary", text[a:b]) for a, b in ordinary_tokens(text, spans)]
+        out = [(k, v) for k, v in out if len(v) <= LONGEST]
         kinds, values = zip(*out, strict=True) if out else ((), ())
         return list(kinds), list(values)
 
@@ -214,25 +232,34 @@ def learn(df: DataFrame, text: str = "text") -> dict[str, list[str]]:
         .select(F.explode(F.arrays_zip("r.kinds", "r.vals")).alias("x"))
         .select(F.col("x.kinds").alias("kind"), F.col("x.vals").alias("value"))
         .distinct()
-        .withColumn("place", F.row_number().over(W.partitionBy("kind").orderBy(F.xxhash64("value"), "value")))
-        .where(F.col("place") <= SAMPLE)
+        .withColumn("h", F.xxhash64("value"))
+        .withColumn("most", F.when(F.col("kind") == "ordinary", ORDINARY).otherwise(SAMPLE))
     )
+    # The smallest hashes of parts of a kind first: nearly all tokens are of one kind.
+    for keys in (["kind", F.pmod("h", F.lit(64))], ["kind"]):
+        found = found.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy("h", "value"))).where("place <= most")
     out: dict[str, list[str]] = {}
     for kind, value in sorted((r.kind, r.value) for r in found.collect()):
         out.setdefault(kind, []).append(value)
     return out
 
 
+def _formats(df: DataFrame):
+    """The automata, inferred once and sent to the tasks; their size follows from the sample's bounds."""
+    formats = Formats(learn(df))
+    return df.sparkSession.sparkContext.broadcast(formats)
+
+
 def _joined(spans: list[Span]) -> str:
     return ",".join([f"{KINDS[k]}:{a}:{b}" for a, k, b in spans])
 
 
 def scan(df: DataFrame) -> DataFrame:
     """One row per document: counts and digest of the base spans, and all spans."""
-    sent = df.sparkSession.sparkContext.broadcast(learn(df))
+    sent = _formats(df)
 
     def make():
-        formats = Formats(sent.value)
+        formats = sent.value
 
         def run(text):
             spans = formats.spans(text or "")
@@ -248,10 +275,10 @@ def scan(df: DataFrame) -> DataFrame:
 
 def redact(df: DataFrame) -> DataFrame:
     """``df`` with every found secret in ``text`` replaced; ``n_chars``, where there is one, follows."""
-    sent = df.sparkSession.sparkContext.broadcast(learn(df))
+    sent = _formats(df)
 
     def make():
-        formats = Formats(sent.value)
+        formats = sent.value
 
         def run(text):
             if text is None:

@@ -276,7 +276,9 @@ def test_base_rules(small, odd, nothing, clashing, same_with_extra_columns):
 def test_distances(spark):
     import math
 
-    texts = ["the cat and the dog " * 12, "the cat or a mouse 12 " * 12, "XX YY ## " * 60]
+    # All three are longer than the floor of words from which a distance is taken.
+    texts = ["the cat and the dog " * 24, "the cat or a mouse 12 " * 24, "XX YY ## " * 60]
+    assert all(len(t.split()) >= divergence.MIN_WORDS_FOR_COMMON for t in texts)
     rows = divergence.judge(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")).collect()
 
     def shares(counts):
@@ -345,6 +347,47 @@ def test_inferred_formats_find_what_the_patterns_miss(spark):
     assert all("learned" not in got[i] for i in range(60))
 
 
+def _planted(spark, n=90, hide=45):
+    """Documents of a table with credentials of the labelled formats beside them, without a telling name; and
+    the same documents with such credentials where a pattern finds them."""
+    rng = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    formats = [
+        lambda: "sk_live_" + "".join(rng.choice(letters) for _ in range(24)),
+        lambda: "-".join("".join(rng.choice("0123456789abcdef") for _ in range(k)) for k in (8, 4, 4, 4, 12)),
+        lambda: "".join(rng.choice("ABCDEF0123456789") for _ in range(40)),
+    ]
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    labelled = [(10_000 + i, f"{texts[i][:200]} token = {formats[i % 3]()} {texts[i][200:400]}") for i in range(n)]
+    hidden = [(20_000 + i, f"{texts[i][:300]} {code} {texts[i][300:600]}", code) for i, code in ((i, formats[i % 3]()) for i in range(hide))]
+    return [(i, t) for i, t in enumerate(texts)], labelled, hidden
+
+
+def test_planted_credentials_without_a_name_are_found(spark):
+    plain, labelled, hidden = _planted(spark)
+    df = spark.createDataFrame(plain + labelled + [h[:2] for h in hidden], "doc_id bigint, text string")
+    got = {r.doc_id: [x.split(":") for x in r.spans.split(",") if x] for r in credentials.scan(df).collect()}
+
+    def caught(i, text, code):
+        start = text.index(code)
+        return any(int(a) <= start and start + len(code) <= int(b) for _, a, b in got[i])
+
+    recall = sum(caught(*h) for h in hidden) / len(hidden)
+    false = sum(kind == "learned" for i, _ in plain for kind, _, _ in got[i])
+    assert recall >= 0.9 and false <= 0.03 * len(plain), (recall, false)
+
+
+def test_long_and_letters_only_tokens_are_scored(spark):
+    rng = random.Random(5)
+    code = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    rows = [(i, f"password={code(300, 'QXZJK')} some {code(14, 'abcdefghilmnoprstu')} and {code(13, 'abcdefghilmnoprstu')} more") for i in range(80)]
+    rows += [(100, f"see {code(300, 'QXZJK')} here"), (101, "see somelongordinaryname here"), (102, f"x {code(20_000, 'QXZJK')}")]
+    got = {r.doc_id: r.spans for r in credentials.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[100] == "learned:4:304" and got[101] == "" and got[102].startswith("learned:2:")
+    kept = credentials.learn(spark.createDataFrame(rows, "doc_id bigint, text string"))["assign"]
+    assert all(len(v) == 300 for v in kept)
+
+
 def test_automaton_merges_to_few_states():
     rng = random.Random(6)
     values = ["".join(rng.choice("01") for _ in range(rng.randint(8, 20))) for _ in range(300)]
