@@ -153,38 +153,42 @@ class Forest:
 _PRICES = "lang string, source string, other string, value bigint"
 
 
-def _segment_prices(table: pa.Table) -> pa.Table:
+def _segment_prices(block: int):
     """Prices of one segment of a language between the groups of two blocks (or within one)."""
-    slots = table["slot"].to_numpy()
-    heads = table.filter(pa.array(slots < 0)).sort_by("place").to_pylist()
-    leaves = table.filter(pa.array(slots >= 0)).select(["place", "slot", "n"]).sort_by([("place", "ascending"), ("slot", "ascending")])
-    place, slot, n = (leaves[c].to_numpy() for c in ("place", "slot", "n"))
-    size = heads[0]["size"]
-    forest = Forest(size)
-    groups = []
-    for r in heads:
-        lo, hi = np.searchsorted(place, (r["place"], r["place"] + 1))
-        root = forest.tree(list(zip(slot[lo:hi].tolist(), n[lo:hi].tolist(), strict=True))) if size else 0
-        groups.append((r["place"] // BLOCK, r["source"], r["n"] + SMOOTHING * r["kept"], root))
-    lang, low, high = (table[c][0].as_py() for c in ("lang", "low", "high"))
-    known: dict[tuple[int, int], dict] = defaultdict(dict)
-    found = []
-    for i, (block, source, below, root) in enumerate(groups):
-        for other_block, other, other_below, other_root in groups[i + 1 :]:
-            if (block, other_block) != (low, high):
-                continue
-            value = forest.price(root, other_root, below, other_below, known[below, other_below]) if size else 0
-            found += [(source, other, value), (other, source, value)]
-    parts = list(zip(*found, strict=True)) if found else [(), (), ()]
-    return pa.table({
-        "lang": pa.array([lang] * len(found), pa.string()),
-        "source": pa.array(parts[0], pa.string()),
-        "other": pa.array(parts[1], pa.string()),
-        "value": pa.array(parts[2], pa.int64()),
-    })
-
-
-def audit(documents: DataFrame, least: int = MIN_DOCUMENTS, top: int = TOP_TERMS, segment: int = SEGMENT) -> DataFrame:
+
+    def run(table: pa.Table) -> pa.Table:
+        slots = table["slot"].to_numpy()
+        heads = table.filter(pa.array(slots < 0)).sort_by("place").to_pylist()
+        leaves = table.filter(pa.array(slots >= 0)).select(["place", "slot", "n"]).sort_by([("place", "ascending"), ("slot", "ascending")])
+        place, slot, n = (leaves[c].to_numpy() for c in ("place", "slot", "n"))
+        size = heads[0]["size"]
+        forest = Forest(size)
+        groups = []
+        for r in heads:
+            lo, hi = np.searchsorted(place, (r["place"], r["place"] + 1))
+            root = forest.tree(list(zip(slot[lo:hi].tolist(), n[lo:hi].tolist(), strict=True))) if size else 0
+            groups.append((r["place"] // block, r["source"], r["n"] + SMOOTHING * r["kept"], root))
+        lang, low, high = (table[c][0].as_py() for c in ("lang", "low", "high"))
+        known: dict[tuple[int, int], dict] = defaultdict(dict)
+        found = []
+        for i, (own, source, below, root) in enumerate(groups):
+            for other_own, other, other_below, other_root in groups[i + 1 :]:
+                if (own, other_own) != (low, high):
+                    continue
+                value = forest.price(root, other_root, below, other_below, known[below, other_below]) if size else 0
+                found += [(source, other, value), (other, source, value)]
+        parts = list(zip(*found, strict=True)) if found else [(), (), ()]
+        return pa.table({
+            "lang": pa.array([lang] * len(found), pa.string()),
+            "source": pa.array(parts[0], pa.string()),
+            "other": pa.array(parts[1], pa.string()),
+            "value": pa.array(parts[2], pa.int64()),
+        })
+
+    return run
+
+
+def audit(documents: DataFrame, least: int = MIN_DOCUMENTS, top: int = TOP_TERMS, segment: int = SEGMENT, block: int = BLOCK) -> DataFrame:
     """Distances between all sources of a language, and the terms that stick out in each source."""
     ship_package(documents.sparkSession)
     empty = F.lit("")
@@ -233,7 +237,7 @@ def audit(documents: DataFrame, least: int = MIN_DOCUMENTS, top: int = TOP_TERMS
         ),
         "audit-groups",
     )
-    pairs = _pair_rows(groups, placed, terms, segment)
+    pairs = _pair_rows(groups, placed, terms, segment, block)
     sticking = _term_rows(groups, placed, top)
     return pairs.unionByName(sticking).select("lang", "source", "part", "item", "value", "rank")
 
@@ -243,9 +247,9 @@ def _ranked(rows: DataFrame) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order))
 
 
-def _pair_rows(groups: DataFrame, placed: DataFrame, terms: DataFrame, segment: int) -> DataFrame:
+def _pair_rows(groups: DataFrame, placed: DataFrame, terms: DataFrame, segment: int, block: int) -> DataFrame:
     """Distance of each ordered pair of sources of a language."""
-    blocks = groups.groupBy("lang").agg((F.floor(F.max("place") / BLOCK) + 1).cast("int").alias("blocks"))
+    blocks = groups.groupBy("lang").agg((F.floor(F.max("place") / block) + 1).cast("int").alias("blocks"))
     sizes = terms.groupBy("lang", "segment").agg(F.count("*").alias("size"))
     spread = groups.withColumn("segments", F.greatest(F.ceil(F.col("kept") / segment), F.lit(1)).cast("int"))
     heads = (
@@ -258,7 +262,7 @@ def _pair_rows(groups: DataFrame, placed: DataFrame, terms: DataFrame, segment:
         "lang", "segment", "place", F.lit(None).cast("string").alias("source"), "slot", "n",
         F.lit(0).cast("bigint").alias("kept"), F.lit(0).cast("bigint").alias("size"),
     )
-    own = F.floor(F.col("place") / BLOCK).cast("int")
+    own = F.floor(F.col("place") / block).cast("int")
     met = (
         heads.unionByName(leaves)
         .join(blocks, "lang")
@@ -267,7 +271,7 @@ def _pair_rows(groups: DataFrame, placed: DataFrame, terms: DataFrame, segment:
         .withColumn("high", F.greatest(own, F.col("other")))
         .drop("blocks", "other")
     )
-    priced = met.groupBy("lang", "segment", "low", "high").applyInArrow(_segment_prices, _PRICES)
+    priced = met.groupBy("lang", "segment", "low", "high").applyInArrow(_segment_prices(block), _PRICES)
     summed = priced.groupBy("lang", "source", "other").agg(F.sum("value").alias("value"))
     return _ranked(summed.select("lang", "source", F.lit("pair").alias("part"), F.col("other").alias("item"), "value"))
 
