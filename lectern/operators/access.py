@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as X
 from lectern.functions.times import at_hour, epoch_range, in_epoch_range, local_date, local_ts
 from lectern.operators import courses, enrolments, people
-from lectern.operators.skew import join_spread
+from lectern.operators.skew import join_hot
 from lectern.settings import Settings
 from lectern.sources import LmsTables
 
@@ -144,7 +144,7 @@ def valid_access(
         .select("userid", F.col("courseid").alias("course_id"), "timecreated")
     )
     return (
-        join_spread(views, spans, F.col("timecreated"))
+        join_hot(views, spans)
         .filter(F.col("timecreated").between(F.col("span_start"), F.col("span_end")))
         .select("origin", local_date(F.col("timecreated"), s.report_tz).alias("day"), *PAIR, "timecreated")
     )

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.operators.skew import join_spread
+from lectern.operators.skew import join_hot
 from lectern.session import cut_lineage
 
 # Default limits of the exporter.
@@ -261,7 +261,7 @@ def expire_old_files(t_requests: DataFrame, keep: int = MAX_FILES_PER_USER) -> D
         .drop("kept")
     )
     expired = has_file & F.col("oldest").isNotNull() & (age < F.col("oldest"))
-    flagged = join_spread(t_requests, limits, F.col("id"), "left", ["usuario_email"]).withColumn(
+    flagged = join_hot(t_requests, limits, "left", ["usuario_email"]).withColumn(
         "_expired", F.coalesce(expired, F.lit(False))
     )
     return flagged.select(

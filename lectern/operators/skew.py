@@ -1,24 +1,24 @@
 """Joins of many rows per key against one short entry per key.
 
-A user-course pair may hold a large part of the log or of the enrolments. Both
-sides get a salt as an extra join key: the many-row side spreads each pair over
-``SALTS`` values, the short side is repeated once per value. A hot pair is then
-several keys, and since neither side is already partitioned that way both come
-fresh from a shuffle, which is what adaptive skew splitting needs to cut the
-remaining large partitions further.
+A user-course pair may hold a large part of the log or of the enrolments. How much, only the shuffle
+knows: adaptive skew splitting measures its partitions, cuts those that hot keys fill into
+tasks of bounded size, and gives each of these the entries that it needs. Keys that aren't hot are neither
+cut nor repeated.
+
+It can cut a join only where both sides come fresh from a shuffle for this join. The short side usually
+is the outcome of an aggregation by the same keys and would be joined as it lies. So both sides get
+a further key that is always 0, which no earlier partitioning has.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 8
 PAIR = ["userid", "course_id"]
 
 
-def join_spread(many: DataFrame, short: DataFrame, spread_by: Column, how: str = "inner", keys=PAIR) -> DataFrame:
-    """Join on ``keys``; ``spread_by`` tells the rows of one key apart (an id or a time); NULL counts as 0."""
-    salted = many.withColumn("_salt", F.coalesce(F.pmod(spread_by, F.lit(SALTS)), F.lit(0)).cast("int"))
-    repeated = short.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+def join_hot(many: DataFrame, short: DataFrame, how: str = "inner", keys=PAIR) -> DataFrame:
+    """Join on ``keys``; rows of ``many`` with one key may fill many tasks."""
+    zero = F.pmod(F.hash(*keys), F.lit(1)).alias("_zero")
+    return many.select("*", zero).join(short.select("*", zero), [*keys, "_zero"], how).drop("_zero")

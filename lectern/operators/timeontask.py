@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import labels as L
 from lectern.operators import access, people, tools
-from lectern.operators.skew import join_spread
+from lectern.operators.skew import join_hot
 from lectern.settings import Settings
 from lectern.sources import LmsTables
 
@@ -114,7 +114,7 @@ def per_instance(
     """Seconds per user, course and context instance."""
     rows = events(t, s, since, until)
     if only is not None:
-        rows = join_spread(rows, only.select(*PAIR), F.col("id"), "left_semi")
+        rows = join_hot(rows, only.select(*PAIR), "left_semi")
     return instance_seconds(rows, PAIR, s.gap_slice_seconds, instance_of(strict_context))
 
 

@@ -17,7 +17,7 @@ from lectern.functions import labels as L
 from lectern.functions.times import epoch_range, in_epoch_range
 from lectern.operators import access, enrolments, people
 from lectern.operators.courses import SITE_COURSE
-from lectern.operators.skew import join_spread
+from lectern.operators.skew import join_hot
 from lectern.settings import Settings
 from lectern.sources import LmsTables
 
@@ -295,7 +295,7 @@ def valid_module_users(t: LmsTables, p: Period, hour: str | None = None) -> Data
     """Distinct (course, module, user) with an event while validly enrolled."""
     spans = enrolments.spans(t)
     return (
-        join_spread(module_events(t, p, hour), spans, F.col("timecreated"))
+        join_hot(module_events(t, p, hour), spans)
         .filter(F.col("timecreated").between(F.col("span_start"), F.col("span_end")))
         .select("course_id", "module_id", "userid")
         .distinct()

@@ -18,7 +18,7 @@ from lectern.functions import text as X
 from lectern.functions.filters import ilike_any
 from lectern.functions.times import local_date, local_ts, ratio_2dp, stamp, stamp_or
 from lectern.operators import access, courses, enrolments, people, timeontask, tools
-from lectern.operators.skew import join_spread
+from lectern.operators.skew import join_hot
 from lectern.plans import catalogue_columns as C
 from lectern.plans.columns import printed
 from lectern.plans.reports import down, up
@@ -165,7 +165,7 @@ def registro_usuarios(t: LmsTables, s: Settings) -> DataFrame:
     known = access.course_access(t, s, target=None).join(_role_text(t), PAIR, "full")
     rows = enrolments.rows(t).select(F.col("id").alias("enrolment_id"), *PAIR)
     df = (
-        join_spread(rows, known, F.col("enrolment_id"), "left")
+        join_hot(rows, known, "left")
         .join(_home(t, s), "course_id")
         .join(_persons(t).join(people.profile_documents(t), "userid", "left"), "userid")
     )
@@ -232,7 +232,7 @@ def matriculas(t: LmsTables, s: Settings) -> DataFrame:
         stamp(F.col("timemodified"), s.report_tz).alias("changed_text"),
     )
     df = (
-        join_spread(rows, _role_text(t), F.col("enrolment_id"), "left")
+        join_hot(rows, _role_text(t), "left")
         .join(_home(t, s), "course_id")
         .join(_persons(t), "userid")
         .withColumn("role_text", _role_or_none())

@@ -21,7 +21,7 @@ from lectern.functions.filters import Optional
 from lectern.functions.times import ratio_2dp, stamp, stamp_or
 from lectern.operators import access, courses, enrolments, online, people, timeontask, tools
 from lectern.operators.narrow import is_set, narrowed
-from lectern.operators.skew import join_spread
+from lectern.operators.skew import join_hot
 from lectern.plans import columns as C
 from lectern.settings import Settings
 from lectern.sources import LmsTables
@@ -176,7 +176,7 @@ def login_totals(t: LmsTables, p: dict, s: Settings, keys: list[str]) -> DataFra
     roles = people.roles_by_user(t).select("userid", "role_names")
     known = places.join(roles, "userid", "left")
     return (
-        join_spread(per_user, known, F.hash("userid", *own), keys=["userid"])
+        join_hot(per_user, known, keys=["userid"])
         .withColumn("role_text", F.coalesce("role_names", F.lit("Sin rol")))
         .groupBy("role_text", *keys)
         .agg(F.sum("n").alias("logins"), F.count("*").alias("users"))

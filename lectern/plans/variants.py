@@ -12,7 +12,7 @@ from lectern.functions import params as Q
 from lectern.functions import text as X
 from lectern.functions.times import epoch_range, local_ts, overlaps, stamp, stamp_or
 from lectern.operators import access, courses, enrolments, people, tools
-from lectern.operators.skew import join_spread
+from lectern.operators.skew import join_hot
 from lectern.plans import columns as C
 from lectern.plans import reports as R
 from lectern.plans.reports import Params, down, up
@@ -135,7 +135,7 @@ def matriculas_activas(t: LmsTables, params: Params = None, s: Settings = Settin
         stamp_or(F.col("timeend"), s.report_tz, L.UNSET_DATE).alias("left_text"),
     )
     active = R._people(t, X.DOCUMENT_KINDS_WITH_TI).filter((F.col("deleted") == 0) & (F.col("suspended") == 0))
-    rows = join_spread(rows, people.roles_by_user_course(few), F.col("enrolment_id"), "left")
+    rows = join_hot(rows, people.roles_by_user_course(few), "left")
     rows = rows.withColumn("role_text", F.coalesce("role_names", F.lit("Sin rol asignado")))
     df = R._optional(rows, p, s).contains("rol_usuario", F.col("role_shortnames")).df
     df = df.join(home, "course_id").join(active, "userid")
@@ -171,7 +171,7 @@ def registro_por_matricula(t: LmsTables, params: Params = None, s: Settings = Se
     # One entry per pair with access counts and roles; without an hour filter
     # pairs that have roles but no access are kept too.
     known = seen.join(people.roles_by_user_course(few), PAIR, "left" if p["hora"] is not None else "full")
-    df = join_spread(rows, known, F.col("enrolment_id"), "inner" if p["hora"] is not None else "left")
+    df = join_hot(rows, known, "inner" if p["hora"] is not None else "left")
     df = df.withColumn("role_text", F.coalesce("role_names", F.lit("Sin rol asignado")))
     df = R._optional(df, p, s).contains("rol_usuario", F.col("role_shortnames")).df
     df = df.join(home, "course_id").join(persons, "userid").na.fill(0, ["access_days", "accesses"])

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cache, cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.session import prepare
@@ -30,6 +30,9 @@ FACT_TABLES = frozenset(
 
 # Fixed value: rows fetched from the database per round trip.
 FETCH_ROWS = 20_000
+# Layout of a stored log: row groups that hold few courses and users, and distinct values a Bloom filter is made for.
+ROW_GROUP_BYTES = 16 << 20
+BLOOM_VALUES = 20_000
 
 
 class LmsTables:
@@ -144,19 +147,50 @@ class LmsTables:
     def store(self, root: str, *names: str) -> "LmsTables":
         """Write tables (all, if none are named) under ``root`` as ``from_parquet`` reads them.
 
-        An explicit load: one Parquet folder per table, the log partitioned by ``event_date`` and
-        rebalanced by it, so that a day's files hold whole tasks of rows.
+        An explicit load: one Parquet folder per table, the log partitioned by ``event_date``. Within a day its
+        rows are laid along a curve through course and user (their bits in turn), so that a row group spans
+        few of both, and carry Bloom filters on both: a filter on either skips most row groups, by their bounds or
+        by the filter. Days are range partitions of the curve, so a heavy day is spread over several
+        tasks and a hot course over several files.
         """
         for name in names or SCHEMAS:
             df = self.table(name)
             if "logstore" in name:
-                df = df.withColumn("event_date", F.to_date(F.timestamp_seconds("timecreated")))
-                df.hint("rebalance", F.col("event_date")).write.partitionBy("event_date").parquet(f"{root}/{name}")
+                widths = df.agg(*[F.length(F.bin(F.coalesce(F.max(c), F.lit(1)))) for c in ("courseid", "userid")]).first()
+                rows = df.withColumn("event_date", F.to_date(F.timestamp_seconds("timecreated"))).withColumn("curve", interleaved("courseid", "userid", *widths))
+                rows = rows.repartitionByRange("event_date", "curve", "id").sortWithinPartitions("event_date", "curve", "id").drop("curve")
+                writer = rows.write.partitionBy("event_date")
+                for column in ("courseid", "userid"):
+                    writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+                    writer = writer.option(f"parquet.bloom.filter.expected.ndv#{column}", str(BLOOM_VALUES))
+                writer.option("parquet.block.size", str(ROW_GROUP_BYTES)).parquet(f"{root}/{name}")
             else:
                 df.write.parquet(f"{root}/{name}")
         return LmsTables.from_parquet(self.spark, root)
 
 
+def interleaved(first: str, second: str, first_bits: int = 31, second_bits: int = 31) -> Column:
+    """The bits of two ids in turn, as one number: near on it are near in both. Both start with their highest bit
+    in use (ids below 2 ** ``first_bits`` and 2 ** ``second_bits``), so that both are cut equally often, the first
+    one first. Of larger ids the lower bits count, and NULL as 0: the order of rows depends on it, nothing else."""
+
+    def apart(name: str, used: int) -> Column:
+        """The bits of an id with a gap after each, by halving the blocks that move together."""
+        x = F.coalesce(F.col(name).cast("bigint"), F.lit(0)).bitwiseAND(F.lit((1 << min(used, 31)) - 1))
+        x = F.shiftleft(x, 31 - min(used, 31))
+        for shift, mask in _SPREAD:
+            x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
+        return x
+
+    return F.shiftleft(apart(first, first_bits), 1).bitwiseOR(apart(second, second_bits))
+
+
+# Blocks of 16, 8, 4, 2, 1 bits, and the places that hold bits after each step.
+_SPREAD = (
+    (16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555),
+)
+
+
 def _typed(name: str) -> list:
     return [F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[name].fields]
 
