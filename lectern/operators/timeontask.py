@@ -19,7 +19,7 @@ MAX_GAP = 1800
 
 def events(t: LmsTables, s: Settings, since: str | None = None, until: str | None = None) -> DataFrame:
     return access.of_course_users(access.log_between(t, since, until, s.report_tz)).select(
-        "id", *PAIR, "contextlevel", "contextinstanceid", "timecreated"
+        "id", *PAIR, "contextlevel", "contextinstanceid", "timecreated", "action"
     )
 
 
@@ -67,9 +67,14 @@ def instance_of(strict_context: bool = False) -> Column:
     return F.when(F.col("contextlevel") == people.MODULE, instance) if strict_context else instance
 
 
-def instance_seconds(rows: DataFrame, keys: list[str], slice_seconds: int, instance: Column) -> DataFrame:
+def instance_seconds(
+    rows: DataFrame, keys: list[str], slice_seconds: int, instance: Column, viewed: Column | None = None
+) -> DataFrame:
     """Capped gap seconds per key and context instance (``module_id``).
 
+    With ``viewed``, a test of rows, also the distinct times of such rows (``accesses``, each counted on the
+    instance of the first row that has it) and the last of them (``last_access``).
+
     Same slicing as ``next_event``, but summed early: inside a slice the gaps
     are added up per instance, and only these sums travel to the second
     window, which adds the gap from a slice's last event to the next slice.
@@ -80,9 +85,16 @@ def instance_seconds(rows: DataFrame, keys: list[str], slice_seconds: int, insta
         "timecreated",
         instance.alias("module_id"),
         F.call_function("div", F.col("timecreated"), F.lit(slice_seconds)).alias("slice"),
+        *([] if viewed is None else [F.when(viewed, F.col("timecreated")).alias("view_time")]),
     )
     within = Window.partitionBy(*keys, "slice").orderBy("timecreated", "id")
     following = F.col("following")
+    more: list[Column] = []
+    if viewed is not None:
+        # Rows of one time lie in one slice, next to each other.
+        earlier = F.max("view_time").over(within.rowsBetween(Window.unboundedPreceding, -1))
+        cut = cut.withColumn("new_view", F.col("view_time") > F.coalesce(earlier, F.col("view_time") - 1))
+        more = [F.count_if("new_view").alias("accesses"), F.max("view_time").alias("last_access")]
     summed = (
         cut.withColumn("following", F.lead("timecreated").over(within))
         .groupBy(*keys, "slice", "module_id")
@@ -90,6 +102,7 @@ def instance_seconds(rows: DataFrame, keys: list[str], slice_seconds: int, insta
             F.sum(capped_gap(F.col("timecreated"), following)).alias("seconds"),
             F.min("timecreated").alias("first_time"),
             F.max(F.when(following.isNull(), F.col("timecreated"))).alias("slice_last"),
+            *more,
         )
     )
     # Earliest time in any later slice of the key: a running minimum, newest first.
@@ -99,10 +112,15 @@ def instance_seconds(rows: DataFrame, keys: list[str], slice_seconds: int, insta
         summed.withColumn("next_first", F.min("first_time").over(later))
         .withColumn("seconds", F.col("seconds") + F.coalesce(tail, F.lit(0)))
         .groupBy(*keys, "module_id")
-        .agg(F.sum("seconds").alias("seconds"))
+        .agg(F.sum("seconds").alias("seconds"), *_views(summed))
     )
 
 
+def _views(df: DataFrame) -> list[Column]:
+    """Sums of the view measures, where a relation has them."""
+    return [F.sum("accesses").alias("accesses"), F.max("last_access").alias("last_access")] if "accesses" in df.columns else []
+
+
 def per_instance(
     t: LmsTables,
     s: Settings,
@@ -110,12 +128,14 @@ def per_instance(
     until: str | None = None,
     only: DataFrame | None = None,
     strict_context: bool = False,
+    views: bool = False,
 ) -> DataFrame:
-    """Seconds per user, course and context instance."""
+    """Seconds per user, course and context instance; with ``views`` also distinct view times, from the same pass."""
     rows = events(t, s, since, until)
     if only is not None:
         rows = join_hot(rows, only.select(*PAIR), "left_semi")
-    return instance_seconds(rows, PAIR, s.gap_slice_seconds, instance_of(strict_context))
+    viewed = F.col("action") == "viewed" if views else None
+    return instance_seconds(rows, PAIR, s.gap_slice_seconds, instance_of(strict_context), viewed)
 
 
 def module_kinds(t: LmsTables) -> DataFrame:
@@ -128,7 +148,7 @@ def per_tool(t: LmsTables, instances: DataFrame) -> DataFrame:
         instances.join(module_kinds(t), "module_id", "left")
         .withColumn("tool", L.time_tool_class(F.col("module_name"), F.col("forum_type")))
         .groupBy(*PAIR, "tool")
-        .agg(F.sum("seconds").alias("seconds"))
+        .agg(F.sum("seconds").alias("seconds"), *_views(instances))
     )
 
 
@@ -154,5 +174,5 @@ def pivoted(tool_seconds: DataFrame) -> DataFrame:
         return F.sum(F.when(F.col("tool").isin(*classes), F.col("seconds")).otherwise(0)).alias(f"sec_{name}")
 
     return tool_seconds.groupBy(*PAIR).agg(
-        F.sum("seconds").alias("sec_total"), *[cell(name, classes) for name, classes in PIVOT.items()]
+        F.sum("seconds").alias("sec_total"), *[cell(name, classes) for name, classes in PIVOT.items()], *_views(tool_seconds)
     )

@@ -374,11 +374,13 @@ def _stack(t: LmsTables, s: Settings) -> DataFrame:
     forum = t.forum.select(F.col("id").alias("forum"), F.col("course").alias("course_id"), "type", "name")
     places = t.forum_discussions.select(F.col("id").alias("discussion"), "forum").join(forum, "forum")
     talk = ~F.col("type").isin("news", "blog")
+    # Posts are counted per discussion and user; only these counts look up their forum.
     posts = (
-        t.forum_posts.select("discussion", "userid", "parent")
+        t.forum_posts.groupBy("discussion", "userid")
+        .agg(F.count_if(F.col("parent") == 0).alias("openings"), F.count_if(F.col("parent") != 0).alias("replies"))
         .join(places, "discussion")
         .groupBy(*PAIR, "type", "name")
-        .agg(F.count_if(F.col("parent") == 0).alias("openings"), F.count_if(F.col("parent") != 0).alias("replies"))
+        .agg(F.sum("openings").alias("openings"), F.sum("replies").alias("replies"))
     )
     is_blog = (F.col("type") == "blog") | F.col("name").ilike("Blog%")
     named = F.upper("name") != "ANUNCIOS"

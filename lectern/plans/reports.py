@@ -493,19 +493,15 @@ def tiempo_permanencia(
 ) -> DataFrame:
     """Share of estimated time per tool, for users with any time in a course.
 
-    When a filter narrows the pairs, both readings of the log are cut down to them
-    first; otherwise that extra pass over the log would remove nothing.
+    Gaps and view times come from one reading of the log. When a filter narrows the pairs, it is cut down to
+    them first; otherwise that extra pass over the log would remove nothing.
     """
     p = Q.clean("tiempo_permanencia", params)
     base = time_base(t, p, s)
-    narrowed_by_filters = is_set(p, _NARROWING)
-    instances = timeontask.per_instance(
-        t, s, p["fecha_desde"], p["fecha_hasta"], base if narrowed_by_filters else None, strict_context
-    )
+    only = base if is_set(p, _NARROWING) else None
+    instances = timeontask.per_instance(t, s, p["fecha_desde"], p["fecha_hasta"], only, strict_context, views=True)
     spent = timeontask.pivoted(timeontask.per_tool(t, instances)).filter(F.col("sec_total") > 0)
-    pairs = base.select(*PAIR) if narrowed_by_filters else None
-    seen = access.distinct_view_times(t, s, p["fecha_desde"], p["fecha_hasta"], pairs)
-    df = base.join(spent, PAIR).join(seen, PAIR, "left").na.fill(0, ["accesses"])
+    df = base.join(spent, PAIR)
     df = _course_dates(df, s, null_is_unset=False, plain_start=True).select(
         "*",
         F.lit(L.NOT_AVAILABLE).alias("program_state"),
