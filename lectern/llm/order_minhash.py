@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -223,11 +224,20 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _packed(text: str | None) -> tuple[bytes]:
+    """A text as it travels: pairs take their texts along, which is most of what is shuffled."""
+    return (zlib.compress((text or "").encode(), 1),)
+
+
+def _unpacked(data: bytes) -> str:
+    return zlib.decompress(data).decode()
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs ``a``, ``b`` whose texts are similar."""
     left = texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b"))
-    same = per_row(lambda: lambda x, y: (similar(x, y),), "struct<same: boolean>")
+    same = per_row(lambda: lambda x, y: (similar(_unpacked(x), _unpacked(y)),), "struct<same: boolean>")
     return pairs.join(left, "a").join(right, "b").where(same("text_a", "text_b")["same"]).select("a", "b")
 
 
@@ -241,7 +251,7 @@ def _counted(batches):
     known, total = WordHashes(), np.zeros(COUNTERS, dtype=np.int64)
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            total += np.bincount((_shingle_set(known, text) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+            total += np.bincount((_shingle_set(known, _unpacked(text)) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["counter", "n"])
 
@@ -262,7 +272,7 @@ def _prefixes(sent):
         known, often = WordHashes(), sent.value
 
         def run(text):
-            s = _shingle_set(known, text)
+            s = _shingle_set(known, _unpacked(text))
             order = np.lexsort((s, often[(s % np.uint64(COUNTERS)).astype(np.int64)]))
             # Two sets of similarity t share t times the larger one at least.
             first = len(s) - math.ceil(SIMILARITY * len(s) - 1e-9) + 1
@@ -369,7 +379,8 @@ def classes(df: DataFrame) -> DataFrame:
     pairs = written(pairs, "pairs")
     wanted = shared.select("cid").distinct()
     chosen = sketched.groupBy("cid").agg(F.min("tdig").alias("tdig")).join(wanted, "cid")
-    once = rows.groupBy("tdig").agg(F.first("text").alias("text"))
+    packed = rows.select("tdig", per_text(lambda: _packed, "struct<z: binary>")("text")["z"].alias("text"))
+    once = packed.groupBy("tdig").agg(F.first("text").alias("text"))
     texts = written(once.join(chosen, "tdig").select("cid", "text"), "texts")
 
     links = written(_verified(pairs.where("now").select("a", "b"), texts), "links")
