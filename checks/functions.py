@@ -13,7 +13,9 @@ from lectern.functions import text as X
 from lectern.functions import times as M
 from lectern.functions.filters import Optional, contains, ilike_any
 from lectern.operators import access, courses, tools
+from lectern.operators.textindex import TextIndex
 from lectern.plans.catalogue import VIDEO_COMPONENTS, VIDEO_EVENTS
+from lectern.session import scratch_path
 
 TZ = S.report_tz
 
@@ -282,6 +284,20 @@ check(
     lambda t: _filtered(t.course.select("id", "fullname"), nombre_ficha="wIDget").contains("nombre_ficha", F.col("fullname")).df,
     "select id, fullname from mdl_course where contains(lower(fullname), 'widget')",
 )
+def _indexed(t, value: str):
+    """Users whose name or user name contains a value, by the index of triples."""
+    person = F.concat_ws(" ", "firstname", "lastname")
+    index = TextIndex.build(t.user, "id", {"person": person, "username": F.col("username")}, scratch_path(t.spark, "names"))
+    return index.contains(t.user, "id", {"person": person, "username": F.col("username")}, value).select("id", "username")
+
+
+for _name, _value in (("name", "R#0000001"), ("number", "00012"), ("short", "7")):
+    check(
+        f"flt_contains_by_index_{_name}",
+        lambda t, value=_value: _indexed(t, value),
+        f"""select id, username from mdl_user
+            where contains(lower(concat_ws(' ', firstname, lastname)), lower('{_value}')) or contains(lower(username), lower('{_value}'))""",
+    )
 check(
     "flt_contains_literal",
     lambda t: t.course.filter(contains(F.col("shortname"), "p_")).select("id", "shortname"),

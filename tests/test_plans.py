@@ -156,6 +156,13 @@ def test_filters_reach_the_facts(spark, settings, name):
     assert found and kept > plain
 
 
+@pytest.mark.parametrize("params", [None, {"codigo_ficha": "12"}], ids=["whole", "filtered"])
+def test_time_report_reads_the_log_once(spark, settings, params):
+    """Gaps and view times come from one scan of the log."""
+    text = plan(REPORTS["tiempo_permanencia"](stored(spark), params, settings))
+    assert len([x for x in text.splitlines() if "FileScan" in x and "eventname" not in x and "timecreated" in x and "action" in x]) == 1
+
+
 CATALOGUE = ("cat_trafico_diario", "cat_uso_herramientas", "cat_tiempo_herramienta", "cat_sesiones_log", "cat_sesiones_bbb")
 
 
