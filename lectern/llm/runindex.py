@@ -4,19 +4,22 @@ A byte goes when a string of ``length`` bytes that covers it also starts anywher
 corpus, the same document included. Whole UTF-8 texts count, matches never cross documents, and
 strings are judged on the input.
 
-Strings are dealt out so that equal ones meet. The key of a string is the smallest hash of the
-16-byte grams inside it, a function of its content; a document's strings with the same key in a row
-form one segment, and every string lies in exactly one segment. Keys held by a single segment are
-settled at once. Segments are then counted by key and content, so a group of copies becomes one
-segment with a weight, however large: with a weight of two or more all its strings are repeats.
-What remains are keys with several different segments. These are fetched, sorted by key and indexed
-in blocks of bounded size: suffix order, Burrows-Wheeler transform, its runs, and the suffix
-positions sampled at both ends of every run. The longest match of a position elsewhere (its matching
-statistic) is compared directly at the samples; between them it falls by one a byte, so one pass
-streams all of them. Marked spans go back to their documents and are cut out of the bytes.
-
-A key with very many different segments (near copies of one text) is split before indexing by
-further smallest hashes of other gram orders, which again depend on a string's content alone.
+Strings are dealt out so that equal ones meet. The anchor of a string is the first of its 16-byte
+grams with the smallest hash. Its key is made of that hash, of the range of ``width`` offsets in which
+the anchor lies inside the string, and of the bytes that all strings with this anchor and range have
+in common (``length`` - ``width`` + 1 of them): a function of its content. A document's strings with
+one anchor and range form a part, and every string lies in exactly one part. Keys held by a single
+part are settled at once. Parts are then counted by key and content, so a group of copies becomes one
+part with a weight, however large: with a weight of two or more all its strings are repeats.
+
+What remains are keys with several different parts. A key with more than ``HOT_SEGMENTS`` of them is
+dealt out again by ranges half as wide, and so on until no such key is left; at a width of 1 all parts
+of a key are equal, so this ends, and no task ever holds more than that many parts of a key. The parts
+are fetched, sorted by key and indexed in blocks of bounded size: suffix order, Burrows-Wheeler
+transform, its runs, and the suffix positions sampled at both ends of every run. The longest match of
+a position elsewhere (its matching statistic) is compared directly at the samples; between them it
+falls by one a byte, so one pass streams all of them. Marked spans go back to their documents and are
+cut out of the bytes.
 
 Null text is empty; documents under ``length`` bytes keep everything. Texts are identified by a
 128-bit digest of their content, so equal rows, repeated ids and null ids get equal results. An
@@ -27,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,22 +38,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, per_row, ship_package, text_digest, written
+from .common import col, dropped, per_row, ship_package, text_digest, written
 
 LENGTH = 400
 GRAM = 16
 BLOCK_BYTES = 2 << 20
-HOT_SEGMENTS = 2000
-SPLITS = 3  # further gram orders for hot keys
+HOT_SEGMENTS = 2000  # different parts of a key that are indexed together
+_AT_ONCE = 1 << 20  # bytes of text that are cut into parts at a time
+_ROWS = 4096
 
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93]
 
 
-def gram_hashes(data: bytes, order: int = 0) -> np.ndarray:
-    """Hash of every 16-byte gram; ``order`` picks one of several unrelated hashes."""
+def gram_hashes(data: bytes) -> np.ndarray:
+    """Hash of every 16-byte gram."""
     n = len(data) - 7
     words = np.ndarray((n,), dtype="<u8", buffer=data, strides=(1,))
-    a, b = np.uint64(_ODD[order % 4]), np.uint64(_ODD[(order + 1) % 4])
+    a, b = np.uint64(_ODD[0]), np.uint64(_ODD[1])
     h = words[: n - 8] * a
     h ^= h >> np.uint64(32)
     h += words[8:]
@@ -71,14 +76,53 @@ def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
-def segments(data: bytes, length: int = LENGTH, order: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, first strings and numbers of strings of a document's segments. A segment also ends where
-    the gram that gives its key ends to be inside, so no string occurs in it twice."""
-    h = gram_hashes(data, order)
-    keys = sliding_min(h, length - GRAM + 1)
-    gone = h[: len(keys) - 1] == keys[:-1]
-    starts = np.flatnonzero(np.concatenate(([True], gone | (keys[1:] != keys[:-1]))))
-    return keys[starts].view(np.int64), starts, np.diff(np.append(starts, len(keys)))
+def parts(texts: list[bytes], length: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first string, number of strings and key of every part of some texts, none of them shorter
+    than ``length``. No string occurs twice in a part."""
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    h = gram_hashes(b"".join(texts))
+    inside = length - GRAM + 1
+    least = sliding_min(h, inside)
+    places = len(least)
+    # Strings that share an anchor, apart from those across two texts.
+    new = np.ones(places, dtype=bool)
+    new[1:] = (h[: places - 1] == least[:-1]) | (least[1:] != least[:-1])
+    new[begins] = True
+    across = np.zeros(places + 1, dtype=np.int8)
+    across[ends[:-1] - length + 1] += 1
+    across[ends[:-1]] -= 1
+    across = np.cumsum(across[:-1], dtype=np.int8) > 0
+    new[1:] |= across[1:] != across[:-1]
+    starts = np.flatnonzero(new)
+    counts = np.diff(np.append(starts, places))
+    own = ~across[starts]
+    starts, counts = starts[own], counts[own]
+    anchors = np.empty(len(starts), dtype=np.int64)
+    for lo in range(0, len(starts), _ROWS):
+        some = starts[lo : lo + _ROWS]
+        anchors[lo : lo + _ROWS] = some + (h[some[:, None] + np.arange(inside)] == least[some][:, None]).argmax(axis=1)
+    # Offsets of the anchor inside the strings, cut at multiples of the width.
+    far = anchors - starts
+    near = far - counts + 1
+    pieces = far // width - near // width + 1
+    of = np.repeat(np.arange(len(starts)), pieces)
+    turn = near[of] // width + np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    low, high = np.maximum(near[of], turn * width), np.minimum(far[of], turn * width + width - 1)
+    first = anchors[of] - high
+    # Sums of gram hashes times powers, moved back to the start of what the range has in common.
+    up = np.multiply.accumulate(np.full(len(h), _ODD[2], dtype=np.uint64))
+    down = np.multiply.accumulate(np.full(len(h), pow(_ODD[2], -1, 1 << 64), dtype=np.uint64))
+    sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(h * up, dtype=np.uint64)))
+    a = anchors[of] - turn * width
+    b = np.maximum(a, a - width + 1 + inside)
+    key = (sums[b] - sums[a]) * down[a] ^ least[starts[of]] + turn.astype(np.uint64) * np.uint64(_ODD[0])
+    key ^= key >> np.uint64(32)
+    key *= np.uint64(_ODD[1])
+    key ^= key >> np.uint64(29)
+    text = np.searchsorted(ends, first, side="right")
+    return text, first - begins[text], high - low + 1, key.view(np.int64)
 
 
 def _ranked(keys: np.ndarray) -> np.ndarray:
@@ -236,41 +280,62 @@ def _spans(repeated: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.append(0, jump + 1)].tolist(), (starts[np.append(jump, len(starts) - 1)] + length).tolist(), strict=True))
 
 
-def _segment_rows(length: int):
-    """Arrow batches of (tdig, text) to rows of segments: where strings start, packed with their number."""
+def _part_rows(length: int, width: int, keys_only: bool = False):
+    """Arrow batches of (tdig, text) to rows of parts: where strings start, packed with their number."""
+
+    def rows(owners: list[bytes], texts: list[bytes]) -> pa.RecordBatch:
+        text, start, n, key = parts(texts, length, width)
+        if keys_only:
+            return pa.RecordBatch.from_arrays([pa.array(key)], ["key"])
+        digests = [
+            xxhash.xxh3_64_intdigest(texts[t][a:b])
+            for t, a, b in zip(text.tolist(), start.tolist(), (start + n + length - 1).tolist(), strict=True)
+        ]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(key),
+                pa.array(np.array(digests, dtype=np.uint64).view(np.int64)),
+                pa.array(owners, pa.binary()).take(pa.array(text)),
+                pa.array(start << 10 | n),
+                pa.array(np.ones(len(key), dtype=bool)),
+            ],
+            ["key", "sdig", "tdig", "place", "single"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, digests, owners, places = [], [], [], []
+            owners, texts, held = [], [], 0
             for owner, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = text.encode()
-                if len(data) < length:
-                    continue
-                k, starts, sizes = segments(data, length)
-                keys.append(k)
-                places.append(starts << 10 | sizes)
-                digests += [xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(starts.tolist(), (starts + sizes + length - 1).tolist(), strict=True)]
-                owners += [owner] * len(k)
-            if keys:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate(keys)),
-                        pa.array(np.array(digests, dtype=np.uint64).view(np.int64)),
-                        pa.array(owners, pa.binary()),
-                        pa.array(np.concatenate(places).astype(np.int64)),
-                    ],
-                    ["key", "sdig", "tdig", "place"],
-                )
+                if len(data) >= length:
+                    owners.append(owner)
+                    texts.append(data)
+                    held += len(data)
+                if held >= _AT_ONCE:
+                    yield rows(owners, texts)
+                    owners, texts, held = [], [], 0
+            if texts:
+                yield rows(owners, texts)
 
     return run
 
 
-SEGMENT_SCHEMA = "key bigint, sdig bigint, tdig binary, place bigint"
+PART_SCHEMA = "key bigint, sdig bigint, tdig binary, place bigint, single boolean"
 PIECE_SCHEMA = "key bigint, tdig binary, start bigint, n int, single boolean, bytes binary"
 
 
-def _piece_rows(length: int):
-    """(tdig, text, wanted segments) to rows of index pieces; hot ones are split further."""
+def _narrower(piece: bytes, key: int, n: int, width: int, length: int) -> Iterator[tuple[int, int, int]]:
+    """Key, first string and number of strings of the parts, in ranges of ``width``, of a wider part."""
+    anchor = int(gram_hashes(piece)[: length - GRAM + 1].argmin())
+    for turn in range((anchor - n + 1) // width, anchor // width + 1):
+        low, high = max(anchor - n + 1, turn * width), min(anchor, turn * width + width - 1)
+        common = piece[anchor - turn * width : anchor - turn * width - width + 1 + length]
+        mixed = xxhash.xxh3_64_intdigest(common, seed=(key + turn * _ODD[0]) % (1 << 64))
+        yield mixed - (mixed >> 63 << 64), anchor - high, high - low + 1
+
+
+def _narrower_rows(length: int, width: int):
+    """(tdig, text, wanted parts) to rows of their narrower parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,26 +345,38 @@ def _piece_rows(length: int):
                 for w in wanted:
                     start, n = w["place"] >> 10, w["place"] & 1023
                     piece = data[start : start + n + length - 1]
-                    parts = [(w["key"], 0, n)]
-                    for order in range(1, SPLITS + 1) if w["hot"] else ():
-                        parts = [p for k, at, size in parts for p in _split(piece, k, at, size, order, length)]
-                    rows += [(k, owner, start + at, size, w["single"], piece[at : at + size + length - 1]) for k, at, size in parts]
+                    for key, at, size in _narrower(piece, w["key"], n, width, length):
+                        digest = xxhash.xxh3_64_intdigest(piece[at : at + size + length - 1])
+                        rows.append((key, digest - (digest >> 63 << 64), owner, start + at << 10 | size, w["single"]))
             if rows:
-                kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.bool_())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)],
-                    ["key", "tdig", "start", "n", "single", "bytes"],
+                    ["key", "sdig", "tdig", "place", "single"],
                 )
 
     return run
 
 
-def _split(piece: bytes, key: int, at: int, size: int, order: int, length: int):
-    """A segment's strings by another smallest hash; the new key mixes both."""
-    own, starts, sizes = segments(piece[at : at + size + length - 1], length, order)
-    salt = np.uint64(key * _ODD[0] & 0xFFFFFFFFFFFFFFFF)
-    mixed = ((own.view(np.uint64) ^ salt) * np.uint64(_ODD[2])).view(np.int64)
-    return zip(mixed.tolist(), (starts + at).tolist(), sizes.tolist(), strict=True)
+def _piece_rows(length: int):
+    """(tdig, text, wanted parts) to rows of index pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for owner, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                data = text.encode()
+                for w in wanted:
+                    start, n = w["place"] >> 10, w["place"] & 1023
+                    rows.append((w["key"], owner, start, n, w["single"], data[start : start + n + length - 1]))
+            if rows:
+                kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)],
+                    ["key", "tdig", "start", "n", "single", "bytes"],
+                )
+
+    return run
 
 
 def _index_rows(length: int, block_bytes: int):
@@ -357,43 +434,52 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, block_bytes: int = BL
     """``tdig``, ``a``, ``b``: stretches to remove, of the table ``tdig``, ``text`` with a row for each
     document. Stretches of a text may overlap."""
     ship_package(texts.sparkSession)
-    found = texts.mapInArrow(_segment_rows(length), SEGMENT_SCHEMA)
+    width = max(1, length // 2)
     # Only keys that occur twice matter; this keeps the rest out of every later step.
-    shared = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    kept = written(found.join(shared, "key"), "segments")
-    kinds = kept.groupBy("key", "sdig").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tdig", "place")).alias("one"))
-    kinds = written(kinds, "kinds")
-    twice = kinds.where("n > 1").select("key", "sdig")
-    whole = (
-        kept.join(twice, ["key", "sdig"])
-        .select("tdig", "place")
-        .distinct()
-        .select(
-            "tdig",
-            F.shiftright("place", 10).alias("a"),
-            (F.shiftright("place", 10) + F.col("place").bitwiseAND(1023) + (length - 1)).alias("b"),
+    keys = texts.mapInArrow(_part_rows(length, width, keys_only=True), "key bigint")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    rows = written(texts.mapInArrow(_part_rows(length, width), PART_SCHEMA).join(shared, "key"), "parts")
+    one = texts.where(F.octet_length("text") >= length).groupBy("tdig").agg(F.first("text").alias("text"))
+
+    def with_parts(chosen: DataFrame) -> DataFrame:
+        # A text's parts are no longer than a multiple of the text.
+        lists = chosen.groupBy("tdig").agg(F.collect_list(F.struct("key", "place", "single")).alias("wanted"))
+        return one.join(lists, "tdig").select("tdig", "text", "wanted")
+
+    whole, near, used = [], [], []
+    while True:
+        kinds = written(
+            rows.groupBy("key", "sdig")
+            .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tdig", "place", "single")).alias("one"))
+            .select("key", "sdig", "n", "one.tdig", "one.place", (F.col("one.single") & (F.col("n") == 1)).alias("single")),
+            "kinds",
         )
-    )
-    # Where every segment has its double there is nothing left to find.
-    several = (
-        kinds.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("n") == 1).alias("singles"))
-        .where("kinds > 1 and singles > 0")
-    )
-    wanted = (
-        kinds.join(several, "key")
-        .select(
-            F.col("one.tdig").alias("tdig"),
-            F.struct("key", F.col("one.place").alias("place"), (F.col("n") == 1).alias("single"), (F.col("kinds") > HOT_SEGMENTS).alias("hot")).alias("w"),
+        twice = kinds.where("n > 1").select("key", "sdig")
+        whole.append(rows.where("single").join(twice, ["key", "sdig"]).select("tdig", "place").distinct())
+        # Where every part has its double there is nothing left to find.
+        several = (
+            kinds.groupBy("key")
+            .agg(F.count(F.lit(1)).alias("kinds"), F.count_if("single").alias("singles"))
+            .where("kinds > 1 and singles > 0")
+            .select("key", ((F.col("kinds") > HOT_SEGMENTS) & F.lit(width > 1)).alias("hot"))
         )
-        .groupBy("tdig")
-        .agg(F.collect_list("w").alias("wanted"))  # one text's segments, so no longer than the text
+        chosen = written(kinds.join(several, "key").select("key", "tdig", "place", "single", "hot"), "chosen")
+        used += [rows, kinds, chosen]
+        near.append(chosen.where("not hot"))
+        if chosen.where("hot").isEmpty():
+            break
+        width //= 2
+        rows = written(with_parts(chosen.where("hot")).mapInArrow(_narrower_rows(length, width), PART_SCHEMA), "parts")
+    pieces = with_parts(reduce(DataFrame.unionByName, near)).mapInArrow(_piece_rows(length), PIECE_SCHEMA)
+    tasks = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    indexed = pieces.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(_index_rows(length, block_bytes), "tdig binary, a bigint, b bigint")
+    first = F.shiftright("place", 10)
+    doubled = reduce(DataFrame.unionByName, whole).select(
+        "tdig", first.alias("a"), (first + F.col("place").bitwiseAND(1023) + (length - 1)).alias("b")
     )
-    one = texts.where(F.octet_length("text") >= length).groupBy("tdig").agg(F.first("text").alias("text"))
-    pieces = one.join(wanted, "tdig").select("tdig", "text", "wanted").mapInArrow(_piece_rows(length), PIECE_SCHEMA)
-    parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    near = pieces.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_index_rows(length, block_bytes), "tdig binary, a bigint, b bigint")
-    return whole.unionByName(near)
+    spans = written(doubled.unionByName(indexed), "spans")
+    dropped(*used)
+    return spans
 
 
 def _cut(text, spans):

@@ -170,6 +170,41 @@ def test_repeats_in_odd_rows(odd, nothing, clashing, same_with_extra_columns):
     assert same_with_extra_columns(runindex.remove_repeats, odd, clashing)
 
 
+@pytest.mark.parametrize("length", [40, 400])
+def test_equal_strings_and_only_strings_of_one_anchor_share_a_part(length):
+    rows = [t.encode() for _, t in repeat_rows() if t and len(t.encode()) >= length]
+    for width in (length, length // 2, 7, 1):
+        text, start, n, key = runindex.parts(rows, length, width)
+        keys, found = {}, 0
+        for t, a, m, k in zip(text.tolist(), start.tolist(), n.tolist(), key.tolist(), strict=True):
+            inside = [rows[t][p : p + length] for p in range(a, a + m)]
+            assert m <= width and len({*inside}) == m
+            found += m
+            for x in inside:
+                assert keys.setdefault(x, k) == k
+        assert found == sum(len(r) - length + 1 for r in rows)
+    # At a width of 1 a key has one string.
+    assert len({*keys.values()}) == len(keys)
+
+
+def test_parts_of_hot_keys_become_narrower():
+    rng = random.Random(5)
+    middle = bytes(rng.choice(b"abcd") for _ in range(420))
+    rows = [bytes(rng.choice(b"abcd") for _ in range(300)) + middle + bytes(rng.choice(b"abcd") for _ in range(300)) for _ in range(40)]
+    text, start, n, key = runindex.parts(rows, 400, 200)
+    keys = {}
+    for t, a, m, k in zip(text.tolist(), start.tolist(), n.tolist(), key.tolist(), strict=True):
+        level = [(k, a, m)]
+        for width in (100, 50, 25, 12, 6, 3, 1):
+            level = [
+                (k2, a + at, size) for k, a, m in level for k2, at, size in runindex._narrower(rows[t][a : a + m + 399], k, m, width, 400)
+            ]
+        assert sorted(p for _, p, _ in level) == list(range(a, a + m))
+        for k, a, m in level:
+            assert m == 1 and keys.setdefault(rows[t][a : a + 400], k) == k
+    assert len({*keys.values()}) == len(keys) == len({r[p : p + 400] for r in rows for p in range(len(r) - 399)})
+
+
 def test_run_index_matching_statistics():
     rng = random.Random(9)
     for _ in range(60):
