@@ -7,21 +7,25 @@ leap a whole window. Where the shift is 0, the block's bucket holds the patterns
 those whose first block agrees too are compared word by word. Patterns of another length have
 tables of their own.
 
-The benchmark is sent to the tasks in blocks of bounded size, whose number follows from its size;
-every document passes through all of them, and the spans they mark are united at the end. Null
-and empty texts have no words, and an item without words marks nothing. Items that share an id
-count once; a null id counts as the empty string.
+The benchmark is sent to the tasks in blocks of bounded size, whose number follows from its size, one
+after the other; every document passes through all of them, and the spans they mark are united at the
+end, by a digest of the text. Null and empty texts have no words, and an item without words marks
+nothing. Items that share an id count once; a null id counts as the empty string. Repeated rows get equal
+results; an empty table gives no rows, an empty benchmark no hits. Extra columns are left as they are.
 """
 
 from __future__ import annotations
 
 import math
 from collections import defaultdict
+from functools import reduce
+from itertools import chain
 
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, fresh, per_text, words_of
+from .common import col, fresh, per_text, text_digest, words_of, written
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -112,28 +116,48 @@ def _blocks(benchmark: DataFrame, block_bytes: int):
         yield [tuple(r) for r in items.where(part == k).collect()]
 
 
-def _search(df: DataFrame, items: list[tuple], text: str) -> Column:
+def _search(df: DataFrame, items: list[tuple], text: str) -> tuple[Column, Broadcast]:
     sent = df.sparkSession.sparkContext.broadcast(items)
-    return per_text(lambda: Matcher(sent.value).find, "struct<n_words: bigint, spans: array<int>, items: array<string>>")(
-        col(text)
-    )
+    found = per_text(lambda: Matcher(sent.value).find, "struct<n_words: bigint, spans: array<int>, items: array<string>>")
+    return found(col(text)), sent
 
 
 def with_hits(df: DataFrame, benchmark: DataFrame, out: str, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``df`` with a struct column ``out``: n_words, spans (flat, in words), items found."""
+    """``df`` with a struct column ``out``: n_words, spans (flat, in words), items found.
+
+    A benchmark of one block is searched as the rows pass by. Of several blocks a task holds one at a time:
+    what a block finds is written, without the texts, before the next one is sent."""
+    blocks = _blocks(benchmark, block_bytes)
+    first = next(blocks)
+    second = next(blocks, None)
+    if second is None:
+        return df.withColumn(out, _search(df, first, text)[0])
+    key, spans, items, words = fresh(df, "key", "spans", "items", "words")
     parts = []
-    for items in _blocks(benchmark, block_bytes):
-        name = fresh(df, "block")[0]
-        df = df.withColumn(name, _search(df, items, text))
-        parts.append(name)
-    return df.withColumn(
-        out,
-        F.struct(
-            col(parts[0])["n_words"].alias("n_words"),
-            F.concat(*[col(p)["spans"] for p in parts]).alias("spans"),
-            F.array_distinct(F.concat(*[col(p)["items"] for p in parts])).alias("items"),
-        ),
-    ).drop(*parts)
+    for block in chain((first, second), blocks):
+        hits, sent = _search(df, block, text)
+        found = df.select(text_digest(col(text)).alias(key), hits.alias("r")).where(F.size("r.spans") > 0)
+        # Equal texts have equal hits.
+        parts.append(written(found.groupBy(key).agg(F.first("r.spans").alias(spans), F.first("r.items").alias(items)), "hits"))
+        sent.unpersist()
+    united = reduce(DataFrame.unionByName, parts).groupBy(key).agg(
+        F.flatten(F.collect_list(spans)).alias(spans), F.array_distinct(F.flatten(F.collect_list(items))).alias(items)
+    )
+    count = per_text(lambda: lambda t: (len(words_of(t)),), "struct<n: bigint>")
+    return (
+        df.withColumn(key, text_digest(col(text)))
+        .withColumn(words, count(col(text))["n"])
+        .join(united, key, "left")
+        .withColumn(
+            out,
+            F.struct(
+                col(words).alias("n_words"),
+                F.coalesce(col(spans), F.array().cast("array<int>")).alias("spans"),
+                F.coalesce(col(items), F.array().cast("array<string>")).alias("items"),
+            ),
+        )
+        .drop(key, spans, items, words)
+    )
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
