@@ -437,7 +437,8 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, block_bytes: int = BL
     width = max(1, length // 2)
     # Only keys that occur twice matter; this keeps the rest out of every later step.
     keys = texts.mapInArrow(_part_rows(length, width, keys_only=True), "key bigint")
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    # Written, so that joins have both sides fresh from a shuffle and hot keys can be cut there.
+    shared = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared")
     rows = written(texts.mapInArrow(_part_rows(length, width), PART_SCHEMA).join(shared, "key"), "parts")
     one = texts.where(F.octet_length("text") >= length).groupBy("tdig").agg(F.first("text").alias("text"))
 
@@ -446,7 +447,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, block_bytes: int = BL
         lists = chosen.groupBy("tdig").agg(F.collect_list(F.struct("key", "place", "single")).alias("wanted"))
         return one.join(lists, "tdig").select("tdig", "text", "wanted")
 
-    whole, near, used = [], [], []
+    whole, near, used = [], [], [shared]
     while True:
         kinds = written(
             rows.groupBy("key", "sdig")
@@ -457,14 +458,15 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, block_bytes: int = BL
         twice = kinds.where("n > 1").select("key", "sdig")
         whole.append(rows.where("single").join(twice, ["key", "sdig"]).select("tdig", "place").distinct())
         # Where every part has its double there is nothing left to find.
-        several = (
+        several = written(
             kinds.groupBy("key")
             .agg(F.count(F.lit(1)).alias("kinds"), F.count_if("single").alias("singles"))
             .where("kinds > 1 and singles > 0")
-            .select("key", ((F.col("kinds") > HOT_SEGMENTS) & F.lit(width > 1)).alias("hot"))
+            .select("key", ((F.col("kinds") > HOT_SEGMENTS) & F.lit(width > 1)).alias("hot")),
+            "several",
         )
         chosen = written(kinds.join(several, "key").select("key", "tdig", "place", "single", "hot"), "chosen")
-        used += [rows, kinds, chosen]
+        used += [rows, kinds, several, chosen]
         near.append(chosen.where("not hot"))
         if chosen.where("hot").isEmpty():
             break
