@@ -17,9 +17,9 @@ PAIR = ["userid", "course_id"]
 MAX_GAP = 1800
 
 
-def events(t: LmsTables, s: Settings, since: str | None = None, until: str | None = None) -> DataFrame:
+def events(t: LmsTables, s: Settings, since: str | None = None, until: str | None = None, *more: str) -> DataFrame:
     return access.of_course_users(access.log_between(t, since, until, s.report_tz)).select(
-        "id", *PAIR, "contextlevel", "contextinstanceid", "timecreated", "action"
+        "id", *PAIR, "contextlevel", "contextinstanceid", "timecreated", *more
     )
 
 
@@ -131,7 +131,7 @@ def per_instance(
     views: bool = False,
 ) -> DataFrame:
     """Seconds per user, course and context instance; with ``views`` also distinct view times, from the same pass."""
-    rows = events(t, s, since, until)
+    rows = events(t, s, since, until, *(["action"] if views else []))
     if only is not None:
         rows = join_hot(rows, only.select(*PAIR), "left_semi")
     viewed = F.col("action") == "viewed" if views else None
