@@ -143,3 +143,73 @@ def test_a_batch_that_runs_again_changes_nothing(spark, settings):
 def test_the_delay_covers_an_hour(spark):
     with pytest.raises(ValueError):
         eventtime.Arrivals(spark, "/nowhere", timedelta(minutes=5).seconds)
+
+
+class _State:
+    """A list state that counts what is asked of it."""
+
+    def __init__(self, calls):
+        self.rows, self.calls = [], calls
+
+    def get(self):
+        self.calls.append("get")
+        return iter(self.rows)
+
+    def appendValue(self, row):
+        self.calls.append("append")
+        self.rows = [*self.rows, row]
+
+    def put(self, rows):
+        self.calls.append("put")
+        self.rows = list(rows)
+
+    def clear(self):
+        self.calls.append("clear")
+        self.rows = []
+
+
+class _Handle:
+    def __init__(self):
+        self.calls, self.timers, self.states = [], set(), {}
+
+    def getListState(self, name, schema):
+        return self.states.setdefault(name, _State(self.calls))
+
+    def registerTimer(self, when):
+        self.calls.append("timer")
+        self.timers.add(when)
+
+
+def test_calls_to_the_state_store_do_not_grow_with_pairs():
+    import pandas as pd
+
+    class Clock:
+        def __init__(self, passed):
+            self.getCurrentWatermarkInMs = lambda: passed
+
+    def run(pairs):
+        rng = random.Random(7)
+        rows = [(n, rng.randrange(pairs), 2, rng.choice([None, 9]), rng.randrange(3 * DAY)) for n in range(4 * pairs)]
+        frame = pd.DataFrame(rows, columns=["id", "userid", "courseid", "contextinstanceid", "timecreated"])
+        frame["at"] = pd.to_datetime(frame["timecreated"], unit="s")
+        handle, found = _Handle(), {}
+        for part, passed in ((frame[frame["timecreated"] < 2 * DAY], DAY + DAY // 2), (frame[frame["timecreated"] >= 2 * DAY], 5 * DAY)):
+            machine = eventtime.GapMachine()  # a new one for each micro-batch, as in a task
+            machine.init(handle)
+            assert not list(machine.handleInputRows((0,), iter([part]), Clock(0)))
+            for _ in sorted(t for t in handle.timers if t <= passed * 1000):
+                for out in machine.handleExpiredTimer((0,), Clock(passed * 1000), None):
+                    for r in out.itertuples():
+                        key = (str(r.fecha), r.userid, None if pd.isna(r.modulo) else r.modulo)
+                        found[key] = found.get(key, 0) + r.segundos
+        want = {}
+        rows.sort(key=lambda r: (r[1], r[4], r[0]))
+        for r, then in zip(rows, [*rows[1:], None]):
+            same = then is not None and then[1] == r[1] and then[4] // DAY == r[4] // DAY
+            key = (f"1970-01-0{1 + r[4] // DAY}", r[1], r[3])
+            want[key] = want.get(key, 0) + (min(1800, then[4] - r[4]) if same else 0)
+        assert found == want
+        assert not any(s.rows for s in handle.states.values())
+        return len(handle.calls)
+
+    assert run(2000) == run(20) < 40
