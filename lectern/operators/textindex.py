@@ -9,6 +9,8 @@ so nothing is lost. Values without three letters in a row between wildcards are
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ GRAM = 3
 # Triples of a value that are intersected, rarest first; the exact test does the rest.
 ASKED = 8
 ROW_GROUP_BYTES = 8 << 20
+# Parts that the ids of one triple are cut into.
+CUTS = 64
 
 
 def triples(text: Column) -> Column:
@@ -28,6 +32,12 @@ def triples(text: Column) -> Column:
     return F.when(F.length(low) >= GRAM, found).otherwise(F.array().cast("array<string>"))
 
 
+def _place(gram: str) -> Column:
+    """The letters of a triple as one number, in the order of the triples (21 bits hold any letter)."""
+    at = [F.ascii(F.substr(F.col(gram), F.lit(k), F.lit(1))).cast("bigint") for k in range(1, GRAM + 1)]
+    return reduce(lambda number, letter: F.shiftleft(number, 21) + letter, at)
+
+
 def literal_pieces(value: str, raw: bool) -> list[str]:
     """The parts of a value that a match holds letter by letter: all of it, or what lies between wildcards."""
     pieces, escaped = [""], False
@@ -53,12 +63,22 @@ class TextIndex:
     @classmethod
     def build(cls, df: DataFrame, key: str, texts: dict[str, Column], root: str) -> "TextIndex":
         """Index the columns ``texts`` of ``df`` by their names; ``key`` is the column of ids."""
-        each = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), triples(c).alias("grams")) for n, c in texts.items()]))
-        rows = df.select(F.col(key).alias("id"), each.alias("t")).select("t.field", F.explode("t.grams").alias("gram"), "id")
-        # A triple of many ids is spread over many tasks and files: ids are part of the order.
-        rows.repartitionByRange("field", "gram", "id").sortWithinPartitions("field", "gram", "id").write.option(
-            "parquet.block.size", str(ROW_GROUP_BYTES)
-        ).option("parquet.bloom.filter.enabled#gram", "true").parquet(f"{root}/ids")
+        named = {f"text{k}": c for k, c in enumerate(texts.values())}
+        # A table of ids and names is small beside its triples: dealt out, it fills all tasks, however few files it has.
+        spread = df.select(F.col(key).alias("id"), *[F.lower(c).alias(n) for n, c in named.items()]).repartition("id")
+        each = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(c).alias("low")) for n, c in zip(texts, named, strict=True)]))
+        low = spread.select("id", each.alias("t")).select("id", "t.field", "t.low").filter(F.length("low") >= GRAM)
+        # A row a place, and of a triple that a text has more than once its first place.
+        places = low.select("*", F.explode(F.sequence(F.lit(1), F.length("low") - (GRAM - 1))).alias("at"))
+        rows = places.withColumn("gram", F.substr("low", "at", F.lit(GRAM))).filter(F.instr(F.col("low"), F.col("gram")) == F.col("at"))
+        # Dealt out by hash: range partitions would need all triples made once more, to sample them. A triple of
+        # many ids is cut by hash of the id, so it is spread over many tasks and files. One number, in the
+        # order of the triples, is sorted much faster than texts.
+        cut = F.pmod(F.xxhash64("id"), F.lit(CUTS))
+        dealt = rows.select("field", "gram", "id").repartition("gram", "field", cut)
+        dealt.sortWithinPartitions(_place("gram")).write.option("parquet.block.size", str(ROW_GROUP_BYTES)).option(
+            "parquet.bloom.filter.enabled#gram", "true"
+        ).parquet(f"{root}/ids")
         index = cls(df.sparkSession, root)
         counts = index._read("ids").groupBy("field", "gram").agg(F.count("*").alias("n"))
         counts.repartitionByRange("field", "gram").sortWithinPartitions("field", "gram").write.parquet(f"{root}/counts")

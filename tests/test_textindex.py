@@ -76,3 +76,22 @@ def test_tables_without_rows(spark, columns):
     df = spark.createDataFrame([], "id bigint, name string, code string")
     index = TextIndex.build(df, "id", columns, scratch_path(spark, "index"))
     assert index.contains(df, "id", columns, "abcd").collect() == []
+
+
+def test_texts_are_read_once_and_give_each_triple_once(spark, columns):
+    rows = [(i, f"Name#{i:09d} of a person", f"{i:08d}cc") for i in range(3000)] + [(3000, "ananan", None)]
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for one in frames:
+            reads.add(len(one))
+            yield one
+
+    df = spark.createDataFrame(rows, "id bigint, name string, code string").coalesce(1)
+    root = scratch_path(spark, "index")
+    TextIndex.build(df.mapInPandas(counted, df.schema), "id", columns, root)
+    assert reads.value == len(rows)
+    found = sorted((r.field, r.gram) for r in spark.read.parquet(f"{root}/ids").filter("id = 3000").collect())
+    assert found == [("name", "ana"), ("name", "nan")]
+    sizes = {r.gram: r.n for r in spark.read.parquet(f"{root}/counts").filter("field = 'name'").collect()}
+    assert sizes["ame"] == 3000 and sizes["nan"] == 1
