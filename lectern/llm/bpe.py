@@ -15,6 +15,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import struct
 import unicodedata
 from array import array
 
@@ -68,13 +69,18 @@ class WordBpe:
         self.inner = [self.vocab[x] for x in letters]
         self.final = [self.vocab[x + self.suffix] for x in letters]
         pattern = next(p["pattern"]["Regex"] for p in data["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(pattern.replace(r"\s", SPACES))
+        pattern = pattern.replace(r"\s", SPACES)
+        self.words = regex.compile(pattern)
+        # The same words of ASCII text, which needs no Unicode classes.
+        plain = pattern.replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9")
+        self.ascii_words = self.words if r"\p" in plain.lower() else re.compile(plain)
         # Letters from here on differ between Unicode versions; their classes are the library's.
         self.library = Tokenizer.from_str(spec)
         self.letters = {x: b for b, x in enumerate(letters)}
         self.specials = re.compile("|".join(map(re.escape, self.special)) or r"(?!)")
-        self.cache: dict[str, tuple[bytes, str]] = {}
-        self.known: dict[bytes, tuple[bytes, str]] = {}
+        # Chunks and words, each in two generations.
+        self.cache: tuple[dict[str, tuple[bytes, str]], ...] = {}, {}
+        self.known: tuple[dict[bytes, tuple[bytes, str]], ...] = {}, {}
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of one word given as its UTF-8 bytes."""
@@ -101,6 +107,8 @@ class WordBpe:
 
     def _words(self, chunk: str) -> list[bytes]:
         """Normalised words of a chunk, as the merges see them."""
+        if chunk.isascii():
+            return [w.encode() for w in self.ascii_words.findall(chunk.lower())]
         if max(chunk) < OLD_LETTERS:
             # Lower case letter by letter: no letter depends on its place in the word.
             low = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
@@ -109,18 +117,23 @@ class WordBpe:
         return [bytes([self.letters[x] for x in w]) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(low)]
 
     def _chunk(self, chunk: str) -> tuple[bytes, str]:
-        get, own = self.known.get, self._word
+        if out := self.cache[1].get(chunk):
+            return _keep(self.cache, chunk, out)
+        get, own = self.known[0].get, self._word
         parts = [get(w) or own(w) for w in self._words(chunk)]
         out = parts[0] if len(parts) == 1 else (b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts]))
         return _keep(self.cache, chunk, out)
 
     def _word(self, word: bytes) -> tuple[bytes, str]:
-        ids = self.merge(word)
-        return _keep(self.known, word, (_pack(ids), self.join(ids)))
+        out = self.known[1].get(word)
+        if not out:
+            ids = self.merge(word)
+            out = _pack(ids), self.join(ids)
+        return _keep(self.known, word, out)
 
     def _plain(self, text: str) -> list[tuple[bytes, str]]:
         chunks = _CHUNKS.findall(text) if _CONTROLS.search(text) else text.split()
-        get, own = self.cache.get, self._chunk
+        get, own = self.cache[0].get, self._chunk
         return [get(c) or own(c) for c in chunks]
 
     def pieces(self, text: str | None) -> list[tuple[bytes, str]]:
@@ -150,17 +163,21 @@ class WordBpe:
         return len(ids) // 4, sha256_hex(ids), sha256_hex(" ".join([p[1] for p in parts]).encode())
 
 
-def _keep(cache: dict, key, value):
-    """Remember a short key; a full cache starts anew, so memory has a bound."""
+def _keep(cache: tuple[dict, dict], key, value):
+    """Remember a short key. Half of the bound is for the newest keys; once that is full it becomes the
+    older half, from which keys in use come back."""
     if len(key) <= CACHED_LENGTH:
-        if len(cache) >= CACHED:
-            cache.clear()
-        cache[key] = value
+        young, old = cache
+        if len(young) >= max(1, CACHED // 2):
+            old.clear()
+            old.update(young)
+            young.clear()
+        young[key] = value
     return value
 
 
 def _pack(ids: list[int]) -> bytes:
-    return b"".join([i.to_bytes(4, "little") for i in ids])
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 _LOADED: dict[int, WordBpe] = {}

@@ -63,6 +63,17 @@ def test_long_word_and_full_cache(library, encoder, monkeypatch):
     assert encoder.encode(s) == library.encode(s, add_special_tokens=False).ids
 
 
+def test_words_in_use_outlive_a_full_cache(monkeypatch):
+    with open(PATH, encoding="utf-8") as f:
+        encoder = bpe.WordBpe(f.read())
+    monkeypatch.setattr(bpe, "CACHED", 8)
+    merged, merge = collections.Counter(), encoder.merge
+    monkeypatch.setattr(encoder, "merge", lambda word: merged.update([word]) or merge(word))
+    encoder.digests(" ".join(f"often rare{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}" for i in range(100)))
+    assert merged[b"often"] == 1 and len(merged) == 101
+    assert len(encoder.known[0]) + len(encoder.known[1]) <= 8
+
+
 def expected_tokens(library, text):
     ids = library.encode(text or "", add_special_tokens=False).ids
     packed = b"".join(i.to_bytes(4, "little") for i in ids)
