@@ -43,12 +43,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, dropped, fresh, per_row, per_text, text_digest, words_of, written
+from .common import bounded, col, dropped, fresh, per_row, per_text, text_digest, words_of, written
 
 SHINGLE = 5
 SKETCHES = 20
 SIMILARITY = 0.8
 COUNTERS = 1 << 18  # of shingle hashes, for their order
+LABEL_BYTES = 64  # of a unit and its label
 _ROWS = 4096
 _WIDE = 100  # edits from which on diagonals are followed as arrays
 
@@ -204,18 +205,16 @@ def components(links: DataFrame) -> DataFrame:
     """``cid``, ``label`` for every end of a link: the smallest ``cid`` its links lead to.
 
     Labels move along links and along labels, so paths halve from round to round; every round is
-    written to the shared folder."""
+    written to the shared folder. Labels of few units are broadcast, so a round shuffles once."""
     both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     labels = written(both.groupBy(F.col("a").alias("cid")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
-        near = (
-            both.join(labels.withColumnRenamed("cid", "b"), "b").groupBy(F.col("a").alias("cid")).agg(F.min("label").alias("near"))
-        )
-        moved = labels.join(near, "cid").select("cid", "label", F.least("label", "near").alias("next"))
-        on = labels.select(F.col("cid").alias("next"), F.col("label").alias("far"))
-        moved = moved.join(on, "next", "left").select(
-            "cid", F.coalesce(F.least("far", "next"), "next").alias("label"), F.col("label").alias("old")
-        )
+        held = bounded(labels, LABEL_BYTES)
+        near = both.join(held.withColumnRenamed("cid", "b"), "b").select(F.col("a").alias("cid"), "label")
+        own = labels.select("cid", "label", F.col("label").alias("old"))
+        moved = near.unionByName(own, allowMissingColumns=True).groupBy("cid").agg(F.min("label").alias("next"), F.max("old").alias("old"))
+        on = held.select(F.col("cid").alias("next"), F.col("label").alias("far"))
+        moved = moved.join(on, "next", "left").select("cid", F.coalesce(F.least("far", "next"), "next").alias("label"), "old")
         after = written(moved, "labels")
         dropped(labels)
         labels = after.select("cid", "label")
@@ -285,7 +284,7 @@ def _prefixes(sent):
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """``rows`` with the ``label`` of their component; a unit without a link is one by itself."""
-    return rows.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    return rows.join(bounded(labels, LABEL_BYTES), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
 
 
 def _open_groups(sketched: DataFrame, buckets: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
@@ -334,16 +333,24 @@ def _settled(groups: DataFrame, links: DataFrame, labels: DataFrame, texts: Data
         more = written(_verified(pairs, texts), "links")
         if not more.isEmpty():
             links = links.union(more)
-            labels = _relabelled(labels, links)
+            labels = _relabelled(labels, more)
         groups = written(rows.where("not leads").select("key", "cid", "h", "n_words"), "groups")
         dropped(rows)
         turn += 1
 
 
 def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Components of all links, in place of earlier ones."""
-    after = components(links)
-    dropped(labels)
+    """Components once further links have come in: those links tie earlier components, and units that had no
+    link, to each other. What takes several rounds is as large as the new links only."""
+    held = bounded(labels, LABEL_BYTES)
+    name = lambda end: held.select(F.col("cid").alias(end), F.col("label").alias(f"label_{end}"))
+    ties = links.join(name("a"), "a", "left").join(name("b"), "b", "left")
+    moved = components(ties.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).where("a != b"))
+    # A label is the smallest unit of its component, so every label has a row in ``labels`` itself.
+    further = bounded(moved, LABEL_BYTES).select(F.col("cid").alias("label"), F.col("label").alias("further"))
+    kept = labels.join(further, "label", "left").select("cid", F.coalesce("further", "label").alias("label"))
+    after = written(kept.unionByName(moved.join(held, "cid", "left_anti")), "labels")
+    dropped(labels, moved)
     return after
 
 
@@ -385,7 +392,8 @@ def classes(df: DataFrame) -> DataFrame:
 
     links = written(_verified(pairs.where("now").select("a", "b"), texts), "links")
     labels = components(links)
-    name = lambda end: labels.select(F.col("cid").alias(end), F.col("label").alias(f"label_{end}"))
+    held = bounded(labels, LABEL_BYTES)
+    name = lambda end: held.select(F.col("cid").alias(end), F.col("label").alias(f"label_{end}"))
     rest = (
         pairs.where("not now")
         .join(name("a"), "a", "left")
@@ -397,7 +405,7 @@ def classes(df: DataFrame) -> DataFrame:
     dropped(pairs)
     if not more.isEmpty():
         links = links.union(more)
-        labels = _relabelled(labels, links)
+        labels = _relabelled(labels, more)
     links, labels = _settled(_open_groups(sketched, buckets, labels, texts), links, labels, texts)
     ends = links.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count(F.lit(1)).alias("n_links"))
     found = written(labels.join(ends, "cid"), "classes")

@@ -1,14 +1,16 @@
 """Operators that learn or estimate: pairs, languages, toxicity, selection."""
 
 import collections
+import glob
 import hashlib
 import math
 import random
+import time
 
 import numpy as np
 import pytest
 
-from lectern.llm import language, order_minhash, resampling, toxicity
+from lectern.llm import common, language, order_minhash, resampling, toxicity
 from lectern.llm.common import words_of
 
 SF = "/root/testdata/sf0.01"
@@ -164,6 +166,36 @@ def test_every_pair_of_a_bucket_is_compared(spark, monkeypatch):
         assert classes_of(df) == brute_components(texts)
 
 
+@pytest.mark.parametrize("label_bytes", [64, 1 << 40])
+def test_later_links_tie_earlier_components(spark, monkeypatch, label_bytes):
+    """Only the new links come in; a label is the smallest member whether labels are broadcast or shuffled."""
+    monkeypatch.setattr(order_minhash, "LABEL_BYTES", label_bytes)
+    rng = random.Random(9)
+    sets = [{(x, y) for x, y in (rng.sample(range(120), 2) for _ in range(n))} for n in (50, 25)]
+    frames = [spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in x], "a binary, b binary") for x in sets]
+    found = order_minhash._relabelled(order_minhash.components(frames[0]), frames[1])
+    want = {x: x for pair in sets[0] | sets[1] for x in pair}
+    for _ in range(120):
+        for a, b in sets[0] | sets[1]:
+            want[a] = want[b] = min(want[a], want[b])
+    assert sorted((r.cid[0], r.label[0]) for r in found.collect()) == sorted(want.items())
+
+
+def test_shuffle_files_of_written_tables_go(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    folders = [d.getPath() for d in manager.localDirs()]
+    files = lambda: {f for d in folders for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    before, key = files(), spark.conf.get(common.SHUFFLES_GO, None)
+    table = common.written(spark.range(1000).repartition(3, "id"), "go")
+    assert spark.conf.get(common.SHUFFLES_GO, None) == key
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.2)
+    assert files() <= before
+    assert table.count() == 1000
+
+
 def test_odd_rows_of_dedup(spark, odd, nothing, clashing):
     rows = order_minhash.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
