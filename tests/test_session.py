@@ -1,7 +1,8 @@
 """Bounds on what one task holds."""
 
 from checks import joins
-from lectern.session import TASK_BYTES, prepare, size_of
+from lectern.session import SHARE_BYTES, START, TASK_BYTES, prepare, size_of, widen
+from lectern.sources import LmsTables
 from tests.lms import event, tables
 
 
@@ -36,3 +37,41 @@ def test_modules_without_events_do_not_meet_in_one_task(spark):
     text = found._jdf.queryExecution().optimizedPlan().toString()
     # Users are looked up below the join with modules, and that is no outer join, which could not split hot modules.
     assert not [x for x in text.splitlines() if "Join LeftOuter" in x and "module_id" in x]
+
+
+def test_shuffles_start_with_partitions_for_what_is_read(spark, tmp_path, monkeypatch):
+    """A user's rows are dealt over more partitions than the session has, in step with the tables read, and
+    each table counts once."""
+    other = spark.newSession()
+    other.conf.set("spark.sql.shuffle.partitions", "3")
+    ids = other.range(5000).selectExpr("id", "id as course")
+    for name in ("mdl_quiz", "mdl_chat"):
+        ids.coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    size = sum(f.stat().st_size for f in (tmp_path / "mdl_quiz").glob("*.parquet"))
+    monkeypatch.setattr("lectern.session.SHARE_BYTES", size // 20)
+
+    def dealt(df):
+        return df.groupBy("course").count()._jdf.queryExecution().executedPlan().toString().split("hashpartitioning(")[1].split(")")[0]
+
+    found = LmsTables.from_parquet(other, str(tmp_path))
+    for turn in range(2):
+        assert dealt(found.quiz).endswith(f", {other.conf.get(START)}")
+        assert 20 <= int(other.conf.get(START)) <= 22
+        LmsTables.from_parquet(other, str(tmp_path)).quiz
+    found.chat
+    assert 40 <= int(other.conf.get(START)) <= 43
+    assert sorted(r["count"] for r in found.quiz.groupBy("course").count().collect()) == [1] * 5000
+
+
+def test_more_partitions_of_the_session_stay(spark):
+    other = spark.newSession()
+    other.conf.set("spark.sql.shuffle.partitions", "50")
+    widen(other, 7 * SHARE_BYTES)
+    assert other.conf.get(START, None) is None
+    widen(other, 60 * SHARE_BYTES + 1)
+    assert other.conf.get(START) == "61"
+    widen(other, 7 * SHARE_BYTES)
+    assert other.conf.get(START) == "61"
+    other.conf.set("spark.sql.shuffle.partitions", "80")
+    widen(other, 7 * SHARE_BYTES)
+    assert other.conf.get(START) == "80"
