@@ -75,3 +75,11 @@ def test_more_partitions_of_the_session_stay(spark):
     other.conf.set("spark.sql.shuffle.partitions", "80")
     widen(other, 7 * SHARE_BYTES)
     assert other.conf.get(START) == "80"
+
+
+def test_partitions_that_skew_splitting_leaves_whole_are_small(spark):
+    """A hot key below the threshold is sorted by one task, so the threshold is no more than twice what a task reads."""
+    other = spark.newSession()
+    prepare(other)
+    most = size_of(other.conf.get("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes"))
+    assert most <= 2 * size_of(other.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes"))
