@@ -5,10 +5,11 @@ merged, never in tables that are probed.
 
 1. Tasks turn documents into runs: for every word its first two followers within the piece, counted
    over some millions of words and sorted.
-2. The runs are merged in prefix order (range partitions, sorted). One pass adds up neighbours: a run
-   of equal first words is that word's count, of equal first two words that pair's, and so on. A family
-   that touches an edge of its partition is emitted as a part and added up with the parts of the
-   neighbouring partitions; of the others only counts that reach the minimum go on, since no part of a
+2. The runs travel packed, in blocks of many keys. Sampled keys cut all of them into parts of some
+   hundred thousand keys, and a task merges one part at a time in prefix order. One pass adds up neighbours: a
+   run of equal first words is that word's count, of equal first two words that pair's, and so on. A family
+   that touches an edge of its part is emitted as a part and added up with those of the
+   neighbouring parts; of the others only counts that reach the minimum go on, since no part of a
    candidate is rarer than the candidate.
 3. Words, pairs and triples, in prefix order, go through one lockstep pass: it holds the word and the
    pair that a triple begins with, so it reads off the left counts, and gives each pair the count of its
@@ -25,6 +26,7 @@ pieces, so memory follows the longest piece. Scores use Python's integers, witho
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from urllib.parse import quote, unquote
 
 import numpy as np
@@ -44,7 +46,10 @@ HELD_WORDS = 3_000_000
 HELD_VOCABULARY = 1_500_000
 WIDEST_VOCABULARY = 2_000_000  # its cube is under 2**63
 SPREAD = 8
+PART_KEYS = 250_000  # keys that a task merges at a time, about
+MARKS = 20  # sampled keys for each part
 _SLICE = 50_000
+_BLOCK_BYTES = 1 << 16  # small beside the pages of a Parquet file, which hold 100 rows at least
 _TEXT_BLOCK = 1 << 22
 
 # Separators of pieces; the comma stands for all of them.
@@ -123,75 +128,136 @@ class _Runs:
         self.clear()
 
 
-def _sorted_runs(batches):
-    runs = _Runs()
-    for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for block in _blocks(text.translate(_TABLE), _TEXT_BLOCK):
-                runs.add(lang, block)
-                if runs.full():
-                    yield from runs.flush()
-    yield from runs.flush()
+def _sorted_runs(step: int):
+    """Documents to runs, packed: keys one line each, their counts, and every ``step``-th key as a mark."""
+
+    def packed(keys: pa.Array, n: pa.Array) -> pa.RecordBatch:
+        width = np.cumsum(pc.binary_length(keys).to_numpy() + 1, dtype=np.int64) // _BLOCK_BYTES
+        starts = np.concatenate(([0], np.flatnonzero(np.diff(width)) + 1, [len(keys)]))
+        lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), keys), b"\n")
+        spans = list(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True))
+        marks = [keys.take(pa.array(np.arange(i + min(step, j - i) // 2, j, step))).to_pylist() for i, j in spans]
+        sums = [n.slice(i, j - i).to_numpy().tobytes() for i, j in spans]
+        return pa.RecordBatch.from_arrays([lines, pa.array(sums, pa.binary()), pa.array(marks, pa.list_(pa.binary()))], ["keys", "n", "marks"])
+
+    def run(batches):
+        runs = _Runs()
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for block in _blocks(text.translate(_TABLE), _TEXT_BLOCK):
+                    runs.add(lang, block)
+                    if runs.full():
+                        yield from (packed(*b.columns) for b in runs.flush())
+        yield from (packed(*b.columns) for b in runs.flush())
+
+    return run
+
+
+def _fields(key: bytes) -> list[bytes]:
+    return key.split(b" ")
+
+
+def _cuts(runs: DataFrame, step: int, size: int) -> list[list[bytes]]:
+    """Keys that cut all runs into parts of about ``size`` keys, from a sample of some marks a part."""
+    marks = runs.select(F.explode("marks").alias("mark"))
+    many = marks.count()
+    parts = many * step // size
+    if parts < 2:
+        return []
+    sample = marks.sample(min(1.0, MARKS * parts / many), seed=1).toArrow().column(0).to_pylist()
+    found = sorted(map(_fields, sample))
+    cuts = [found[i * len(found) // parts] for i in range(1, parts)] if found else []
+    return [c for i, c in enumerate(cuts) if not i or c != cuts[i - 1]]
+
+
+_PART = [pa.int32(), pa.binary(), pa.binary()], ["part", "keys", "n"]
+
+
+def _dealt_out(sent):
+    """Blocks of runs, cut where parts begin."""
+
+    def run(batches):
+        cuts = sent.value
+        for batch in batches:
+            for whole, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                head, tail = whole[: whole.find(b"\n") % (len(whole) + 1)], whole[whole.rfind(b"\n") + 1 :]
+                lo, hi = bisect_right(cuts, _fields(head)), bisect_right(cuts, _fields(tail))
+                if lo == hi:
+                    yield _columns([(lo, whole, n)], *_PART)
+                    continue
+                lines, out, start = whole.split(b"\n"), [], 0
+                for part in range(lo, hi + 1):
+                    end = bisect_left(lines, cuts[part], lo=start, key=_fields) if part < hi else len(lines)
+                    if end > start:
+                        out.append((part, b"\n".join(lines[start:end]), n[8 * start : 8 * end]))
+                    start = end
+                yield _columns(out, *_PART)
+
+    return run
 
 
 _COUNTS = "lang string, w1 binary, w2 binary, w3 binary, f bigint"
 
 
-def _added_up(least: int):
-    """Counts of words, pairs, triples, and of all words of a language, from keys in order."""
+def _in_order(ids: np.ndarray, base: int) -> np.ndarray:
+    """Places of the rows of numbered fields, in their order."""
+    langs, lang = np.unique(ids[:, 0], return_inverse=True)
+    if len(langs) * base**3 < 1 << 63 and base < WIDEST_VOCABULARY:
+        return np.argsort(((lang * base + ids[:, 1]) * base + ids[:, 2]) * base + ids[:, 3])
+    return np.lexsort(ids.T[::-1])
+
+
+def _added(blocks: list[tuple[bytes, bytes]], least: int):
+    """Sums of the families of a part: those at its edges, and of the others what reaches ``least``."""
+    text = b"\n".join([keys for keys, _ in blocks]).replace(b"\n", b" ")
+    n = np.frombuffer(b"".join([x for _, x in blocks]), dtype=np.int64)
+    fields = pc.split_pattern(pa.array([text], pa.binary()), b" ").flatten().dictionary_encode()
+    order = pc.sort_indices(fields.dictionary)
+    spelled = fields.dictionary.take(order)
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    ids = rank[fields.indices.to_numpy()].reshape(-1, 4)
+    by = _in_order(ids, len(order))
+    ids, n = ids[by], n[by]
+    # Only the empty word's number; a language may be empty too.
+    nothing = 0 if spelled[0].as_py() == b"" else -1
+    change = np.zeros(len(n), dtype=bool)
+    change[0] = True
+    for level in range(4):
+        change[1:] |= ids[1:, level] != ids[:-1, level]
+        starts = np.flatnonzero(change)
+        sums = np.add.reduceat(n, starts)
+        # A family at an edge may go on in the part beside; those of languages are too few to leave out.
+        wanted = sums >= least if level else np.ones(len(sums), dtype=bool)
+        wanted[[0, -1]] = True
+        if level:
+            wanted &= ids[starts, level] != nothing
+        chosen = starts[wanted]
+        for at in range(0, len(chosen), _SLICE):
+            rows = ids[chosen[at : at + _SLICE]]
+            known, place = np.unique(rows[:, 0], return_inverse=True)
+            langs = pa.array([unquote(spelled[int(i)].as_py().decode()) for i in known], pa.string())
+            blank = pa.array([b""] * len(rows), pa.binary())
+            words = [spelled.take(pa.array(rows[:, k])) if k <= level else blank for k in (1, 2, 3)]
+            yield pa.RecordBatch.from_arrays(
+                [langs.take(pa.array(place)), *words, pa.array(sums[wanted][at : at + _SLICE])], ["lang", "w1", "w2", "w3", "f"]
+            )
 
-    def changes(column: pa.Array) -> np.ndarray:
-        return np.concatenate(([True], pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)))
 
-    def rows(found: list[tuple]):
-        parts = list(zip(*found, strict=True)) if found else [()] * 5
-        kinds = (pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
-        columns = [[unquote(x.decode()) for x in parts[0]], *parts[1:]]
-        return pa.RecordBatch.from_arrays([pa.array(p, k) for p, k in zip(columns, kinds, strict=True)], ["lang", "w1", "w2", "w3", "f"])
+def _added_up(least: int):
+    """Counts of words, pairs, triples, and of all words of a language, part by part."""
 
     def run(batches):
-        # Per level: the family still open as (lang, w1, w2, w3), its sum, whether it is the first one.
-        still = [None] * 4
+        at, held = None, []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            n = batch.column(1).to_numpy()
-            fields = pc.split_pattern(batch.column(0), b" ").flatten()
-            split = [fields.take(pa.array(np.arange(i, len(fields), 4))) for i in range(4)]
-            change = np.zeros(len(n), dtype=bool)
-            out = []
-            for level in range(4):
-                change = change | changes(split[level])
-                starts = np.flatnonzero(change)
-                sums = np.add.reduceat(n, starts)
-
-                def name(i: int, level=level) -> tuple:
-                    return tuple(split[k][i].as_py() if k <= level else b"" for k in range(4))
-
-                head, tail = name(int(starts[0])), name(int(starts[-1]))
-                done, begin, first = [], 0, still[level] is None
-                if not first:
-                    key, total, edge = still[level]
-                    if key == head:
-                        sums[0] += total
-                        if len(starts) == 1:
-                            still[level] = (key, int(sums[0]), edge)
-                            continue
-                        done, begin = [(key, int(sums[0]), edge)], 1
-                    else:
-                        done = [still[level]]
-                elif len(starts) > 1:
-                    done, begin = [(head, int(sums[0]), True)], 1
-                still[level] = (tail, int(sums[-1]), first and len(starts) == 1)
-                out += [(*k, s) for k, s, edge in done if (edge or s >= least) and (not level or k[level])]
-                # Families within the partition are whole; those of languages are too few to leave out.
-                inner = np.arange(begin, len(starts) - 1)
-                inner = inner[sums[inner] >= least] if level else inner
-                found = [(*name(int(starts[i])), int(sums[i])) for i in inner]
-                out += [r for r in found if not level or r[level]]
-            if out:
-                yield rows(out)
-        yield rows([(*s[0], s[1]) for level, s in enumerate(still) if s is not None and (not level or s[0][level])])
+            for part, keys, n in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if held and part != at:
+                    yield from _added(held, least)
+                    held = []
+                at = part
+                held.append((keys, n))
+        if held:
+            yield from _added(held, least)
 
     return run
 
@@ -199,13 +265,18 @@ def _added_up(least: int):
 def counts(documents: DataFrame, least: int = MIN_COUNT) -> DataFrame:
     """Counts of words, pairs and triples that occur ``least`` times or more in a language; the row
     without words (``w1`` empty) counts all words of the language."""
-    ship_package(documents.sparkSession)
+    spark = documents.sparkSession
+    ship_package(spark)
     texts = documents.select(
         F.coalesce(col("lang").cast("string"), F.lit("und")).alias("lang"),
         F.coalesce(col("text"), F.lit("")).cast("binary").alias("text"),
     )
-    runs = written(texts.mapInArrow(_sorted_runs, "key binary, n bigint"), "phrase-runs")
-    merged = runs.repartitionByRange("key").sortWithinPartitions("key")
+    step = max(1, PART_KEYS // MARKS // 25)
+    runs = written(texts.mapInArrow(_sorted_runs(step), "keys binary, n binary, marks array<binary>"), "phrase-runs")
+    cuts = spark.sparkContext.broadcast(_cuts(runs, step, PART_KEYS))
+    blocks = runs.select("keys", "n").mapInArrow(_dealt_out(cuts), "part int, keys binary, n binary")
+    # In the order of parts, so that a task holds one of them at a time.
+    merged = blocks.repartition("part").sortWithinPartitions("part")
     parts = merged.mapInArrow(_added_up(least), _COUNTS)
     whole = parts.groupBy("lang", "w1", "w2", "w3").agg(F.sum("f").alias("f"))
     out = written(whole.where((F.col("f") >= least) | (F.length("w1") == 0)), "phrase-counts")

@@ -10,6 +10,7 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 
 from lectern.llm import audit, collocations, warc
@@ -270,6 +271,37 @@ def test_phrases_across_partitions(spark, many_partitions):
         assert phrased(df, least=least, top=10**6) == expected_phrases(rows, least, 50, 10**6)
 
 
+def test_runs_travel_in_blocks_and_parts(spark, monkeypatch):
+    """Few rows cross the engine, and parts that cut families of every level give the same counts."""
+    rng = random.Random(11)
+    words = ["the", "a", "of", "x\x01", "é", "50%", "B", "\x00", *(f"w{i}" for i in range(40))]
+    rows = [(rng.choice(["en", "", None]), " ".join(rng.choice(words) for _ in range(400)) + rng.choice([".", "\n", ""])) for _ in range(40)]
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(4)
+    made, real = [], collocations.written
+
+    def written(table, name):
+        out = real(table, name)
+        made.append((name, out.count()))
+        return out
+
+    cut, cuts = [], collocations._cuts
+    monkeypatch.setattr(collocations, "written", written)
+    monkeypatch.setattr(collocations, "_cuts", lambda *how: cut.append(cuts(*how)) or cut[-1])
+    for size, least in ((500_000, 2), (600, 2), (60, 1)):
+        monkeypatch.setattr(collocations, "PART_KEYS", size)
+        assert phrased(df, least=least, top=10**6) == expected_phrases(rows, least, 50, 10**6)
+    assert max(n for name, n in made if name == "phrase-runs") <= 4 * 3  # a block a task and language
+    assert len(cut[0]) == 0 and 5 < len(cut[1]) < len(cut[2])
+
+
+def test_order_of_numbered_fields(monkeypatch):
+    ids = np.random.default_rng(3).integers(0, 9, (500, 4))
+    want = sorted(map(tuple, ids.tolist()))
+    assert list(map(tuple, ids[collocations._in_order(ids, 9)].tolist())) == want
+    monkeypatch.setattr(collocations, "WIDEST_VOCABULARY", 2)
+    assert list(map(tuple, ids[collocations._in_order(ids, 9)].tolist())) == want
+
+
 def test_phrases_of_odd_rows(spark, odd, nothing, clashing, same_with_extra_columns):
     for least in (1, 2):
         assert phrased(odd, least=least) == expected_phrases(pairs(odd), least, 50, 2000)
