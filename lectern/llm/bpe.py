@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import col, per_text, sha256_hex
+from .common import col, held, per_text, sha256_hex
 
 CACHED = 200_000
 CACHED_LENGTH = 48
@@ -180,16 +180,9 @@ def _pack(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-_LOADED: dict[int, WordBpe] = {}
-
-
 def _loaded(spec: str) -> WordBpe:
     """One parsed vocabulary a worker process."""
-    key = hash(spec)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = WordBpe(spec)
-    return _LOADED[key]
+    return held(("bpe", hash(spec)), lambda: WordBpe(spec))
 
 
 def tokenizer_spec(spark: SparkSession, path: str):

@@ -196,6 +196,29 @@ def test_shuffle_files_of_written_tables_go(spark):
     assert table.count() == 1000
 
 
+def test_batches_to_python_are_bounded_by_bytes(spark):
+    before = spark.conf.get(common.BATCHES)
+    try:
+        for now, then in (("64m", str(common.BATCH_BYTES)), ("1m", "1m")):
+            spark.conf.set(common.BATCHES, now)
+            common.per_text(lambda: lambda text: (1,), "struct<n: int>")
+            assert common.size_of(spark.conf.get(common.BATCHES)) == common.size_of(then)
+        wide = spark.range(0, 4000, 1, 1).select(common.F.repeat(common.F.lit("x"), 2000).alias("text"))
+        rows = wide.mapInArrow(lambda batches: (b.slice(0, 1) for b in batches), "text string")
+        assert rows.count() >= 7
+    finally:
+        spark.conf.set(common.BATCHES, before)
+
+
+def test_tasks_drop_what_other_operators_held(monkeypatch):
+    monkeypatch.setattr(common, "_HELD", {})
+    tables = lambda: common.held("tables", lambda: [1])
+    first = common._started(tables)
+    assert common._started(tables) is first
+    common._started(lambda: len)
+    assert common._HELD == {}
+
+
 def test_odd_rows_of_dedup(spark, odd, nothing, clashing):
     rows = order_minhash.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
