@@ -5,7 +5,7 @@ merged, never in tables that are probed.
 
 1. Tasks turn documents into runs: for every word its first two followers within the piece, counted
    over some millions of words and sorted.
-2. The runs travel packed, in blocks of many keys. Sampled keys cut all of them into parts of some
+2. The runs travel packed, in compressed blocks of many keys. Sampled keys cut all of them into parts of some
    hundred thousand keys, and a task merges one part at a time in prefix order. One pass adds up neighbours: a
    run of equal first words is that word's count, of equal first two words that pair's, and so on. A family
    that touches an edge of its part is emitted as a part and added up with those of the
@@ -36,27 +36,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import col, dropped, ship_package, written
+from .common import col, dropped, lean, ship_package, written
 
 MIN_COUNT = 10
 COVERED_PERCENT = 50
 TOP = 2000
 SCALE = 1_000_000
 HELD_WORDS = 3_000_000
-HELD_VOCABULARY = 1_500_000
+HELD_VOCABULARY = 500_000
+HELD_BYTES = 64 << 20  # of text
 WIDEST_VOCABULARY = 2_000_000  # its cube is under 2**63
 SPREAD = 8
 PART_KEYS = 250_000  # keys that a task merges at a time, about
+PARTS_A_TASK = 8  # about
 MARKS = 20  # sampled keys for each part
 _SLICE = 50_000
 _BLOCK_BYTES = 1 << 16  # small beside the pages of a Parquet file, which hold 100 rows at least
 _TEXT_BLOCK = 1 << 22
+_CODEC = pa.Codec("zstd", compression_level=1)
 
 # Separators of pieces; the comma stands for all of them.
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x2C if b in _SEPARATORS else 0x20 if b == 9 else b for b in range(256))
 
 
+def _closed(data: bytes) -> bytes:
+    """Bytes compressed: engine and workers hold a block several times over on its way."""
+    return len(data).to_bytes(8, "little") + _CODEC.compress(data, asbytes=True)
+
+
+def _opened(data: bytes) -> bytes:
+    return _CODEC.decompress(memoryview(data)[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
 def _blocks(data: bytes, size: int):
     """A long text in parts that end between pieces."""
     start = 0
@@ -93,43 +105,53 @@ class _Runs:
         self.clear()
 
     def clear(self) -> None:
-        self.words, self.parts, self.held = _Vocabulary(), {}, 0
+        self.words, self.parts, self.held, self.size = _Vocabulary(), {}, 0, 0
 
     def add(self, lang: str, block: bytes) -> None:
         words = self.words
         ids = [words[w] for w in block.replace(b",", b" , ").split()]
-        self.parts.setdefault(lang, []).append(np.array([*ids, 0], dtype=np.int64))
-        self.held += len(ids)
+        ids.append(0)
+        self.parts.setdefault(lang, []).append(np.array(ids, dtype=np.int32))
+        self.held += len(ids) - 1
+        self.size += len(block)
 
     def full(self) -> bool:
-        return self.held >= self.most or len(self.words) >= HELD_VOCABULARY
+        return self.held >= self.most or len(self.words) >= HELD_VOCABULARY or self.size >= HELD_BYTES
 
     def flush(self):
-        known = [w for w, i in self.words.items() if i]
-        order = sorted(range(len(known)), key=known.__getitem__)
-        rank = np.zeros(len(known) + 1, dtype=np.int64)
-        rank[np.array(order, dtype=np.int64) + 1] = np.arange(1, len(known) + 1)
-        spelled = pa.array([b"", *[known[i] for i in order]], pa.binary())
-        base = len(known) + 1
-        for lang in sorted(self.parts):
-            a = np.concatenate([rank[x] for x in self.parts[lang]] + [np.zeros(2, dtype=np.int64)])
+        known, parts = pa.array(list(self.words), pa.binary()), self.parts  # the break is the first
+        self.clear()
+        order = pc.sort_indices(known.slice(1)).to_numpy()
+        rank = np.zeros(len(known), dtype=np.int32)
+        rank[order + 1] = np.arange(1, len(known), dtype=np.int32)
+        spelled = pa.concat_arrays([pa.array([b""], pa.binary()), known.slice(1).take(pa.array(order))])
+        base = len(known)
+        del known, order
+        for lang in sorted(parts):
+            a = rank[np.concatenate([*parts.pop(lang), np.zeros(2, dtype=np.int32)])]
             first, second, third = a[:-2], a[1:-1], a[2:]
-            real = first > 0
-            pair, third = (first * base + second)[real], np.where(second > 0, third, 0)[real]
+            codes = first.astype(np.int64)
+            codes *= base
+            codes += second
+            codes = codes[first > 0]
             # A very long piece may bring so many words that triples pass 64 bits: their pairs are numbered then.
-            pairs, pair = (None, pair) if base < WIDEST_VOCABULARY else np.unique(pair, return_inverse=True)
-            codes, n = np.unique(pair * base + third, return_counts=True)
-            for at in range(0, len(codes), _SLICE):
-                c = codes[at : at + _SLICE]
+            pairs, codes = (None, codes) if base < WIDEST_VOCABULARY else np.unique(codes, return_inverse=True)
+            codes *= base
+            codes += np.where(second > 0, third, 0)[first > 0]
+            del a, first, second, third
+            codes.sort()
+            edges = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1], [True]))) if len(codes) else codes
+            for at in range(0, len(edges) - 1, _SLICE):
+                edge = edges[at : at + _SLICE + 1]
+                c = codes[edge[:-1]]
                 two = c // base if pairs is None else pairs[c // base]
                 words = [spelled.take(pa.array(x)) for x in (two // base, two % base, c % base)]
                 key = pc.binary_join_element_wise(pa.scalar(_quoted(lang), pa.binary()), *words, b" ")
-                yield pa.RecordBatch.from_arrays([key, pa.array(n[at : at + _SLICE], pa.int64())], ["key", "n"])
-        self.clear()
+                yield pa.RecordBatch.from_arrays([key, pa.array(np.diff(edge), pa.int64())], ["key", "n"])
 
 
 def _sorted_runs(step: int):
-    """Documents to runs, packed: keys one line each, their counts, and every ``step``-th key as a mark."""
+    """Documents to runs, packed: keys one line each, their counts, the first and the last key, and every ``step``-th as a mark."""
 
     def packed(keys: pa.Array, n: pa.Array) -> pa.RecordBatch:
         width = np.cumsum(pc.binary_length(keys).to_numpy() + 1, dtype=np.int64) // _BLOCK_BYTES
@@ -137,8 +159,11 @@ def _sorted_runs(step: int):
         lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), keys), b"\n")
         spans = list(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True))
         marks = [keys.take(pa.array(np.arange(i + min(step, j - i) // 2, j, step))).to_pylist() for i, j in spans]
-        sums = [n.slice(i, j - i).to_numpy().tobytes() for i, j in spans]
-        return pa.RecordBatch.from_arrays([lines, pa.array(sums, pa.binary()), pa.array(marks, pa.list_(pa.binary()))], ["keys", "n", "marks"])
+        sums = [_closed(n.slice(i, j - i).to_numpy().tobytes()) for i, j in spans]
+        lines = [_closed(x.as_py()) for x in lines]
+        ends = [keys.take(pa.array(x)) for x in (starts[:-1], starts[1:] - 1)]
+        columns = [*(pa.array(x, pa.binary()) for x in (lines, sums)), *ends, pa.array(marks, pa.list_(pa.binary()))]
+        return pa.RecordBatch.from_arrays(columns, ["keys", "n", "head", "tail", "marks"])
 
     def run(batches):
         runs = _Runs()
@@ -170,6 +195,11 @@ def _cuts(runs: DataFrame, step: int, size: int) -> list[list[bytes]]:
     return [c for i, c in enumerate(cuts) if not i or c != cuts[i - 1]]
 
 
+def _tasks(parts: int, usual: int) -> int:
+    """Tasks that merge the parts: as many as is usual, or more, so that what a task gets does not grow with the corpus."""
+    return max(-(-parts // PARTS_A_TASK), min(parts, usual))
+
+
 _PART = [pa.int32(), pa.binary(), pa.binary()], ["part", "keys", "n"]
 
 
@@ -179,17 +209,16 @@ def _dealt_out(sent):
     def run(batches):
         cuts = sent.value
         for batch in batches:
-            for whole, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                head, tail = whole[: whole.find(b"\n") % (len(whole) + 1)], whole[whole.rfind(b"\n") + 1 :]
+            for whole, n, head, tail in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 lo, hi = bisect_right(cuts, _fields(head)), bisect_right(cuts, _fields(tail))
                 if lo == hi:
                     yield _columns([(lo, whole, n)], *_PART)
                     continue
-                lines, out, start = whole.split(b"\n"), [], 0
+                lines, n, out, start = _opened(whole).split(b"\n"), _opened(n), [], 0
                 for part in range(lo, hi + 1):
                     end = bisect_left(lines, cuts[part], lo=start, key=_fields) if part < hi else len(lines)
                     if end > start:
-                        out.append((part, b"\n".join(lines[start:end]), n[8 * start : 8 * end]))
+                        out.append((part, _closed(b"\n".join(lines[start:end])), _closed(n[8 * start : 8 * end])))
                     start = end
                 yield _columns(out, *_PART)
 
@@ -209,8 +238,8 @@ def _in_order(ids: np.ndarray, base: int) -> np.ndarray:
 
 def _added(blocks: list[tuple[bytes, bytes]], least: int):
     """Sums of the families of a part: those at its edges, and of the others what reaches ``least``."""
-    text = b"\n".join([keys for keys, _ in blocks]).replace(b"\n", b" ")
-    n = np.frombuffer(b"".join([x for _, x in blocks]), dtype=np.int64)
+    text = b"\n".join([_opened(keys) for keys, _ in blocks]).replace(b"\n", b" ")
+    n = np.frombuffer(b"".join([_opened(x) for _, x in blocks]), dtype=np.int64)
     fields = pc.split_pattern(pa.array([text], pa.binary()), b" ").flatten().dictionary_encode()
     order = pc.sort_indices(fields.dictionary)
     spelled = fields.dictionary.take(order)
@@ -272,12 +301,14 @@ def counts(documents: DataFrame, least: int = MIN_COUNT) -> DataFrame:
         F.coalesce(col("text"), F.lit("")).cast("binary").alias("text"),
     )
     step = max(1, PART_KEYS // MARKS // 25)
-    runs = written(texts.mapInArrow(_sorted_runs(step), "keys binary, n binary, marks array<binary>"), "phrase-runs")
-    cuts = spark.sparkContext.broadcast(_cuts(runs, step, PART_KEYS))
-    blocks = runs.select("keys", "n").mapInArrow(_dealt_out(cuts), "part int, keys binary, n binary")
+    runs = written(texts.mapInArrow(lean(_sorted_runs(step)), "keys binary, n binary, head binary, tail binary, marks array<binary>"), "phrase-runs")
+    found = _cuts(runs, step, PART_KEYS)
+    cuts = spark.sparkContext.broadcast(found)
+    blocks = runs.drop("marks").mapInArrow(lean(_dealt_out(cuts)), "part int, keys binary, n binary")
     # In the order of parts, so that a task holds one of them at a time.
-    merged = blocks.repartition("part").sortWithinPartitions("part")
-    parts = merged.mapInArrow(_added_up(least), _COUNTS)
+    tasks = _tasks(len(found) + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    merged = blocks.repartition(tasks, "part").sortWithinPartitions("part")
+    parts = merged.mapInArrow(lean(_added_up(least)), _COUNTS)
     whole = parts.groupBy("lang", "w1", "w2", "w3").agg(F.sum("f").alias("f"))
     out = written(whole.where((F.col("f") >= least) | (F.length("w1") == 0)), "phrase-counts")
     dropped(runs)
@@ -347,8 +378,8 @@ def _lockstep(batches):
     yield _columns(rows, _STREAM_KINDS, _STREAM_NAMES)
 
 
-def in_lockstep(rows: DataFrame, name: str) -> DataFrame:
-    """The lockstep pass over ``rows`` in the order of ``lang`` and ``path``."""
+def in_lockstep(rows: DataFrame, name: str, take=_lockstep, schema: str = _STREAM) -> DataFrame:
+    """The lockstep pass over ``rows`` in the order of ``lang`` and ``path``; ``take`` is the pass, maybe with what follows it."""
     ordered = rows.repartitionByRange("lang", "path").withColumn("part", F.spark_partition_id())
     stream = written(ordered, name)
     # What the first row of each partition begins with, if it lies in an earlier one: two rows a partition.
@@ -360,7 +391,7 @@ def in_lockstep(rows: DataFrame, name: str) -> DataFrame:
     )
     guests = stream.join(F.broadcast(wanted), ["lang", "path"]).where("to_part <> part").withColumn("part", F.col("to_part")).drop("to_part")
     lines = stream.unionByName(guests).repartition("part").sortWithinPartitions("part", "lang", "path")
-    return lines.mapInArrow(_lockstep, _STREAM)
+    return lines.mapInArrow(lean(take), schema)
 
 
 def _best_cut(batches):
@@ -370,6 +401,8 @@ def _best_cut(batches):
     for batch in batches:
         found = []
         for lang, path, a, extended, near, far in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if len(path) < 2:
+                continue
             # ``far`` holds counts of the first k words by k, ``near`` of the last k.
             cuts = zip(far, reversed(near), strict=True)
             score, _, left, right = min((SCALE * a * a // (x * y), k, x, y) for k, (x, y) in enumerate(cuts))
@@ -377,6 +410,11 @@ def _best_cut(batches):
         yield _columns(found, kinds, names)
 
 
+def _lockstep_scored(batches):
+    """Lockstep and scores in one worker: two steps of a stage would hold two workers a task."""
+    yield from _best_cut(_lockstep(batches))
+
+
 def _words(*names: str) -> Column:
     return F.filter(F.array(*names), lambda w: F.length(w) > 0)
 
@@ -389,11 +427,11 @@ def scored(found: DataFrame) -> DataFrame:
         "lang", _words("w1", "w2", "w3").alias("path"), "f", F.lit(0).cast("bigint").alias("extended"), nothing.alias("near"), nothing.alias("far")
     )
     forward = in_lockstep(rows, "phrase-prefixes")
-    backward = in_lockstep(
-        forward.select("lang", F.reverse("path").alias("path"), "f", "extended", nothing.alias("near"), F.col("near").alias("far")), "phrase-suffixes"
-    )
-    candidates = backward.where(F.size("path") > 1).mapInArrow(
-        _best_cut, "lang string, phrase binary, a bigint, l bigint, r bigint, score bigint, extended bigint"
+    candidates = in_lockstep(
+        forward.select("lang", F.reverse("path").alias("path"), "f", "extended", nothing.alias("near"), F.col("near").alias("far")),
+        "phrase-suffixes",
+        _lockstep_scored,
+        "lang string, phrase binary, a bigint, l bigint, r bigint, score bigint, extended bigint",
     )
     # A pair that was a guest has a row a partition.
     return candidates.groupBy("lang", "phrase").agg(

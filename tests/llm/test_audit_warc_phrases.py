@@ -7,7 +7,11 @@ import hashlib
 import io
 import random
 import re
+import subprocess
+import sys
+import tracemalloc
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -333,6 +337,87 @@ def test_runs_of_any_size_hold_the_same_counts(monkeypatch):
     assert sum(whole.values()) == len(text.replace(b",", b" ").split())
 
 
+def _words_of_a_task(n, many):
+    rng = random.Random(13)
+    return b" ".join(b"word%d" % min(int(rng.expovariate(1 / many)), 10 * many) for _ in range(n))
+
+
+def test_runs_take_few_bytes_a_word():
+    """A task's memory is a bound on every executor: counting takes few copies of the words held."""
+    words = 400_000
+    runs = collocations._Runs(10**9)
+    runs.add("en", _words_of_a_task(words, 3000))
+    tracemalloc.start()
+    try:
+        total = sum(sum(b.column(1).to_pylist()) for b in runs.flush())
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert total == words
+    assert most < 45 * words + collocations._SLICE * 80
+
+
+def test_long_words_fill_a_run():
+    runs = collocations._Runs()
+    while not runs.full():
+        runs.add("en", b"x%d" % runs.held * 500_000)
+        assert runs.held < 200
+    assert runs.held >= 10
+
+
+def test_blocks_travel_compressed(spark, monkeypatch):
+    text = _words_of_a_task(60_000, 500).decode()
+    df = spark.createDataFrame([("en", text)], "lang string, text string").repartition(1)
+    found, real = [], collocations.written
+
+    def written(table, name):
+        out = real(table, name)
+        if name == "phrase-runs":
+            found.append(out.selectExpr("sum(length(keys))", "sum(length(n))", "max(length(keys))").first())
+        return out
+
+    monkeypatch.setattr(collocations, "written", written)
+    got = {(r.w1, r.w2, r.w3): r.f for r in collocations.counts(df, 2).collect()}
+    words = text.encode().split()
+    want = collections.Counter(tuple(words[i : i + k]) for k in (1, 2, 3) for i in range(len(words) - k + 1))
+    assert got.pop((b"", b"", b"")) == len(words)
+    assert got == {(*p, *[b""] * (3 - len(p))): f for p, f in want.items() if f >= 2}
+    keys = {tuple(words[i : i + 3]) for i in range(len(words))}
+    raw = sum(len(b" ".join(k)) + 4 for k in keys)
+    assert found[0][0] < raw / 2 and found[0][1] < 8 * len(keys) / 4 and found[0][2] < collocations._BLOCK_BYTES / 2
+
+
+def test_scores_need_one_worker_a_task(spark, small):
+    """A second step in Python within a stage would hold a second worker for each task."""
+    found = collocations.counts(small, 4)
+    plan = collocations.scored(found)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("MapInArrow", plan)) == 1
+
+
+def test_merging_tasks_follow_the_parts():
+    assert collocations._tasks(1, 12) == 1 and collocations._tasks(40, 12) == 12
+    assert [-(-parts // collocations._tasks(parts, 12)) for parts in (400, 4_700, 23_500)] == [collocations.PARTS_A_TASK] * 3
+
+
+def test_a_task_gives_its_memory_back():
+    script = """
+import re, pyarrow as pa
+from lectern.llm import collocations, common
+lean = getattr(common, "lean", lambda run: run)
+held = lambda: int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+for many in (1, 150):
+    before = held()
+    for _ in lean(collocations._sorted_runs(500))(
+        pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([" ".join(f"word{(i * 7919 + j * j) % 200003}" for j in range(20000)).encode()])], ["lang", "text"])
+        for i in range(many)
+    ):
+        pass
+print(held() - before)
+"""
+    out = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, cwd=Path(__file__).parents[2], check=True, timeout=300)
+    assert float(out.stdout) < 24
+
+
 def test_sql_agrees(spark, small):
     con = duckdb.connect()
     con.sql("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
